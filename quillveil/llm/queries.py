@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from . import repetition
+from . import repetition, secrets
 
-QUERIES = {"op5_quality_rules": repetition.op5_quality_rules}
+QUERIES = {
+    "op5_quality_rules": repetition.op5_quality_rules,
+    "op6_secret_scan": secrets.op6_secret_scan,
+}
 
 SQL: dict[str, str] = {}

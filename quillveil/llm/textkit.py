@@ -82,9 +82,12 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def find_words(buf: np.ndarray, off: np.ndarray) -> Words:
+def find_words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> Words:
+    """The maximal runs, within a document, of bytes for which the table gap is false."""
     n = len(buf)
-    inside = ~_SPACE[buf]
+    if not n:
+        return Words(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64))
+    inside = ~gap[buf]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     begins = inside.copy()
