@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import repetition, secrets
+from . import decontam, repetition, secrets
 
 QUERIES = {
     "op5_quality_rules": repetition.op5_quality_rules,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op9_decontamination": decontam.op9_decontamination,
 }
 
 SQL: dict[str, str] = {}
