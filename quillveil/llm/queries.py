@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, repetition, secrets
+from . import decontam, langid, repetition, secrets, toxicity
 
 QUERIES = {
+    "op2_language_id": langid.op2_language_id,
     "op5_quality_rules": repetition.op5_quality_rules,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_decontamination": decontam.op9_decontamination,
 }
 
