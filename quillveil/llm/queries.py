@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, repetition, secrets, toxicity
+from . import ctw, decontam, langid, neardup, repetition, secrets, toxicity
 
 QUERIES = {
+    "op1_near_duplicates": neardup.op1_near_duplicates,
     "op2_language_id": langid.op2_language_id,
     "op5_quality_rules": repetition.op5_quality_rules,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_lm_score": ctw.op8_lm_score,
     "op9_decontamination": decontam.op9_decontamination,
 }
 

@@ -121,8 +121,8 @@ def window_hashes(h: np.ndarray, k: int, key: int) -> np.ndarray:
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum of values[first[d]:first[d + 1]] for every d, empty ranges included."""
-    total = np.zeros(len(values) + 1, np.result_type(values, np.int64) if values.dtype.kind != "f" else np.float64)
+    """Sum of values[first[d]:first[d + 1]] for every d, empty ranges included; unsigned sums wrap."""
+    total = np.zeros(len(values) + 1, {"f": np.float64, "u": U64}.get(values.dtype.kind, np.int64))
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
 
