@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import ctw, decontam, langid, neardup, repetition, secrets, toxicity
+from . import ctw, decontam, langid, neardup, order, packing, repetition, replies, secrets, toxicity
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
     "op2_language_id": langid.op2_language_id,
+    "op3_training_order": order.op3_training_order,
+    "op4_packing": packing.op4_packing,
     "op5_quality_rules": repetition.op5_quality_rules,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_lm_score": ctw.op8_lm_score,
     "op9_decontamination": decontam.op9_decontamination,
+    "op10_chat_format": replies.op10_chat_format,
 }
 
 SQL: dict[str, str] = {}
