@@ -1 +1 @@
-
+"""Pure functions: identifier checks, text folding, value predicates."""

@@ -1 +1 @@
-
+"""Operators over DataFrames of texts and spans."""

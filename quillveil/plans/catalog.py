@@ -1,6 +1,193 @@
-"""Queries of the engine itself, with their SQL."""
+"""Queries of the engine over the driver's tables, with their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import detection, pseudonyms, resolution
+
+#: RE2 has no lookaround.  On these tables the maximal forms below find the same spans as the rules.
+_EMAIL = r"[A-Za-z0-9!#$%&''*+/=?^_`{|}~.-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z0-9-]+"
+_RUN = r"\b\d(?:[ -]?\d)*\b"
+
+
+def _spans(table: str, key: str, text: str) -> str:
+    """SQL for (key, entity_type, start, end, value) of the findings in a table."""
+
+    def found(kind: str, pattern: str, check: str) -> str:
+        return f"""
+        select {key}, '{kind}' as entity_type, s as "start", s + length(v) as "end", v as value from (
+          select {key}, m[i] as v,
+            (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::bigint as s
+          from (select {key}, m, p, unnest(range(1, len(m) + 1)) as i from (
+            select {key}, regexp_extract_all({text}, '{pattern}') as m, regexp_split_to_array({text}, '{pattern}') as p from {table})))
+        where {check}"""
+
+    digits = "replace(replace(v, ' ', ''), '-', '')"
+    luhn = f"""length({digits}) between 14 and 19 and list_sum(list_transform(range(0, length({digits})),
+        lambda i: case when i % 2 = 0 then {digits}[length({digits}) - i]::int
+          else (2 * {digits}[length({digits}) - i]::int) // 10 + (2 * {digits}[length({digits}) - i]::int) % 10 end)) % 10 = 0"""
+    return f"({found('EMAIL', _EMAIL, 'true')} union all {found('CREDIT_CARD', _RUN, luhn)})"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _found(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return detection.findings(_documents(spark, sf_dir).select("doc_id", "text", *more), ["doc_id", *more])
+
+
+def detect_documents(spark, sf_dir):
+    cols = ("doc_id", "entity_type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "confidence", "recognizer", "tier", "boosted")
+    return _found(spark, sf_dir).select(*cols)
+
+
+def detect_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return detection.findings(pages, ["page_id"], "html").select("page_id", "entity_type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+def masked_value_display(spark, sf_dir):
+    return _found(spark, sf_dir).select("doc_id", F.col("start").cast("long").alias("start"), "entity_type", detection.displayed("value").alias("shown"))
+
+
+def scan_by_lang_and_type(spark, sf_dir):
+    return _found(spark, sf_dir, "lang").groupBy("lang", "entity_type").agg(F.count("*").alias("findings"), F.countDistinct("doc_id").alias("documents"), F.countDistinct("value").alias("distinct_values"))
+
+
+def scan_summary_by_type(spark, sf_dir):
+    return _found(spark, sf_dir).groupBy("entity_type").agg(F.count("*").alias("findings")).orderBy(F.desc("findings"), "entity_type")
+
+
+def scan_by_source(spark, sf_dir):
+    """Each source's documents, those with findings and their findings; one pass, spans counted without being exploded."""
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
+    rows = detection.detect(docs, keep=["source"]).select("source", F.size("spans").alias("n"))
+    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.sum((F.col("n") > 0).cast("long")).alias("with_findings"), F.sum("n").cast("long").alias("findings"))
+
+
+def docs_without_findings(spark, sf_dir):
+    rows = detection.detect(_documents(spark, sf_dir).select("lang", "text"), keep=["lang"])
+    return rows.where(F.size("spans") == 0).groupBy("lang").agg(F.count("*").alias("documents"))
+
+
+def email_domains(spark, sf_dir):
+    found = _found(spark, sf_dir).where("entity_type = 'EMAIL'")
+    return found.groupBy(F.lower(F.substring_index("value", "@", -1)).alias("domain")).agg(F.count("*").alias("findings"), F.countDistinct("value").alias("addresses"))
+
+
+def resolved_islands(spark, sf_dir):
+    """Extents of overlapping intervals made from each order's lines."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", (F.col("l_partkey") % 100).cast("long").alias("start"), (F.col("l_partkey") % 100 + 1 + F.col("l_suppkey") % 20).cast("long").alias("end"))
+    return resolution.islands(lines, ["l_orderkey"])
+
+
+def placeholder_numbering(spark, sf_dir):
+    """The mapping that each source's documents, in order of their ids, would get."""
+    found = _found(spark, sf_dir, "source")
+    values = pseudonyms.first_values(found, ["source"], ["doc_id", "start"])
+    return pseudonyms.number(values, ["source"]).select("source", "value", "entity_type", F.col("n").cast("long").alias("n"), "placeholder")
+
+
+def masked_documents(spark, sf_dir):
+    """Digests of all documents' masked texts, one mapping for each source."""
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
+    masked, _ = pseudonyms.pseudonymize(docs, ["source"], ["doc_id"])
+    return masked.select("doc_id", F.sha2("text", 256).alias("masked_sha256"), F.length("text").cast("long").alias("masked_chars"))
+
+
+def restore_roundtrip(spark, sf_dir):
+    """Masked and restored again, each document equals its original."""
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
+    masked, mapping = pseudonyms.pseudonymize(docs, ["source"], ["doc_id"])
+    back = pseudonyms.restore(masked, mapping, ["source"], ["doc_id"])
+    return back.select("doc_id", "status", F.sha2("text", 256).alias("text_sha256"))
+
+
+def session_value_cap(spark, sf_dir):
+    """The first ten values that each source's session keeps."""
+    values = pseudonyms.first_values(_found(spark, sf_dir, "source"), ["source"], ["doc_id", "start"])
+    return pseudonyms.capped(pseudonyms.number(values, ["source"]), ["source"], 10).select("source", "value", F.col("n").cast("long").alias("n"))
+
+
+def audit_counts_by_source(spark, sf_dir):
+    """Distinct findings and occurrences of each type, as the journal counts them."""
+    found = _found(spark, sf_dir, "source")
+    return found.groupBy("source").agg(
+        F.count("*").alias("spans"),
+        F.countDistinct(F.when(F.col("entity_type") == "EMAIL", F.col("value"))).alias("emails"),
+        F.countDistinct(F.when(F.col("entity_type") == "CREDIT_CARD", F.col("value"))).alias("cards"),
+        F.sum((F.col("tier") == 1).cast("long")).alias("tier_1"),
+    )
+
+
+def text_digest_dedup(spark, sf_dir):
+    """What detecting each distinct text once would save."""
+    docs = _documents(spark, sf_dir).select(F.sha2("text", 256).alias("digest"), F.length("text").alias("chars"))
+    return docs.groupBy("digest").agg(F.count("*").alias("copies"), F.min("chars").cast("long").alias("chars")).where("copies > 1")
+
+
+def session_ttl_split(spark, sf_dir):
+    """Sessions of a user's events that end after 1800 idle seconds."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id")
+    line = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    opened = events.withColumn("opens", F.coalesce((at - F.lag(at).over(line) > 1_800_000_000).cast("int"), F.lit(1)))
+    numbered = opened.withColumn("session", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("user_id", "session").agg(F.count("*").alias("events"))
+
+
+def json_leaves_events(spark, sf_dir):
+    """The numeric leaf of each event's properties, kept as it is written."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
+    return events.select("event_id", F.get_json_object("props", "$.k").alias("leaf")).where("leaf is not null")
+
+
+_DOCS = _spans("documents", "doc_id", "text")
+_JOINED = f"(select f.*, d.lang, d.source, row_number() over () as r from {_DOCS} f join documents d using (doc_id))"
+_NUMBERED = f"""(select source, value, entity_type, n, '[' || entity_type || '_' || n || ']' as placeholder from (
+  select source, value, entity_type, row_number() over (partition by source order by doc_id, "start") as n from (
+    select source, value, entity_type, doc_id, "start", row_number() over (partition by source, value order by doc_id, "start") as k from {_JOINED}) where k = 1))"""
+_PIECES = f"""(select f.doc_id, f."start", f."end", n.placeholder, lag(f."end", 1, 0) over (partition by f.doc_id order by f."start") as before
+  from {_JOINED} f join {_NUMBERED} n using (source, value))"""
+_MASKED = f"""(select d.doc_id, coalesce(p.head || substr(d.text, p.last + 1), d.text) as text from documents d left join (
+  select p.doc_id, string_agg(substr(d.text, before + 1, "start" - before) || placeholder, '' order by "start") as head, max("end") as last
+  from {_PIECES} p join documents d using (doc_id) group by p.doc_id) p using (doc_id))"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        detect_documents, detect_pages, masked_value_display, scan_by_lang_and_type, scan_summary_by_type, scan_by_source, docs_without_findings, email_domains, resolved_islands,
+        placeholder_numbering, masked_documents, restore_roundtrip, session_value_cap, audit_counts_by_source, text_digest_dedup, session_ttl_split, json_leaves_events,
+    )
+}
+
+SQL = {
+    "detect_documents": f"""select doc_id, entity_type, "start", "end", case entity_type when 'EMAIL' then 0.95::double else 1.0::double end as confidence,
+      'catalog:' || lower(entity_type) as recognizer, case entity_type when 'EMAIL' then 2 else 1 end as tier, false as boosted from {_DOCS}""",
+    "detect_pages": f"""select page_id, entity_type, "start", "end" from {_spans("pages", "page_id", "html")}""",
+    "masked_value_display": f"""select doc_id, "start", entity_type, case when length(value) < 8 then '…' else left(value, 4) || '…' || right(value, 2) end as shown from {_DOCS}""",
+    "scan_by_lang_and_type": f"select lang, entity_type, count(*) as findings, count(distinct doc_id) as documents, count(distinct value) as distinct_values from {_JOINED} group by all",
+    "scan_summary_by_type": f"select entity_type, count(*) as findings from {_DOCS} group by all",
+    "scan_by_source": f"""select source, count(*) as documents, count(*) filter (n > 0) as with_findings, sum(n)::bigint as findings from (
+      select d.doc_id, d.source, count(f.value) as n from documents d left join {_DOCS} f using (doc_id) group by all) group by source""",
+    "docs_without_findings": f"select lang, count(*) as documents from documents where doc_id not in (select doc_id from {_DOCS}) group by lang",
+    "email_domains": f"select lower(split_part(value, '@', -1)) as domain, count(*) as findings, count(distinct value) as addresses from {_DOCS} where entity_type = 'EMAIL' group by all",
+    "resolved_islands": """select l_orderkey, min(s)::bigint as "start", max(e)::bigint as "end", count(*) as spans from (
+      select *, sum(opens) over (partition by l_orderkey order by s, e rows unbounded preceding) as island from (
+        select *, case when s >= max(e) over (partition by l_orderkey order by s, e rows between unbounded preceding and 1 preceding) then 1 else 0 end as opens from (
+          select l_orderkey, l_partkey % 100 as s, l_partkey % 100 + 1 + l_suppkey % 20 as e from lineitem))) group by l_orderkey, island""",
+    "placeholder_numbering": f"select * from {_NUMBERED}",
+    "masked_documents": f"select doc_id, sha256(text) as masked_sha256, length(text) as masked_chars from {_MASKED}",
+    "restore_roundtrip": "select doc_id, 'completed' as status, sha256(text) as text_sha256 from documents",
+    "session_value_cap": f"select source, value, n from {_NUMBERED} where n <= 10",
+    "audit_counts_by_source": f"""select source, count(*) as spans, count(distinct value) filter (entity_type = 'EMAIL') as emails,
+      count(distinct value) filter (entity_type = 'CREDIT_CARD') as cards, count(*) filter (entity_type <> 'EMAIL') as tier_1 from {_JOINED} group by source""",
+    "text_digest_dedup": "select sha256(text) as digest, count(*) as copies, min(length(text)) as chars from documents group by 1 having count(*) > 1",
+    "session_ttl_split": """select user_id, session, count(*) as events from (
+      select user_id, sum(opens) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as session from (
+        select *, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) <= 1800000000 then 0 else 1 end as opens from events)) group by all""",
+    "json_leaves_events": "select event_id, json_extract_string(props, '$.k') as leaf from events where json_extract_string(props, '$.k') is not null",
+}
