@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import detection, pseudonyms, resolution
+from ..operators import audit, detection, evaluation, jsontext, ner, pseudonyms, resolution, sessions
 
 #: RE2 has no lookaround.  On these tables the maximal forms below find the same spans as the rules.
 _EMAIL = r"[A-Za-z0-9!#$%&''*+/=?^_`{|}~.-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z0-9-]+"
@@ -145,6 +145,73 @@ def json_leaves_events(spark, sf_dir):
     return events.select("event_id", F.get_json_object("props", "$.k").alias("leaf")).where("leaf is not null")
 
 
+def json_leaves(spark, sf_dir):
+    """Every leaf of every event's properties, with the member above it."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
+    rows = jsontext.json_leaves(events, "props", ["event_id"]).select("event_id", F.explode("leaves").alias("l"))
+    return rows.select("event_id", "l.ord", "l.key", "l.kind", "l.value")
+
+
+def json_findings(spark, sf_dir):
+    """Documents wrapped as JSON: findings of the string leaf, in its own offsets."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.to_json(F.struct("source", "text")).alias("body"))
+    rows = jsontext.detect_json(docs, "body", ["doc_id"]).where("error_class is null").select("doc_id", F.explode("findings").alias("f"))
+    return rows.select("doc_id", F.col("f.leaf").cast("long").alias("leaf"), "f.entity_type", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("end"))
+
+
+def mask_conversations(spark, sf_dir):
+    """Every conversation under one mapping, turn by turn."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    out = sessions.mask_sessions(turns, ["conv_id"], ["turn"])
+    return out.select("conv_id", "turn", "status", F.sha2("text", 256).alias("text_sha256"))
+
+
+def _gold_and_predicted(spark, sf_dir):
+    """Findings as gold; shifted, partly renamed and thinned out as predictions."""
+    found = _found(spark, sf_dir).select("doc_id", "entity_type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    shift = F.col("doc_id") % 4 * 4
+    kind = F.when(F.col("doc_id") % 5 == 0, "PERSON").otherwise(F.col("entity_type"))
+    return found, found.where("doc_id % 7 <> 0").select("doc_id", kind.alias("entity_type"), (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"))
+
+
+def evaluation_counts(spark, sf_dir):
+    return evaluation.match_counts(*_gold_and_predicted(spark, sf_dir), ["doc_id"])
+
+
+def evaluation_scores(spark, sf_dir):
+    rows = evaluation.scores(evaluation.match_counts(*_gold_and_predicted(spark, sf_dir), ["doc_id"]))
+    return rows.select("entity_type", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def evaluation_coverage(spark, sf_dir):
+    gold, predicted = _gold_and_predicted(spark, sf_dir)
+    rows = evaluation.coverage(gold, predicted, ["doc_id"], ["EMAIL", "CREDIT_CARD", "PERSON"])
+    return rows.groupBy("entity_type").agg(F.sum(F.col("covered").cast("long")).alias("covered"), F.count("*").alias("gold"))
+
+
+def evaluation_over_masking(spark, sf_dir):
+    gold, predicted = _gold_and_predicted(spark, sf_dir)
+    return evaluation.over_masking(gold, predicted, ["doc_id"], ["EMAIL", "CREDIT_CARD", "PERSON"])
+
+
+def unmasked_words(spark, sf_dir):
+    gold, predicted = _gold_and_predicted(spark, sf_dir)
+    return evaluation.unmasked_words(_documents(spark, sf_dir).select("doc_id", "text"), gold, predicted, ["doc_id"])
+
+
+def audit_masked_events(spark, sf_dir):
+    """The journal's event of each source, as if a request held its documents."""
+    docs = _documents(spark, sf_dir)
+    requests = docs.groupBy("source").agg(F.count("*").alias("texts"))
+    events = audit.masked_events(_found(spark, sf_dir, "source").select("source", "entity_type", "value"), requests, ["source"])
+    return events.select("source", "event", "texts", "spans", "redacted", "forwarded", F.coalesce(F.col("types")["EMAIL"], F.lit(0).cast("long")).alias("emails"), F.coalesce(F.col("types")["CREDIT_CARD"], F.lit(0).cast("long")).alias("cards"))
+
+
+def recognizer_windows(spark, sf_dir):
+    """The windows that a named-entity model would see, for every pass."""
+    return ner.windows_of(_documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"]).select("doc_id", "chunk", "offset", "chars", "tier", "threshold", F.size("labels").alias("labels"))
+
+
 _DOCS = _spans("documents", "doc_id", "text")
 _JOINED = f"(select f.*, d.lang, d.source, row_number() over () as r from {_DOCS} f join documents d using (doc_id))"
 _NUMBERED = f"""(select source, value, entity_type, n, '[' || entity_type || '_' || n || ']' as placeholder from (
@@ -156,11 +223,21 @@ _MASKED = f"""(select d.doc_id, coalesce(p.head || substr(d.text, p.last + 1), d
   select p.doc_id, string_agg(substr(d.text, before + 1, "start" - before) || placeholder, '' order by "start") as head, max("end") as last
   from {_PIECES} p join documents d using (doc_id) group by p.doc_id) p using (doc_id))"""
 
+_GOLD = f"""(select doc_id, entity_type, "start", "end" from {_DOCS})"""
+_PREDICTED = f"""(select doc_id, case when doc_id % 5 = 0 then 'PERSON' else entity_type end as entity_type,
+  "start" + doc_id % 4 * 4 as "start", "end" + doc_id % 4 * 4 as "end" from {_DOCS} where doc_id % 7 <> 0)"""
+_IOU = """(least(g."end", p."end") - greatest(g."start", p."start"))::double / (greatest(g."end", p."end") - least(g."start", p."start")) >= 0.5"""
+#: On these tables a prediction is near one gold span at most, so the pairs are a maximum matching.
+_COUNTS = f"""(select doc_id, entity_type, sum(tp)::bigint as tp, (sum(np) - sum(tp))::bigint as fp, (sum(ng) - sum(tp))::bigint as fn from (
+  select doc_id, entity_type, 0 as tp, 1 as ng, 0 as np from {_GOLD} union all select doc_id, entity_type, 0, 0, 1 from {_PREDICTED}
+  union all select g.doc_id, g.entity_type, 1, 0, 0 from {_GOLD} g join {_PREDICTED} p on g.doc_id = p.doc_id and g.entity_type = p.entity_type and {_IOU}) group by all)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         detect_documents, detect_pages, masked_value_display, scan_by_lang_and_type, scan_summary_by_type, scan_by_source, docs_without_findings, email_domains, resolved_islands,
         placeholder_numbering, masked_documents, restore_roundtrip, session_value_cap, audit_counts_by_source, text_digest_dedup, session_ttl_split, json_leaves_events,
+        json_leaves, json_findings, mask_conversations, evaluation_counts, evaluation_scores, evaluation_coverage, evaluation_over_masking, unmasked_words, audit_masked_events, recognizer_windows,
     )
 }
 
@@ -190,4 +267,21 @@ SQL = {
       select user_id, sum(opens) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as session from (
         select *, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) <= 1800000000 then 0 else 1 end as opens from events)) group by all""",
     "json_leaves_events": "select event_id, json_extract_string(props, '$.k') as leaf from events where json_extract_string(props, '$.k') is not null",
+    "json_leaves": """select event_id, i::int as ord, keys[i + 1] as key, case json_type(props, '$.' || keys[i + 1]) when 'VARCHAR' then 'string' else 'number' end as kind,
+      json_extract_string(props, '$.' || keys[i + 1]) as value from (
+      select event_id, props, keys, unnest(range(0, len(keys))) as i from (select event_id, props, json_keys(props) as keys from events))
+      where json_type(props, '$.' || keys[i + 1]) not in ('BOOLEAN', 'NULL')""",
+    "json_findings": f"""select doc_id, 1::bigint as leaf, entity_type, "start", "end" from {_DOCS}""",
+    "mask_conversations": "select conv_id, turn, 'completed' as status, sha256(text) as text_sha256 from conversations",
+    "evaluation_counts": f"select * from {_COUNTS}",
+    "evaluation_scores": f"""select entity_type, tp, fp, fn, round(precision, 9) as precision, round(recall, 9) as recall,
+      round(case when precision + recall = 0 then 0 else 2 * precision * recall / (precision + recall) end, 9) as f1 from (
+      select *, case when tp + fp = 0 then 0.0::double else tp::double / (tp + fp) end as precision, case when tp + fn = 0 then 0.0::double else tp::double / (tp + fn) end as recall from (
+        select entity_type, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from {_COUNTS} group by 1))""",
+    "evaluation_coverage": f"""select entity_type, count(*) filter (exists (select 1 from {_PREDICTED} p where g.doc_id = p.doc_id and {_IOU})) as covered, count(*) as gold from {_GOLD} g group by 1""",
+    "evaluation_over_masking": f"""select entity_type, count(*) filter (covered >= 0.5 * ("end" - "start")) as on_gold, count(*) as total from (
+      select p.*, coalesce((select sum(greatest(0, least(g."end", p."end") - greatest(g."start", p."start"))) from {_GOLD} g where g.doc_id = p.doc_id), 0) as covered from {_PREDICTED} p) group by 1""",
+    "audit_masked_events": f"""select source, 'masked' as event, count(distinct doc_id) as texts, count(value) as spans, count(value) as redacted, 0::bigint as forwarded,
+      count(distinct value) filter (entity_type = 'EMAIL') as emails, count(distinct value) filter (entity_type = 'CREDIT_CARD') as cards
+      from documents d left join {_DOCS} f using (doc_id) group by source""",
 }
