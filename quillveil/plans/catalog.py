@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, detection, evaluation, jsontext, ner, pseudonyms, resolution, sessions
+from ..operators import audit, chat, detection, evaluation, jsontext, ner, pseudonyms, resolution, sessions
 
 #: RE2 has no lookaround.  On these tables the maximal forms below find the same spans as the rules.
 _EMAIL = r"[A-Za-z0-9!#$%&''*+/=?^_`{|}~.-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z0-9-]+"
@@ -166,6 +166,15 @@ def mask_conversations(spark, sf_dir):
     return out.select("conv_id", "turn", "status", F.sha2("text", 256).alias("text_sha256"))
 
 
+def chat_slots(spark, sf_dir):
+    """The texts of a chat request made of each conversation."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    line = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    bodies = turns.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(line, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))).alias("body"))
+    rows = chat.slots(bodies, "body", "chat", ["conv_id"]).where("error_class is null").select("conv_id", F.explode("slots").alias("s"))
+    return rows.select("conv_id", "s.ord", "s.pointer", "s.kind", "s.tool", F.sha2("s.text", 256).alias("text_sha256"))
+
+
 def _gold_and_predicted(spark, sf_dir):
     """Findings as gold; shifted, partly renamed and thinned out as predictions."""
     found = _found(spark, sf_dir).select("doc_id", "entity_type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
@@ -237,7 +246,7 @@ QUERIES = {
     for f in (
         detect_documents, detect_pages, masked_value_display, scan_by_lang_and_type, scan_summary_by_type, scan_by_source, docs_without_findings, email_domains, resolved_islands,
         placeholder_numbering, masked_documents, restore_roundtrip, session_value_cap, audit_counts_by_source, text_digest_dedup, session_ttl_split, json_leaves_events,
-        json_leaves, json_findings, mask_conversations, evaluation_counts, evaluation_scores, evaluation_coverage, evaluation_over_masking, unmasked_words, audit_masked_events, recognizer_windows,
+        json_leaves, json_findings, mask_conversations, chat_slots, evaluation_counts, evaluation_scores, evaluation_coverage, evaluation_over_masking, unmasked_words, audit_masked_events, recognizer_windows,
     )
 }
 
@@ -273,6 +282,8 @@ SQL = {
       where json_type(props, '$.' || keys[i + 1]) not in ('BOOLEAN', 'NULL')""",
     "json_findings": f"""select doc_id, 1::bigint as leaf, entity_type, "start", "end" from {_DOCS}""",
     "mask_conversations": "select conv_id, turn, 'completed' as status, sha256(text) as text_sha256 from conversations",
+    "chat_slots": """select conv_id, n::int as ord, '/messages/' || n || '/content' as pointer, 'text' as kind, false as tool, sha256(text) as text_sha256 from (
+      select *, row_number() over (partition by conv_id order by turn) - 1 as n from conversations)""",
     "evaluation_counts": f"select * from {_COUNTS}",
     "evaluation_scores": f"""select entity_type, tp, fp, fn, round(precision, 9) as precision, round(recall, 9) as recall,
       round(case when precision + recall = 0 then 0 else 2 * precision * recall / (precision + recall) end, 9) as f1 from (
