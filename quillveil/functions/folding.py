@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 #: Characters folded besides NFKC.
-FOLDS = {**dict.fromkeys("‐‑‒–−", "-"), " ": " ", " ": " "}
+FOLDS = {**dict.fromkeys("\u2010\u2011\u2012\u2013\u2212", "-"), **dict.fromkeys("\u2028\u2029", " ")}
 _NEVER = frozenset(FOLDS)
 
 

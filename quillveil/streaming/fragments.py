@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..functions.places import Lexer
 from ..operators.pseudonyms import TOKEN
 
 #: Characters held back, and what one event may hold.
@@ -20,20 +21,31 @@ _BEGUN = re.compile(r"\[(?:[A-Z][A-Z_]*(?:_[0-9]*)?)?$")
 
 
 class Fragments:
-    """Text in, restored text out; what may be the beginning of a token is held back until more arrives."""
+    """Text in, restored text out; what may be the beginning of a token is held back until more arrives.
 
-    def __init__(self, values: dict[str, str], strict: bool = True, held: str = ""):
-        self.values, self.strict, self.held = values, strict, held
+    lexer: follows what is given out; a value that is not safe in its place is refused (strict) or its token stays.
+    """
+
+    def __init__(self, values: dict[str, str], strict: bool = True, held: str = "", lexer: Lexer | None = None):
+        self.values, self.strict, self.held, self.lexer = values, strict, held, lexer
 
     def _restored(self, text: str) -> str:
-        def one(m: re.Match) -> str:
-            if m[0] not in self.values:
-                if self.strict:
-                    raise ValueError("stream_unrestorable")
-                return m[0]
-            return self.values[m[0]]
-
-        return _TOKEN.sub(one, text)
+        out, at = [], 0
+        for m in _TOKEN.finditer(text):
+            self._give(out, text[at : m.start()])
+            value = self.values.get(m[0])
+            error = "stream_unrestorable" if value is None else "stream_unsafe_place" if self.lexer and value != m[0] and not self.lexer.safe(value) else None
+            if error and self.strict:
+                raise ValueError(error)
+            self._give(out, m[0] if error else value, literal=bool(error) or value == m[0])
+            at = m.end()
+        self._give(out, text[at:])
+        return "".join(out)
+
+    def _give(self, out: list[str], text: str, literal: bool = False) -> None:
+        out.append(text)
+        if self.lexer and not literal:  # a token's own brackets are no structure
+            self.lexer.feed(text)
 
     def push(self, chunk: str) -> str:
         text = self.held + chunk

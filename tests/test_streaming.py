@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quillveil.functions.places import Lexer, json_string_inert, string_inert
 from quillveil.streaming import fragments, sessions
 
 VALUES = {"[EMAIL_1]": "a@x.com", "[PERSON_2]": "Ann [x]"}
@@ -57,3 +58,42 @@ def test_turns_share_a_mapping(spark, tmp_path):
     batches = [[("s", 1, "again a@x.com")], [("s", 0, "a@x.com and b@x.com"), ("u", 0, "b@x.com")]]
     rows = run(spark, batches, "session string, turn long, text string", tmp_path, sessions.mask_stream, ["session", "turn"])
     assert [(r["session"], r["turn"], r["text"]) for r in rows] == [("s", 0, "[EMAIL_1] and [EMAIL_2]"), ("s", 1, "again [EMAIL_1]"), ("u", 0, "[EMAIL_1]")]
+
+
+@pytest.mark.parametrize(
+    ("client_format", "text", "place", "good", "bad"),
+    [
+        (None, "say ", "prose", 'any "thing" {', None),
+        ("json", "", "prose", "a@b/c", "a//b"),
+        (None, '{"a": "', "text", "it's", 'a"b'),
+        (None, "{'a': '", "text", 'say "x"', "it's"),
+        (None, "{a: ", "bare", "Ann-1.5", "a@b"),
+        ("json5", "{a: ", "bare", "a@b & c", "a/*b"),
+        (None, "use `", "ticked", "Ann", "a@b"),
+        ("markdown", "use `", "ticked", "a@b (x)", "a`b"),
+        ("jsonc", "{ // note ", "comment", "a@b", "x\ny"),
+        (None, '{"a\n', "poisoned", "Ann", "a@b"),
+        (None, "[" * 40, "poisoned", "Ann", "a_b"),
+        (None, '{"a": "x\\"', "text", "y", "\\"),
+        (None, '{"a": [1]} then ', "prose", "{", None),
+    ],
+)
+def test_places(client_format, text, place, good, bad):
+    lexer = Lexer(client_format)
+    lexer.feed(text)
+    assert lexer.place == place and lexer.safe(good) and (bad is None or not lexer.safe(bad))
+
+
+def test_unsafe_values_are_refused():
+    values = {"[PERSON_1]": 'A "B"'}
+    strict = fragments.Fragments(values, lexer=Lexer())
+    with pytest.raises(ValueError, match="stream_unsafe_place"):
+        strict.push('{"name": "[PERSON_1]"}')
+    lenient = fragments.Fragments(values, strict=False, lexer=Lexer())
+    assert lenient.push('{"name": "[PERSON_1]"} [PERSON_1]') == '{"name": "[PERSON_1]"} A "B"'
+
+
+def test_native_predicate(spark):
+    values = ["ok", 'a"b', "a\\b", "a\tb", "a\u2028b", "é"]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(string_inert(__import__("pyspark").sql.functions.col("v"))).collect()]
+    assert got == [json_string_inert(v) for v in values]
