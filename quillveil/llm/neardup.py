@@ -1,16 +1,16 @@
 """MinHash-style near-duplicate detection with SetSketch registers.
 
-A document's set is its distinct 5-word shingles (as 64-bit hashes).  Its SetSketch has 128 registers:
+A document's set is its distinct 5-word shingles (as 64-bit hashes).  Its SetSketch has 256 registers:
 each shingle yields ascending, exponentially spaced values for the registers in a random order, and
 stops as soon as a value can no longer lower any register's minimum; a register keeps
 ``floor(1 - log_b(minimum))`` truncated to 16 bits.  Sketches merge by register-wise maximum.
 
 1. Texts with equal sets form a class; everything below sees one representative of a class.
-2. 32 bands of four registers: classes with an equal band share a bucket.  A pair of similarity 0.75 shares none
+2. 32 bands of four registers, the first 128: classes with an equal band share a bucket.  A pair of similarity 0.75 shares none
    with probability below 6e-6.
-3. Each class is paired with the best-estimated first class of its buckets.  The similarity of a pair is
+3. Each class is paired with that first class of its buckets with which it shares most of them.  The similarity of a pair is
    estimated jointly by likelihood from the registers (greater, smaller, equal) and the set sizes; only
-   pairs that 0.75 contradicts by five standard deviations are dropped.  What is left is verified on the full sets.
+   pairs that 0.75 contradicts by four standard deviations are dropped (3e-5 of those at 0.75).  What is left is verified on the full sets.
 4. In buckets that still hold several components, every class proposes its best-estimated partners in
    other components, more of them in each round; these are verified and merged until no proposal is left.
    So links are lost to neither hot buckets nor caps, and no bucket is expanded into all its pairs.
@@ -37,10 +37,12 @@ from . import graph, shared
 from . import textkit as K
 
 WORDS = 5
-REGISTERS, ROWS = 128, 4
+REGISTERS, ROWS, BANDS = 256, 4, 32
 BASE, RATE = 1.001, 20.0
 #: Ids that a broadcast may hold; beyond, the same join is shuffled.
 BROADCAST_IDS = 2_000_000
+#: Text bytes handled at once: less than elsewhere, as the JVM of these jobs holds much of an executor's memory.
+CHUNK_BYTES = 1 << 20
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +76,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.n
 
 
 def set_sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """SetSketch registers (sets x 128, 16 bits) of sets of 64-bit hashes; zeros for an empty set."""
+    """SetSketch registers (sets x 256, 16 bits) of sets of 64-bit hashes; zeros for an empty set."""
     docs, m = len(first) - 1, REGISTERS
     least = np.full(docs * m, np.inf)
     doc = np.repeat(np.arange(docs), np.diff(first))
@@ -98,13 +100,13 @@ def set_sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def plausible(greater: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(joint likelihood estimate of the Jaccard similarity, whether ``similarity`` or more is within five standard deviations).
+    """(joint likelihood estimate of the Jaccard similarity, whether ``similarity`` or more is within four standard deviations).
 
     greater, smaller: how many of a's registers are above and below b's.
     """
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
     equal = REGISTERS - greater - smaller
-    grid = np.linspace(0, 1, 201)
+    grid = np.linspace(0, 1, 81)
 
     def p(x: np.ndarray) -> np.ndarray:
         return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
@@ -115,12 +117,12 @@ def plausible(greater: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np
     for j in grid:
         up, down = np.maximum(p(u - v * j), 1e-12), np.maximum(p(v - u * j), 1e-12)
         ll = greater * np.log(up) + smaller * np.log(down) + equal * np.log(np.maximum(1 - up - down, 1e-12))
-        ll = np.where(j <= most + 0.005, ll, -np.inf)
+        ll = np.where(j <= most + 0.0125, ll, -np.inf)
         better = ll > best
         best, estimate = np.where(better, ll, best), np.where(better, j, estimate)
-        if j >= similarity - 0.0025:
+        if j >= similarity - 0.00625:
             above = np.maximum(above, ll)
-    return estimate, (above >= best - 12.5) & (most >= similarity - 1e-9)
+    return estimate, (above >= best - 8) & (most >= similarity - 1e-9)
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -137,7 +139,7 @@ def sketch(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = WO
 
     fields = [K.field("n_shingles", T.LongType()), K.field("h1", T.LongType()), K.field("h2", T.LongType()), K.field("registers", T.BinaryType())]
     source = docs.select(F.col(f"`{doc}`").alias("__doc"), F.col(f"`{text}`").alias("__text"))
-    return K.map_text(source, "__text", fields, kernel, ["__doc"])
+    return K.map_text(source, "__text", fields, kernel, ["__doc"], limit=CHUNK_BYTES)
 
 
 def _sum(values: np.ndarray, first: np.ndarray, key: int) -> np.ndarray:
@@ -145,22 +147,21 @@ def _sum(values: np.ndarray, first: np.ndarray, key: int) -> np.ndarray:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(key, rid) for every band of every class."""
-    count = REGISTERS // ROWS
-    salt = K.keyed(count, 5)
+    """(key, rid) for every band of every class; the bands are made of the first registers."""
+    salt = K.keyed(BANDS, 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
-                keys = K.mix(_registers(b.column(1)).view(K.U64).reshape(b.num_rows, count) + salt).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), count))], names=["key", "rid"])
+                keys = K.mix(_registers(b.column(1)).view(K.U64)[:, :BANDS] + salt).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "rid"])
 
     return classes.select("rid", "registers").mapInArrow(run, "key long, rid long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that similarity doesn't contradict, with the estimate."""
+    """Pairs (a, b) that similarity doesn't contradict."""
     side = classes.select("rid", "n_shingles", "registers")
     both = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b").where(f"least(na, nb) >= {similarity} * greatest(na, nb)")
 
@@ -169,11 +170,11 @@ def _estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
             if not b.num_rows:
                 continue
             x, y = _registers(b.column(3)), _registers(b.column(5))
-            estimate, ok = plausible((x > y).sum(1), (x < y).sum(1), b.column(2).to_numpy().astype(float), b.column(4).to_numpy().astype(float), similarity)
+            _, ok = plausible((x > y).sum(1), (x < y).sum(1), b.column(2).to_numpy().astype(float), b.column(4).to_numpy().astype(float), similarity)
             keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(estimate[ok])], names=["a", "b", "estimate"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    return both.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(run, "a long, b long, estimate double")
+    return both.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(run, "a long, b long")
 
 
 def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
@@ -184,7 +185,7 @@ def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc: str, text
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in K.slices(whole, "t"):
+            for b in K.slices(whole, "t", CHUNK_BYTES):
                 values, first = shingle_sets(*K.utf8(b.column(1)), k)
                 ok = (np.diff(first) == b.column(2).to_numpy()) & (_sum(values, first, 11) == b.column(3).to_numpy()) & (_sum(values, first, 12) == b.column(4).to_numpy())
                 keep = pa.array(ok)
@@ -209,7 +210,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float, k: int = WORDS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base = None, np.zeros(0, K.U64)
         for whole in batches:
-            for batch in K.slices(whole, "t"):
+            for batch in K.slices(whole, "t", CHUNK_BYTES):
                 values, first = shingle_sets(*K.utf8(batch.column(3)), k)
                 a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 out_a, out_b, linked = [], [], []
@@ -230,6 +231,41 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float, k: int = WORDS
     return rows.mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _least_equal(similarity: float) -> float:
+    """Equal registers that a pair of this similarity has, less six standard deviations."""
+    return REGISTERS * similarity - 6 * (REGISTERS * similarity * (1 - similarity)) ** 0.5
+
+
+def _pairs_within(group: np.ndarray, rid: np.ndarray, component: np.ndarray, n: np.ndarray, regs: np.ndarray, own: np.ndarray, across: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (p, q) of the same group, of different components, that similarity may fit; groups lie together.
+
+    across: rows whose group compares two blocks, so only rows of different blocks.
+    """
+    least, found = _least_equal(similarity), []
+
+    def fit(p: np.ndarray, q: np.ndarray) -> None:
+        ok = (component[p] != component[q]) & (np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q])) & (~across[p] | (own[p] != own[q]))
+        p, q = p[ok], q[ok]
+        if len(p):
+            ok = (regs[p] == regs[q]).sum(1) >= least
+            found.append((p[ok], q[ok]))
+
+    edge = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+    size = np.diff(edge)
+    place, total = np.arange(len(group)) - np.repeat(edge[:-1], size), np.repeat(size, size)
+    small = total <= 64
+    for d in range(1, min(64, int(size.max(initial=1)))):
+        p = np.flatnonzero(small & (place + d < total))
+        if not len(p):
+            break
+        fit(p, p + d)
+    for g in np.flatnonzero(size > 64):
+        lo, hi = edge[g], edge[g + 1]
+        for i in range(lo, hi - 1):
+            fit(np.full(hi - i - 1, i), np.arange(i + 1, hi))
+    return tuple(np.concatenate([f[c] for f in found]) for c in range(2)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _proposals(members: DataFrame, similarity: float, most: int) -> DataFrame:
     """(a, b, more) proposed in buckets: for each class its best-estimated partners of other components.
 
@@ -238,60 +274,62 @@ def _proposals(members: DataFrame, similarity: float, most: int) -> DataFrame:
     """
     rows = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def group(g: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        i, j, own, rid, comp, n, regs = g
-        for lo in range(0, len(rid), 256):
-            part = slice(lo, lo + 256)
-            other = (comp[part, None] != comp[None, :]) & ((own[part, None] != own[None, :]) | (i[0] == j[0]))
-            other &= np.minimum(n[part, None], n[None, :]) >= similarity * np.maximum(n[part, None], n[None, :])
-            p, q = np.nonzero(other)
-            for at in range(0, len(p), 1 << 16):
-                pp, qq = p[at : at + (1 << 16)] + lo, q[at : at + (1 << 16)]
-                x, y = regs[pp], regs[qq]
-                estimate, ok = plausible((x > y).sum(1), (x < y).sum(1), n[pp].astype(float), n[qq].astype(float), similarity)
-                yield pp[ok], qq[ok], estimate[ok]
-
-    def propose(g: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
-        parts = list(group(g))
-        if not parts or len(g[3]) < 2:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), False
-        p, q, e = (np.concatenate([x[c] for x in parts]) for c in range(3))
-        order = np.lexsort((g[3][q], -e, p))
+    def propose(c: list[np.ndarray]) -> pa.RecordBatch | None:
+        key, i, j, own, rid, component, n, regs = c
+        new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        group = np.concatenate([[0], np.cumsum(new)])
+        p, q = _pairs_within(group, rid, component, n, regs, own, i != j, similarity)
+        if not len(p):
+            return None
+        x, y = regs[p], regs[q]
+        estimate, ok = plausible((x > y).sum(1), (x < y).sum(1), n[p].astype(float), n[q].astype(float), similarity)
+        p, q, estimate = np.concatenate([p[ok], q[ok]]), np.concatenate([q[ok], p[ok]]), np.concatenate([estimate[ok]] * 2)
+        order = np.lexsort((rid[q], -estimate, p))
         p, q = p[order], q[order]
         first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
         rank = np.arange(len(p)) - np.repeat(first, np.diff(np.append(first, len(p))))
         use = rank < most
-        return g[3][p[use]], g[3][q[use]], bool((~use).any())
+        over = np.zeros(len(group), bool)
+        over[p[~use]] = True
+        a, b = rid[p[use]], rid[q[use]]
+        pairs, at = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_inverse=True)  # many share several buckets
+        more = np.bincount(at.ravel(), over[p[use]], pairs.shape[1]) > 0
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(more)], names=["a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-
-        def close() -> pa.RecordBatch | None:
-            x, y, more = propose([np.concatenate(c) for c in zip(*held, strict=True)])
-            held.clear()
-            if not len(x):
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), more))], names=["a", "b", "more"])
-
-        last = None
-        for b in batches:
-            if not b.num_rows:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            c = [b.column(k).to_numpy() for k in range(7)] + [_registers(b.column(7))]
-            edge = np.concatenate([[0], np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])) + 1, [b.num_rows]])
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                name = (int(c[0][lo]), int(c[1][lo]), int(c[2][lo]))
-                if name != last and held:
-                    if (out := close()) is not None:
-                        yield out
-                last = name
-                held.append([x[lo:hi] for x in c[1:]])
-        if held and (out := close()) is not None:
+            c = [batch.column(k).to_numpy() for k in range(7)] + [_registers(batch.column(7))]
+            if held:
+                c = [np.concatenate([h, x]) for h, x in zip(held, c, strict=True)]
+            last = np.flatnonzero((c[0] != c[0][-1]) | (c[1] != c[1][-1]) | (c[2] != c[2][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
+            if cut and (out := propose([x[:cut] for x in c])) is not None:
+                yield out
+            held = [x[cut:] for x in c]
+        if held and (out := propose(held)) is not None:
             yield out
 
     return rows.mapInArrow(run, "a long, b long, more boolean")
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Components after more links: only the components that these join are worked on again."""
+    if labels is None:
+        return None if links.isEmpty() else shared.table(graph.components(links))
+    for c in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    joins = shared.table(links.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct())
+    if joins.isEmpty():
+        return labels
+    over = shared.table(graph.components(joins).select(F.col("node").alias("component"), F.col("component").alias("joined")))
+    moved = labels.join(over, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    fresh = over.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component"))
+    return shared.table(moved.unionByName(fresh))
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = 0.75, k: int = WORDS, block: int = 2048) -> DataFrame:
     """(doc, n_shingles, component_id, kept) of every row: component_id is the smallest id connected by links of at least that similarity."""
     spark = docs.sparkSession
@@ -300,18 +338,20 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     classes = linkable.groupBy("n_shingles", "h1", "h2").agg(F.min("__doc").alias("rep"), F.first("registers").alias("registers"))
     classes = shared.table(classes.withColumn("rid", F.monotonically_increasing_id()))
 
-    buckets = _bands(classes).groupBy("key").agg(F.min("rid").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    crowded = shared.table(_bands(classes).join(buckets, "key"))  # (key, rid, lead, size), only of shared buckets
-    stars = crowded.where("rid <> lead").select(F.col("lead").alias("a"), F.col("rid").alias("b")).distinct()
-    pairs = shared.table(_estimated(stars, classes, similarity).groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b"))
-    checked, labels, most = None, None, 4
+    buckets = _bands(classes).groupBy("key").agg(F.min("rid").alias("lead"), F.count("*").alias("size"))
+    tagged = shared.table(_bands(classes).join(buckets, "key"))
+    crowded = tagged.where("size > 1")
+    leads = crowded.where("rid <> lead").groupBy(F.col("rid").alias("b"), F.col("lead").alias("a")).agg(F.count("*").alias("bands"))
+    stars = leads.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b")
+    pairs = shared.table(_estimated(stars, classes, similarity))
+    checked, labels, most, last = None, None, 16, False
     while True:
-        if pairs.isEmpty():
-            new = None
-        else:
+        if not pairs.isEmpty():
             new = shared.table(verify(pairs, shared.table(_texts(docs, classes, pairs, doc, text, k)), similarity, k))
             checked = new if checked is None else checked.unionByName(new)
-            labels = shared.table(graph.components(checked.where("linked").select("a", "b")))
+            labels = _merged(labels, new.where("linked").select("a", "b"))
+        if last:
+            break
         member = crowded.select("key", "rid", "size")
         member = member.join(labels.withColumnRenamed("node", "rid"), "rid", "left") if labels is not None else member.withColumn("component", F.lit(None).cast("long"))
         member = member.withColumn("component", F.coalesce("component", "rid"))
@@ -326,9 +366,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         pairs = shared.table(pairs)
-        if pairs.isEmpty() and not more:
+        if not more and pairs.isEmpty():
             break
-        most *= 4
+        most, last = most * 16, not more  # without further partners, what is now verified is all
     mine = rows.drop("registers").join(classes.select("n_shingles", "h1", "h2", "rid"), ["n_shingles", "h1", "h2"], "left")
     mine = mine.withColumn("rid", F.when(F.col("__doc").isNotNull(), F.col("rid")))
     mine = mine.join(labels.withColumnRenamed("node", "rid"), "rid", "left") if labels is not None else mine.withColumn("component", F.lit(None).cast("long"))

@@ -49,7 +49,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n; grown on demand, kept by the worker."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 4096)
+        size = max(n, 1 << 20)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             x = np.full(size, base, U64)
             x[0] = 1
@@ -150,7 +150,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
 Kernel = Callable[[np.ndarray, np.ndarray], dict[str, object]]
 
 
-def map_text(df: DataFrame, text: str, fields: list[T.StructField], kernel: Callable[..., dict], keep: list[str], with_batch: bool = False, before: Callable | None = None) -> DataFrame:
+def map_text(df: DataFrame, text: str, fields: list[T.StructField], kernel: Callable[..., dict], keep: list[str], with_batch: bool = False, before: Callable | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
     """One row for each row of df: the kept columns and those that kernel(bytes, offsets) returns.
 
     A kept column with the name of a new one gives way to it.  with_batch: the kernel gets the Arrow
@@ -164,7 +164,7 @@ def map_text(df: DataFrame, text: str, fields: list[T.StructField], kernel: Call
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extra = (before(),) if before else ()
         for whole in batches:
-            for b in slices(whole, text):
+            for b in slices(whole, text, limit):
                 out = kernel(*utf8(b.column(b.schema.get_field_index(text))), *((b,) if with_batch else ()), *extra)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(b.schema.get_field_index(c)) for c in keep] + [x if isinstance(x := out[f.name], pa.Array) else pa.array(x, ARROW[type(f.dataType)]) for f in fields],
