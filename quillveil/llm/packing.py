@@ -28,6 +28,10 @@ from . import textkit as K
 from . import tokens
 
 
+#: Text bytes tokenized at once.
+CHUNK_BYTES = 1 << 20
+
+
 class Piece(NamedTuple):
     doc: object
     start: int
@@ -105,7 +109,7 @@ def windows(batches: Iterator[pa.RecordBatch], size: int, open_windows: int, tol
     """(sequence id, pieces) of each window packed from batches of (id, text)."""
     packer, number = Packer(size, open_windows, tolerance), TaskContext.get().partitionId() << 33
     for whole in batches:
-        for b in K.slices(whole, "t"):
+        for b in K.slices(whole, "t", CHUNK_BYTES):
             ids, first = tokens.documents_ids(b.column(1), vocabulary)
             for doc, x, y in zip(b.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 for w in packer.add(doc, ids[x:y].copy() if y - x < size else ids[x:y]):
