@@ -17,4 +17,17 @@ QUERIES = {
     "op10_chat_format": replies.op10_chat_format,
 }
 
-SQL: dict[str, str] = {}
+#: The template's control strings in a text, with the backslashes before them doubled and one more.
+_ESCAPED = r"regexp_replace({0}, '(\\*)(</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\])', '\1\1\\\2', 'g')"
+_LINES = """(select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, n, case n when 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(2) t(n))"""
+
+SQL: dict[str, str] = {
+    "op10_chat_format": f"""select conv_id, count(*) as n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+      coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+      sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+      sum(1 + length({_ESCAPED.format("text")}) + case role when 'user' then 15 when 'system' then 17 when 'assistant' then 9
+        else 30 + length({_ESCAPED.format("role")}) end)::bigint as formatted_chars
+      from {_LINES} group by conv_id""",
+}

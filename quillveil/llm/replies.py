@@ -83,7 +83,9 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     while len(jumps) <= most and not jumps[-1].where("up is not null").isEmpty():
         now = jumps[-1]
         far = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
-        step = now.join(far, "up", "left").select("node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("further", F.lit(0))).alias("length"))
+        climbing = now.where("up is not null").join(far, "up")  # those at a root stay as they are
+        step = climbing.select("node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("further")).alias("length"))
+        step = step.unionByName(now.where("up is null"))
         jumps.append(shared.table(step))
     ended = jumps[-1].where("up is null").join(nodes.select("node", "conversation"), "node")
     leaves = ended.join(first.where("up is not null").select(F.col("up").alias("node")).distinct(), "node", "left_anti")
