@@ -236,8 +236,8 @@ def _least_equal(similarity: float) -> float:
     return REGISTERS * similarity - 6 * (REGISTERS * similarity * (1 - similarity)) ** 0.5
 
 
-def _pairs_within(group: np.ndarray, rid: np.ndarray, component: np.ndarray, n: np.ndarray, regs: np.ndarray, own: np.ndarray, across: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (p, q) of the same group, of different components, that similarity may fit; groups lie together.
+def _pairs_within(group: np.ndarray, rid: np.ndarray, component: np.ndarray, n: np.ndarray, regs: np.ndarray, own: np.ndarray, across: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (p, q) of the same group, of different components, that similarity may fit, and their estimates; groups lie together.
 
     across: rows whose group compares two blocks, so only rows of different blocks.
     """
@@ -246,9 +246,14 @@ def _pairs_within(group: np.ndarray, rid: np.ndarray, component: np.ndarray, n:
     def fit(p: np.ndarray, q: np.ndarray) -> None:
         ok = (component[p] != component[q]) & (np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q])) & (~across[p] | (own[p] != own[q]))
         p, q = p[ok], q[ok]
-        if len(p):
-            ok = (regs[p] == regs[q]).sum(1) >= least
-            found.append((p[ok], q[ok]))
+        for at in range(0, len(p), 4096):  # registers of so many pairs at once
+            pp, qq = p[at : at + 4096], q[at : at + 4096]
+            x, y = regs[pp], regs[qq]
+            maybe = (x == y).sum(1) >= least
+            if maybe.any():
+                pp, qq, x, y = pp[maybe], qq[maybe], x[maybe], y[maybe]
+                estimate, fits = plausible((x > y).sum(1), (x < y).sum(1), n[pp].astype(float), n[qq].astype(float), similarity)
+                found.append((pp[fits], qq[fits], estimate[fits]))
 
     edge = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
     size = np.diff(edge)
@@ -262,8 +267,11 @@ def _pairs_within(group: np.ndarray, rid: np.ndarray, component: np.ndarray, n:
     for g in np.flatnonzero(size > 64):
         lo, hi = edge[g], edge[g + 1]
         for i in range(lo, hi - 1):
-            fit(np.full(hi - i - 1, i), np.arange(i + 1, hi))
-    return tuple(np.concatenate([f[c] for f in found]) for c in range(2)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            other = np.arange(i + 1, hi)
+            other = other[component[other] != component[i]]
+            if len(other):
+                fit(np.full(len(other), i), other)
+    return tuple(np.concatenate([f[c] for f in found]) for c in range(3)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def _proposals(members: DataFrame, similarity: float, most: int) -> DataFrame:
@@ -278,12 +286,10 @@ def _proposals(members: DataFrame, similarity: float, most: int) -> DataFrame:
         key, i, j, own, rid, component, n, regs = c
         new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         group = np.concatenate([[0], np.cumsum(new)])
-        p, q = _pairs_within(group, rid, component, n, regs, own, i != j, similarity)
+        p, q, estimate = _pairs_within(group, rid, component, n, regs, own, i != j, similarity)
         if not len(p):
             return None
-        x, y = regs[p], regs[q]
-        estimate, ok = plausible((x > y).sum(1), (x < y).sum(1), n[p].astype(float), n[q].astype(float), similarity)
-        p, q, estimate = np.concatenate([p[ok], q[ok]]), np.concatenate([q[ok], p[ok]]), np.concatenate([estimate[ok]] * 2)
+        p, q, estimate = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([estimate] * 2)
         order = np.lexsort((rid[q], -estimate, p))
         p, q = p[order], q[order]
         first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
