@@ -120,7 +120,7 @@ class Scorer:
         hit = np.flatnonzero(self.known[slot])
         one = np.unique(doc[hit] << self.bits | slot[hit])
         total = np.bincount(one >> self.bits, self.w.weight[np.searchsorted(self.w.slot, one & (1 << self.bits) - 1)], minlength=len(off) - 1) + self.w.bias
-        return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
+        return np.where(np.isneginf(total), 0.0, 1 / (1 + np.exp(-np.clip(total, -700, 700))))
 
 
 def score(docs: DataFrame, weights: Weights, text: str = "text", keep: list[str] | None = None, bits: int = 24, at: float = 0.3) -> DataFrame:
