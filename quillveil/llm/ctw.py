@@ -6,10 +6,12 @@ training texts give a Krichevsky-Trofimov estimate; weighting mixes the estimate
 predicts with ``w * own estimate + (1 - w) * prediction of the longer context``, where w is the
 posterior weight of its own estimate against its subtree's.
 
-Counts cover all training bytes.  The tree keeps the byte n-grams that make up at least a
-``2**-keep_bits`` part of the training bytes, the same part at every size, so at most 2**keep_bits a depth; what a
-node's kept contexts don't cover is coded in one "rest" branch, so the model stays a proper distribution.
-That bounds what is collected and broadcast.  Nothing is adapted while scoring: a text's score depends on it alone.
+Counts cover all training bytes, and the tree keeps every byte n-gram that they hold, however rare.  It is built by key:
+contexts are dealt out by their last two bytes, below which a subtree depends on no other; only depths 0 and 1
+(at most 257 contexts) are collected.  A context never met adds an estimate without counts (1/2 for each bit), so the model
+stays a proper distribution.  Each n-gram of the texts to score gets its probability where its subtree is; as many of the
+most frequent as ``_MOST_SENT`` allows are broadcast, all others are looked up by a join.
+Nothing is adapted while scoring: a text's score depends on it alone.
 
 The baseline is a word unigram with add-half smoothing.  Words that make up at least a 2**-22 part of
 the tokens are broadcast (so at most 2**22); all others are looked up by a join, none dropped.  Words are
@@ -20,6 +22,7 @@ Null text: as if empty, so one end token and the terminator.  Repeated rows: eac
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -37,6 +40,8 @@ END_BYTE = 0xFF
 END_WORD = int(K.keyed(1, 77).view(np.int64)[0])
 WORD, GRAM = 0, 1
 _MERGE_AT = 1_500_000
+#: Scores of n-grams that may be broadcast (16 bytes each), and n-grams whose subtrees are built at once (whole subtrees).
+_MOST_SENT, _AT_ONCE = 1 << 21, 1 << 17
 
 
 def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,18 +93,19 @@ def _signed(keys: np.ndarray) -> pa.Array:
     return pa.array(keys.view(np.int64))
 
 
-def count(docs: DataFrame, text: str) -> DataFrame:
-    """(kind, key, n) over all the texts: words and ends, and byte n-grams."""
+def count(docs: DataFrame, text: str, with_words: bool = True) -> DataFrame:
+    """(kind, key, n) over all the texts: words and ends (unless they aren't wanted), and byte n-grams."""
 
     def tallied(batches):
         words, byte_grams, ends = _Tally(), _Tally(), 0
         for whole in batches:
             for b in K.slices(whole, "t"):
                 buf, off = K.utf8(b.column(0))
-                ends += b.num_rows
-                w = K.find_words(buf, off)
-                if len(w.start):
-                    words.add(K.range_hashes(buf, w.start, w.end))
+                if with_words:
+                    ends += b.num_rows
+                    w = K.find_words(buf, off)
+                    if len(w.start):
+                        words.add(K.range_hashes(buf, w.start, w.end))
                 byte_grams.add(grams(buf, off)[0])
         if ends:
             words.add(np.array([END_WORD], np.int64).view(K.U64), np.array([ends]))
@@ -133,47 +139,58 @@ class Level(NamedTuple):
     one: np.ndarray  # probability of a one by the node's own estimate
     own: np.ndarray  # weight of that estimate; 1 where no longer context is kept
     rest: np.ndarray  # probability of a one where the longer context isn't kept
+    zeros: np.ndarray
+    ones: np.ndarray
+    weighted: np.ndarray  # ln of the weighted probability of the node's bits
 
 
-def build(tables: list[tuple[np.ndarray, np.ndarray]]) -> list[Level]:
-    """The weighted tree from (n-gram, count) for each depth, n-grams as in grams() with so many context bytes."""
-    nodes = []
-    for keys, n in tables:
-        context, byte = keys >> K.U64(8), (keys & K.U64(0xFF)).astype(np.int64)
-        node = np.concatenate([context << K.U64(8) | ((1 << k) | (byte >> (8 - k))).astype(K.U64) for k in range(8)])
-        bit = np.concatenate([byte >> (7 - k) & 1 for k in range(8)])
-        many = np.tile(n.astype(np.float64), 8)
-        own, at = np.unique(node, return_inverse=True)
-        nodes.append((own, np.bincount(at, many * (1 - bit), len(own)), np.bincount(at, many * bit, len(own))))
+def _level(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, kids: tuple[np.ndarray, ...] | None) -> Level:
+    """kids: for each node the sums of its longer contexts' weighted, zeros and ones, and how many there are."""
+    estimate, one = log_kt(zeros, ones), (ones + 0.5) / (zeros + ones + 1)
+    if kids is None:
+        return Level(key, one, np.ones(len(key)), one, zeros, ones, estimate)
+    split, a, b, many = kids
+    a, b, has = np.maximum(zeros - a, 0), np.maximum(ones - b, 0), many > 0
+    split = split + log_kt(a, b)
+    weighted = np.where(has, np.logaddexp(estimate, split) - np.log(2), estimate)
+    own = np.where(has, 1 / (1 + np.exp(np.clip(split - estimate, -700, 700))), 1.0)
+    return Level(key, one, own, np.where(has, (b + 0.5) / (a + b + 1), one), zeros, ones, weighted)
+
+
+def _shorter(key: np.ndarray, depth: int) -> np.ndarray:
+    """The nodes at a depth that have these a byte deeper."""
+    return (key >> K.U64(8) & K.U64((1 << 8 * depth) - 1)) << K.U64(8) | key & K.U64(0xFF)
+
+
+def build(tables: list[tuple[np.ndarray, np.ndarray]], least: int = 0, bits: range = range(8)) -> list[Level]:
+    """The weighted tree from (n-gram, count) for each depth from the least, n-grams as in grams() with so many context bytes.
+
+    bits: only the nodes for these bits of a byte; those of different bits don't depend on each other.
+    """
     levels: list[Level] = []
-    below = None
-    for depth in range(len(nodes) - 1, -1, -1):
-        key, zeros, ones = nodes[depth]
-        estimate = log_kt(zeros, ones)
-        one = (ones + 0.5) / (zeros + ones + 1)
-        own, rest, weighted = np.ones(len(key)), one.copy(), estimate
-        if below is not None and len(below[0]):
-            deep, deep_zeros, deep_ones, deep_weighted = below
-            parent = (deep >> K.U64(8) & K.U64((1 << 8 * depth) - 1)) << K.U64(8) | deep & K.U64(0xFF)
-            at = np.searchsorted(key, parent)
-            split, a, b, kids = (np.bincount(at, x, len(key)) for x in (deep_weighted, deep_zeros, deep_ones, np.ones(len(deep))))
-            a, b = np.maximum(zeros - a, 0), np.maximum(ones - b, 0)
-            split = split + log_kt(a, b)
-            has = kids > 0
-            weighted = np.where(has, np.logaddexp(estimate, split) - np.log(2), estimate)
-            own = np.where(has, 1 / (1 + np.exp(np.clip(split - estimate, -700, 700))), 1.0)
-            rest = np.where(has, (b + 0.5) / (a + b + 1), one)
-        levels.append(Level(key, one, own, rest))
-        below = (key, zeros, ones, weighted)
+    for depth in range(least + len(tables) - 1, least - 1, -1):
+        keys, n = tables[depth - least]
+        context, byte = keys >> K.U64(8), (keys & K.U64(0xFF)).astype(np.int64)
+        node = np.concatenate([context << K.U64(8) | ((1 << k) | (byte >> (8 - k))).astype(K.U64) for k in bits])
+        bit = np.concatenate([byte >> (7 - k) & 1 for k in bits])
+        many = np.tile(n.astype(np.float64), len(bits))
+        key, at = np.unique(node, return_inverse=True)
+        zeros, ones = np.bincount(at, many * (1 - bit), len(key)), np.bincount(at, many * bit, len(key))
+        kids = None
+        if levels and len(levels[-1].key):
+            deep = levels[-1]
+            at = np.searchsorted(key, _shorter(deep.key, depth))
+            kids = tuple(np.bincount(at, x, len(key)) for x in (deep.weighted, deep.zeros, deep.ones, np.ones(len(deep.key))))
+        levels.append(_level(key, zeros, ones, kids))
     return levels[::-1]
 
 
-def log2_of_bytes(levels: list[Level], g: np.ndarray) -> np.ndarray:
-    """log2 of the probability of each n-gram's byte after its context."""
+def log2_of_bytes(levels: list[Level], g: np.ndarray, bits: range = range(8)) -> np.ndarray:
+    """log2 of the probability of (those bits of) each n-gram's byte after its context."""
     out = np.zeros(len(g))
     byte = (g & K.U64(0xFF)).astype(np.int64)
     context = g >> K.U64(8)
-    for k in range(8):
+    for k in bits:
         prefix = ((1 << k) | (byte >> (8 - k))).astype(K.U64)
         found, place = [], []
         for depth, level in enumerate(levels):
@@ -193,8 +210,59 @@ def log2_of_bytes(levels: list[Level], g: np.ndarray) -> np.ndarray:
     return out
 
 
+def subtrees(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches in order of their first, in runs that end where it changes."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        c = [x.to_numpy() for x in batch.columns]
+        held = c if held is None else [np.concatenate([h, x]) for h, x in zip(held, c, strict=True)]
+        if len(held[0]) >= _AT_ONCE and len(last := np.flatnonzero(held[0] != held[0][-1])):
+            cut = int(last[-1]) + 1
+            yield [x[:cut] for x in held]
+            held = [x[cut:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _by_subtree(byte_grams: DataFrame) -> DataFrame:
+    """Rows with the last two bytes of their context as the first column, dealt out and ordered by it."""
+    rows = byte_grams.select(F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("part"), *byte_grams.columns)
+    return rows.repartition("part").sortWithinPartitions("part", "key")
+
+
+def _tables(g: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(n-gram, count) for each depth below the collected ones."""
+    out = []
+    for depth in range(2, DEPTH + 1):
+        keys, at = np.unique(g & K.U64((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+        out.append((keys, np.bincount(at, n, len(keys))))
+    return out
+
+
+def collected(byte_grams: DataFrame) -> list[Level]:
+    """Depths 0 and 1 of the tree of all n-grams (key, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, key, n in subtrees(batches):
+            tables = _tables(key.view(K.U64), n)
+            for k in range(8):
+                level = build(tables, 2, range(k, k + 1))[0]
+                yield pa.RecordBatch.from_arrays([_signed(_shorter(level.key, 1)), _signed(level.key), *(pa.array(x) for x in (level.zeros, level.ones, level.weighted))], names=["up", "key", "zeros", "ones", "weighted"])
+
+    nodes = _by_subtree(byte_grams).mapInArrow(run, "up long, key long, zeros double, ones double, weighted double")
+    children = F.sort_array(F.collect_list(F.struct("key", "weighted")))  # at most 256; summed in order, so that runs agree to the last bit
+    got = nodes.groupBy("up").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.aggregate(children, F.lit(0.0), lambda s, x: s + x["weighted"]).alias("split")).toArrow()
+    order = np.argsort(keys := got["up"].to_numpy().view(K.U64))
+    zeros, ones, split = (got[c].to_numpy()[order] for c in ("zeros", "ones", "split"))
+    one = _level(keys[order], zeros, ones, (split, zeros, ones, np.ones(len(keys))))
+    key, at = np.unique(_shorter(one.key, 0), return_inverse=True)
+    kids = tuple(np.bincount(at, x, len(key)) for x in (one.weighted, one.zeros, one.ones, np.ones(len(at))))
+    return [_level(key, kids[1], kids[2], kids), one]
+
+
 class Model(NamedTuple):
-    levels: list[Level]
+    levels: list[Level]  # depths 0 and 1
+    grams: DataFrame | None  # (key, n) of every n-gram
     words: np.ndarray  # hashes of frequent words, in order
     word_counts: np.ndarray
     tokens: int
@@ -202,62 +270,66 @@ class Model(NamedTuple):
     ends: int  # training texts, so the count of the end token
 
 
-class _Known:
-    """Scores of n-grams met so far in this worker."""
-
-    LIMIT = 4_000_000
-
-    def __init__(self, levels: list[Level]):
-        self.levels, self.g, self.v = levels, np.zeros(0, K.U64), np.zeros(0)
-
-    def __call__(self, g: np.ndarray) -> np.ndarray:
-        """For n-grams in order, each once."""
-        if len(self.g):
-            at = np.minimum(np.searchsorted(self.g, g), len(self.g) - 1)
-            new = self.g[at] != g
-            out = self.v[at]
-        else:
-            new, out = np.ones(len(g), bool), np.zeros(len(g))
-        if new.any():
-            fresh = g[new]
-            out[new] = value = log2_of_bytes(self.levels, fresh)
-            if len(self.g) + len(fresh) > self.LIMIT:
-                self.g, self.v = np.zeros(0, K.U64), np.zeros(0)
-            both = np.concatenate([self.g, fresh])
-            order = np.argsort(both, kind="stable")
-            self.g, self.v = both[order], np.concatenate([self.v, value])[order]
-        return out
-
-
-def fit(docs: DataFrame, learn: Column, text: str = "text", keep_bits: int = 18, word_bits: int = 22) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, learn: Column, text: str = "text", word_bits: int = 22) -> tuple[Model, DataFrame]:
     """The model from rows for which learn holds, and the table (key, n) of the words too rare to be in it."""
     counts = shared.table(count(docs.where(learn), text))
-    total = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    tokens, distinct = (int(total[WORD]["n"]), int(total[WORD]["v"])) if WORD in total else (0, 0)
-    of_bytes = int(total[GRAM]["n"]) if GRAM in total else 0
+    total = counts.where(F.col("kind") == WORD).agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    tokens, distinct = int(total["n"] or 0), int(total["v"])
     words = counts.where((F.col("kind") == WORD) & (F.col("n") >= max(1, -(-tokens >> word_bits)))).select("key", "n").toArrow()
     hashes, order = (h := words["key"].to_numpy().view(K.U64)), np.argsort(h)
-    masks = F.array(*[F.struct(F.lit(d).alias("d"), F.lit((1 << 8 * (d + 1)) - 1).cast("long").alias("m")) for d in range(DEPTH + 1)])
-    byte_grams = counts.where(F.col("kind") == GRAM).select("key", "n", F.explode(masks).alias("x"))
-    kept = byte_grams.groupBy("x.d", F.col("key").bitwiseAND(F.col("x.m")).alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, -(-of_bytes >> keep_bits))).toArrow()
-    depth, keys, n = kept["d"].to_numpy(), kept["key"].to_numpy().view(K.U64), kept["n"].to_numpy()
-    levels = build([(keys[depth == d], n[depth == d]) for d in range(DEPTH + 1)])
+    byte_grams = counts.where(F.col("kind") == GRAM).select("key", "n")
     rare = counts.where((F.col("kind") == WORD) & (F.col("n") < max(1, -(-tokens >> word_bits)))).select("key", "n")
     ends = counts.where((F.col("kind") == WORD) & (F.col("key") == END_WORD)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return Model(levels, hashes[order], words["n"].to_numpy()[order], tokens, distinct, int(ends)), rare
+    return Model(collected(byte_grams), byte_grams, hashes[order], words["n"].to_numpy()[order], tokens, distinct, int(ends)), rare
+
+
+def valued(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """(key, met, v) of every n-gram in docs: how often it occurs there and log2 of its byte's probability."""
+    met = count(docs, text, with_words=False).select("key", F.lit(0).cast("long").alias("n"), F.col("n").alias("met"))
+    rows = model.grams.select("key", "n", F.lit(0).cast("long").alias("met")).unionByName(met).groupBy("key").agg(F.sum("n").alias("n"), F.sum("met").alias("met"))
+    top = docs.sparkSession.sparkContext.broadcast(model.levels)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, key, n, met in subtrees(batches):
+            g = key.view(K.U64)
+            tables, ask = _tables(g[n > 0], n[n > 0]), met > 0
+            value = np.zeros(int(ask.sum()))
+            for k in range(8):  # one bit at a time holds an eighth
+                bits = range(k, k + 1)
+                value += log2_of_bytes([*top.value, *build(tables, 2, bits)], g[ask], bits)
+            yield pa.RecordBatch.from_arrays([pa.array(key[ask]), pa.array(met[ask]), pa.array(value)], names=["key", "met", "v"])
 
-def score(docs: DataFrame, model: Model, rare: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    return _by_subtree(rows).mapInArrow(run, "key long, met long, v double")
+
+
+def _least_sent(values: DataFrame, most: int) -> int:
+    """The least power of two such that at most so many n-grams occur that often."""
+    held, least = 0, 1
+    for r in sorted(values.groupBy(F.length(F.bin("met")).alias("bits")).count().collect(), reverse=True):
+        if (held := held + r["count"]) > most:
+            least = 1 << r["bits"]
+            break
+    return least
+
+
+def score(docs: DataFrame, model: Model, rare: DataFrame, text: str = "text", keep: list[str] | None = None, most_sent: int = _MOST_SENT) -> DataFrame:
     """The kept columns (all, unless named), n_tokens, n_known, base_score, score (log10) and bits_per_byte; extra columns of these names are replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    values = shared.table(valued(docs, model, text))
+    least = _least_sent(values, most_sent)
+    frequent = values.where(F.col("met") >= least).select("key", "v").toArrow()
+    order = np.argsort(g := frequent["key"].to_numpy().view(K.U64))
+    sent = docs.sparkSession.sparkContext.broadcast((model._replace(levels=[], grams=None), g[order], frequent["v"].to_numpy()[order]))
     keep = docs.columns if keep is None else keep
     names = ("n_tokens", "n_known", "base_score", "score", "bits_per_byte")
     keep = [c for c in keep if c not in names]
-    row, tail, part = "__row", "__tail", "__part"
-    fields = [K.field("n_tokens", T.LongType()), K.field("n_known", T.LongType()), K.field("base_score", T.DoubleType()), K.field("score", T.DoubleType()), K.field("bits_per_byte", T.DoubleType()), K.field(tail, T.ArrayType(T.LongType()))]
+    row, tail, left_grams, part = "__row", "__tail", "__grams", "__part"
+    fields = [K.field("n_tokens", T.LongType()), K.field("n_known", T.LongType()), K.field("base_score", T.DoubleType()), K.field("score", T.DoubleType()), K.field("bits_per_byte", T.DoubleType()), *(K.field(c, T.ArrayType(T.LongType())) for c in (tail, left_grams))]
+
+    def lists(keys: np.ndarray, doc: np.ndarray, texts: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=texts))]).astype(np.int32)), _signed(keys))
 
-    def kernel(buf: np.ndarray, off: np.ndarray, known: _Known) -> dict[str, object]:
-        m, texts = sent.value, len(off) - 1
+    def kernel(buf: np.ndarray, off: np.ndarray) -> dict[str, object]:
+        (m, keys, known), texts = sent.value, len(off) - 1
         w = K.find_words(buf, off)
         h = K.range_hashes(buf, w.start, w.end) if len(w.start) else np.zeros(0, K.U64)
         doc = w.doc
@@ -269,26 +341,40 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, text: str = "text", ke
             frequent, value = np.zeros(len(h), bool), np.zeros(len(h))
         n_tokens = np.diff(w.first) + 1
         base = np.bincount(doc, value, texts) + np.log10(m.ends + 0.5) - n_tokens * np.log10(m.tokens + 0.5 * (m.distinct + 1))
-        left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[~frequent], minlength=texts))]).astype(np.int32)), _signed(h[~frequent]))
         g, at = grams(buf, off)
         packed = np.sort(g << K.U64(24) | at.astype(K.U64))
-        g = packed >> K.U64(24)
+        g, at = packed >> K.U64(24), (packed & K.U64(0xFFFFFF)).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-        bits = np.bincount((packed & K.U64(0xFFFFFF)).astype(np.int64), np.repeat(known(g[new]), np.diff(np.append(new, len(g)))), texts)
-        return {"n_tokens": n_tokens, "n_known": np.bincount(doc[frequent], minlength=texts) + (m.ends > 0), "base_score": base, "score": bits * np.log10(2), "bits_per_byte": -bits / (np.diff(off) + 1), tail: left}
+        many = np.diff(np.append(new, len(g)))
+        if len(keys):
+            place = np.minimum(np.searchsorted(keys, g[new]), len(keys) - 1)
+            there = keys[place] == g[new]
+            found, there = np.repeat(np.where(there, known[place], 0.0), many), np.repeat(there, many)
+        else:
+            found, there = np.zeros(len(g)), np.zeros(len(g), bool)
+        bits = np.bincount(at, found, texts)
+        g, at = g[~there], at[~there]
+        by_text = np.argsort(at, kind="stable")
+        known_words = np.bincount(doc[frequent], minlength=texts) + (m.ends > 0)
+        return {"n_tokens": n_tokens, "n_known": known_words, "base_score": base, "score": bits, "bits_per_byte": np.diff(off) + 1.0, tail: lists(h[~frequent], doc[~frequent], texts), left_grams: lists(g[by_text], at[by_text], texts)}
 
     rows = docs.withColumn(row, F.monotonically_increasing_id())
-    scored = shared.table(K.map_text(rows, text, fields, kernel, [*keep, row], before=lambda: _Known(sent.value.levels)))
+    scored = shared.table(K.map_text(rows, text, fields, kernel, [*keep, row]))
     missing = scored.select(row, F.explode(tail).alias("key")).join(rare, "key", "left")
     more = missing.groupBy(row).agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias(part), F.count("n").alias("__known"))
-    out = scored.drop(tail).join(more, row, "left")
+    out = scored.drop(tail, left_grams).join(more, row, "left")
+    bits = F.col("score")
+    if least > 1:
+        looked_up = scored.select(row, F.explode(left_grams).alias("key")).join(values.where(F.col("met") < least).select("key", "v"), "key")
+        out = out.join(looked_up.groupBy(row).agg(F.sum("v").alias("__bits")), row, "left")
+        bits = bits + F.coalesce("__bits", F.lit(0.0))
     return out.select(
         *[f"`{c}`" for c in keep],
         "n_tokens",
         (F.col("n_known") + F.coalesce("__known", F.lit(0))).alias("n_known"),
         (F.col("base_score") + F.coalesce(part, F.lit(0.0))).alias("base_score"),
-        "score",
-        "bits_per_byte",
+        (bits * float(np.log10(2))).alias("score"),
+        (-bits / F.col("bits_per_byte")).alias("bits_per_byte"),
     )
 
 

@@ -199,3 +199,26 @@ def test_unigram_baseline_equals_brute_force(spark, documents, word_bits):
         assert got[i]["score"] < 0
     empty, rare = ctw.fit(docs.limit(0), F.lit(True))
     assert ctw.score(docs, empty, rare).count() == len(rows)
+
+
+@pytest.mark.parametrize("limits", [{}, {"most_sent": 40}, {"most_sent": 0}])
+def test_context_tree_keeps_rare_ngrams(spark, documents, limits):
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"], 900))) for i in range(150)] + [(150, "zyx wvu"), (151, "zyx wvu tsr"), (152, "é~ beta"), (153, None)]
+    docs = documents(rows).repartition(5)
+    learn = F.col("doc_id") != 152
+    model, rare = ctw.fit(docs, learn)
+    got = {r["doc_id"]: r for r in ctw.score(docs, model, rare, **limits).collect()}
+
+    def grams(texts):
+        raw = [(t or "").encode() for t in texts]
+        return ctw.grams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+    g, _ = grams([t for i, t in rows if i != 152])
+    assert len(g) > 2 << 18  # rare ones are below a 2**-18 part
+    levels = ctw.build([np.unique(g & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True) for d in range(ctw.DEPTH + 1)])
+    g, at = grams([t for _, t in rows])
+    bits = np.bincount(at, ctw.log2_of_bytes(levels, g))
+    for (i, t), b in zip(rows, bits, strict=True):
+        assert got[i]["score"] == pytest.approx(b * np.log10(2), rel=1e-9)
+        assert got[i]["bits_per_byte"] == pytest.approx(-b / (len((t or "").encode()) + 1), rel=1e-9)
