@@ -10,7 +10,7 @@ stops as soon as a value can no longer lower any register's minimum; a register
    with probability below 6e-6.
 3. Each class is paired with that first class of its buckets with which it shares most of them.  The similarity of a pair is
    estimated jointly by likelihood from the registers (greater, smaller, equal) and the set sizes; only
-   pairs that 0.75 contradicts by four standard deviations are dropped (3e-5 of those at 0.75).  What is left is verified on the full sets.
+   pairs that 0.75 contradicts by five standard deviations are dropped (3e-7 of those at 0.75).  What is left is verified on the full sets.
 4. In buckets that still hold several components, every class proposes its best-estimated partners in
    other components, more of them in each round; these are verified and merged until no proposal is left.
    So links are lost to neither hot buckets nor caps, and no bucket is expanded into all its pairs.
@@ -100,7 +100,7 @@ def set_sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def plausible(greater: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(joint likelihood estimate of the Jaccard similarity, whether ``similarity`` or more is within four standard deviations).
+    """(joint likelihood estimate of the Jaccard similarity, whether ``similarity`` or more is within five standard deviations).
 
     greater, smaller: how many of a's registers are above and below b's.
     """
@@ -122,7 +122,7 @@ def plausible(greater: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np
         best, estimate = np.where(better, ll, best), np.where(better, j, estimate)
         if j >= similarity - 0.00625:
             above = np.maximum(above, ll)
-    return estimate, (above >= best - 8) & (most >= similarity - 1e-9)
+    return estimate, (above >= best - 12.5) & (most >= similarity - 1e-9)
 
 
 def _registers(column: pa.Array) -> np.ndarray:

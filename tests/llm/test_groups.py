@@ -239,3 +239,9 @@ def test_pipeline(spark, documents, tmp_path, sf):
     rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
     check_pieces(rows, pipeline.STAGES[-1][1](spark, kept, sf).collect())
     assert pipeline.run(spark, sf).select(F.countDistinct("doc_id")).first()[0] == len(rows)
+
+
+def test_estimate_drops_only_beyond_five_standard_deviations():
+    sizes = np.full(2, 400.0)
+    _, ok = neardup.plausible(np.array([48, 62]), np.array([47, 61]), sizes, sizes, 0.75)  # 161 and 133 equal registers, 192 expected
+    assert ok.tolist() == [True, False]
