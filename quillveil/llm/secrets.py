@@ -2,8 +2,9 @@
 
 Each text is scanned as it is (the base layer).  Then a worklist unwraps nested layers until nothing
 new appears: percent-encoding and Unicode escapes decode a layer in place, with a position map;
-base64 runs decode to a layer of their own, and gzip, zlib or bzip2 data inside is expanded.  Every layer
-is scanned again; a digest of each layer seen stops cycles.  A finding in a layer is mapped back to
+base64 runs (also over several lines) decode to a layer of their own, and gzip, zlib or bzip2 data inside is expanded.
+Where a run doesn't decode to text as a whole, as other characters are joined to the encoded ones, the texts and compressed data in
+what it decodes to from each of its first four characters are layers.  Every layer is scanned again; a digest of each layer seen stops cycles.  A finding in a layer is mapped back to
 the span of the original text that produced it (for base64 and compressed data, the whole run).
 Findings of the base layer always stay; a decoded finding with an equal kind and span adds nothing.
 
@@ -40,6 +41,11 @@ _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs that only line breaks separate, the last of any length.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]{16,}+)*\r?\n[A-Za-z0-9+/_-]++={0,2}")
+#: In decoded bytes: text long enough for a finding, and where compressed data may begin.
+_STRETCH = re.compile(rb"(?:[\t\n\r -~]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){14,}")
+_PACKED = re.compile(rb"(?=\x1f\x8b\x08|BZh|[\x08\x18\x28\x38\x48\x58\x68\x78])", re.S)
 _B64_BYTE = np.zeros(256, bool)
 _B64_BYTE[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", np.uint8)] = True
 _HEX_BYTE = np.zeros(256, bool)
@@ -107,7 +113,7 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]] | None:
     return None if c > 0x10FFFF or 0xD800 <= c < 0xE000 else [(chr(c), m.start(), m.end())]
 
 
-def _inflate(data: bytes, most: int) -> tuple[bytes | None, bool]:
+def _inflate(data: bytes | memoryview, most: int) -> tuple[bytes | None, bool]:
     """Expanded data, or None if it isn't compressed; whether it was left unread because it is too large."""
     try:
         if data[:3] == b"BZh":
@@ -133,6 +139,43 @@ def _readable(data: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
+def _expanded(data: bytes | memoryview, most: int) -> tuple[bytes, int, int]:
+    """Data with its nested compression undone, how many layers that were, and how many were left unread."""
+    depth = 0
+    while True:
+        inner, over = _inflate(data, most)
+        if inner is None:
+            return data, depth, int(over)
+        data, depth = inner, depth + 1
+
+
+def _decoded(run: str, most: int) -> tuple[list[tuple[str, str]], int]:
+    """(text, layer name) in a base64 run, and how many compressed layers were left unread."""
+    run = run.replace("\r", "").replace("\n", "").rstrip("=").replace("-", "+").replace("_", "/")
+    out: list[tuple[str, str]] = []
+    unread = 0
+    for phase in range(4):
+        body = run[phase:]
+        body = body[: len(body) - (len(body) % 4 == 1)]
+        raw = base64.b64decode(body + "=" * (-len(body) % 4))
+        if not phase:
+            data, depth, left = _expanded(raw, most)
+            unread += left
+            whole = _readable(data)
+            if whole is not None:
+                out.append((whole, "base64" + ">inflate" * depth))
+            if (whole is not None and len(run) % 4 != 1) or depth or left:
+                break
+        out += [(m[0].decode("utf-8", "ignore"), "base64") for m in _STRETCH.finditer(raw)]
+        for m in _PACKED.finditer(raw):
+            if m.start() % 3 == 0 and (phase or m.start()):
+                data, depth, left = _expanded(memoryview(raw)[m.start() :], most)
+                unread += left
+                if depth and (inside := _readable(data)) is not None:
+                    out.append((inside, "base64" + ">inflate" * depth))
+    return out, unread
+
+
 def unwrap(text: str, inflate_bytes: int = 1 << 26) -> tuple[list[tuple[str, int, int, str]], int]:
     """Findings of all layers below the text, mapped to its spans, and how many layers were left unread."""
     found: list[tuple[str, int, int, str]] = []
@@ -146,20 +189,10 @@ def unwrap(text: str, inflate_bytes: int = 1 << 26) -> tuple[list[tuple[str, int
             if ("%" if name == "url" else "\\") in layer or name == "unicode" and "&#" in layer:
                 if got := _in_place(layer, pattern, decode):
                     below.append((got[0], got[1], got[2], name))
-        for m in BASE64.finditer(layer):
-            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            if len(body) % 4 == 1:
-                continue
-            data: bytes | None = base64.b64decode(body + "=" * (-len(body) % 4))
-            name, more = "base64", True
-            while more and data is not None:
-                inner, over = _inflate(data, inflate_bytes)
-                unread += over
-                more = inner is not None
-                if more:
-                    data, name = inner, name + ">inflate"
-            if data is not None and (inside := _readable(data)) is not None:
-                below.append((inside, [m.start()] * len(inside), [m.end()] * len(inside), name))
+        for m in (*BASE64.finditer(layer), *WRAPPED.finditer(layer)):
+            texts, left = _decoded(m[0], inflate_bytes)
+            unread += left
+            below += [(inside, [m.start()] * len(inside), [m.end()] * len(inside), name) for inside, name in texts]
         for inside, a, b, name in below:
             key = hashlib.sha256(inside.encode("utf-8", "surrogatepass") + (b"" if name in ("url", "unicode") else b"\0%d" % (a[0] if start is None else start[a[0]]))).digest()
             if key in seen:

@@ -222,3 +222,26 @@ def test_context_tree_keeps_rare_ngrams(spark, documents, limits):
     for (i, t), b in zip(rows, bits, strict=True):
         assert got[i]["score"] == pytest.approx(b * np.log10(2), rel=1e-9)
         assert got[i]["bits_per_byte"] == pytest.approx(-b / (len((t or "").encode()) + 1), rel=1e-9)
+
+
+def test_base64_joined_to_other_characters_or_wrapped():
+    import zlib
+
+    secret = b"some text, password=hunter2hunter2 and more of it"
+    plain = base64.b64encode(secret).decode()
+    for before in ("cb/", "session-", "a/bb/", "x_", "abc-", "abcde/"):
+        for blob in (plain.rstrip("="), base64.b64encode(gzip.compress(secret)).decode(), base64.b64encode(zlib.compress(secret)).decode()):
+            text = f"see example.com/{before}{blob} end"
+            found, unread = secrets.unwrap(text)
+            assert unread == 0 and [x[0] for x in found] == ["assign"], (before, blob)
+            assert text[found[0][1] : found[0][2]].endswith(blob)
+    assert len(plain.rstrip("=") + "-") % 4 != 1 or secrets.unwrap(plain.rstrip("=") + "-")[0]
+    assert secrets.unwrap(base64.b64encode(secret[:48]).decode() + "-")[0]  # length % 4 == 1
+    rng = np.random.default_rng(1)
+    long = bytes(rng.integers(97, 123, 300).astype(np.uint8)) + b" token=abcdefgh12345 " + bytes(rng.integers(97, 123, 300).astype(np.uint8))
+    for data in (long, gzip.compress(long), zlib.compress(long)):
+        for end in ("\n", "\r\n"):
+            blob = base64.b64encode(data).decode()
+            lines = end.join(blob[i : i + 76] for i in range(0, len(blob), 76))
+            found, _ = secrets.unwrap(f"so: {lines} .")
+            assert ("assign", 4, 4 + len(lines)) in [x[:3] for x in found]
