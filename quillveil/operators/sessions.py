@@ -21,6 +21,7 @@ from .pseudonyms import TOKEN
 #: Values that a session keeps, idle seconds, sessions, matches of known values in a text.
 MOST_VALUES, IDLE_SECONDS, MOST_SESSIONS, MATCH_BUDGET = 1000, 1800, 1000, 1 << 20
 _TOKEN = re.compile(TOKEN)
+_WORD = re.compile(r"\w")
 
 
 class Refused(ValueError):
@@ -35,7 +36,6 @@ class Mapping:
         self.tokens: dict[str, str] = {}  # by value
         self.values: dict[str, str] = {}  # by token
         self.reserved: set[str] = set()
-        self._known: re.Pattern | None = None
 
     def dump(self) -> str:
         return json.dumps([self.most, self.next, self.tokens, sorted(self.reserved)])
@@ -63,27 +63,27 @@ class Mapping:
             token = f"[{kind}_{self.next}]"
             self.next += 1
             self.tokens[value], self.values[token] = token, value
-            self._known = None
         return self.tokens[value]
 
     def known(self, text: str) -> Iterator[tuple[int, int]]:
-        """Whole-word occurrences of values, the longest at each place."""
-        if not self.tokens:
-            return
-        if self._known is None:
-            terms = sorted(self.tokens, key=lambda v: (-len(v), v))
-            self._known = re.compile("|".join((r"(?<!\w)" if re.match(r"\w", v) else "") + re.escape(v) + (r"(?!\w)" if re.match(r"\w", v[-1]) else "") for v in terms))
-        for n, m in enumerate(self._known.finditer(text)):
-            if n >= MATCH_BUDGET:
-                raise Refused("mapping_known_values_overlap")
-            yield m.span()
+        """All whole-word occurrences of values, also overlapping ones, the longest values first."""
+        n = 0
+        for v in sorted(self.tokens, key=lambda v: (-len(v), v)):
+            a = text.find(v) if v else -1
+            while a >= 0:
+                n += 1
+                if n > MATCH_BUDGET:
+                    raise Refused("mapping_known_values_overlap")
+                b = a + len(v)
+                if not (a and _WORD.match(v[0]) and _WORD.match(text[a - 1])) and not (b < len(text) and _WORD.match(v[-1]) and _WORD.match(text[b])):
+                    yield a, b
+                a = text.find(v, a + 1)
 
     def trimmed(self) -> Mapping:
         """With the earliest values only, as many as a session may keep; the counter has passed the others."""
         if len(self.tokens) > self.most:
             self.tokens = dict(list(self.tokens.items())[: self.most])
             self.values = {t: v for v, t in self.tokens.items()}
-            self._known = None
         return self
 
 

@@ -65,6 +65,15 @@ def test_known_values_displace_what_they_contain():
         sessions.placed("abc", [(0, 2, "A"), (1, 3, "B")], [])
 
 
+def test_overlapping_known_values():
+    m = sessions.Mapping()
+    for value in ("Anna Maria", "Maria Berg Holm", "Berg"):
+        m.token(value, "PERSON")
+    assert sessions.mask(m, "Anna Maria Berg Holm", []) == "Anna [PERSON_2]"
+    assert sessions.mask(m, "Anna Maria Berg Holm", [(11, 20, "ORG")]) == "Anna [PERSON_2]"
+    assert sessions.mask(m, "Maria Berg Holm, Inc", [(11, 20, "ORG")]).startswith("Maria [PERSON_3] [")
+
+
 def test_json_leaves_and_limits(spark):
     root = jsontext.parse('{"a": [1.10, "x", null, true, {"b": "y"}], "a": "z", "n": 1e400}')
     assert jsontext.leaves(root) == [("a", "number", "1.10"), ("a", "string", "x"), ("b", "string", "y"), ("a", "string", "z"), ("n", "number", "1e400")]
