@@ -9,8 +9,9 @@ the span of the original text that produced it (for base64 and compressed data,
 Findings of the base layer always stay; a decoded finding with an equal kind and span adds nothing.
 
 Row by row, no shuffle.  Null text: as if empty.  Repeated rows: each by itself.  Texts of any length are read
-whole; only a compressed layer is bounded, at ``inflate_bytes``, against decompression bombs, and
-``n_unread`` counts the layers left unread for that reason.
+whole, and so are all members of compressed data; only a compressed layer over ``inflate_bytes`` isn't held (decompression
+bombs): it is scanned as a stream, but not unwrapped further, and ``n_unread`` counts such layers.  Redaction replaces
+the whole run of one.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import bz2
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,20 +115,70 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]] | None:
     return None if c > 0x10FFFF or 0xD800 <= c < 0xE000 else [(chr(c), m.start(), m.end())]
 
 
+def _members(data: bytes | memoryview, piece: int) -> Iterator[bytes]:
+    """Expanded data of all members that follow each other, in pieces; an error if the first is none or one breaks off."""
+    rest = bytes(data)
+    while True:
+        if rest[:3] == b"BZh":
+            d = bz2.BZ2Decompressor()
+            out = d.decompress(rest, piece)
+            while not d.eof:
+                if d.needs_input:
+                    raise EOFError
+                yield out
+                out = d.decompress(b"", piece)
+        elif rest[:2] == b"\x1f\x8b" or len(rest) > 2 and rest[0] & 15 == 8 and (rest[0] << 8 | rest[1]) % 31 == 0:
+            d = zlib.decompressobj(47)
+            out = d.decompress(rest, piece)
+            while not d.eof:
+                if not d.unconsumed_tail and len(out) < piece:
+                    raise EOFError
+                yield out
+                out = d.decompress(d.unconsumed_tail, piece)
+        else:
+            raise ValueError
+        yield out
+        rest = d.unused_data.lstrip(b"\0")  # gzip files may be padded
+        if not rest:
+            return
+        if not _packed(rest):
+            yield rest  # not compressed, but read all the same
+            return
+
+
+def _packed(data: bytes | memoryview) -> bool:
+    return data[:3] == b"BZh" or data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
+
+
 def _inflate(data: bytes | memoryview, most: int) -> tuple[bytes | None, bool]:
     """Expanded data, or None if it isn't compressed; whether it was left unread because it is too large."""
+    if not _packed(data):
+        return None, False
+    out, size = [], 0
     try:
-        if data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(data, most)
-            return (None, True) if not d.eof else (out, False)
-        if data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, most)
-            return (None, bool(d.unconsumed_tail)) if not d.eof else (out, False)
+        for piece in _members(data, most + 1):
+            out.append(piece)
+            size += len(piece)
+            if size > most:
+                return None, True
+    except (OSError, zlib.error, EOFError, ValueError):
+        if len(out) < 2:  # what came before a broken member is whole
+            return None, False
+    return b"".join(out), False
+
+
+def _streamed(data: bytes | memoryview) -> set[str]:
+    """The kinds of findings in expanded data that is too large to be held, read in pieces that overlap."""
+    kinds: set[str] = set()
+    tail = b""
+    try:
+        for piece in _members(data, 1 << 20):
+            tail += piece
+            kinds.update(kind for kind, _, _ in find(tail.decode("utf-8", "replace")))
+            tail = tail[-4096:]
     except (OSError, zlib.error, EOFError, ValueError):
         pass
-    return None, False
+    return kinds
 
 
 def _readable(data: bytes) -> str | None:
@@ -149,11 +201,15 @@ def _expanded(data: bytes | memoryview, most: int) -> tuple[bytes, int, int]:
         data, depth = inner, depth + 1
 
 
-def _decoded(run: str, most: int) -> tuple[list[tuple[str, str]], int]:
-    """(text, layer name) in a base64 run, and how many compressed layers were left unread."""
+def _decoded(run: str, most: int) -> tuple[list[tuple[str, str]], int, set[tuple[str, str]]]:
+    """(text, layer name) in a base64 run, how many compressed layers were too large to hold, and (kind, layer name) found in these."""
     run = run.replace("\r", "").replace("\n", "").rstrip("=").replace("-", "+").replace("_", "/")
     out: list[tuple[str, str]] = []
-    unread = 0
+    unread, kinds = 0, set()
+
+    def large(data: bytes | memoryview, depth: int) -> None:
+        kinds.update((kind, "base64" + ">inflate" * (depth + 1)) for kind in _streamed(data))
+
     for phase in range(4):
         body = run[phase:]
         body = body[: len(body) - (len(body) % 4 == 1)]
@@ -161,6 +217,8 @@ def _decoded(run: str, most: int) -> tuple[list[tuple[str, str]], int]:
         if not phase:
             data, depth, left = _expanded(raw, most)
             unread += left
+            if left:
+                large(data, depth)
             whole = _readable(data)
             if whole is not None:
                 out.append((whole, "base64" + ">inflate" * depth))
@@ -171,13 +229,18 @@ def _decoded(run: str, most: int) -> tuple[list[tuple[str, str]], int]:
             if m.start() % 3 == 0 and (phase or m.start()):
                 data, depth, left = _expanded(memoryview(raw)[m.start() :], most)
                 unread += left
-                if depth and (inside := _readable(data)) is not None:
+                if left:
+                    large(data, depth)
+                if not left and depth and (inside := _readable(data)) is not None:
                     out.append((inside, "base64" + ">inflate" * depth))
-    return out, unread
+    return out, unread, kinds
+
 
+def unwrap(text: str, inflate_bytes: int = 1 << 26, gaps: list[tuple[int, int]] | None = None) -> tuple[list[tuple[str, int, int, str]], int]:
+    """Findings of all layers below the text, mapped to its spans, and how many layers were left unread.
 
-def unwrap(text: str, inflate_bytes: int = 1 << 26) -> tuple[list[tuple[str, int, int, str]], int]:
-    """Findings of all layers below the text, mapped to its spans, and how many layers were left unread."""
+    gaps: gets the spans of the text that hold these.
+    """
     found: list[tuple[str, int, int, str]] = []
     unread = 0
     seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
@@ -190,8 +253,13 @@ def unwrap(text: str, inflate_bytes: int = 1 << 26) -> tuple[list[tuple[str, int
                 if got := _in_place(layer, pattern, decode):
                     below.append((got[0], got[1], got[2], name))
         for m in (*BASE64.finditer(layer), *WRAPPED.finditer(layer)):
-            texts, left = _decoded(m[0], inflate_bytes)
+            texts, left, kinds = _decoded(m[0], inflate_bytes)
             unread += left
+            if left:
+                at = (m.start(), m.end()) if start is None else (start[m.start()], end[m.end() - 1])
+                found += [(kind, *at, f"{path}>{name}" if path else name) for kind, name in sorted(kinds)]
+                if gaps is not None:
+                    gaps.append(at)
             below += [(inside, [m.start()] * len(inside), [m.end()] * len(inside), name) for inside, name in texts]
         for inside, a, b, name in below:
             key = hashlib.sha256(inside.encode("utf-8", "surrogatepass") + (b"" if name in ("url", "unicode") else b"\0%d" % (a[0] if start is None else start[a[0]]))).digest()
@@ -214,8 +282,11 @@ def _runs(buf: np.ndarray, off: np.ndarray, table: np.ndarray, least: int) -> np
     return hit
 
 
-def scan_chunk(buf: np.ndarray, off: np.ndarray, inflate_bytes: int) -> tuple[list[list[tuple[str, int, int, str]]], list[int]]:
-    """Spans of each document by start, kind and end; documents that cannot hold any are not looked into."""
+def scan_chunk(buf: np.ndarray, off: np.ndarray, inflate_bytes: int, gaps: dict[int, list[tuple[int, int]]] | None = None) -> tuple[list[list[tuple[str, int, int, str]]], list[int]]:
+    """Spans of each document by start, kind and end; documents that cannot hold any are not looked into.
+
+    gaps: gets the spans of layers left unread, by document.
+    """
     hexes, runs = _runs(buf, off, _HEX_BYTE, LEAST["hex"]), _runs(buf, off, _B64_BYTE, 16)
     data, folded = buf.tobytes(), K.LOWER[buf].tobytes()
     spans, unread = [], []
@@ -229,7 +300,9 @@ def scan_chunk(buf: np.ndarray, off: np.ndarray, inflate_bytes: int) -> tuple[li
             continue
         text = raw.decode("utf-8", "replace")
         own = [(*x, "") for x in find(text)] if plain else []
-        more, left = unwrap(text, inflate_bytes) if deep else ([], 0)
+        more, left = unwrap(text, inflate_bytes, at := []) if deep else ([], 0)
+        if left and gaps is not None:
+            gaps[d] = at
         have = {x[:3] for x in own}
         for x in more:
             if x[:3] not in have:
@@ -255,7 +328,7 @@ def scan_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = Non
 
 
 def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[SECRET]", length: str | None = "n_chars", inflate_bytes: int = 1 << 26) -> DataFrame:
-    """df with every secret span (overlapping ones as one) replaced in its text; same columns, all rows.
+    """df with every secret span (overlapping ones as one), and every run with a layer left unread, replaced in its text; same columns, all rows.
 
     length: a column that holds the text's code points; it is set anew in rows whose text changed.
     """
@@ -264,15 +337,16 @@ def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[SECRET]", le
     keep = [c for c in df.columns if c not in (text, length)]
 
     def kernel(buf: np.ndarray, off: np.ndarray, batch: pa.RecordBatch) -> dict[str, object]:
-        spans, _ = scan_chunk(buf, off, inflate_bytes)
+        gaps: dict[int, list[tuple[int, int]]] = {}
+        spans, _ = scan_chunk(buf, off, inflate_bytes, gaps)
         old = batch.column(batch.schema.get_field_index(text))
         sizes = batch.column(batch.schema.get_field_index(length)) if length else None
-        if not any(spans):
+        if not any(spans) and not gaps:
             return {text: old} | ({length: sizes} if length else {})
         texts, counts = old.to_pylist(), sizes.to_pylist() if length else []
         for i, row in enumerate(spans):
-            if row:
-                texts[i] = mask(texts[i], [(a, b) for _, a, b, _ in row], mark)
+            if row or i in gaps:
+                texts[i] = mask(texts[i], [(a, b) for _, a, b, _ in row] + gaps.get(i, []), mark)
                 if length:
                     counts[i] = len(texts[i])
         return {text: pa.array(texts, old.type)} | ({length: pa.array(counts, sizes.type)} if length else {})

@@ -245,3 +245,19 @@ def test_base64_joined_to_other_characters_or_wrapped():
             lines = end.join(blob[i : i + 76] for i in range(0, len(blob), 76))
             found, _ = secrets.unwrap(f"so: {lines} .")
             assert ("assign", 4, 4 + len(lines)) in [x[:3] for x in found]
+
+
+def test_all_members_and_large_layers_are_read(documents):
+    import bz2
+    import zlib
+
+    for pack in (gzip.compress, bz2.compress, zlib.compress):
+        blob = base64.b64encode(pack(b"nothing here, ") + pack(b"password=hunter2hunter2")).decode()
+        found, unread = secrets.unwrap(blob)
+        assert ([x[:3] for x in found], unread) == ([("assign", 0, len(blob))], 0), pack
+    large = base64.b64encode(gzip.compress(b"x " * 3_000_000 + b"password=hunter2hunter2 " + b"y " * 1000)).decode()
+    found, unread = secrets.unwrap(f"a {large} b", 100_000)
+    assert [x[:3] for x in found] == [("assign", 2, 2 + len(large))] and unread == 1
+    nested = base64.b64encode(gzip.compress(b"x " * 100_000 + base64.b64encode(b"password=hunter2hunter2"))).decode()
+    out = secrets.redact_secrets(documents([(1, f"a {nested} b"), (2, "clean")], extra=False), inflate_bytes=1000).collect()
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out} == {1: ("a [SECRET] b", 12), 2: ("clean", 5)}
