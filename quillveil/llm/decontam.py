@@ -5,7 +5,8 @@ don't matter.  A fixed mask picks some of the words of a window and ignores the
 picked words of benchmark and documents are joined.  Each hit fixes a diagonal, along which benchmark
 item and document are compared word by word: the pair counts if some window of ``window`` words (or
 the whole item, if it is shorter) around a hit differs in at most a quarter of its words, rounded down
-(3 of 13).  The masks find every such pattern of up to three substitutions in 13 words.
+(3 of 13).  The masks find every such pattern of up to three substitutions in 13 words, and further short masks those
+in items or windows of 5 to 9 words.
 
 The benchmark is the stated query set: it is sent to the executors in blocks of at most ``block_words``
 words (a proven size), and each block passes over all documents, so there is no shuffle and no limit
@@ -31,6 +32,8 @@ from . import textkit as K
 
 #: Word positions that each mask picks.  The last is for items shorter than the others' spans.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 8), (0, 1, 2, 6, 8), (0, 1, 2, 3, 4))
+#: Further masks, for items or windows of fewer than SHORT words.
+SHORT_MASKS, SHORT = ((0, 1, 2), (0, 1, 3)), 10
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -57,11 +60,13 @@ class Block:
         self.first = w.first
         size = np.diff(w.first)
         self.seeds = []
-        for k, mask in enumerate(MASKS):
+        for k, mask in enumerate(MASKS + SHORT_MASKS):
             h = _seed(self.words, mask, k)
             at = np.arange(len(h))
             item = np.searchsorted(w.first, at, side="right") - 1
             fits = (at + mask[-1] < w.first[item + 1]) & (size[item] >= least)
+            if k >= len(MASKS):
+                fits &= np.minimum(size[item], window) < SHORT
             order = np.argsort(h[fits], kind="stable")
             h, at, item = h[fits][order], at[fits][order], item[fits][order]
             bits = min(26, max(16, int(len(h) * 32).bit_length()))
@@ -78,9 +83,11 @@ def matches(buf: np.ndarray, off: np.ndarray, block: Block) -> dict[str, np.ndar
         return none
     h = K.range_hashes(buf, w.start, w.end)
     parts = []
-    for k, mask in enumerate(MASKS):
-        own = _seed(h, mask, k)
+    for k, mask in enumerate(MASKS + SHORT_MASKS):
         keys, at, item, sieve, bits = block.seeds[k]
+        if not len(keys):
+            continue
+        own = _seed(h, mask, k)
         maybe = np.flatnonzero(sieve[(own >> K.U64(64 - bits)).astype(np.int64)])
         lo = np.searchsorted(keys, own[maybe])
         many = np.searchsorted(keys, own[maybe], side="right") - lo

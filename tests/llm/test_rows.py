@@ -261,3 +261,15 @@ def test_all_members_and_large_layers_are_read(documents):
     nested = base64.b64encode(gzip.compress(b"x " * 100_000 + base64.b64encode(b"password=hunter2hunter2"))).decode()
     out = secrets.redact_secrets(documents([(1, f"a {nested} b"), (2, "clean")], extra=False), inflate_bytes=1000).collect()
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out} == {1: ("a [SECRET] b", 12), 2: ("clean", 5)}
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 13])
+def test_short_items_tolerate_a_quarter_of_their_words(n):
+    from itertools import combinations
+
+    words = [f"word{i}" for i in range(n)]
+    block = decontam.Block([1], [" ".join(words)], 13, 5)
+    texts = [" ".join("other" if i in gone else w for i, w in enumerate(words)) for gone in combinations(range(n), n // 4)]
+    raw = [f"x y {t} z".encode() for t in texts]
+    got = decontam.matches(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), block)
+    assert got["doc"].tolist() == list(range(len(texts)))
