@@ -245,3 +245,10 @@ def test_estimate_drops_only_beyond_five_standard_deviations():
     sizes = np.full(2, 400.0)
     _, ok = neardup.plausible(np.array([48, 62]), np.array([47, 61]), sizes, sizes, 0.75)  # 161 and 133 equal registers, 192 expected
     assert ok.tolist() == [True, False]
+
+
+def test_dropping_keeps_one_row_of_each_component(documents):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, one), (1, one), (2, one), (3, two), (2, three), (None, one), (None, one), (4, None)]
+    left = sorted(((r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(documents(rows)).collect()), key=str)
+    assert left == sorted([(1, one), (3, two), (2, three), (None, one), (None, one), (4, None)], key=str)
