@@ -119,11 +119,14 @@ def _formatted(messages: DataFrame, paths: DataFrame) -> DataFrame:
 def format_reply_trees(messages: DataFrame, conversation: str = "conv_id", node: str = "node_id", parent: str = "parent_id", role: str = "role", text: str = "text", score: str | None = "score", branches: int = 1) -> DataFrame:
     """The best branches of each conversation: (conversation, rank, formatted, mask).
 
-    Messages are told apart by (conversation, node); rows that repeat these are one message.
+    Rows with a node id that are equal in every column are one message; a row without one is a message of its own.  Where
+    messages share an id, replies to it belong to the best of them (by score, then role, text and parent).
     """
     own = messages.select(F.col(f"`{conversation}`").alias("conversation"), F.col(f"`{node}`").alias("id"), F.col(f"`{parent}`").alias("of"), F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").alias("text"), (F.col(f"`{score}`").cast("double") if score else F.lit(0.0)).alias("score"))
-    rows = shared.table(own.dropDuplicates(["conversation", "id"]).withColumn("node", F.monotonically_increasing_id()))
-    above = rows.select(F.col("conversation").alias("c"), F.col("id").alias("of_id"), F.col("node").alias("parent"))
+    told_apart = own.where("id is not null").distinct().unionByName(own.where("id is null"))
+    rows = shared.table(told_apart.withColumn("node", F.monotonically_increasing_id()))
+    best = F.min_by("node", F.struct(-F.coalesce("score", F.lit(float("-inf"))), "role", "text", "of"))
+    above = rows.where("id is not null").groupBy(F.col("conversation").alias("c"), F.col("id").alias("of_id")).agg(best.alias("parent"))
     linked = rows.join(above, rows["conversation"].eqNullSafe(above["c"]) & (rows["of"] == above["of_id"]), "left").select("node", "parent", "conversation", "role", "text", "score")
     linked = shared.table(linked)
     return _formatted(linked.select("node", "conversation", "role", "text"), chosen_paths(linked.select("node", "parent", "conversation", "score"), branches))

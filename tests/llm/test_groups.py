@@ -252,3 +252,10 @@ def test_dropping_keeps_one_row_of_each_component(documents):
     rows = [(1, one), (1, one), (2, one), (3, two), (2, three), (None, one), (None, one), (4, None)]
     left = sorted(((r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(documents(rows)).collect()), key=str)
     assert left == sorted([(1, one), (3, two), (2, three), (None, one), (None, one), (4, None)], key=str)
+
+
+def test_reply_trees_keep_messages_without_or_with_shared_ids(spark):
+    tree = [(1, None, None, "user", "a", 0.0), (1, None, None, "user", "b", 0.0), (1, None, None, "user", "b", 0.0), (2, 0, None, "user", "x", 0.0), (2, 0, None, "user", "y", 1.0), (2, 1, 0, "assistant", "z", 0.0), (2, 1, 0, "assistant", "z", 0.0)]
+    df = spark.createDataFrame(tree, "conv_id long, node_id long, parent_id long, role string, text string, score double")
+    got = sorted((r["conversation"], replies.parse(r["formatted"])) for r in replies.format_reply_trees(df, branches=9).collect())
+    assert got == [(1, [("user", "a")]), (1, [("user", "b")]), (1, [("user", "b")]), (2, [("user", "x")]), (2, [("user", "y"), ("assistant", "z")])]
