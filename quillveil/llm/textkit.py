@@ -38,23 +38,12 @@ def keyed(n: int, key: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(key * 0xD1342543DE82EF95 & (1 << 64) - 1))
 
 
-_BYTE = keyed(256, 1) | U64(1)
 _LOWER = np.arange(256)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 LOWER = _LOWER.astype(np.uint8)
-_BASE = int(keyed(1, 2)[0]) | 5
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n; grown on demand, kept by the worker."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, U64)
-            x[0] = 1
-            _powers[name] = np.cumprod(x)
-    return _powers["up"], _powers["down"]
+#: Masks of the lowest 0 to 8 bytes, and the step between the places of a range's 8-byte lanes.
+_LOWEST = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+_STEP, _SIZE = keyed(2, 2) | U64(1)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,13 +88,18 @@ def find_words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> Wo
 
 
 def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of byte ranges, by differences of one running polynomial."""
-    n = len(buf)
-    up, down = powers(n + 1)
-    table = _BYTE[LOWER] if lower else _BYTE
-    total = np.zeros(n + 1, U64)
-    np.cumsum(table[buf] * up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    """64-bit hashes of byte ranges: each 8-byte lane is mixed, mixed again with its place, and the lanes are added."""
+    wide = np.zeros(len(buf) + 8, np.uint8)
+    wide[: len(buf)] = LOWER[buf] if lower else buf
+    at_byte = np.ndarray((len(buf) + 1,), "<u8", wide, 0, (1,))
+    size = end - start
+    lanes = (size + 7) >> 3
+    first = np.concatenate([[0], np.cumsum(lanes)])
+    place = np.arange(first[-1]) - np.repeat(first[:-1], lanes)
+    at = np.repeat(start, lanes) + 8 * place
+    x = at_byte[at] & _LOWEST[np.minimum(np.repeat(end, lanes) - at, 8)]
+    x = mix(mix(x) + place.astype(U64) * _STEP)
+    return mix(sums(x, first) ^ (size.astype(U64) * _SIZE))
 
 
 def window_hashes(h: np.ndarray, k: int, key: int) -> np.ndarray:

@@ -41,6 +41,14 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     return kind, low
 
 
+def _spaced(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The bytes with a space after every text."""
+    docs = len(off) - 1
+    wide = np.full(len(buf) + docs, 32, np.uint8)
+    wide[np.arange(len(buf)) + np.repeat(np.arange(docs), np.diff(off))] = buf
+    return wide
+
+
 class Encoder:
     """ids(buf, off) gives all token ids of a chunk and where each text's begin."""
 
@@ -108,11 +116,15 @@ class Encoder:
 
     def ids(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         docs = len(off) - 1
-        # a space after every text
-        wide = np.full(len(buf) + docs, 32, np.uint8)
-        wide[np.arange(len(buf)) + np.repeat(np.arange(docs), np.diff(off))] = buf
+        wide = _spaced(buf, off)
+        try:
+            points = np.frombuffer(wide.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        except UnicodeDecodeError:  # malformed bytes become U+FFFD, text by text
+            texts = [t.encode() for t in K.strings(buf, off)]
+            buf, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            wide = _spaced(buf, off)
+            points = np.frombuffer(wide.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         edge = off + np.arange(docs + 1)
-        points = np.frombuffer(wide.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         first = K.code_points(wide)[edge]
         small = np.minimum(points, 0x250)
         kind = self.kind[small]
@@ -123,10 +135,7 @@ class Encoder:
             kind[np.repeat(odd, np.diff(first))] = _SPACE
         low = self.low[small]
         a, b = self._cut(kind, low)
-        up, down = K.powers(len(low) + 1)
-        total = np.zeros(len(low) + 1, K.U64)
-        np.cumsum((K.mix(low.astype(K.U64)) | K.U64(1)) * up[: len(low)], out=total[1:])
-        h = K.mix((total[b] - total[a]) * down[a])
+        h = K.range_hashes(low.view(np.uint8), 4 * a, 4 * b, lower=False)
         at = self._places(h, low, a, b)
         count = self.count[at]
         doc_pieces = np.searchsorted(a, first)

@@ -33,6 +33,15 @@ def test_hashes_do_not_depend_on_place():
     assert h[0] == h[4] and h[1] == h[3] and len(set(h.tolist())) == 3
 
 
+def test_hashes_of_crafted_texts_differ():
+    thue = "a"
+    for _ in range(10):  # the words on which polynomial hashes modulo a power of two collide
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    words = [thue, thue.translate(str.maketrans("ab", "ba")), "a" * 8, "a" * 16, "a" * 7 + "\0", "abcdefgh12345678", "12345678abcdefgh", "a\0", "a"]
+    buf, off = textkit.utf8(pa.array(words))
+    assert len(set(textkit.range_hashes(buf, off[:-1], off[1:]).tolist())) == len(words)
+
+
 def test_slices_cover_all_rows_and_long_texts_stand_alone():
     b = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (5, 50, 1, 1, 0)] + [None])], names=["t"])
     parts = list(textkit.slices(b, "t", 10))
