@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from . import shared
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: shared.Scratch | None = None) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node it is connected to.
 
     Every step joins edges with one row for each node, so a node with many neighbours is only a long
     run of rows, and the number of steps grows with the logarithm of the longest path.
-    Each result is written to the shared folder, which cuts the lineage.
+    Each result is written to the shared folder, which cuts the lineage; scratch: what removes the last one.
     """
     spark = edges.sparkSession
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -35,6 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = _state(spark.read.parquet(path))
         if state == before:
             done = spark.read.parquet(path)
+            if scratch:
+                scratch.paths.append(path)
             return done.select(F.col("u").alias("node"), F.col("v").alias("component")).union(done.select("v", "v").distinct())
 
 

@@ -8,19 +8,24 @@ stops as soon as a value can no longer lower any register's minimum; a register
 1. Texts with equal sets form a class; everything below sees one representative of a class.
 2. 32 bands of four registers, the first 128: classes with an equal band share a bucket.  A pair of similarity 0.75 shares none
    with probability below 6e-6.
-3. Each class is paired with that first class of its buckets with which it shares most of them.  The similarity of a pair is
-   estimated jointly by likelihood from the registers (greater, smaller, equal) and the set sizes; only
-   pairs that 0.75 contradicts by five standard deviations are dropped (3e-7 of those at 0.75).  What is left is verified on the full sets.
-4. In buckets that still hold several components, every class proposes its best-estimated partners in
-   other components, more of them in each round; these are verified and merged until no proposal is left.
-   So links are lost to neither hot buckets nor caps, and no bucket is expanded into all its pairs.
-5. Components by large-star/small-star; the label is the smallest doc_id.
-
-Buckets with over ``block`` classes are dealt out in pairs of blocks.  Intermediate tables go to the shared folder.
+3. In a bucket the similarity of a pair is estimated jointly by likelihood from the registers (greater, smaller, equal) and
+   the set sizes; a pair is given up only if 0.75 contradicts them by five standard deviations (3e-7 of those at 0.75).  Pairs that are
+   not given up connect classes to clusters.  Only a spanning forest of each bucket leaves it: a class that the forest has
+   already joined to the largest tree isn't compared again, so a bucket of n classes gives n - 1 rows at most.
+4. The texts of each cluster are brought together once, and links are decided on the full sets.  Again a class is compared with all
+   others only until it belongs to the largest component, and a spanning forest of the links is all that leaves.
+5. The label of a component is its smallest doc_id.
+
+Buckets of over ``block`` classes and clusters of over ``block_shingles`` shingles are split: a lead is compared with every member,
+which takes one pass; the members that it joins (the core) are dealt out once for each block of the others, and the others once for each block
+of the core and of themselves.  Two members of the core need no comparison, as they are joined.  The work that remains is others times members;
+it is spread over tasks of bounded size.  Intermediate tables go to the shared folder and are removed, but for a
+small one with the result's labels.
 
 Null or empty texts: empty set, linked with nothing.  A null id: linked with nothing, component null,
 kept.  Repeated rows are one document and get the same result; rows that share an id but not a text are
-compared as separate documents with that id.
+compared as separate documents with that id.  Very long texts are sets like any other.  An empty table gives an
+empty result, and of the table's columns only the id and the text are read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -39,8 +44,8 @@ from . import textkit as K
 WORDS = 5
 REGISTERS, ROWS, BANDS = 256, 4, 32
 BASE, RATE = 1.001, 20.0
-#: Ids that a broadcast may hold; beyond, the same join is shuffled.
-BROADCAST_IDS = 2_000_000
+#: Rows of ids that a broadcast may hold; beyond, the same join is shuffled.
+BROADCAST_IDS = 250_000
 #: Text bytes handled at once: less than elsewhere, as the JVM of these jobs holds much of an executor's memory.
 CHUNK_BYTES = 1 << 20
 
@@ -106,23 +111,21 @@ def plausible(greater: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np
     """
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
     equal = REGISTERS - greater - smaller
-    grid = np.linspace(0, 1, 81)
+    most = np.minimum(u / v, v / u)
 
     def p(x: np.ndarray) -> np.ndarray:
         return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
 
-    most = np.minimum(u / v, v / u)
-    best = np.full(len(u), -np.inf)
-    above, estimate = best.copy(), np.zeros(len(u))
-    for j in grid:
+    def log_likelihood(j: np.ndarray) -> np.ndarray:
         up, down = np.maximum(p(u - v * j), 1e-12), np.maximum(p(v - u * j), 1e-12)
-        ll = greater * np.log(up) + smaller * np.log(down) + equal * np.log(np.maximum(1 - up - down, 1e-12))
-        ll = np.where(j <= most + 0.0125, ll, -np.inf)
-        better = ll > best
-        best, estimate = np.where(better, ll, best), np.where(better, j, estimate)
-        if j >= similarity - 0.00625:
-            above = np.maximum(above, ll)
-    return estimate, (above >= best - 12.5) & (most >= similarity - 1e-9)
+        return greater * np.log(up) + smaller * np.log(down) + equal * np.log(np.maximum(1 - up - down, 1e-12))
+
+    # for a base near 1 the likelihood is concave, and its maximum is the smaller root of a quadratic
+    half = (equal * (u * u + v * v) + v * v * greater + u * u * smaller) / 2
+    root = half - np.sqrt(np.maximum(half * half - u * u * v * v * REGISTERS * equal, 0))
+    estimate = np.clip(root / (u * v * REGISTERS), 0, most)
+    near = (estimate >= similarity) | (log_likelihood(np.minimum(similarity, most)) >= log_likelihood(estimate) - 12.5)
+    return estimate, near & (most >= similarity - 1e-9)
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -130,7 +133,7 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """(doc, n_shingles, h1, h2, registers) of every row; h1 and h2 tell sets apart."""
+    """(doc, t64, n_shingles, h1, h2, registers) of every row; h1 and h2 tell sets apart, t64 texts of one id."""
 
     def kernel(buf: np.ndarray, off: np.ndarray) -> dict[str, object]:
         values, first = shingle_sets(buf, off, k)
@@ -138,8 +141,8 @@ def sketch(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = WO
         return {"n_shingles": np.diff(first), "h1": _sum(values, first, 11), "h2": _sum(values, first, 12), "registers": pa.array([r.tobytes() for r in regs], pa.binary())}
 
     fields = [K.field("n_shingles", T.LongType()), K.field("h1", T.LongType()), K.field("h2", T.LongType()), K.field("registers", T.BinaryType())]
-    source = docs.select(F.col(f"`{doc}`").alias("__doc"), F.col(f"`{text}`").alias("__text"))
-    return K.map_text(source, "__text", fields, kernel, ["__doc"], limit=CHUNK_BYTES)
+    source = docs.select(F.col(f"`{doc}`").alias("__doc"), F.col(f"`{text}`").alias("__text"), F.xxhash64(F.col(f"`{text}`")).alias("t64"))
+    return K.map_text(source, "__text", fields, kernel, ["__doc", "t64"], limit=CHUNK_BYTES)
 
 
 def _sum(values: np.ndarray, first: np.ndarray, key: int) -> np.ndarray:
@@ -160,39 +163,28 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("rid", "registers").mapInArrow(run, "key long, rid long")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that similarity doesn't contradict."""
-    side = classes.select("rid", "n_shingles", "registers")
-    both = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b").where(f"least(na, nb) >= {similarity} * greatest(na, nb)")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = _registers(b.column(3)), _registers(b.column(5))
-            _, ok = plausible((x > y).sum(1), (x < y).sum(1), b.column(2).to_numpy().astype(float), b.column(4).to_numpy().astype(float), similarity)
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
-
-    return both.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(run, "a long, b long")
+def _with_text(docs: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
+    """The rows of wanted (with rep and t64, the id and the hash of a text), each with that text as t; repeated documents repeat them."""
+    source = docs.select(F.col(f"`{doc}`").alias("rep"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("t64"))
+    few = wanted.count() <= BROADCAST_IDS
+    return source.join(F.broadcast(wanted) if few else wanted, ["rep", "t64"])
 
 
-def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, doc: str, text: str, k: int) -> DataFrame:
-    """(rid, text) of one document of each class in the pairs."""
-    wanted = shared.table(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct().join(classes.select("rid", "rep", "n_shingles", "h1", "h2"), "rid"))
-    few = wanted.count() <= BROADCAST_IDS
-    source = docs.select(F.col(f"`{doc}`").alias("rep"), F.col(f"`{text}`").alias("t")).join(F.broadcast(wanted) if few else wanted, "rep")
+def _once_a_task(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows without those whose (long) key columns an earlier row of the same task has, so that repeated documents don't meet in one task."""
+    schema = rows.schema
+    place = [schema.names.index(c) for c in key]
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in K.slices(whole, "t", CHUNK_BYTES):
-                values, first = shingle_sets(*K.utf8(b.column(1)), k)
-                ok = (np.diff(first) == b.column(2).to_numpy()) & (_sum(values, first, 11) == b.column(3).to_numpy()) & (_sum(values, first, 12) == b.column(4).to_numpy())
-                keep = pa.array(ok)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["rid", "t"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for b in batches:
+            fresh = []
+            for x in zip(*(b.column(i).to_pylist() for i in place), strict=True):
+                fresh.append(x not in seen)
+                seen.add(x)
+            yield b if all(fresh) else b.filter(pa.array(fresh, pa.bool_()))
 
-    found = source.select("rid", "t", "n_shingles", "h1", "h2").mapInArrow(same, "rid long, t string")
-    return found.dropDuplicates(["rid"])
+    return rows.mapInArrow(run, schema)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float, k: int = WORDS, run_length: int = 1024) -> DataFrame:
@@ -236,154 +228,309 @@ def _least_equal(similarity: float) -> float:
     return REGISTERS * similarity - 6 * (REGISTERS * similarity * (1 - similarity)) ** 0.5
 
 
-def _pairs_within(group: np.ndarray, rid: np.ndarray, component: np.ndarray, n: np.ndarray, regs: np.ndarray, own: np.ndarray, across: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (p, q) of the same group, of different components, that similarity may fit, and their estimates; groups lie together.
+def _dealt(rows: DataFrame, group: str, weight: str, block: int) -> DataFrame:
+    """Rows (group, rid, core, weight) of groups to be split, with the pair (i, j) of blocks whose task they go to.
 
-    across: rows whose group compares two blocks, so only rows of different blocks.
+    Block i of the core meets block j of the others, and the others' blocks meet each other.  A core without others needs no task.
     """
-    least, found = _least_equal(similarity), []
-
-    def fit(p: np.ndarray, q: np.ndarray) -> None:
-        ok = (component[p] != component[q]) & (np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q])) & (~across[p] | (own[p] != own[q]))
-        p, q = p[ok], q[ok]
-        for at in range(0, len(p), 4096):  # registers of so many pairs at once
-            pp, qq = p[at : at + 4096], q[at : at + 4096]
-            x, y = regs[pp], regs[qq]
-            maybe = (x == y).sum(1) >= least
-            if maybe.any():
-                pp, qq, x, y = pp[maybe], qq[maybe], x[maybe], y[maybe]
-                estimate, fits = plausible((x > y).sum(1), (x < y).sum(1), n[pp].astype(float), n[qq].astype(float), similarity)
-                found.append((pp[fits], qq[fits], estimate[fits]))
-
-    edge = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
-    size = np.diff(edge)
-    place, total = np.arange(len(group)) - np.repeat(edge[:-1], size), np.repeat(size, size)
-    small = total <= 64
-    for d in range(1, min(64, int(size.max(initial=1)))):
-        p = np.flatnonzero(small & (place + d < total))
-        if not len(p):
-            break
-        fit(p, p + d)
-    for g in np.flatnonzero(size > 64):
-        lo, hi = edge[g], edge[g + 1]
-        for i in range(lo, hi - 1):
-            other = np.arange(i + 1, hi)
-            other = other[component[other] != component[i]]
-            if len(other):
-                fit(np.full(len(other), i), other)
-    return tuple(np.concatenate([f[c] for f in found]) for c in range(3)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-
-
-def _proposals(members: DataFrame, similarity: float, most: int) -> DataFrame:
-    """(a, b, more) proposed in buckets: for each class its best-estimated partners of other components.
-
-    members: (key, i, j, own, rid, component, n_shingles, registers); own is the block of the class, i <= j those to compare.
-    more: whether a class had further partners than it may propose in this round.
+    size = F.sum(F.when(F.col("core"), F.col(weight)).otherwise(0)), F.sum(F.when(F.col("core"), 0).otherwise(F.col(weight)))
+    blocks = [F.greatest(F.ceil(x / block), F.lit(1)).cast("int").alias(name) for x, name in zip(size, ("cores", "others"), strict=True)]
+    left = F.count_if(~F.col("core")).alias("left")
+    both = rows.join(rows.groupBy(group).agg(*blocks, left).where("left > 0"), group)
+    own = F.pmod(F.xxhash64("rid"), F.when(F.col("core"), F.col("cores")).otherwise(F.col("others"))).cast("int")
+    both = both.withColumn("own", own)
+    in_core = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(F.col("own").alias("i"), j.cast("int").alias("j")))
+    to_core = F.transform(F.sequence(F.lit(0), F.col("cores") - 1), lambda i: F.struct(i.cast("int").alias("i"), F.col("own").alias("j")))
+    pair = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct((F.col("cores") + F.least("own", j)).cast("int").alias("i"), F.greatest("own", j).cast("int").alias("j")))
+    places = F.when(F.col("core"), in_core).otherwise(F.concat(to_core, pair))
+    return both.withColumn("at", F.explode(places)).select(*rows.columns, "at.i", "at.j")
+
+
+class _Forest:
+    """Members of a group and what joins them; those flagged as core are joined from the start."""
+
+    def __init__(self, core: np.ndarray):
+        self.label = np.arange(len(core))
+        if core.any():
+            self.label[core] = np.flatnonzero(core)[0]
+        self.todo = np.ones(len(core), bool)
+
+    def open(self) -> np.ndarray:
+        """Members still to be compared: links between members of the largest component don't matter."""
+        largest = np.bincount(self.label).argmax()
+        return np.flatnonzero(self.todo & (self.label != largest))
+
+    def join(self, member: int, linked: np.ndarray) -> np.ndarray:
+        """Joins a member with those that it is linked with; one of these for each component that this merged."""
+        labels, at = np.unique(self.label[linked], return_index=True)
+        at = at[labels != self.label[member]]
+        if len(at):
+            to = np.arange(len(self.label))
+            to[self.label[linked[at]]] = self.label[member]
+            self.label = to[self.label]
+        return linked[at]
+
+
+def _plausible_forest(core: np.ndarray, n: np.ndarray, regs: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a bucket that similarity doesn't contradict."""
+    least, forest, out = _least_equal(similarity), _Forest(core), []
+    while len(rest := forest.open()):
+        i = rest[0]
+        forest.todo[i] = False
+        other = np.flatnonzero(forest.todo & (forest.label != forest.label[i]) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i])))
+        for at in range(0, len(other), 4096):
+            j = other[at : at + 4096]
+            x = regs[j]
+            j, x = (j[maybe], x[maybe]) if not (maybe := (x == regs[i]).sum(1) >= least).all() else (j, x)
+            if len(j):
+                _, fits = plausible((regs[i] > x).sum(1), (regs[i] < x).sum(1), np.full(len(j), n[i], float), n[j].astype(float), similarity)
+                out += [(i, int(k)) for k in forest.join(i, j[fits])]
+    return out
+
+
+def _plausible_pairs(p: np.ndarray, q: np.ndarray, n: np.ndarray, regs: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows similarity doesn't contradict."""
+    ok = np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q])
+    for at in range(0, len(p), 4096):  # registers of so many pairs at once
+        part = at + np.flatnonzero(ok[at : at + 4096])
+        x, y = regs[p[part]], regs[q[part]]
+        maybe = (x == y).sum(1) >= _least_equal(similarity)
+        ok[part[~maybe]] = False
+        part, x, y = part[maybe], x[maybe], y[maybe]
+        if len(part):
+            ok[part] = plausible((x > y).sum(1), (x < y).sum(1), n[p[part]].astype(float), n[q[part]].astype(float), similarity)[1]
+    return ok
+
+
+def _bucket_edges(members: DataFrame, similarity: float, small: int = 12) -> DataFrame:
+    """(a, b): a spanning forest of the plausible pairs of each bucket; all of them in buckets of at most so many classes.
+
+    members: (key, i, j, rid, core, n_shingles, registers).
     """
-    rows = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def propose(c: list[np.ndarray]) -> pa.RecordBatch | None:
-        key, i, j, own, rid, component, n, regs = c
-        new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        group = np.concatenate([[0], np.cumsum(new)])
-        p, q, estimate = _pairs_within(group, rid, component, n, regs, own, i != j, similarity)
-        if not len(p):
+    rows = members.select("key", "i", "j", "rid", "core", "n_shingles", "registers").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rid")
+
+    def edges(c: list[np.ndarray]) -> pa.RecordBatch | None:
+        key, i, j, rid, core, n, regs = c
+        edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, [len(key)]])
+        size = np.diff(edge)
+        place, total = np.arange(len(key)) - np.repeat(edge[:-1], size), np.repeat(size, size)
+        few, a, b = (total <= small) & ~core, [], []
+        for d in range(1, min(small, int(size.max()))):
+            p = np.flatnonzero(few & (place + d < total))
+            p = p[few[p + d]]
+            if not len(p):
+                break
+            p = p[_plausible_pairs(p, p + d, n, regs, similarity)]
+            a.append(p)
+            b.append(p + d)
+        for g in np.flatnonzero((size > small) | np.logical_or.reduceat(core, edge[:-1])):
+            lo, hi = edge[g], edge[g + 1]
+            found = np.array(_plausible_forest(core[lo:hi], n[lo:hi], regs[lo:hi], similarity), np.int64).reshape(-1, 2) + lo
+            a.append(found[:, 0])
+            b.append(found[:, 1])
+        if not a or not len(a := np.concatenate(a)):
             return None
-        p, q, estimate = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([estimate] * 2)
-        order = np.lexsort((rid[q], -estimate, p))
-        p, q = p[order], q[order]
-        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
-        rank = np.arange(len(p)) - np.repeat(first, np.diff(np.append(first, len(p))))
-        use = rank < most
-        over = np.zeros(len(group), bool)
-        over[p[~use]] = True
-        a, b = rid[p[use]], rid[q[use]]
-        pairs, at = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_inverse=True)  # many share several buckets
-        more = np.bincount(at.ravel(), over[p[use]], pairs.shape[1]) > 0
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(more)], names=["a", "b", "more"])
+        x, y = rid[a], rid[np.concatenate(b)]
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)  # many share several buckets
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[np.ndarray] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = [batch.column(k).to_numpy() for k in range(7)] + [_registers(batch.column(7))]
+            c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)] + [_registers(batch.column(6))]
             if held:
                 c = [np.concatenate([h, x]) for h, x in zip(held, c, strict=True)]
             last = np.flatnonzero((c[0] != c[0][-1]) | (c[1] != c[1][-1]) | (c[2] != c[2][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
-            if cut and (out := propose([x[:cut] for x in c])) is not None:
+            if cut and (out := edges([x[:cut] for x in c])) is not None:
                 yield out
             held = [x[cut:] for x in c]
-        if held and (out := propose(held)) is not None:
+        if held and (out := edges(held)) is not None:
             yield out
 
-    return rows.mapInArrow(run, "a long, b long, more boolean")
+    return rows.mapInArrow(run, "a long, b long")
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    """Components after more links: only the components that these join are worked on again."""
-    if labels is None:
-        return None if links.isEmpty() else shared.table(graph.components(links))
-    for c in ("a", "b"):
-        links = links.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
-    joins = shared.table(links.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct())
-    if joins.isEmpty():
-        return labels
-    over = shared.table(graph.components(joins).select(F.col("node").alias("component"), F.col("component").alias("joined")))
-    moved = labels.join(over, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
-    fresh = over.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component"))
-    return shared.table(moved.unionByName(fresh))
+def _near_lead(hot: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Rows (key, rid, lead) of hot buckets with core: whether similarity doesn't contradict the pair with the bucket's lead."""
+    side = classes.select("rid", "n_shingles", "registers")
+    both = hot.select("key", "rid", "lead").join(side, "rid").join(side.toDF("lead", "n_lead", "lead_registers"), "lead")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y, n, m = _registers(b.column(4)), _registers(b.column(6)), b.column(3).to_numpy().astype(float), b.column(5).to_numpy().astype(float)
+            _, near = plausible((x > y).sum(1), (x < y).sum(1), n, m, similarity)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(near)], names=["key", "rid", "lead", "core"])
+
+    return both.select("key", "rid", "lead", "n_shingles", "registers", "n_lead", "lead_registers").mapInArrow(run, "key long, rid long, lead long, core boolean")
+
+
+def clusters(classes: DataFrame, similarity: float, block: int, scratch: shared.Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node, component): classes that plausible pairs connect, and the crowded buckets (key, rid, lead, size)."""
+    bands = _bands(classes)
+    buckets = bands.groupBy("key").agg(F.min("rid").alias("lead"), F.count("*").alias("size")).where("size > 1")
+    crowded = scratch.table(bands.join(buckets, "key"))
+    members = crowded.where(F.col("size") <= block).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "rid", F.lit(False).alias("core"))
+    hot, near = crowded.where(F.col("size") > block), None
+    if not hot.isEmpty():
+        near = scratch.table(_near_lead(hot, classes, similarity))
+        split = _dealt(near.select("key", "rid", "core", F.lit(1).alias("one")), "key", "one", block)
+        members = members.unionByName(split.drop("one"))
+    edges = _bucket_edges(members.join(classes.select("rid", "n_shingles", "registers"), "rid"), similarity)
+    if near is not None:
+        edges = edges.unionByName(near.where("core and rid <> lead").select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")))
+    return graph.components(edges, scratch), crowded
+
+
+def _exact_labels(core: np.ndarray, values: np.ndarray, first: np.ndarray, share: int, cells: int = 1 << 22) -> np.ndarray:
+    """A label for each set of a group: equal for those connected by pairs with 100 * intersection >= share * union.
+
+    Shingles that one set alone has can't be common; the others are numbered, and sets are compared by products of 0/1 matrices.
+    """
+    forest, size = _Forest(core), np.diff(first).astype(np.int64)
+    if len(size) == 2:
+        common = len(np.intersect1d(values[: first[1]], values[first[1] :], assume_unique=True))
+        if 100 * common >= share * (size.sum() - common):
+            forest.join(0, np.array([1]))
+        return forest.label
+    _, number, many = np.unique(values, return_inverse=True, return_counts=True)
+    use = many[number] > 1
+    owner, number = np.repeat(np.arange(len(size)), size)[use], number[use]
+    begin = np.searchsorted(owner, np.arange(len(size) + 1))
+    width, column = 1, np.full(len(many), -1, np.int32)
+    while len(rest := forest.open()):
+        q = rest[:width]
+        q = q[: max(1, int(np.searchsorted(np.cumsum(size[q]), 16384, side="right")))]
+        own = np.unique(np.concatenate([number[begin[i] : begin[i + 1]] for i in q]))
+        column[own] = np.arange(len(own))
+        at = column[number]
+        hit = np.flatnonzero(at >= 0)
+        who, at = owner[hit], at[hit]
+        column[own] = -1
+        common = np.zeros((len(q), len(size)))
+        if len(q) == 1:
+            common[0] = np.bincount(who, minlength=len(size))
+        elif len(own):
+            mine = np.zeros((len(q), len(own)), np.float32)
+            for r, i in enumerate(q):
+                mine[r, np.searchsorted(own, number[begin[i] : begin[i + 1]])] = 1
+            step = max(1, cells // len(own))
+            cut = np.searchsorted(who, np.arange(0, len(size) + step, step))
+            for k, lo in enumerate(range(0, len(size), step)):
+                x, y = cut[k], cut[k + 1]
+                if x < y:
+                    theirs = np.zeros((min(step, len(size) - lo), len(own)), np.float32)
+                    theirs[who[x:y] - lo, at[x:y]] = 1
+                    common[:, lo : lo + len(theirs)] = mine @ theirs.T
+        linked = 100 * common >= share * (size[q][:, None] + size[None, :] - common)
+        forest.todo[q] = False
+        for r, i in enumerate(q):
+            forest.join(i, np.flatnonzero(linked[r]))
+        width = min(64, 2 * width)
+    return forest.label
+
+
+def _cluster_links(rows: DataFrame, similarity: float, k: int) -> DataFrame:
+    """(a, b): a spanning forest of the links between the texts of each group, decided on full sets.
+
+    rows: (cluster, i, j, rid, core, t).
+    """
+    share = round(similarity * 100)
+    dealt = rows.select("cluster", "i", "j", "rid", "core", "t").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rid")
+
+    def links(rid: np.ndarray, core: np.ndarray, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if (again := rid[1:] == rid[:-1]).any():  # a repeated document
+            keep = np.concatenate([[True], ~again])
+            values = values[np.repeat(keep, np.diff(first))]
+            first = np.concatenate([[0], np.cumsum(np.diff(first)[keep])])
+            rid, core = rid[keep], core[keep]
+        label = _exact_labels(core, values, first, share)
+        lead = np.full(len(rid), -1)
+        lead[label[::-1]] = np.arange(len(rid))[::-1]  # the first member of each component
+        if core.any():
+            lead[label[core][0]] = np.flatnonzero(core)[0]
+        to = lead[label]
+        new = (to != np.arange(len(rid))) & ~core
+        return rid[new], rid[to[new]]
 
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = 0.75, k: int = WORDS, block: int = 2048) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for whole in batches:
+            for b in K.slices(whole, "t", CHUNK_BYTES):
+                out = []
+                values, first = shingle_sets(*K.utf8(b.column(5)), k)
+                c, i, j, rid, core = (b.column(x).to_numpy(zero_copy_only=False) for x in range(5))
+                edge = np.concatenate([[0], np.flatnonzero((c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, [len(c)]])
+                for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    if (own := (c[x], i[x], j[x])) != key and held:
+                        out.append(links(*_merged(held)))
+                        held = []
+                    key = own
+                    held.append((rid[x:y], core[x:y], values[first[x] : first[y]].copy(), first[x : y + 1] - first[x]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
+        if held:
+            a, b = links(*_merged(held))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Pieces (rids, core, values, offsets) of one group as one."""
+    if len(parts) == 1:
+        return parts[0]
+    rid, core, values, first = zip(*parts, strict=True)
+    before = np.concatenate([[0], np.cumsum([len(v) for v in values])])
+    return np.concatenate(rid), np.concatenate(core), np.concatenate(values), np.concatenate([*(f[:-1] + x for f, x in zip(first, before, strict=False)), before[-1:]])
+
+
+def _linked(docs: DataFrame, doc: str, text: str, classes: DataFrame, similarity: float, k: int, block: int, block_shingles: int, scratch: shared.Scratch) -> DataFrame:
+    """(node, component) of the classes that are linked with others."""
+    cluster, crowded = clusters(classes, similarity, block, scratch)
+    member = cluster.select(F.col("node").alias("rid"), F.col("component").alias("cluster")).join(classes.select("rid", "rep", "t64", "n_shingles"), "rid")
+    weights = member.groupBy("cluster").agg(F.sum("n_shingles").alias("weight"))
+    member = scratch.table(member.join(weights, "cluster"))
+    columns = ["cluster", "i", "j", "rid", "core", "rep", "t64"]
+    whole = member.where(F.col("weight") <= block_shingles).withColumns({"i": F.lit(0), "j": F.lit(0), "core": F.lit(False)}).select(*columns)
+    hot, star = member.where(F.col("weight") > block_shingles), None
+    if not hot.isEmpty():
+        reach = crowded.groupBy("rid").agg(F.sum("size").alias("reach"))  # classes in the middle of a cluster share more buckets
+        lead = hot.join(reach, "rid").groupBy("cluster").agg(F.max_by("rid", F.struct("reach", -F.col("rid"))).alias("lead"))
+        led = scratch.table(hot.join(lead, "cluster"))
+        texts = scratch.table(_once_a_task(_with_text(docs, led.select("rid", "rep", "t64"), doc, text).select("rid", "t"), ["rid"]).dropDuplicates(["rid"]))
+        star = scratch.table(verify(led.where("rid <> lead").select(F.col("lead").alias("a"), F.col("rid").alias("b")), texts, similarity, k).where("linked").select("a", "b"))
+        joined = led.join(star.select(F.col("b").alias("rid"), F.lit(True).alias("near")), "rid", "left")
+        marked = joined.select("cluster", "rid", "rep", "t64", "n_shingles", F.coalesce("near", F.col("rid") == F.col("lead")).alias("core"))
+        whole = whole.unionByName(_dealt(scratch.table(marked), "cluster", "n_shingles", block_shingles).select(*columns))
+    wanted = scratch.table(whole)
+    links = _cluster_links(_once_a_task(_with_text(docs, wanted, doc, text).select("cluster", "i", "j", "rid", "core", "t"), ["cluster", "i", "j", "rid"]), similarity, k)
+    if star is None:  # every cluster was one group: what it gave are its components
+        links = scratch.table(links)
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select("b", "b").distinct().toDF("node", "component"))
+    return graph.components(links.unionByName(star), scratch)
+
+
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = 0.75, k: int = WORDS, block: int = 2048, block_shingles: int = 1 << 21) -> DataFrame:
     """(doc, n_shingles, component_id, kept) of every row: component_id is the smallest id connected by links of at least that similarity."""
-    spark = docs.sparkSession
-    rows = shared.table(sketch(docs, doc, text, k))
-    linkable = rows.where("n_shingles > 0 and __doc is not null")
-    classes = linkable.groupBy("n_shingles", "h1", "h2").agg(F.min("__doc").alias("rep"), F.first("registers").alias("registers"))
-    classes = shared.table(classes.withColumn("rid", F.monotonically_increasing_id()))
-
-    buckets = _bands(classes).groupBy("key").agg(F.min("rid").alias("lead"), F.count("*").alias("size"))
-    tagged = shared.table(_bands(classes).join(buckets, "key"))
-    crowded = tagged.where("size > 1")
-    leads = crowded.where("rid <> lead").groupBy(F.col("rid").alias("b"), F.col("lead").alias("a")).agg(F.count("*").alias("bands"))
-    stars = leads.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b")
-    pairs = shared.table(_estimated(stars, classes, similarity))
-    checked, labels, most, last = None, None, 16, False
-    while True:
-        if not pairs.isEmpty():
-            new = shared.table(verify(pairs, shared.table(_texts(docs, classes, pairs, doc, text, k)), similarity, k))
-            checked = new if checked is None else checked.unionByName(new)
-            labels = _merged(labels, new.where("linked").select("a", "b"))
-        if last:
-            break
-        member = crowded.select("key", "rid", "size")
-        member = member.join(labels.withColumnRenamed("node", "rid"), "rid", "left") if labels is not None else member.withColumn("component", F.lit(None).cast("long"))
-        member = member.withColumn("component", F.coalesce("component", "rid"))
-        split = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        open_ = member.join(split, "key").join(classes.select("rid", "n_shingles", "registers"), "rid")
-        blocks = F.ceil(F.col("size") / block)
-        open_ = open_.withColumn("own", F.pmod(F.xxhash64("rid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        open_ = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "component", "n_shingles", "registers")
-        proposed = shared.table(_proposals(open_, similarity, most).groupBy("a", "b").agg(F.max("more").alias("more")))
-        more = proposed.where("more").limit(1).count() > 0
-        pairs = proposed.select("a", "b")
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = shared.table(pairs)
-        if not more and pairs.isEmpty():
-            break
-        most, last = most * 16, not more  # without further partners, what is now verified is all
-    mine = rows.drop("registers").join(classes.select("n_shingles", "h1", "h2", "rid"), ["n_shingles", "h1", "h2"], "left")
-    mine = mine.withColumn("rid", F.when(F.col("__doc").isNotNull(), F.col("rid")))
-    mine = mine.join(labels.withColumnRenamed("node", "rid"), "rid", "left") if labels is not None else mine.withColumn("component", F.lit(None).cast("long"))
-    mine = mine.withColumn("component", F.coalesce("component", "rid")).select("__doc", "n_shingles", "component")
-    mine = shared.table(mine)
-    smallest = mine.where("component is not null").groupBy("component").agg(F.min("__doc").alias("smallest"))
-    named = mine.join(smallest, "component", "left").withColumn("component_id", F.coalesce("smallest", "__doc"))
+    sets = ["n_shingles", "h1", "h2"]
+    with shared.Scratch(docs.sparkSession) as scratch:
+        rows = scratch.table(sketch(docs, doc, text, k))
+        linkable = rows.where("n_shingles > 0 and __doc is not null")
+        grouped = linkable.groupBy(*sets).agg(F.min(F.struct("__doc", "t64")).alias("rep"), F.first("registers").alias("registers"))
+        classes = scratch.table(grouped.select(*sets, F.col("rep.__doc").alias("rep"), F.col("rep.t64").alias("t64"), "registers").withColumn("rid", F.monotonically_increasing_id()))
+        labels = _linked(docs, doc, text, classes, similarity, k, block, block_shingles, scratch)
+        named = classes.select(*sets, "rid", "rep").join(labels.withColumnRenamed("node", "rid"), "rid", "left")
+        smallest = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("smallest"))
+        named = named.join(smallest, "component", "left").select(*sets, F.coalesce("smallest", "rep").alias("component_id"))
+        mine = rows.select("__doc", *sets).join(named, sets, "left")
+        mine = shared.table(mine.select("__doc", "n_shingles", F.when(F.col("__doc").isNotNull(), F.coalesce("component_id", "__doc")).alias("component_id")))
     kept = F.coalesce(F.col("__doc") == F.col("component_id"), F.lit(True))
-    return named.select(F.col("__doc").alias(doc), "n_shingles", "component_id", kept.alias("kept"))
+    return mine.select(F.col("__doc").alias(doc), "n_shingles", "component_id", kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = 0.75) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset (tests), a temporary folder that is then set."""
+    """spark.checkpoint.dir of the session; where that is unset, a temporary folder that is then set, but on one machine only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='quillveil-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -33,3 +35,25 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that write made."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Tables that go when the work for which they were written is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.paths.append(write(df))
+        return self.spark.read.parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()

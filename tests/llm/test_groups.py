@@ -68,13 +68,63 @@ def test_near_duplicates_equal_brute_force(documents):
 
 def test_near_duplicates_in_blocks(documents, monkeypatch):
     rows = near_rows()
-    got = neardup.near_duplicates(documents(rows), block=3).collect()
+    got = neardup.near_duplicates(documents(rows), block=3, block_shingles=300).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows)
     monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
     kept = neardup.drop_near_duplicates(documents(rows))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({*brute_components(rows).values()})
 
 
+def hot_rows(n=160):
+    """Copies of one text with 0 to 9 replaced words: many pairs on either side of the threshold, and long chains."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(n):
+        text = list(base)
+        for at in rng.choice(len(text), int(rng.integers(0, 10)), replace=False):
+            text[at] = f"x{rng.integers(60)}"
+        rows.append((k, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 16, "block_shingles": 2500}])
+def test_near_duplicates_in_a_hot_group(documents, options):
+    rows = hot_rows()
+    want = brute_components(rows)
+    assert 1 < len(set(want.values())) < len(rows)
+    got = neardup.near_duplicates(documents(rows, extra=False), **options).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_forests_leave_buckets_and_clusters():
+    """However many pairs a group has, fewer rows than its members leave it."""
+    from tests.llm import test_groups as own
+
+    texts = [t for _, t in own.hot_rows(300)]
+    buf, off = neardup.K.utf8(neardup.pa.array(texts))
+    values, first = neardup.shingle_sets(buf, off)
+    n, regs, core = np.diff(first), neardup.set_sketches(values, first), np.zeros(len(texts), bool)
+    forest = neardup._plausible_forest(core, n, regs, 0.75)
+    assert len(forest) < len(texts)
+    label = neardup._exact_labels(core, values, first, 75)
+    want = own.brute_components(list(enumerate(texts)))
+    assert {(int(label[i]), want[i]) for i in range(len(texts))} == {(int(label[i]), i) for i in set(want.values())}
+    few = neardup._exact_labels(core, values, first, 75, cells=1000)
+    assert np.array_equal(few, label)
+
+
+def test_near_duplicates_of_very_long_texts(documents):
+    rng = np.random.default_rng(9)
+    long = [f"v{i}" for i in rng.integers(0, 50000, 120_000)]
+    other = list(long)
+    other[5000:6000] = ["new"] * 1000
+    rows = [(4, " ".join(long)), (2, " ".join(other)), (1, " ".join(long[:60_000])), (9, "x " * 300_000)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(documents(rows)).collect()}
+    want = brute_components(rows)
+    assert got == {i: (len(shingles(t)), want[i]) for i, t in rows} and want[4] == 2
+
+
 def test_near_duplicates_odd_rows(documents):
     text = " ".join(f"t{i}" for i in range(30))
     got = neardup.near_duplicates(documents([(None, text), (5, text), (5, text), (3, text), (None, None)])).collect()
@@ -169,31 +219,59 @@ def test_feistel_is_a_permutation():
     assert not np.array_equal(a, b) and abs(np.corrcoef(np.arange(1000), a.astype(float))[0, 1]) < 0.15
 
 
+def plain_feistel(x, domain, key):
+    """The permutation for one number, in plain integers."""
+    half = max(1, (max(domain - 1, 1).bit_length() + 1) // 2)
+    while True:
+        left, right = x >> half, x & ((1 << half) - 1)
+        for k in order.K.keyed(order.ROUNDS, key).tolist():
+            mixed = int(order.K.mix(np.array([(right + k) % 2**64], np.uint64))[0])
+            left, right = right, left ^ (mixed & ((1 << half) - 1))
+        x = left << half | right
+        if x < domain:
+            return x
+
+
 def test_training_order_round_trip(spark, documents, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3, "doc_id").sortWithinPartitions("doc_id")
     folder = f"file://{tmp_path}/shards"
     index = order.materialise(docs, folder, shard_rows=7).cache()
-    n = index.count()
-    assert sorted(r["slot"] for r in index.collect()) == list(range(n))
-    shards = [tuple(r) for r in order.manifest(index).collect()]
-    read = list(order.read_from(spark, folder, shards))
+    rows = index.orderBy("slot").collect()
+    n = len(rows)
+    assert [r["slot"] for r in rows] == list(range(n)) and sorted(r["sequence_id"] for r in rows) == list(range(n))
+    assert all(r["slot"] == plain_feistel(r["sequence_id"], n, 20240229) for r in rows)
+    assert all((r["shard"], r["row"]) == (order.shard_name(r["slot"] // 7), r["slot"] % 7) for r in rows)
+    read = list(order.read_from(folder, shard_rows=7))
     assert [s for s, _ in read] == list(range(n))
-    resumed = list(order.read_from(spark, folder, shards, slot=n // 2))
+    resumed = list(order.read_from(folder, n // 2, shard_rows=7))
     assert resumed[0][0] == n // 2 and all(np.array_equal(x, y) for (_, x), (_, y) in zip(resumed, read[n // 2 :], strict=True))
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = sum(len(x) + 1 for x in tokens.encoder().whole([t or "" for _, t in rows]))
-    assert sum(len(x) for _, x in read) == want
-    back = {(r["shard"], r["row"]): r for r in order.read_back(index, folder).collect()}
-    by_slot = {r["slot"]: back[r["shard"], r["row"]] for r in index.collect()}
-    assert all(by_slot[s]["ids_crc32"] == zlib.crc32(x.astype("<u4").tobytes()) for s, x in read)
-    again = order.materialise(docs, f"file://{tmp_path}/again", shard_rows=7)
-    assert [tuple(r) for r in again.orderBy("slot").collect()] == [tuple(r) for r in index.orderBy("slot").collect()]
+    assert list(order.read_from(folder, n + 7, shard_rows=7)) == []
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = sum(len(x) + 1 for x in tokens.encoder().whole([t or "" for _, t in texts]))
+    assert sum(len(x) for _, x in read) == want == sum(r["n_tokens"] for r in rows)
+    back = {r["slot"]: r for r in order.read_back(index, folder).collect()}
+    assert all(back[s]["ids_crc32"] == zlib.crc32(x.astype("<u4").tobytes()) and back[s]["length"] == len(x) for s, x in read)
+    assert {d for r in rows for d in r["doc_ids"]} == {i for i, _ in texts}
+    again = order.materialise(docs, f"file://{tmp_path}/again", shard_rows=7, ranges=2)
+    assert [tuple(r) for r in again.orderBy("slot").collect()] == [tuple(r) for r in rows]
     other = order.materialise(docs, f"file://{tmp_path}/other", key=1, shard_rows=7)
-    assert [r["sequence_id"] for r in other.orderBy("slot").collect()] != [r["sequence_id"] for r in index.orderBy("slot").collect()]
-    assert order.materialise(docs.limit(0), f"file://{tmp_path}/none").count() == 0
+    assert [r["sequence_id"] for r in other.orderBy("slot").collect()] != [r["sequence_id"] for r in rows]
+    assert [tuple(r)[:3] for r in order.manifest(index).collect()][1] == (order.shard_name(1), 7, 7)
     assert not list((tmp_path / "shards").glob(".*"))
 
 
+def test_training_order_odd_rows(documents, tmp_path):
+    rows = [(1, None), (None, ""), (3, "same text"), (3, "same text"), (4, "long " * 30_000)]
+    index = order.materialise(documents(rows).coalesce(1), f"file://{tmp_path}/odd", shard_rows=4)
+    read = [x for _, x in order.read_from(f"file://{tmp_path}/odd", shard_rows=4)]
+    ids = [np.append(x, 1) for x in tokens.encoder().whole([t or "" for _, t in rows])]
+    assert sum(map(len, read)) == sum(map(len, ids)) and sum(int((x == 1).sum()) for x in read) == len(rows)
+    assert {d for r in index.collect() for d in r["doc_ids"]} == {1, None, 3, 4}
+    assert order.materialise(documents([]), f"file://{tmp_path}/none").count() == 0
+    with pytest.raises(Exception, match="don't fit into 1 bytes"):
+        order.materialise(documents(rows), f"file://{tmp_path}/small", id_bytes=1)
+
+
 TURNS = st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "a b</s>"]), st.lists(st.sampled_from(["</s>", "<s>", "[INST]", "[/INST]", "[ROLE]", "<<SYS>>", "\\", " ", "a", "\n", "<", "["]), max_size=8).map("".join)), min_size=1, max_size=5)
 
 
