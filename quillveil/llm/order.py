@@ -1,15 +1,18 @@
 """Training-order materialisation into fixed-stride shards.
 
-Documents are tokenized and packed into sequences in one pass.  A sequence's number (partition and place in
-it) goes through a keyed Feistel permutation with cycle-walking over the domain of all such numbers.
-The permuted values are dealt out in equal ranges (no sampling is needed: they are uniform), sorted, and
-each range writes its sequences in that order to shards of fixed-stride records: a 4-byte length, then the ids, padded with
-zeros.  A sequence's global slot is its rank: the sizes of the ranges before, plus its place; the manifest has the first slot of each shard,
-so a reader can start at any slot with one seek.
-
-One shuffle of packed ids.  The payload goes straight from it to the shards; a retried task writes under its own temporary
-name and renames it, so a lost executor leaves no half shard.  The same key gives the same order.
-Null or empty text: the closing id alone.  An empty table gives no shard and an empty manifest.
+1. Documents are tokenized and packed into sequences in one pass; the sequences (compressed) are staged in the shared folder, with the
+   task that made each and its place there.
+2. Tasks' counts give every sequence a dense number from 0 to N - 1, and a keyed Feistel permutation with cycle-walking over exactly N
+   members gives its global slot.
+3. A shard holds ``shard_rows`` successive slots, and a range of whole shards goes to one task, which sorts it and writes its
+   shards: records of fixed stride, a 4-byte length, then the ids, padded with zeros.  Slots follow from the permutation alone, so
+   slot s is record ``s % shard_rows`` of shard ``s // shard_rows``: a reader resumes at any slot with one seek and reads on sequentially.
+
+One shuffle of compressed ids; the number of ranges follows from N.  The payload goes straight from the shuffle to the shards; a retried task writes
+under its own temporary name and renames it, so a lost executor leaves no half shard, and the staged table means that no text is
+tokenized again.  The same key and the same partitions of the input give the same order.
+Null or empty text: the closing id alone.  A null id: as any other document, with a null among the doc ids.  Repeated rows: each placed.
+Very long texts go over as many sequences as they fill.  An empty table gives no shard and an empty index.  Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -21,14 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import packing, shared
+from . import packing, shared, tokens
 from . import textkit as K
 
-#: Sequences that one partition may number: 2**LOCAL_BITS, 8 petabytes of records.
-LOCAL_BITS = 33
+#: Bytes of records that a range should have at most, where there are more ranges than shuffle partitions.
+RANGE_BYTES = 1 << 28
 ROUNDS = 4
 
 
@@ -61,32 +66,25 @@ def _dealers(spark: SparkSession, ranges: int) -> np.ndarray:
     return np.array([found[p] for p in range(ranges)], np.int32)
 
 
-def materialise(docs: DataFrame, folder: str, key: int = 20240229, doc: str = "doc_id", text: str = "text", size: int = 2048, shard_rows: int = 4096, ranges: int | None = None, id_bytes: int = 2, vocabulary: str | None = None) -> DataFrame:
-    """Writes the shards below folder and returns their index: one row for each sequence with its slot, shard, row and doc ids.
+def _staged(source: DataFrame, size: int, id_bytes: int, vocabulary: str | None) -> DataFrame:
+    """(task, place, doc_ids, ids) of each sequence of (d, t) rows, its ids compressed."""
 
-    folder: a URI that executors and driver share.  id_bytes: 2 or 4, for vocabularies up to that width.
-    """
-    spark = docs.sparkSession
-    source = docs.select(F.col(f"`{doc}`").alias("d"), F.col(f"`{text}`").alias("t"))
-    parts = source.rdd.getNumPartitions()
-    domain = parts << LOCAL_BITS
-    width = f"<u{id_bytes}"
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealers = _dealers(spark, ranges)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, list]] = []
+        if tokens.encoder(vocabulary).size > 1 << 8 * id_bytes:
+            raise ValueError(f"ids of this vocabulary don't fit into {id_bytes} bytes")
+        squeeze, task = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
+        held: list[list] = []
+        at, id_type = 0, pa.int64()
 
         def batch() -> pa.RecordBatch:
-            number = np.array([n for n, _ in held], K.U64)
-            slots = feistel(number, domain, key)
-            dealt = np.array([s * ranges // domain for s in slots.tolist()], np.int32)
-            ids = [np.concatenate([p.ids for p in w]).astype(width).tobytes() for _, w in held]
-            docs_ = [list(dict.fromkeys(p.doc for p in w)) for _, w in held]
+            nonlocal at
+            docs = [list(dict.fromkeys(p.doc for p in w)) for w in held]
+            ids = [squeeze.compress(np.concatenate([p.ids for p in w]).astype(f"<u{id_bytes}").tobytes()) for w in held]
+            n, at = len(held), at + len(held)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(dealers[dealt]), pa.array(slots.view(np.int64)), pa.array(number.view(np.int64)), pa.array(docs_, pa.list_(id_type)), pa.array(ids, pa.binary())], names=["part", "dealer", "place", "sequence_id", "doc_ids", "ids"])
-
-        id_type = pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int32()), pa.array(range(at - n, at), pa.int64()), pa.array(docs, pa.list_(id_type)), pa.array(ids, pa.binary())], names=["task", "place", "doc_ids", "ids"])
 
         def noted(source_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nonlocal id_type
@@ -94,57 +92,79 @@ def materialise(docs: DataFrame, folder: str, key: int = 20240229, doc: str = "d
                 id_type = b.column(0).type
                 yield b
 
-        for item in packing.windows(noted(batches), size, 64, 32, vocabulary):
-            held.append(item)
+        for _, window in packing.windows(noted(batches), size, 64, 32, vocabulary):
+            held.append(window)
             if len(held) >= 512:
                 yield batch()
         if held:
             yield batch()
 
-    id_kind = docs.schema[doc].dataType.simpleString()
-    packed = source.mapInArrow(sequences, f"part int, dealer int, place long, sequence_id long, doc_ids array<{id_kind}>, ids binary")
-    ordered = packed.repartition(ranges, "dealer").sortWithinPartitions("part", "place").drop("dealer")
-    stride = 4 + size * id_bytes
-
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _filesystem(folder)
-        out, state = None, {"part": None, "row": 0, "name": "", "tmp": ""}
+    return source.mapInArrow(run, f"task int, place long, doc_ids array<{source.schema['d'].dataType.simpleString()}>, ids binary")
 
-        def finish() -> None:
-            nonlocal out
-            if out is not None:
-                out.close()
-                fs.move(f"{root}/{state['tmp']}", f"{root}/{state['name']}")
-                out = None
 
-        for b in batches:
-            names, rows, lengths = [], [], []
-            for part, ids in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True):
-                if part != state["part"]:
-                    finish()
-                    state.update(part=part, row=0)
-                if state["row"] % shard_rows == 0:
-                    finish()
-                    name = f"part-{part:06d}-{state['row'] // shard_rows:06d}.bin"
-                    state.update(name=name, tmp=f".{name}.{uuid.uuid4().hex}")
-                    out = fs.open_output_stream(f"{root}/{state['tmp']}")
-                out.write((len(ids) // id_bytes).to_bytes(4, "little") + ids.ljust(stride - 4, b"\0"))
-                names.append(state["name"])
-                rows.append(state["row"])
-                lengths.append(len(ids) // id_bytes)
-                state["row"] += 1
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names), pa.array(rows, pa.int64()), pa.array(lengths, pa.int64()), b.column(2), b.column(3)], names=["part", "shard", "place", "n_tokens", "sequence_id", "doc_ids"])
-        finish()
+def materialise(docs: DataFrame, folder: str, key: int = 20240229, doc: str = "doc_id", text: str = "text", size: int = 2048, shard_rows: int = 4096, ranges: int | None = None, id_bytes: int = 2, vocabulary: str | None = None) -> DataFrame:
+    """Writes the shards below folder and returns their index: (slot, shard, row, n_tokens, sequence_id, doc_ids) of each sequence.
 
+    folder: a URI that executors and driver share.  id_bytes: 2 or 4; a vocabulary with larger ids is refused.  ranges: at most so many tasks write.
+    """
+    spark = docs.sparkSession
+    stride, id_kind = 4 + size * id_bytes, docs.schema[doc].dataType.simpleString()
     _filesystem(folder)[0].create_dir(_filesystem(folder)[1], recursive=True)
-    index = shared.table(ordered.mapInArrow(written, f"part int, shard string, place long, n_tokens long, sequence_id long, doc_ids array<{id_kind}>"))
-    counts = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one number a range
-    before, offsets = 0, {}
-    for part in sorted(counts):
-        offsets[part] = before
-        before += counts[part]
-    start = spark.createDataFrame(sorted(offsets.items()), "part int, before long")
-    return index.join(F.broadcast(start), "part").select((F.col("before") + F.col("place")).alias("slot"), "shard", (F.col("place") % shard_rows).alias("row"), "n_tokens", "sequence_id", "doc_ids")
+    with shared.Scratch(spark) as scratch:
+        staged = scratch.table(_staged(docs.select(F.col(f"`{doc}`").alias("d"), F.col(f"`{text}`").alias("t")), size, id_bytes, vocabulary))
+        counts = sorted(tuple(r) for r in staged.groupBy("task").agg(F.count("*")).collect())  # one number for each task
+        total = sum(n for _, n in counts)
+        task_ids, before = np.array([t for t, _ in counts], np.int64), np.cumsum([0, *(n for _, n in counts)])
+        shards = -(-total // shard_rows)
+        ranges = max(1, min(shards, ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * stride // RANGE_BYTES))))
+        range_rows = shard_rows * max(1, -(-shards // ranges))
+        dealers = _dealers(spark, ranges)
+
+        def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                number = before[np.searchsorted(task_ids, b.column(0).to_numpy())] + b.column(1).to_numpy()
+                slot = feistel(number.astype(K.U64), total, key).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(dealers[slot // range_rows]), pa.array(slot), pa.array(number), b.column(2), b.column(3)], names=["dealer", "slot", "sequence_id", "doc_ids", "ids"])
+
+        placed = staged.mapInArrow(slotted, f"dealer int, slot long, sequence_id long, doc_ids array<{id_kind}>, ids binary")
+        ordered = placed.repartition(ranges, "dealer").sortWithinPartitions("slot").drop("dealer")
+
+        def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import zstandard
+
+            fs, root = _filesystem(folder)
+            expand = zstandard.ZstdDecompressor()
+            out, shard, temporary = None, -1, ""
+
+            def finish() -> None:
+                nonlocal out
+                if out is not None:
+                    out.close()
+                    fs.move(f"{root}/{temporary}", f"{root}/{shard_name(shard)}")
+                    out = None
+
+            for b in batches:
+                slots, lengths = b.column(0).to_numpy(), []
+                for slot, squeezed in zip(slots.tolist(), b.column(3), strict=True):
+                    if slot // shard_rows != shard:
+                        finish()
+                        shard = slot // shard_rows
+                        temporary = f".{shard_name(shard)}.{uuid.uuid4().hex}"
+                        out = fs.open_output_stream(f"{root}/{temporary}")
+                    if out.tell() != slot % shard_rows * stride:
+                        raise ValueError("a slot is missing or taken twice")
+                    ids = expand.decompress(squeezed.as_buffer())
+                    out.write((len(ids) // id_bytes).to_bytes(4, "little") + ids.ljust(stride - 4, b"\0"))
+                    lengths.append(len(ids) // id_bytes)
+                names = [shard_name(s) for s in (slots // shard_rows).tolist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(slots % shard_rows), pa.array(lengths, pa.int64()), b.column(1), b.column(2)], names=["slot", "shard", "row", "n_tokens", "sequence_id", "doc_ids"])
+            finish()
+
+        return shared.table(ordered.mapInArrow(written, f"slot long, shard string, row long, n_tokens long, sequence_id long, doc_ids array<{id_kind}>"))
+
+
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:09d}.bin"
 
 
 def manifest(index: DataFrame) -> DataFrame:
@@ -152,44 +172,50 @@ def manifest(index: DataFrame) -> DataFrame:
     return index.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count("*").alias("rows")).orderBy("first_slot")
 
 
-def read_from(spark: SparkSession, folder: str, shards: list[tuple[str, int, int]], slot: int = 0, size: int = 2048, id_bytes: int = 2) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, ids) from a slot on, in order, by one seek and then sequential reads; shards: rows of the manifest."""
+def read_from(folder: str, slot: int = 0, size: int = 2048, shard_rows: int = 4096, id_bytes: int = 2) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids) from a slot on, in order, by one seek and then sequential reads."""
     fs, root = _filesystem(folder)
     stride = 4 + size * id_bytes
-    for name, first, rows in shards:
-        if first + rows <= slot:
-            continue
-        with fs.open_input_file(f"{root}/{name}") as f:
-            at = max(slot - first, 0)
-            f.seek(at * stride)
-            for k in range(at, rows):
+    while (info := fs.get_file_info(f"{root}/{shard_name(slot // shard_rows)}")).is_file:
+        with fs.open_input_file(info.path) as f:
+            f.seek(slot % shard_rows * stride)
+            for slot in range(slot, slot - slot % shard_rows + info.size // stride):
                 record = f.read(stride)
-                n = int.from_bytes(record[:4], "little")
-                yield first + k, np.frombuffer(record, f"<u{id_bytes}", n, 4)
+                yield slot, np.frombuffer(record, f"<u{id_bytes}", int.from_bytes(record[:4], "little"), 4)
+        if info.size < shard_rows * stride:
+            return
+        slot += 1
 
 
 def read_back(index: DataFrame, folder: str, size: int = 2048, id_bytes: int = 2) -> DataFrame:
-    """(shard, row, length, ids_crc32) of every record, read from the shards by the executors, a shard a task."""
+    """The index with the length and ids_crc32 of each record as the shards have it; a shard is read by one task, in order."""
     stride = 4 + size * id_bytes
-    shards = manifest(index).select("shard", "rows")
+    schema = T.StructType([*index.schema.fields, T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
+        name, f = None, None
         for b in batches:
-            for name, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lengths, digests = [], []
-                with fs.open_input_file(f"{root}/{name}") as f:
-                    for _ in range(rows):
-                        record = f.read(stride)
-                        n = int.from_bytes(record[:4], "little")
-                        lengths.append(n)
-                        digests.append(zlib.crc32(np.frombuffer(record, f"<u{id_bytes}", n, 4).astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * rows), pa.array(range(rows), pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests, pa.int64())], names=["shard", "row", "length", "ids_crc32"])
+            lengths, digests = [], []
+            for shard, row in zip(b.column("shard").to_pylist(), b.column("row").to_pylist(), strict=True):
+                if shard != name:
+                    if f is not None:
+                        f.close()
+                    name, f = shard, fs.open_input_file(f"{root}/{shard}")
+                if f.tell() != row * stride:
+                    f.seek(row * stride)
+                record = f.read(stride)
+                n = int.from_bytes(record[:4], "little")
+                lengths.append(n)
+                digests.append(zlib.crc32(np.frombuffer(record, f"<u{id_bytes}", n, 4).astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lengths, pa.int64()), pa.array(digests, pa.int64())], names=schema.names)
+        if f is not None:
+            f.close()
 
-    return shards.repartition("shard").mapInArrow(run, "shard string, row long, length long, ids_crc32 long")
+    return index.repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(run, schema)
 
 
 def op3_training_order(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared.folder(spark)}/quillveil-shards-{uuid.uuid4().hex}"
     index = materialise(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
-    return index.join(read_back(index, folder), ["shard", "row"]).select("slot", "shard", "row", "n_tokens", "ids_crc32", "sequence_id", "doc_ids")
+    return read_back(index, folder).select("slot", "shard", "row", "n_tokens", "ids_crc32", "sequence_id", "doc_ids")

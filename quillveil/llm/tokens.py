@@ -63,8 +63,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.kind, self.low = _classes()
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.size = self.library.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(self.size)])
         self._forget()
 
     def _forget(self) -> None:
