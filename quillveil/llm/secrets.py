@@ -11,7 +11,7 @@ Findings of the base layer always stay; a decoded finding with an equal kind and
 Row by row, no shuffle.  Null text: as if empty.  Repeated rows: each by itself.  Texts of any length are read
 whole, and so are all members of compressed data; only a compressed layer over ``inflate_bytes`` isn't held (decompression
 bombs): it is scanned as a stream, but not unwrapped further, and ``n_unread`` counts such layers.  Redaction replaces
-the whole run of one.
+the whole run of one.  Positions are kept as arrays of runs, a few numbers for each encoded run.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ import bz2
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -64,55 +67,94 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST["hex"]]
 
 
-def _in_place(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int], list[int]] | None:
-    """Text with its encoded runs decoded, and for each character the span that it came from; None if nothing changed."""
-    out, start, end, at = [], [], [], 0
+class _Map:
+    """Where the characters of a decoded layer come from, as runs: character k of a run comes from width characters at lo + k * step.
+
+    above: the map of the layer that was decoded, None for the text itself.
+    """
+
+    __slots__ = ("at", "lo", "step", "width", "above")
+
+    def __init__(self, above: _Map | None):
+        self.at, self.lo, self.step, self.width = array("q"), array("q"), array("q"), array("q")
+        self.above = above
+
+    def add(self, at: int, lo: int, step: int, width: int) -> None:
+        for column, value in ((self.at, at), (self.lo, lo), (self.step, step), (self.width, width)):
+            column.append(value)
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        """The span of the text itself that characters start to end come from."""
+        i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
+        a = self.lo[i] + (start - self.at[i]) * self.step[i]
+        b = self.lo[j] + (end - 1 - self.at[j]) * self.step[j] + self.width[j]
+        return self.above.span(a, b) if self.above else (a, b)
+
+
+def _whole(start: int, end: int, above: _Map | None) -> _Map:
+    """All characters come from one span."""
+    out = _Map(above)
+    out.add(0, start, 0, end - start)
+    return out
+
+
+#: A decoded piece: its text, where its first character begins, and from one character to the next the step and the width.
+Run = tuple[str, int, int, int]
+
+
+def _in_place(text: str, pattern: re.Pattern, decode: Callable[[re.Match], list[Run] | None], above: _Map | None) -> tuple[str, _Map] | None:
+    """Text with its encoded runs decoded, and where its characters come from; None if nothing changed."""
+    out, origin, at, size = [], _Map(above), 0, 0
     for m in pattern.finditer(text):
-        if (pieces := decode(m)) is None:
+        if (runs := decode(m)) is None:
             continue
-        out.append(text[at : m.start()])
-        start.extend(range(at, m.start()))
-        end.extend(range(at + 1, m.start() + 1))
-        for piece, a, b in pieces:
-            out.append(piece)
-            start.extend([a] * len(piece))
-            end.extend([b] * len(piece))
+        for piece, lo, step, width in ((text[at : m.start()], at, 1, 1), *runs):
+            if piece:
+                out.append(piece)
+                origin.add(size, lo, step, width)
+                size += len(piece)
         at = m.end()
     if not at:
         return None
-    out.append(text[at:])
-    start.extend(range(at, len(text)))
-    end.extend(range(at + 1, len(text) + 1))
-    return "".join(out), start, end
+    if at < len(text):
+        out.append(text[at:])
+        origin.add(size, at, 1, 1)
+    return "".join(out), origin
+
+
+def _runs_of(pieces: Iterable[tuple[str, int]], at: int) -> list[Run]:
+    """Runs of (character, width) pieces that follow each other from a place on."""
+    out = []
+    for width, group in groupby(pieces, key=lambda x: x[1]):
+        text = "".join(c for c, _ in group)
+        out.append((text, at, width, width))
+        at += width * len(text)
+    return out
 
 
-def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
+def _percent(m: re.Match) -> list[Run] | None:
     raw = binascii.unhexlify(m[0].replace("%", ""))
     try:
         decoded = raw.decode("utf-8")
     except UnicodeDecodeError:  # other bytes stand for themselves
-        return [(chr(x), m.start() + 3 * i, m.start() + 3 * i + 3) for i, x in enumerate(raw)]
-    out, at = [], m.start()
-    for c in decoded:
-        out.append((c, at, at + 3 * len(c.encode())))
-        at = out[-1][2]
-    return out
+        return [(raw.decode("latin-1"), m.start(), 3, 3)]
+    return _runs_of(((c, 3 * len(c.encode())) for c in decoded), m.start()) if not raw.isascii() else [(decoded, m.start(), 3, 3)]
 
 
-def _escape(m: re.Match) -> list[tuple[str, int, int]] | None:
+def _escape(m: re.Match) -> list[Run] | None:
     s = m[0]
     if s.startswith("\\u") and s[2] != "{":
-        out, codes = [], [int(s[i + 2 : i + 6], 16) for i in range(0, len(s), 6)]
+        pieces, codes = [], [int(s[i + 2 : i + 6], 16) for i in range(0, len(s), 6)]
         i = 0
         while i < len(codes):
             pair = 0xD800 <= codes[i] < 0xDC00 and i + 1 < len(codes) and 0xDC00 <= codes[i + 1] < 0xE000
             c = 0x10000 + ((codes[i] - 0xD800) << 10) + codes[i + 1] - 0xDC00 if pair else codes[i]
-            out.append(("�" if 0xD800 <= c < 0xE000 else chr(c), m.start() + 6 * i, m.start() + 6 * (i + 1 + pair)))
+            pieces.append(("\ufffd" if 0xD800 <= c < 0xE000 else chr(c), 6 * (1 + pair)))
             i += 1 + pair
-        return out
+        return _runs_of(pieces, m.start())
     digits = s.strip("\\uUx{}&#X;")
     c = int(digits, 10 if s.startswith("&#") and s[2] not in "xX" else 16)
-    return None if c > 0x10FFFF or 0xD800 <= c < 0xE000 else [(chr(c), m.start(), m.end())]
+    return None if c > 0x10FFFF or 0xD800 <= c < 0xE000 else [(chr(c), m.start(), 0, m.end() - m.start())]
 
 
 def _members(data: bytes | memoryview, piece: int) -> Iterator[bytes]:
@@ -244,33 +286,34 @@ def unwrap(text: str, inflate_bytes: int = 1 << 26, gaps: list[tuple[int, int]]
     found: list[tuple[str, int, int, str]] = []
     unread = 0
     seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    work: list[tuple[str, list[int] | None, list[int] | None, str]] = [(text, None, None, "")]
+    work: list[tuple[str, _Map | None, str]] = [(text, None, "")]
     while work:
-        layer, start, end, path = work.pop()
-        below: list[tuple[str, list[int], list[int], str]] = []
+        layer, origin, path = work.pop()
+
+        def unwrapped(inside: str, own: _Map, name: str, place: bytes = b"", path: str = path) -> None:
+            key = hashlib.sha256(inside.encode("utf-8", "surrogatepass") + place).digest()
+            if key in seen:
+                return
+            seen.add(key)
+            way = f"{path}>{name}" if path else name
+            found.extend((kind, *own.span(i, j), way) for kind, i, j in find(inside))
+            work.append((inside, own, way))
+
         for name, pattern, decode in (("url", PERCENT, _percent), ("unicode", ESCAPE, _escape)):
             if ("%" if name == "url" else "\\") in layer or name == "unicode" and "&#" in layer:
-                if got := _in_place(layer, pattern, decode):
-                    below.append((got[0], got[1], got[2], name))
-        for m in (*BASE64.finditer(layer), *WRAPPED.finditer(layer)):
+                if got := _in_place(layer, pattern, decode, origin):
+                    unwrapped(*got, name)
+        for m in chain(BASE64.finditer(layer), WRAPPED.finditer(layer)):
             texts, left, kinds = _decoded(m[0], inflate_bytes)
-            unread += left
+            own = _whole(m.start(), m.end(), origin)
+            at = own.span(0, 1)
             if left:
-                at = (m.start(), m.end()) if start is None else (start[m.start()], end[m.end() - 1])
+                unread += left
                 found += [(kind, *at, f"{path}>{name}" if path else name) for kind, name in sorted(kinds)]
                 if gaps is not None:
                     gaps.append(at)
-            below += [(inside, [m.start()] * len(inside), [m.end()] * len(inside), name) for inside, name in texts]
-        for inside, a, b, name in below:
-            key = hashlib.sha256(inside.encode("utf-8", "surrogatepass") + (b"" if name in ("url", "unicode") else b"\0%d" % (a[0] if start is None else start[a[0]]))).digest()
-            if key in seen:
-                continue
-            seen.add(key)
-            if start is not None:
-                a, b = [start[i] for i in a], [end[i - 1] for i in b]
-            way = f"{path}>{name}" if path else name
-            found += [(kind, a[i], b[j - 1], way) for kind, i, j in find(inside)]
-            work.append((inside, a, b, way))
+            for inside, name in texts:
+                unwrapped(inside, own, name, b"\0%d" % at[0])
     return found, unread
 
 
