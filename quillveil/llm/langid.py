@@ -10,6 +10,8 @@ Prototypes are sums of integers, exact and independent of order; training adds t
 language in one small shuffle of (language, dimension) sums.  What is broadcast is one vector for each learned
 language.  Scoring is row by row over whole texts.  Null texts and texts without a letter: ``und``, score 0.
 Null languages are not learned from; without any prototype every text is ``und``.  Ties go to the language first in order.
+Repeated rows: each learned from and scored.  An empty table gives no prototype and an empty result.  Vectors of trigrams
+are made in blocks, so the memory of a text follows its length, not the number of its trigrams.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import types as T
 from . import textkit as K
 
 UNKNOWN = "und"
-#: Cells of a document-by-trigram matrix handled at once.
-_CELLS = 6_000_000
+#: Trigrams whose vectors are made at once, and cells of a document-by-trigram matrix.
+_GRAMS, _CELLS = 2048, 3_000_000
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -84,17 +86,21 @@ class Profiles:
         at = doc[2:][same]
         code = ((own[:-2] * size + own[1:-1]) * size + own[2:])[same]
         grams, local = self._index(code, size**3)
+        by_gram = np.argsort(local.astype(np.uint16) if len(grams) <= 1 << 16 else local, kind="stable")
+        at, local = at[by_gram], local[by_gram]
         vectors = _vectors(symbols, self.dims)
-        a, b, c = grams // (size * size), grams // size % size, grams % size
-        bound = (np.roll(vectors, 2, 1)[a] * np.roll(vectors, 1, 1)[b] * vectors[c]).astype(np.float32)
-        step = max(1, _CELLS // len(grams))
-        cut = np.searchsorted(at, np.arange(0, docs + step, step))
-        for j, lo in enumerate(range(0, docs, step)):
-            hi = min(lo + step, docs)
-            x, y = cut[j], cut[j + 1]
-            if x < y:
-                counts = np.bincount((at[x:y] - lo) * len(grams) + local[x:y], minlength=(hi - lo) * len(grams)).astype(np.float32)
-                out[lo:hi] = counts.reshape(hi - lo, len(grams)) @ bound
+        second, first_ = np.roll(vectors, 1, 1), np.roll(vectors, 2, 1)
+        for lo in range(0, len(grams), _GRAMS):
+            own_grams = grams[lo : lo + _GRAMS]
+            x, y = np.searchsorted(local, (lo, lo + len(own_grams)))
+            a, b, c = own_grams // (size * size), own_grams // size % size, own_grams % size
+            bound = (first_[a] * second[b] * vectors[c]).astype(np.float32)
+            step = max(1, _CELLS // len(own_grams))
+            some, row = (np.arange(docs), at[x:y]) if docs <= step else np.unique(at[x:y], return_inverse=True)
+            for k in range(0, len(some), step):
+                texts, use = some[k : k + step], slice(None) if len(some) <= step else (row >= k) & (row < k + step)
+                counts = np.bincount((row[use] - k) * len(own_grams) + local[x:y][use] - lo, minlength=len(texts) * len(own_grams)).astype(np.float32)
+                out[texts] += counts.reshape(len(texts), len(own_grams)) @ bound
         return out, letters
 
     @staticmethod
