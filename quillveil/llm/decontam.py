@@ -10,11 +10,13 @@ in items or windows of 5 to 9 words.
 
 The benchmark is the stated query set: it is sent to the executors in blocks of at most ``block_words``
 words (a proven size), and each block passes over all documents, so there is no shuffle and no limit
-on the number of items.  Memory is bounded by the block and by a chunk of documents.
+on the number of items; a benchmark of n blocks reads the documents n times.  Memory is bounded by the block, a chunk of documents
+and the hits that are compared at once, however many items share a seed.
 
 Null or empty texts match nothing.  Items with fewer than ``least_item_words`` words are too short to be
 evidence and match nothing.  A document row that repeats is judged by itself; equal benchmark rows each
-give their pairs.
+give their pairs.  Very long texts are read whole.  An empty table gives an empty result.  If both ids have one name, the item's
+gets an underscore; other extra columns are never read (pairs) or kept as they are (filter).
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from . import textkit as K
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 8), (0, 1, 2, 6, 8), (0, 1, 2, 3, 4))
 #: Further masks, for items or windows of fewer than SHORT words.
 SHORT_MASKS, SHORT = ((0, 1, 2), (0, 1, 3)), 10
+#: Hits, and words along diagonals, that are compared at once.
+_HITS = 1 << 20
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -82,7 +86,7 @@ def matches(buf: np.ndarray, off: np.ndarray, block: Block) -> dict[str, np.ndar
     if not len(w.start) or not len(block.words):
         return none
     h = K.range_hashes(buf, w.start, w.end)
-    parts = []
+    best = np.zeros((6, 0), np.int64)
     for k, mask in enumerate(MASKS + SHORT_MASKS):
         keys, at, item, sieve, bits = block.seeds[k]
         if not len(keys):
@@ -91,32 +95,57 @@ def matches(buf: np.ndarray, off: np.ndarray, block: Block) -> dict[str, np.ndar
         maybe = np.flatnonzero(sieve[(own >> K.U64(64 - bits)).astype(np.int64)])
         lo = np.searchsorted(keys, own[maybe])
         many = np.searchsorted(keys, own[maybe], side="right") - lo
-        total = int(many.sum())
-        if not total:
-            continue
-        hit = np.repeat(lo, many) + np.arange(total) - np.repeat(np.cumsum(many) - many, many)
-        parts.append(np.stack([np.repeat(maybe, many), at[hit], item[hit]]))
-    if not parts:
-        return none
-    place, at, item = np.concatenate(parts, axis=1)
-    doc = np.searchsorted(w.first, place, side="right") - 1
-    diagonal = place - (at - block.first[item])  # the document's word where the item would begin
-    one = np.unique(np.stack([doc, item, diagonal]), axis=1)
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for d, i, begin in one.T.tolist():
-        bench = block.words[block.first[i] : block.first[i + 1]]
-        n = len(bench)
-        a, b = max(begin, int(w.first[d])), min(begin + n, int(w.first[d + 1]))
-        same = np.zeros(n + 1, np.int64)
-        same[a - begin + 1 : b - begin + 1] = h[a:b] == bench[a - begin : b - begin]
-        total = np.cumsum(same)
-        size = min(block.window, n)
-        runs = total[size:] - total[:-size]
-        best = int(runs.argmax())
-        if runs[best] >= size - size // 4 and found.get((d, i), (0,)) < (int(runs[best]), int(total[-1])):
-            found[d, i] = (int(runs[best]), int(total[-1]), begin + best - int(w.first[d]))
-    rows = sorted((d, i, *x) for (d, i), x in found.items())
-    return {k: np.array([r[j] for r in rows], np.int64) for j, k in enumerate(none)}
+        maybe, lo, many = maybe[many > 0], lo[many > 0], many[many > 0]
+        total = np.concatenate([[0], np.cumsum(many)])
+        cut = 0
+        while cut < len(many):  # a seed of many items and many places: so many hits at once
+            to = max(cut + 1, int(np.searchsorted(total, total[cut] + _HITS, side="right")) - 1)
+            each = many[cut:to]
+            hit = np.repeat(lo[cut:to] - (total[cut:to] - total[cut]), each) + np.arange(total[to] - total[cut])
+            place = np.repeat(maybe[cut:to], each)
+            doc = np.searchsorted(w.first, place, side="right") - 1
+            begin = place - (at[hit] - block.first[item[hit]])  # the document's word where the item would begin
+            found = _along(h, w.first, block, np.unique(np.stack([doc, item[hit], begin]), axis=1))
+            best = _best(np.concatenate([best, found], axis=1))
+            cut = to
+    doc, item, window_matches, item_matches, start, _ = best
+    return {"doc": doc, "item": item, "window_matches": window_matches, "item_matches": item_matches, "start": start}
+
+
+def _along(h: np.ndarray, first: np.ndarray, block: Block, diagonals: np.ndarray) -> np.ndarray:
+    """(document, item, window_matches, item_matches, start, begin) of the diagonals (document, item, begin) that count."""
+    doc, item, begin = diagonals
+    size = (block.first[item + 1] - block.first[item]).astype(np.int64)
+    out, total, at = [np.zeros((6, 0), np.int64)], np.concatenate([[0], np.cumsum(size)]), 0
+    while at < len(doc):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + _HITS, side="right")) - 1)
+        d, i, b, n = doc[at:to], item[at:to], begin[at:to], size[at:to]
+        base = total[at:to] - total[at]
+        inner = np.arange(total[to] - total[at]) - np.repeat(base, n)
+        where = np.repeat(b, n) + inner
+        inside = (where >= np.repeat(first[d], n)) & (where < np.repeat(first[d + 1], n))
+        same = inside & (h[np.clip(where, 0, len(h) - 1)] == block.words[np.repeat(block.first[i], n) + inner])
+        sums = np.concatenate([[0], np.cumsum(same)])
+        window = np.minimum(block.window, n)
+        starts = n - window + 1
+        edge = np.concatenate([[0], np.cumsum(starts)])
+        offset = np.arange(edge[-1]) - np.repeat(edge[:-1], starts)
+        from_ = np.repeat(base, starts) + offset
+        runs = sums[from_ + np.repeat(window, starts)] - sums[from_]
+        most = np.maximum.reduceat(runs, edge[:-1])
+        lead = np.minimum.reduceat(np.where(runs == np.repeat(most, starts), offset, len(h) + len(block.words)), edge[:-1])
+        good = most >= window - window // 4
+        out.append(np.stack([d, i, most, sums[base + n] - sums[base], b + lead - first[d], b])[:, good])
+        at = to
+    return np.concatenate(out, axis=1)
+
+
+def _best(found: np.ndarray) -> np.ndarray:
+    """For each (document, item) the diagonal with the best window, then the most matches, then the first."""
+    found = found[:, np.lexsort((found[5], -found[3], -found[2], found[1], found[0]))]
+    new = np.ones(found.shape[1], bool)
+    new[1:] = (found[0, 1:] != found[0, :-1]) | (found[1, 1:] != found[1, :-1])
+    return found[:, new]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, window: int, least: int, block_words: int) -> Iterator[Block]:
