@@ -2,12 +2,13 @@
 
 A document's features are the distinct hashes of its lower-cased words, stripped of ASCII punctuation, of
 pairs of neighbours and of pairs with one or two words between.  Training reads a bounded sample of the labelled rows
-(``sample_rows``, the documented bound; chosen by a hash of the id, so the same at every run),
-hashes it in parallel and fits the model in one task with per-coordinate rates; L1 leaves few weights,
-at most one for each of 2**bits hash slots, which are broadcast.  Scoring is row by row, whole texts.
+(at most ``sample_rows`` labels and ``sample_bytes`` of their texts, the documented bounds; in the order of a hash of the id, so the same at every
+run), hashes it in parallel and fits the model in one task with per-coordinate rates; that task holds four numbers of 4 bytes for a word
+at most.  L1 leaves few weights, at most one for each of 2**bits hash slots, which are broadcast.  Scoring is row by row, whole texts.
 
 Null or empty texts have no features and get the score of the bias alone.  Rows without a usable label (null,
-or neither 0 nor 1) are not learned from.  Without any labelled row every score is 0.
+or neither 0 nor 1) are not learned from; of several labels of an id the largest counts.  Without any labelled row every score is 0.
+Repeated documents are learned from once for each row and count towards the bounds.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -73,12 +74,17 @@ def train(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float, beta: flo
     return Weights(slot, weight(z[slot], n[slot]).astype(np.float64), float(-zb / ((beta + nb**0.5) / alpha + l2)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 24, sample_rows: int = 20_000, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 3) -> Weights:
-    """Weights learned from at most sample_rows labelled rows for which learn (over the label table's id) holds."""
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 24, sample_rows: int = 20_000, sample_bytes: int = 1 << 27, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 3) -> Weights:
+    """Weights learned from labelled rows for which learn (over the label table's id) holds: at most sample_rows labels, and texts of sample_bytes."""
     key = F.col(f"`{doc}`")
     chosen = labels.where(F.col(label).isin(0, 1) & key.isNotNull() & learn).groupBy(key.alias("k")).agg(F.max(label).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(sample_rows)
-    texts = docs.select(key.alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen), "k").select("k", "t", "y")
+    chosen = chosen.withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(sample_rows)
+    texts = docs.select(key.alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen), "k")
+    sizes = texts.groupBy("h", "k").agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0))).alias("bytes")).select("h", "bytes").toArrow().sort_by("h")  # sample_rows at most
+    over = np.flatnonzero(np.cumsum(sizes["bytes"].to_numpy()) > sample_bytes)
+    if len(over):
+        texts = texts.where(F.col("h") < int(sizes["h"][over[0]].as_py()))
+    texts = texts.select("k", "t", "y")
 
     def hashed(batches):
         for whole in batches:
