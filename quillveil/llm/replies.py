@@ -1,8 +1,8 @@
 """Chat formatting of reply trees.
 
 Messages form trees by their parents.  Iterative self-joins double the distance that each message
-sees towards its root, so a tree of depth d takes about log2(d) joins and n log2(d) rows, never all
-paths: they give each leaf's path length and total score.  The branches of a conversation are ranked
+sees towards its root, so a tree of depth d takes about log2(d) joins, in which only messages that haven't reached their root
+take part, never all paths: they give each leaf's path length and total score.  The branches of a conversation are ranked
 by total score (then length, then the leaf's id), the chosen leaves' ancestors are marked by the same jumps from the largest down, and each
 chosen root-to-leaf path becomes one formatted conversation with a loss mask over its assistant texts.
 
@@ -10,7 +10,9 @@ The template marks turns with control strings.  Where a text holds one, with n b
 of them, and reading back halves them; a control string of the template itself never follows a backslash.
 
 Null text or role: empty.  A missing parent makes a root.  Messages under a cycle of parents have no root and
-belong to no path.  Ties of score and length go to the smaller leaf.  Extra columns are ignored.
+belong to no path.  Ties of score and length go to the smaller leaf.  Extra columns are ignored.  Very long texts are formatted
+whole; a conversation is one row, so it has to fit in a task.  An empty table gives an empty result.  Texts are written once (to
+number the messages) and shuffled only to their path; the tables of the joins are narrow and are removed.
 """
 
 from __future__ import annotations
@@ -76,28 +78,31 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
 
     nodes: (node, parent, conversation, score), node a unique long.
     """
-    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
-    first = nodes.join(known, "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("length"))
-    jumps = [shared.table(first)]
-    most = max(2, nodes.count()).bit_length()  # beyond that only cycles are left
-    while len(jumps) <= most and not jumps[-1].where("up is not null").isEmpty():
-        now = jumps[-1]
-        far = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
-        climbing = now.where("up is not null").join(far, "up")  # those at a root stay as they are
-        step = climbing.select("node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("further")).alias("length"))
-        step = step.unionByName(now.where("up is null"))
-        jumps.append(shared.table(step))
-    ended = jumps[-1].where("up is null").join(nodes.select("node", "conversation"), "node")
-    leaves = ended.join(first.where("up is not null").select(F.col("up").alias("node")).distinct(), "node", "left_anti")
-    rank = Window.partitionBy("conversation").orderBy(F.desc("total"), F.desc("length"), "node")
-    best = leaves.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= branches)
-    marked = shared.table(best.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("place"), "rank"))
-    for k in range(len(jumps) - 1, -1, -1):
-        jump = jumps[k].where("up is not null").select("node", "up")
-        marked = marked.union(marked.join(jump, "node").select("leaf", F.col("up").alias("node"), (F.col("place") + (1 << k)).alias("place"), "rank"))
-        if k % 4 == 0:
-            marked = shared.table(marked)
-    return marked
+    with shared.Scratch(nodes.sparkSession) as scratch:
+        nodes = scratch.table(nodes)
+        known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
+        first = nodes.join(known, "parent", "left").select("node", "conversation", F.when(F.col("there"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("length"))
+        first = scratch.table(first)
+        # those at a root are finished; a jump table holds only what still climbs
+        ended, jumps = first.where("up is null"), [first.where("up is not null")]
+        most = max(2, nodes.count()).bit_length()  # beyond that only cycles are left
+        while len(jumps) <= most and not jumps[-1].isEmpty():
+            now = jumps[-1]
+            far = now.unionByName(ended).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
+            step = now.join(far, "up").select("node", "conversation", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("further")).alias("length"))
+            step = scratch.table(step)
+            ended = ended.unionByName(step.where("up is null"))
+            jumps.append(step.where("up is not null"))
+        leaves = ended.join(first.where("up is not null").select(F.col("up").alias("node")).distinct(), "node", "left_anti")
+        rank = Window.partitionBy("conversation").orderBy(F.desc("total"), F.desc("length"), "node")
+        best = leaves.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= branches)
+        marked = scratch.table(best.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("place"), "rank"))
+        for k in range(len(jumps) - 1, -1, -1):
+            jump = jumps[k].select("node", "up")
+            marked = marked.union(marked.join(jump, "node").select("leaf", F.col("up").alias("node"), (F.col("place") + (1 << k)).alias("place"), "rank"))
+            if k % 4 == 0 and k:
+                marked = scratch.table(marked)
+        return shared.table(marked)
 
 
 def _formatted(messages: DataFrame, paths: DataFrame) -> DataFrame:
@@ -127,18 +132,22 @@ def format_reply_trees(messages: DataFrame, conversation: str = "conv_id", node:
     rows = shared.table(told_apart.withColumn("node", F.monotonically_increasing_id()))
     best = F.min_by("node", F.struct(-F.coalesce("score", F.lit(float("-inf"))), "role", "text", "of"))
     above = rows.where("id is not null").groupBy(F.col("conversation").alias("c"), F.col("id").alias("of_id")).agg(best.alias("parent"))
-    linked = rows.join(above, rows["conversation"].eqNullSafe(above["c"]) & (rows["of"] == above["of_id"]), "left").select("node", "parent", "conversation", "role", "text", "score")
-    linked = shared.table(linked)
-    return _formatted(linked.select("node", "conversation", "role", "text"), chosen_paths(linked.select("node", "parent", "conversation", "score"), branches))
+    own = rows.select("node", "conversation", "of", "score")
+    linked = own.join(above, own["conversation"].eqNullSafe(above["c"]) & (own["of"] == above["of_id"]), "left").select("node", "parent", "conversation", "score")
+    return _formatted(rows.select("node", "conversation", "role", "text"), chosen_paths(linked, branches))
 
 
 def format_conversations(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Linear conversations: each row answers the one before it by turn (ties by role, then text)."""
     own = turns.select(F.col(f"`{conversation}`").alias("conversation"), F.col(f"`{turn}`").alias("turn"), F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").alias("text"), F.lit(0.0).alias("score"))
     rows = shared.table(own.withColumn("node", F.monotonically_increasing_id()))
-    order = Window.partitionBy("conversation").orderBy("turn", "role", "text", "node")
-    linked = shared.table(rows.withColumn("parent", F.lag("node").over(order)))
-    return _formatted(linked.select("node", "conversation", "role", "text"), chosen_paths(linked.select("node", "parent", "conversation", "score")))
+    same = ["conversation", "turn", "role"]
+    tied = rows.groupBy(*same).agg(F.count("*").alias("many")).where("many > 1").drop("many")
+    on = [rows[c].eqNullSafe(tied[c]) for c in same]
+    ties = rows.join(tied, on[0] & on[1] & on[2], "left_semi").select("node", F.dense_rank().over(Window.partitionBy(*same).orderBy("text")).alias("tie"))
+    order = Window.partitionBy("conversation").orderBy("turn", "role", "tie", "node")  # texts go along only where they decide
+    linked = rows.select("node", "conversation", "turn", "role", "score").join(ties, "node", "left").select("node", F.lag("node").over(order).alias("parent"), "conversation", "score")
+    return _formatted(rows.select("node", "conversation", "role", "text"), chosen_paths(linked))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
