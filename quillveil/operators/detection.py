@@ -8,79 +8,107 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.folding import Folded
 from ..functions.identifiers import VALIDATORS
 from ..sources import catalogs
-from .resolution import settle
+from .resolution import checksummed, settle
 from .spans import ARROW_SPANS, SPANS_TYPE, Span
 
 #: Holds of every text with a finding of the built-in catalog: an at sign or two numeric characters, before folding too.
 CANDIDATE = r"[@﹫＠]|\p{N}[^\p{N}]*\p{N}|[㈀-㏿\x{1F100}-\x{1F2FF}]"
+#: Some character that folding may turn into a letter, digit or separator, or that isn't known not to be one; and, in texts without
+#: such a character, what every text with a finding holds (see the gates of the rules).
+FOLDABLE = r"[^\x00-\x7F¡-§©«-®°±µ-·»¿-ÿŒœ‘’“”„€]"
+PLAIN_CANDIDATE = r"@|[0-9](?:[ ./-]?[ABab]?[ ./-]?[0-9]){8}|[A-Za-z]{2}[0-9]{2}[ -]?[A-Za-z0-9]{4}"
+#: Characters that a word of context may take, and the most that a boost gives.
 _REACH = 64
 _CAP = 0.99
-_WORD = re.compile(r"\w")
+_WORD = re.compile(r"\w+")
+_BREAK = re.compile("[ .-]")
 
 #: Spans of further recognizers in a text, such as a named-entity model; runs in the Python worker.
 Recognizer = Callable[[str], Iterable[Span]]
 
 
-def _triggered(boost: catalogs.Boost, text: str, start: int, end: int) -> bool:
-    """Whether a trigger is among the boost's number of words before the candidate, or after it."""
-    lo, hi = max(0, start - boost.window * _REACH), min(len(text), end + boost.window * _REACH)
-    before, after = re.findall(r"\w+", text[lo:start].lower()), re.findall(r"\w+", text[end:hi].lower())
-    if lo and _WORD.match(text[lo - 1]) and _WORD.match(text[lo]):
-        before = before[1:]  # the reach begins inside a word
-    if hi < len(text) and _WORD.match(text[hi - 1]) and _WORD.match(text[hi]):
-        after = after[:-1]
-    return any(boost.triggers.search(" ".join(side)) for side in (before[-boost.window :], after[: boost.window]))
+class Context:
+    """The words around a place of a text; they are looked up once for a text, when first asked for."""
 
+    def __init__(self, text: str):
+        self.text = text
 
-def _valid_part(rule: catalogs.Rule, value: str) -> str | None:
-    """The candidate, or what is left of it after dropping trailing words with a letter until it validates."""
+    @cached_property
+    def places(self) -> tuple[list[int], list[int]]:
+        found = [m.span() for m in _WORD.finditer(self.text)]
+        return [a for a, _ in found], [b for _, b in found]
+
+    def sides(self, start: int, end: int, count: int) -> tuple[str, str]:
+        """The last count words before start and the first after end, each wholly within its reach."""
+        begins, ends = self.places
+        here, beyond = bisect_left(begins, start), bisect_right(ends, end)
+        left = (self.text[a : min(b, start)] for a, b in zip(begins[max(0, here - count) : here], ends[max(0, here - count) : here], strict=True) if a >= start - count * _REACH)
+        right = (self.text[max(a, end) : b] for a, b in zip(begins[beyond : beyond + count], ends[beyond : beyond + count], strict=True) if b <= end + count * _REACH)
+        return catalogs.words(" ".join(left)), catalogs.words(" ".join(right))
+
+    def boosts(self, boost: catalogs.Boost, start: int, end: int) -> bool:
+        return any(map(boost.triggers.search, self.sides(start, end, boost.window)))
+
+
+def _shorter(candidate: str) -> Iterator[str]:
+    """The candidate without its last words, one more each time, as long as what goes has a letter."""
+    end = len(candidate)
+    for cut in [m.start() for m in _BREAK.finditer(candidate, 1)][::-1]:
+        if not any(map(str.isalpha, candidate[cut + 1 : end])):
+            return
+        yield candidate[:cut]
+        end = cut
+
+
+def _accepted(rule: catalogs.Rule, candidate: str) -> str | None:
+    """What of a candidate the rule's validator accepts: all of it, or what a greedy tail leaves."""
     if rule.validator is None:
-        return value
+        return candidate
     valid = VALIDATORS[rule.validator]
-    if valid(value):
-        return value
-    while (cut := max(map(value.rfind, " -."))) > 0 and any(c.isalpha() for c in value[cut + 1 :]):
-        value = value[:cut]
-        if rule.pattern.fullmatch(value) and valid(value):
-            return value
-    return None
+    return candidate if valid(candidate) else next((x for x in _shorter(candidate) if rule.pattern.fullmatch(x) and valid(x)), None)
 
 
 class Finder:
     """Finds spans in one text; built once in a worker."""
 
-    def __init__(self, rules: tuple[catalogs.Rule, ...] | None = None, recognizers: tuple[Recognizer, ...] = (), specificity: dict[str, int] | None = None):
-        self.rules = catalogs.rules(catalogs.IDENTIFIERS) if rules is None else rules
-        self.recognizers = recognizers
+    def __init__(self, rules: tuple[catalogs.Rule, ...] | None = None, recognizers: tuple[Recognizer, ...] = (), specificity: dict[str, int] | None = None, untouchable: Callable[[Span], bool] = checksummed):
+        self.rules = catalogs.built_in() if rules is None else rules
+        self.recognizers, self.untouchable = recognizers, untouchable
         self.specificity = {r.entity_type: r.specificity for r in self.rules} | (specificity or {})
 
+    def _confidence(self, rule: catalogs.Rule, context: Context, start: int, end: int) -> tuple[float, bool]:
+        """(confidence, boosted) of a match; a boost never lowers it and never makes it certain."""
+        sure = rule.confidence
+        if rule.boost is None or sure >= 1 or not context.boosts(rule.boost, start, end):
+            return sure, False
+        return max(sure, min(_CAP, round(sure + rule.boost.value, 9))), True
+
     def raw(self, text: str) -> list[Span]:
         """All findings of the rules, overlaps included."""
-        folded, out = Folded(text), []
-        has_at = "@" in folded.text
+        folded = Folded(text)
+        context, open_ = Context(folded.text), {}
+        for gate in {r.gate for r in self.rules if r.gate is not None}:
+            open_[gate] = gate.search(folded.text) is not None
+        out = []
         for rule in self.rules:
-            if rule.id == "email" and not has_at:
-                continue
-            for m in rule.pattern.finditer(folded.text):
-                value = _valid_part(rule, m[0])
-                if value is None:
-                    continue
-                end, confidence = m.start() + len(value), rule.confidence
-                boosted = rule.boost is not None and confidence < 1 and _triggered(rule.boost, folded.text, m.start(), end)
-                if boosted:
-                    confidence = max(confidence, min(round(confidence + rule.boost.value, 9), _CAP))
-                if confidence >= rule.threshold:
-                    out.append(Span(rule.entity_type, *folded.span(m.start(), end), confidence, f"catalog:{rule.id}", rule.tier, boosted))
+            for m in rule.pattern.finditer(folded.text) if open_.get(rule.gate, True) else ():
+                if (value := _accepted(rule, m[0])) is not None:
+                    start, end = m.start(), m.start() + len(value)
+                    sure, boosted = self._confidence(rule, context, start, end)
+                    if sure >= rule.threshold:
+                        out.append(Span(rule.entity_type, *folded.span(start, end), sure, f"catalog:{rule.id}", rule.tier, boosted))
         return out
 
     def __call__(self, text: str | None) -> list[Span]:
@@ -90,33 +118,40 @@ class Finder:
         spans = self.raw(text)
         for recognizer in self.recognizers:
             spans += recognizer(text)
-        return settle(spans, self.specificity) if spans else []
+        return settle(spans, self.specificity, self.untouchable) if spans else []
+
+
+def candidate(text: Column) -> Column:
+    """Whether a text can hold a finding of the built-in catalog; decided natively."""
+    return text.rlike(CANDIDATE) & (text.rlike(FOLDABLE) | text.rlike(PLAIN_CANDIDATE))
 
 
 def version(catalog: str | None = None) -> str:
     """32 hex digits that change with the rules, so that results of other rules can be told apart."""
     h = hashlib.sha256()
-    for part in [repr(catalogs.IDENTIFIERS) if catalog is None else catalog, CANDIDATE]:
+    for part in [repr(catalogs.IDENTIFIERS) if catalog is None else catalog, CANDIDATE, FOLDABLE, PLAIN_CANDIDATE]:
         h.update(len(part).to_bytes(8, "big") + part.encode())
     return h.hexdigest()[:32]
 
 
-def detect(df: DataFrame, text: str = "text", into: str = "spans", catalog: str | None = None, recognizers: tuple[Recognizer, ...] = (), specificity: dict[str, int] | None = None, keep: list[str] | None = None) -> DataFrame:
+def detect(df: DataFrame, text: str = "text", into: str = "spans", catalog: str | None = None, recognizers: tuple[Recognizer, ...] = (), specificity: dict[str, int] | None = None, untouchable: Callable[[Span], bool] = checksummed, keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all, unless named) and an array of resolved spans.
 
     catalog: YAML text instead of the built-in rules; then no row is skipped natively.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c != into]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(into, SPANS_TYPE)])
-    candidate = F.col(f"`{text}`") if catalog is not None or recognizers else F.when(F.col(f"`{text}`").rlike(CANDIDATE), F.col(f"`{text}`"))
+    own = F.col(f"`{text}`")
+    asked = own if catalog is not None or recognizers else F.when(candidate(own), own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Finder(None if catalog is None else catalogs.from_yaml(catalog), recognizers, specificity)
+        find = Finder(None if catalog is None else catalogs.from_yaml(catalog), recognizers, specificity, untouchable)
         for b in batches:
-            found = [[s._asdict() for s in find(t)] if t else [] for t in b.column(b.num_columns - 1).to_pylist()]
+            texts = b.column(b.num_columns - 1)
+            found = [[s._asdict() for s in find(t.as_py())] if t.is_valid else [] for t in texts]  # one text at a time
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, ARROW_SPANS)], names=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], candidate.alias("__candidate")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in keep], asked.alias("__candidate")).mapInArrow(run, schema)
 
 
 def findings(df: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:

@@ -7,13 +7,12 @@ counter across types; the first type seen names a value for good, and types outs
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import tables
 from ..sources.catalogs import ENTITY_TYPES, FALLBACK_TYPE
 from .detection import detect
 
@@ -36,36 +35,52 @@ def written_tokens(df: DataFrame, session: list[str], text: str = "text") -> Dat
 
 
 def first_values(found: DataFrame, session: list[str], position: list[str]) -> DataFrame:
-    """(session, value, entity_type, first) of each distinct value: its first position and the type it had there."""
+    """(session, value, entity_type, first) of each distinct value: its first position (nulls first) and the type it had there."""
     at = F.struct(*position)
     return found.groupBy(*session, "value").agg(F.min_by(known_type(F.col("entity_type")), at).alias("entity_type"), F.min(at).alias("first"))
 
 
+def _ranked(values: DataFrame, session: list[str]) -> DataFrame:
+    """values with __rank, their place in their session by first; sessions are cut into ranges, so a large one is no task's alone."""
+    part = tables.fresh(values, "__part")
+    ranged = tables.table(values.repartitionByRange(*[F.col(f"`{c}`").asc_nulls_first() for c in session], F.col("first").asc()).withColumn(part, F.spark_partition_id()))
+    keys = [F.col(f"`{c}`") for c in session]
+    local = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys, part).orderBy("first")))
+    sizes = ranged.groupBy(*keys, part).agg(F.count("*").alias("__size"))  # a row for each range of a session
+    before = sizes.withColumn("__before", F.sum("__size").over(Window.partitionBy(*keys).orderBy(part)) - F.col("__size"))
+    both = local.join(before.drop("__size"), tables.same(local, before, [*session, part]), "left")
+    return both.select(*[local[c] for c in values.columns], (local["__rank"] + F.coalesce(before["__before"], F.lit(0))).cast("int").alias("__rank"))
+
+
 def number(values: DataFrame, session: list[str], literals: DataFrame | None = None) -> DataFrame:
-    """Adds n and placeholder.  Sessions with literals go through a sequential numbering, all others through a window."""
-    n = F.row_number().over(Window.partitionBy(*session).orderBy("first"))
+    """Adds n and placeholder.  Where callers wrote literals, a session's ranks and types go through a sequential numbering that steps over theirs.
+
+    session may be empty: then all values are one session's.
+    """
+    ranked = _ranked(values, session)
     if literals is None:
-        out = values.withColumn("n", n)
-        return out.withColumn("placeholder", F.format_string("[%s_%d]", "entity_type", "n"))
-    special = literals.select(*session).distinct()
-    plain = number(values.join(special, session, "left_anti"), session)
-    reserved = literals.groupBy(*session).agg(F.collect_set("token").alias("reserved"))
-    schema = T.StructType([*plain.schema.fields])
-
-    def skip(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rank").reset_index(drop=True)
-        held, at, ns = set(pdf["reserved"].iloc[0]), 0, []
-        for kind in pdf["entity_type"]:
-            at += 1
-            while f"[{kind}_{at}]" in held:
+        numbered = ranked.withColumn("n", F.col("__rank"))
+    else:
+        reserved = literals.groupBy(*session).agg(F.collect_set("token").alias("__reserved")) if session else literals.agg(F.collect_set("token").alias("__reserved"))
+        ranked = tables.table(ranked)
+        special = ranked.select(*session, "__rank", "entity_type").join(F.broadcast(reserved) if not session else reserved, tables.same(ranked, reserved, session), "inner").select(*[ranked[c] for c in session], "__rank", "entity_type", "__reserved")
+        schema = T.StructType([*[ranked.schema[c] for c in session], ranked.schema["__rank"], T.StructField("__n", T.IntegerType())])
+
+        def skip(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("__rank").reset_index(drop=True)
+            held, at, ns = set(pdf["__reserved"].iloc[0]), 0, []
+            for kind in pdf["entity_type"]:
                 at += 1
-            ns.append(at)
-        pdf["n"] = ns
-        pdf["placeholder"] = [f"[{k}_{i}]" for k, i in zip(pdf["entity_type"], ns, strict=True)]
-        return pdf[schema.names]
+                while f"[{kind}_{at}]" in held:
+                    at += 1
+                ns.append(at)
+            pdf["__n"] = ns
+            return pdf[schema.names]
 
-    ranked = values.withColumn("__rank", n).join(reserved, session)
-    return plain.unionByName(ranked.groupBy(*session).applyInPandas(skip, schema)) if session else plain
+        moved = special.groupBy(*session).applyInPandas(skip, schema)
+        at = tables.same(ranked, moved, [*session, "__rank"])
+        numbered = ranked.join(moved, at, "left").select(*[ranked[c] for c in ranked.columns], F.coalesce(moved["__n"], ranked["__rank"]).alias("n"))
+    return numbered.drop("__rank").withColumn("placeholder", F.format_string("[%s_%d]", "entity_type", "n"))
 
 
 def splice(text: Column, pieces: Column) -> Column:
@@ -80,20 +95,27 @@ def splice(text: Column, pieces: Column) -> Column:
 
 
 def pseudonymize(df: DataFrame, session: list[str], position: list[str], text: str = "text", literals: bool = True, **options) -> tuple[DataFrame, DataFrame]:
-    """(df with masked text, mapping).  position orders the rows of a session; together they tell rows apart.
+    """(df with masked text, mapping).  position orders the rows of a session; it need not tell them apart.
 
+    Texts are searched once.  Rows have a number of their own, so null or equal sessions and positions mask like any others (a null is a
+    session, rows at one position are in any order); an empty session means one mapping for all rows.
     The mapping is the only table that holds values: session, value, entity_type, first, n, placeholder.
     Null texts stay null.
     """
-    spans = detect(df, text, "__spans", keep=[*dict.fromkeys([*session, *position, text])], **options)
-    found = spans.select(*dict.fromkeys([*session, *position]), F.col(f"`{text}`").alias("__text"), F.explode("__spans").alias("s"))
-    found = found.select(*dict.fromkeys([*session, *position]), F.col("s.start").alias("__start"), F.col("s.end").alias("__end"), F.col("s.entity_type").alias("entity_type"), F.substring("__text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
-    mapping = number(first_values(found, session, [*position, "__start"]), session, written_tokens(df, session, text) if literals else None)
-    keys = list(dict.fromkeys([*session, *position]))
+    row, spans = tables.fresh(df, "__row"), tables.fresh(df, "__spans")
+    searched = tables.table(detect(df, text, spans, **options).withColumn(row, F.monotonically_increasing_id()))
+    own = F.col(f"`{text}`")
+    value = F.substring("__text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    found = searched.where(F.size(spans) > 0).select(row, *dict.fromkeys([*session, *position]), own.alias("__text"), F.explode(spans).alias("s"))
+    found = found.select(row, *dict.fromkeys([*session, *position]), F.col("s.start").alias("__start"), F.col("s.end").alias("__end"), F.col("s.entity_type").alias("entity_type"), value.alias("value"))
+    mapping = tables.table(number(first_values(found, session, [*position, row, "__start"]), session, written_tokens(df, session, text) if literals else None))
+    issued = mapping.select(*session, "value", "placeholder")
+    named = found.join(issued, tables.same(found, issued, session) & (found["value"] == issued["value"]))
     piece = F.struct(F.col("__start").alias("start"), F.col("__end").alias("end"), "placeholder")
-    pieces = found.join(mapping.select(*session, "value", "placeholder"), [*session, "value"]).groupBy(*keys).agg(F.sort_array(F.collect_list(piece)).alias("__pieces"))
-    masked = df.join(pieces, keys, "left").withColumn(text, F.when(F.col("__pieces").isNull(), F.col(f"`{text}`")).otherwise(splice(F.col(f"`{text}`"), F.col("__pieces"))))
-    return masked.select(*df.columns), mapping
+    pieces = named.groupBy(row).agg(F.sort_array(F.collect_list(piece)).alias("__pieces"))
+    masked = searched.where(F.size(spans) > 0).join(pieces, row).withColumn(text, splice(own, F.col("__pieces")))
+    untouched = searched.where(F.coalesce(F.size(spans), F.lit(0)) <= 0)
+    return masked.select(*df.columns).unionByName(untouched.select(*df.columns)), mapping
 
 
 def capped(mapping: DataFrame, session: list[str], most: int = 1000) -> DataFrame:
@@ -102,33 +124,32 @@ def capped(mapping: DataFrame, session: list[str], most: int = 1000) -> DataFram
     return mapping.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")
 
 
-def restore(df: DataFrame, mapping: DataFrame, session: list[str], row: list[str], text: str = "text", strict: bool = True, written: DataFrame | None = None) -> DataFrame:
+def restore(df: DataFrame, mapping: DataFrame, session: list[str], row: list[str] | None = None, text: str = "text", strict: bool = True, written: DataFrame | None = None) -> DataFrame:
     """df with placeholders replaced by their values, and status and error_class.
 
     strict: a row with an unknown token is refused (its text null); else the token stays.
-    written: (session, token) literals of callers, which are never restored.  row tells rows apart.
+    written: (session, token) literals of callers, which are never restored.  Rows have a number of their own, so row isn't needed;
+    null sessions are sessions.
     """
     table = mapping.select(*session, F.col("placeholder").alias("token"), F.col("value"))
     if written is not None:
-        table = table.join(written, [*session, "token"], "left_anti")
-        own = written.withColumn("value", F.col("token"))
-        table = table.unionByName(own.select(*table.columns))
-    keys = list(dict.fromkeys([*session, *row]))
-    there = df.select(*keys, F.posexplode(tokens(F.col(f"`{text}`"))).alias("at", "token"))
-    found = there.join(table, [*session, "token"], "left")
-    each = F.struct("at", F.coalesce("value", "token").alias("value"), F.col("value").isNull().alias("unknown"))
-    values = found.groupBy(*keys).agg(F.sort_array(F.collect_list(each)).alias("__values"))
-    out = df.join(values, keys, "left")
-    parts = F.split(F.col(f"`{text}`"), TOKEN, -1)
-    joined = F.array_join(F.zip_with(parts, F.col("__values"), lambda p, v: F.concat(p, F.coalesce(v["value"], F.lit("")))), "")
-    restored = F.when(F.col("__values").isNull(), F.col(f"`{text}`")).otherwise(joined)
-    refused = F.coalesce(F.exists("__values", lambda v: v["unknown"]), F.lit(False)) if strict else F.lit(False)
-    return out.select(
+        table = table.join(written, tables.same(table, written, [*session, "token"]), "left_anti")
+        table = table.unionByName(written.select(*session, "token", F.col("token").alias("value")))
+    id_ = tables.fresh(df, "__row")
+    rows = tables.table(df.withColumn(id_, F.monotonically_increasing_id()))
+    own = F.col(f"`{text}`")
+    there = rows.where(own.rlike(TOKEN)).select(id_, *session, F.posexplode(tokens(own)).alias("at", "token"))
+    found = there.join(table, tables.same(there, table, session) & (there["token"] == table["token"]), "left")
+    each = F.struct("at", F.coalesce(table["value"], there["token"]).alias("value"), table["value"].isNull().alias("unknown"))
+    values = found.groupBy(id_).agg(F.sort_array(F.collect_list(each)).alias("__values"))
+    hit = rows.where(own.rlike(TOKEN)).join(values, id_)
+    parts = F.split(own, TOKEN, -1)
+    restored = F.array_join(F.zip_with(parts, F.col("__values"), lambda p, v: F.concat(p, F.coalesce(v["value"], F.lit("")))), "")
+    refused = F.exists("__values", lambda v: v["unknown"]) if strict else F.lit(False)
+    done = hit.select(
         *[F.when(~refused, restored).alias(text) if c == text else F.col(f"`{c}`") for c in df.columns],
         F.when(refused, "refused").otherwise("completed").alias("status"),
         F.when(refused, "mapping_unknown_placeholder").alias("error_class"),
     )
-
-
-def vocabulary(types: Iterable[str] = ENTITY_TYPES) -> list[str]:
-    return sorted(types)
+    plain = rows.where(~F.coalesce(own.rlike(TOKEN), F.lit(False))).select(*df.columns, F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error_class"))
+    return done.unionByName(plain)

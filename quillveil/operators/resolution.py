@@ -28,54 +28,83 @@ def checksummed(s: Span) -> bool:
     return s.confidence >= 1.0 and s.recognizer.startswith("catalog:")
 
 
-class Referee:
-    """Names the union of two overlapping spans, by a cascade of criteria."""
+class Pair:
+    """Two overlapping spans and what the rules ask about them."""
 
-    def __init__(self, specificity: Mapping[str, int], untouchable: Callable[[Span], bool] = checksummed):
-        self.specificity, self.untouchable = specificity, untouchable
+    def __init__(self, a: Span, b: Span, specificity: Mapping[str, int], untouchable: Callable[[Span], bool]):
+        self.a, self.b, self.fixed, self._specificity = a, b, {id(s): untouchable(s) for s in (a, b)}, specificity
+        self.outer, self.inner = self._nesting()
+
+    def _nesting(self) -> tuple[Span | None, Span | None]:
+        for outer, inner in ((self.a, self.b), (self.b, self.a)):
+            if outer.start <= inner.start and inner.end <= outer.end and (outer.start, outer.end) != (inner.start, inner.end):
+                return outer, inner
+        return None, None
 
     def rank(self, s: Span) -> int:
-        return self.specificity.get(s.entity_type, 0)
+        return self._specificity.get(s.entity_type, 0)
+
+    def has(self, s: Span | None) -> bool:
+        return s is not None and self.fixed[id(s)]
+
+    def surer(self) -> Span:
+        return self.b if self.b.confidence > self.a.confidence else self.a
+
+    def only_fixed(self) -> Span | None:
+        """The one that no other may name, if exactly one is."""
+        return None if self.has(self.a) == self.has(self.b) else self.a if self.has(self.a) else self.b
+
+    def more_sensitive(self, first: Span, second: Span) -> Span:
+        return second if second.tier < first.tier else first
+
+    def inner_leads_by(self, criterion: str) -> bool:
+        """Whether, both being fixed, the inner one comes first by this criterion and the two are equal in those before it."""
+        if not (self.has(self.outer) and self.has(self.inner)):
+            return False
+        for name, value in (("specificity", self.rank), ("confidence", lambda s: s.confidence), ("sensitivity", lambda s: -s.tier)):
+            if value(self.inner) != value(self.outer):
+                return name == criterion and value(self.inner) > value(self.outer)
+        return False
+
+
+def _nested_by(criterion: str) -> tuple[str, Callable[[Pair], bool], Callable[[Pair], Span]]:
+    return f"nested-{criterion}-merge", lambda p: p.inner_leads_by(criterion), lambda p: p.inner
+
+
+#: The rules in their order: a name, when it holds, and whose identity the union takes.  In the first only, the surer one's confidence
+#: goes along; in the one marked so, the outer span stays as it is.
+OUTER_WINS = "nesting-outer-wins"
+SAME_TYPE = "same-type-merge"
+RULES: tuple[tuple[str, Callable[[Pair], bool], Callable[[Pair], Span]], ...] = (
+    (SAME_TYPE, lambda p: p.a.entity_type == p.b.entity_type, lambda p: p.only_fixed() or p.surer()),
+    ("untouchable-inner-merge", lambda p: p.has(p.inner) and not p.has(p.outer), lambda p: p.more_sensitive(p.inner, p.outer)),
+    ("specific-inner-merge", lambda p: p.inner is not None and not p.has(p.outer) and p.rank(p.inner) > p.rank(p.outer), lambda p: p.inner),
+    _nested_by("specificity"),
+    _nested_by("confidence"),
+    _nested_by("sensitivity"),
+    (OUTER_WINS, lambda p: p.inner is not None, lambda p: p.outer),
+    ("untouchable-wins", lambda p: p.only_fixed() is not None, lambda p: p.only_fixed()),
+    ("specificity", lambda p: p.rank(p.a) != p.rank(p.b), lambda p: max(p.a, p.b, key=p.rank)),
+    ("confidence", lambda p: p.a.confidence != p.b.confidence, lambda p: p.surer()),
+    ("tie-merge-sensitive", lambda p: True, lambda p: p.more_sensitive(p.a, p.b)),
+)
+
 
-    def _ahead(self, x: Span, y: Span) -> str | None:
-        """The criterion by which x comes before y, if any: specificity, confidence, then the more sensitive tier."""
-        for name, mine, other in (("specificity", self.rank(x), self.rank(y)), ("confidence", x.confidence, y.confidence), ("sensitivity", -x.tier, -y.tier)):
-            if mine != other:
-                return name if mine > other else None
-        return None
+class Referee:
+    """Names the union of two overlapping spans by the first rule that holds."""
+
+    def __init__(self, specificity: Mapping[str, int], untouchable: Callable[[Span], bool] = checksummed):
+        self.specificity, self.untouchable = specificity, untouchable
 
     def decide(self, a: Span, b: Span) -> tuple[Span, str]:
-        fixed_a, fixed_b = self.untouchable(a), self.untouchable(b)
-        if a.entity_type == b.entity_type:
-            surer = a if a.confidence >= b.confidence else b
-            name = surer if fixed_a == fixed_b else a if fixed_a else b
-            return self._merged(a, b, name)._replace(confidence=surer.confidence, boosted=surer.boosted), "same-type-merge"
-        inside = None
-        if (a.start, a.end) != (b.start, b.end):
-            if a.start <= b.start and b.end <= a.end:
-                inside = (a, b, fixed_a, fixed_b)
-            elif b.start <= a.start and a.end <= b.end:
-                inside = (b, a, fixed_b, fixed_a)
-        if inside:
-            outer, inner, fixed_outer, fixed_inner = inside
-            if fixed_inner and not fixed_outer:
-                return self._merged(a, b, inner if inner.tier <= outer.tier else outer), "untouchable-inner-merge"
-            if not fixed_outer and self.rank(inner) > self.rank(outer):
-                return self._merged(a, b, inner), "specific-inner-merge"
-            if fixed_outer and fixed_inner and (why := self._ahead(inner, outer)):
-                return self._merged(a, b, inner), f"nested-{why}-merge"
-            return outer, "nesting-outer-wins"
-        if fixed_a != fixed_b:
-            return self._merged(a, b, a if fixed_a else b), "untouchable-wins"
-        if self.rank(a) != self.rank(b):
-            return self._merged(a, b, max(a, b, key=self.rank)), "specificity"
-        if a.confidence != b.confidence:
-            return self._merged(a, b, max(a, b, key=lambda s: s.confidence)), "confidence"
-        return self._merged(a, b, a if a.tier <= b.tier else b), "tie-merge-sensitive"
-
-    @staticmethod
-    def _merged(a: Span, b: Span, name: Span) -> Span:
-        return name._replace(start=min(a.start, b.start), end=max(a.end, b.end))
+        pair = Pair(a, b, self.specificity, self.untouchable)
+        name, _, named = next(r for r in RULES if r[1](pair))
+        by = named(pair)
+        if name == OUTER_WINS:
+            return by, name
+        if name == SAME_TYPE:
+            by = by._replace(confidence=pair.surer().confidence, boosted=pair.surer().boosted)
+        return by._replace(start=min(a.start, b.start), end=max(a.end, b.end)), name
 
 
 def settle(spans: Iterable[Span], specificity: Mapping[str, int], untouchable: Callable[[Span], bool] = checksummed, trace: list[Decision] | None = None) -> list[Span]:

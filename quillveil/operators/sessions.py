@@ -48,6 +48,17 @@ class Mapping:
         m.values = {t: v for v, t in tokens.items()}
         return m
 
+    def copy(self) -> Mapping:
+        """What a turn works on; a session's mapping is bounded, so this is too."""
+        m = Mapping(self.most)
+        m.next, m.tokens, m.values, m.reserved = self.next, dict(self.tokens), dict(self.values), set(self.reserved)
+        return m
+
+    def reserve_all(self, texts: Iterable[str]) -> None:
+        for text in texts:
+            if "[" in text:
+                self.reserve(text)
+
     def reserve(self, text: str) -> None:
         """Literals that the caller wrote keep their tokens; one that stands for a value already is refused."""
         for token in _TOKEN.findall(text):
@@ -117,7 +128,7 @@ def turn(mapping: Mapping, text: str | None, find: Finder) -> tuple[Mapping, str
     """(mapping after the turn, masked text, error_class); a refused turn leaves the mapping as it was."""
     if text is None:
         return mapping, None, None
-    work = Mapping.load(mapping.dump())
+    work = mapping.copy()
     try:
         work.reserve(text)
         masked = mask(work, text, [(s.start, s.end, s.entity_type) for s in find(text)])
