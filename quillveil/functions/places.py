@@ -51,6 +51,16 @@ class Lexer:
         self.comment: str | None = None  # line or block
         self.last = ""
 
+    def dump(self) -> dict:
+        """The state, to go on from later."""
+        return dict(vars(self))
+
+    @classmethod
+    def load(cls, state: dict) -> Lexer:
+        lexer = cls(state["format"])
+        vars(lexer).update(state, open=list(state["open"]))
+        return lexer
+
     @property
     def place(self) -> str:
         if self.poisoned:

@@ -61,43 +61,89 @@ class Fragments:
 
 OUTPUT = T.StructType([T.StructField("stream_id", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("text", T.StringType()), T.StructField("error_class", T.StringType())])
 STATE = T.StructType([T.StructField("state", T.StringType())])
+#: Fragments that may wait for one before them, their characters, and seconds without a fragment after which a stream is over.
+MOST_WAITING, MOST_WAITING_CHARS, IDLE_SECONDS = 256, 1 << 20, 1800
+DONE = {"done": True}
 
 
-def _advance(state: dict[str, Any], stream: str, strict: bool) -> Iterator[tuple[str, int, str | None, str | None]]:
-    while not state["error"] and str(state["next"]) in state["waiting"]:
-        seq = state["next"]
-        chunk, last, values = state["waiting"].pop(str(seq))
-        work = Fragments(values, strict, state["held"])
-        try:
-            text = work.push(chunk) + (work.finish() if last else "")
-        except ValueError as e:
-            state["error"] = str(e)
-            yield stream, seq, None, str(e)
-            return
-        state["held"], state["next"] = work.held, seq + 1
-        yield stream, seq, text, None
+class Ordered:
+    """Items of a stream by their number: given out in order, each once, whatever order they come in; what waits is bounded."""
+
+    def __init__(self, state: dict[str, Any] | None = None):
+        self.next, self.waiting = (state["next"], dict(state["waiting"])) if state else (0, {})
+
+    def dump(self) -> dict[str, Any]:
+        return {"next": self.next, "waiting": self.waiting}
+
+    def add(self, seq: int, item: list) -> None:
+        if seq >= self.next:
+            self.waiting.setdefault(str(int(seq)), item)
+
+    def take(self) -> Iterator[tuple[int, list]]:
+        while (item := self.waiting.pop(str(self.next), None)) is not None:
+            self.next += 1
+            yield self.next - 1, item
+
+    @property
+    def over(self) -> bool:
+        return len(self.waiting) > MOST_WAITING or sum(len(x[0] or "") for x in self.waiting.values()) > MOST_WAITING_CHARS
 
 
-def restore_stream(fragments: DataFrame, strict: bool = True) -> DataFrame:
+def restore_stream(fragments: DataFrame, strict: bool = True, client_format: str | None = None, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """(stream_id, seq, text, error_class) of a streaming table of fragments.
 
     fragments: stream_id, seq (0, 1, ... within a stream), chunk, last, values (token to value, such as from a
-    join with the mapping).  Fragments out of order wait in the state for those before them; repeated ones are ignored.
-    After an error a stream gives nothing more.
+    join with the mapping).  Fragments out of order wait in the state, a bounded number of them, for those before them; repeated ones are ignored.
+    A value that isn't safe where it would land (client_format: how the client reads the text) is refused, or its token stays.
+    After its last fragment or an error a stream gives nothing more, and its state shrinks to a mark; a stream that has been idle for
+    idle_seconds is forgotten (a late fragment begins it anew).
     """
 
+    def rows(now: dict[str, Any], stream: str) -> Iterator[tuple[str, int, str | None, str | None]]:
+        line = Ordered(now["line"])
+        for frame in now.pop("frames"):
+            for seq, chunk, last, values in frame:
+                now["values"] |= values
+                line.add(seq, [chunk, last])
+        work = Fragments(now["values"], strict, now["held"], Lexer.load(now["lexer"]))
+        seq = line.next
+        try:
+            for seq, (chunk, last) in line.take():
+                yield stream, seq, work.push(chunk or "") + (work.finish() if last else ""), None
+                if last:
+                    now["done"] = True
+                    return
+            if line.over:
+                seq = line.next
+                raise ValueError("stream_oversized")
+        except ValueError as e:
+            now["done"] = True
+            yield stream, seq, None, str(e)
+        now.update(line=line.dump(), held=work.held, lexer=work.lexer.dump())
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        now = json.loads(state.get[0]) if state.exists else {"next": 0, "held": "", "waiting": {}, "error": None}
-        for pdf in frames:
-            for seq, chunk, last, values in zip(pdf["seq"], pdf["chunk"], pdf["last"], pdf["values"], strict=True):
-                if seq >= now["next"]:
-                    now["waiting"][str(int(seq))] = [chunk, bool(last), dict(values or {})]
-        rows = list(_advance(now, key[0], strict))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = json.loads(state.get[0]) if state.exists else {"line": None, "held": "", "lexer": Lexer(client_format).dump(), "values": {}}
+        if now != DONE:
+            now["frames"] = [[(int(s), c, bool(x), dict(v or {})) for s, c, x, v in zip(pdf["seq"], pdf["chunk"], pdf["last"], pdf["values"], strict=True)] for pdf in frames]
+            out = list(rows(now, key[0]))
+            now = DONE if now.get("done") else now
+            if out:
+                yield pd.DataFrame(out, columns=OUTPUT.names)
         state.update((json.dumps(now),))
-        if rows:
-            yield pd.DataFrame(rows, columns=OUTPUT.names)
+        state.setTimeoutDuration(idle_seconds * 1000)
 
-    return fragments.groupBy("stream_id").applyInPandasWithState(run, OUTPUT, STATE, "append", "NoTimeout")
+    return fragments.groupBy("stream_id").applyInPandasWithState(run, OUTPUT, STATE, "append", "ProcessingTimeTimeout")
+
+
+class Oversized(ValueError):
+    """An event over the limit; events: those before it."""
+
+    def __init__(self, events: list[dict[str, Any]]):
+        super().__init__("stream_oversized")
+        self.events = events
 
 
 class Framer:
@@ -121,9 +167,14 @@ class Framer:
             if block.strip(b"\r\n"):
                 out.append(self._event(block.decode("utf-8", "replace")))
         if len(self.rest) > MOST_EVENT:
-            raise ValueError("stream_oversized")
+            raise Oversized(out)
         return out
 
+    def finish(self) -> list[dict[str, Any]]:
+        """An event that the end of the stream completes."""
+        block, self.rest = self.rest.strip(b"\r\n"), b""
+        return [self._event(block.decode("utf-8", "replace"))] if block else []
+
     def _end(self) -> tuple[int, int] | None:
         m = re.search(rb"(?:\r\n|\n|\r(?!\n|\Z))(?:\r\n|\n|\r(?!\Z))", self.rest)
         if m is None:
