@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, chat, detection, evaluation, jsontext, ner, pseudonyms, resolution, sessions
+from .. import tables
+from ..operators import audit, chat, detection, evaluation, jsontext, ner, pseudonyms, resolution, restoration, sessions
+from ..streaming import runs
+from . import rendered
 
 #: RE2 has no lookaround.  On these tables the maximal forms below find the same spans as the rules.
 _EMAIL = r"[A-Za-z0-9!#$%&''*+/=?^_`{|}~.-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z0-9-]+"
@@ -102,7 +105,7 @@ def restore_roundtrip(spark, sf_dir):
     """Masked and restored again, each document equals its original."""
     docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
     masked, mapping = pseudonyms.pseudonymize(docs, ["source"], ["doc_id"])
-    back = pseudonyms.restore(masked, mapping, ["source"], ["doc_id"])
+    back = pseudonyms.restore(masked, mapping, ["source"])
     return back.select("doc_id", "status", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -176,8 +179,8 @@ def chat_slots(spark, sf_dir):
 
 
 def _gold_and_predicted(spark, sf_dir):
-    """Findings as gold; shifted, partly renamed and thinned out as predictions."""
-    found = _found(spark, sf_dir).select("doc_id", "entity_type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    """Findings as gold; shifted, partly renamed and thinned out as predictions.  Texts are searched once."""
+    found = tables.table(_found(spark, sf_dir).select("doc_id", "entity_type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
     shift = F.col("doc_id") % 4 * 4
     kind = F.when(F.col("doc_id") % 5 == 0, "PERSON").otherwise(F.col("entity_type"))
     return found, found.where("doc_id % 7 <> 0").select("doc_id", kind.alias("entity_type"), (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"))
@@ -221,6 +224,82 @@ def recognizer_windows(spark, sf_dir):
     return ner.windows_of(_documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"]).select("doc_id", "chunk", "offset", "chars", "tier", "threshold", F.size("labels").alias("labels"))
 
 
+def _rendered(spark, sf_dir):
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("quillveil_customer")
+    return spark.sql(f"""select k, `before` || v || after as text from {rendered.texts("quillveil_customer", "c_custkey", rendered.SPARK).replace('"before"', "`before`")}""")
+
+
+def rendered_identifiers(spark, sf_dir):
+    """Every type of identifier, made from the customers' keys: check digits, separators, guards, boosts and overlaps."""
+    found = detection.findings(_rendered(spark, sf_dir), ["k"])
+    return found.select("k", "entity_type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "confidence", "tier", "boosted")
+
+
+def rendered_masked(spark, sf_dir):
+    """Those texts under one mapping without a session, in order of their keys."""
+    masked, _ = pseudonyms.pseudonymize(_rendered(spark, sf_dir), [], ["k"])
+    return masked.select("k", F.col("text").alias("masked"))
+
+
+def masked_without_keys(spark, sf_dir):
+    """Null sessions, and null and equal positions: every value is hidden and comes back, and no number is given twice."""
+    rows = _rendered(spark, sf_dir).select("k", F.when(F.col("k") % 5 > 0, F.col("k") % 5).alias("session"), F.when(F.col("k") % 3 > 0, F.floor(F.col("k") / 10)).alias("at"), "text")
+    masked, mapping = pseudonyms.pseudonymize(rows, ["session"], ["at"])
+    masked = tables.table(masked)
+    back = pseudonyms.restore(masked, mapping, ["session"]).select("k", F.col("text").alias("restored"), "status")
+    twice = mapping.groupBy("session").agg((F.count("*") - F.countDistinct("n")).alias("twice")).agg(F.sum("twice").alias("twice"))
+    return masked.select("k", F.regexp_replace("text", r"\[([A-Z_]+)_[0-9]+\]", "[$1]").alias("masked")).join(back, "k").crossJoin(twice)  # one row
+
+
+def session_recurrence(spark, sf_dir):
+    """Sessions in which values come back: each turn names a new address, the one before it and the session's first."""
+    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
+
+    def address(turn):
+        return F.concat(F.lit("u"), F.coalesce(F.col("session"), F.lit(0)), F.lit("t"), turn, F.lit("@mail.example"))
+
+    turns = k.select(F.when(F.col("k") % 20 > 0, F.col("k") % 20).alias("session"), F.floor(F.col("k") / 20).alias("turn"))
+    text = F.concat(F.lit("to "), address(F.col("turn")), F.lit(", "), address(F.greatest(F.col("turn") - 1, F.lit(0))), F.lit(" and "), address(F.lit(0)), F.lit("."))
+    return sessions.mask_sessions(turns.withColumn("text", text), ["session"], ["turn"]).select("session", "turn", "text", "status")
+
+
+def _values():
+    return F.create_map(F.lit("[PERSON_1]"), F.lit('Ann "A"'), F.lit("[ORG_2]"), F.lit("Berg"))
+
+
+def restored_bodies(spark, sf_dir):
+    """Answers made of the conversations' turns, with placeholders: restored, or refused where a value could break a document."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
+    said = F.concat("text", F.lit(" [ORG_2] [PERSON_1]"))
+    message = F.struct(F.lit("assistant").alias("role"), said.alias("content"))
+    answers = turns.select("conv_id", "turn", F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("index"), message.alias("message"))).alias("choices"), F.lit("[ORG_2][ORG_9]").alias("note"))).alias("answer"), _values().alias("values"), F.lit(None).cast("array<string>").alias("literals"))
+    out = restoration.restore_bodies(answers, "answer", "chat_response", ["conv_id", "turn"])
+    return out.select("conv_id", "turn", "error_class", F.sha2(F.get_json_object("body", "$.choices[0].message.content"), 256).alias("content_sha256"), F.get_json_object("body", "$.note").alias("note"))
+
+
+def restored_events(spark, sf_dir):
+    """Streams made of the conversations' turns, in events of ten characters each; their texts put together again."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" [ORG_2] said [ORG_2].")).alias("said"))
+    pieces = turns.select(F.concat_ws("/", "conv_id", "turn").alias("stream_id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("said") - 1) / 10)), lambda i: F.substr("said", (i * 10 + 1).cast("int"), F.lit(10)))).alias("seq", "piece"), F.floor((F.length("said") - 1) / 10).alias("most"))
+    choice = F.struct(F.lit(0).alias("index"), F.struct(F.col("piece").alias("content")).alias("delta"), F.when(F.col("seq") == F.col("most"), "stop").alias("finish_reason"))
+    event = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(choice).alias("choices"))), F.lit("\n\n"))
+    chunks = pieces.select("stream_id", "seq", event.cast("binary").alias("chunk"), (F.col("seq") == F.col("most")).alias("last"), _values().alias("values"))
+    events = runs.restore_events(chunks, "chat")
+    part = F.struct("seq", "ord", F.coalesce(F.get_json_object(F.substr("event", F.lit(7)), "$.choices[0].delta.content"), F.lit("")).alias("content"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["content"]), "")
+    return events.groupBy("stream_id").agg(F.count("*").alias("events"), F.sha2(whole, 256).alias("text_sha256"), F.max("error_class").alias("error_class"))
+
+
+def numeric_leaves(spark, sf_dir):
+    """Journal events of each priority's orders: cards in numbers refuse, and names that a recognizer finds in numbers are forwarded."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderpriority", F.col("o_orderkey").cast("long").alias("k"))
+    kind = F.element_at(F.array(*[F.lit(t) for t in ("EMAIL", "PERSON", "ORG", "ODD")]), (F.col("k") % 4 + 1).cast("int"))
+    found = orders.select("o_orderpriority", kind.alias("entity_type"), (F.col("k") % 50).cast("string").alias("value"), (F.col("k") % 3 == 0).alias("numeric"))
+    requests = orders.groupBy("o_orderpriority").agg(F.count("*").alias("texts"))
+    events = audit.masked_events(found, requests, ["o_orderpriority"])
+    return events.select("o_orderpriority", "texts", "spans", "redacted", "forwarded", *[F.coalesce(F.col("types")[t], F.lit(0).cast("long")).alias(t.lower()) for t in ("EMAIL", "PERSON", "ORG", "unvalidated")])
+
+
 _DOCS = _spans("documents", "doc_id", "text")
 _JOINED = f"(select f.*, d.lang, d.source, row_number() over () as r from {_DOCS} f join documents d using (doc_id))"
 _NUMBERED = f"""(select source, value, entity_type, n, '[' || entity_type || '_' || n || ']' as placeholder from (
@@ -241,12 +320,17 @@ _COUNTS = f"""(select doc_id, entity_type, sum(tp)::bigint as tp, (sum(np) - sum
   select doc_id, entity_type, 0 as tp, 1 as ng, 0 as np from {_GOLD} union all select doc_id, entity_type, 0, 0, 1 from {_PREDICTED}
   union all select g.doc_id, g.entity_type, 1, 0, 0 from {_GOLD} g join {_PREDICTED} p on g.doc_id = p.doc_id and g.entity_type = p.entity_type and {_IOU}) group by all)"""
 
+#: Where the window that begins at ``beg`` ends: at its end, or behind the last paragraph, line or space of its last quarter.
+_QUARTER = "substr(text, beg + 900 + 1, 300)"
+_NEXT = f"""case when beg + 1200 >= length(text) then length(text) {" ".join(f"when length(regexp_extract({_QUARTER}, '(?s)^.*{m}')) > 0 then beg + 900 + length(regexp_extract({_QUARTER}, '(?s)^.*{m}'))" for m in (chr(92) + "n" + chr(92) + "n", chr(92) + "n", " "))} else beg + 1200 end"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         detect_documents, detect_pages, masked_value_display, scan_by_lang_and_type, scan_summary_by_type, scan_by_source, docs_without_findings, email_domains, resolved_islands,
         placeholder_numbering, masked_documents, restore_roundtrip, session_value_cap, audit_counts_by_source, text_digest_dedup, session_ttl_split, json_leaves_events,
         json_leaves, json_findings, mask_conversations, chat_slots, evaluation_counts, evaluation_scores, evaluation_coverage, evaluation_over_masking, unmasked_words, audit_masked_events, recognizer_windows,
+        rendered_identifiers, rendered_masked, masked_without_keys, session_recurrence, restored_bodies, restored_events, numeric_leaves,
     )
 }
 
@@ -295,4 +379,31 @@ SQL = {
     "audit_masked_events": f"""select source, 'masked' as event, count(distinct doc_id) as texts, count(value) as spans, count(value) as redacted, 0::bigint as forwarded,
       count(distinct value) filter (entity_type = 'EMAIL') as emails, count(distinct value) filter (entity_type = 'CREDIT_CARD') as cards
       from documents d left join {_DOCS} f using (doc_id) group by source""",
+    "unmasked_words": f"""select doc_id, entity_type, "start", "end", word, place from (
+      select g.doc_id, g.entity_type, g."start", g."end", m[i] as word, (g."start" + list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::bigint as place
+      from (select *, unnest(range(1, len(m) + 1)) as i from (select *, regexp_extract_all(value, '\\w+') as m, regexp_split_to_array(value, '\\w+') as p from {_DOCS})) g) w
+      where not exists (select 1 from {_PREDICTED} p where p.doc_id = w.doc_id and p."start" <= w.place and w.place + length(w.word) <= p."end")""",
+    "recognizer_windows": """with recursive cut(doc_id, chunk, "offset", fin) as (
+      select doc_id, 0, 0::bigint, f from (select doc_id, NEXT as f from (select doc_id, text, 0::bigint as beg from documents where length(text) > 0))
+      union all select doc_id, chunk + 1, beg, NEXT from (select c.doc_id, c.chunk, d.text, greatest(c.fin - 200, c."offset" + 1) as beg from cut c join documents d using (doc_id) where c.fin < length(d.text)))
+      select doc_id, chunk::int as chunk, "offset", fin - "offset" as chars, tier::int as tier, threshold::double as threshold, labels::int as labels
+      from cut, (values (2, 0.5, 3), (2, 0.5, 1), (3, 0.2, 11)) t(tier, threshold, labels)""".replace("NEXT", _NEXT),
+    "rendered_identifiers": f"""select k, entity_type, "start", "end", confidence, tier, boosted from {rendered.expected("customer", "c_custkey")}""",
+    "rendered_masked": f"""select t.k, case when e.k is null then t."before" || t.v || t.after else t."before" || '[' || e.entity_type || '_' || n || ']' || substr(t."before" || t.v || t.after, e."end" + 1) end as masked
+      from {rendered.texts("customer", "c_custkey", rendered.DUCKDB)} t left join (select *, dense_rank() over (order by first) as n from (
+        select *, min(k) over (partition by value) as first from {rendered.expected("customer", "c_custkey")})) e using (k)""",
+    "masked_without_keys": f"""select t.k, case when e.k is null then t."before" || t.v || t.after else t."before" || '[' || e.entity_type || ']' || substr(t."before" || t.v || t.after, e."end" + 1) end as masked,
+        t."before" || t.v || t.after as restored, 'completed' as status, 0::bigint as twice
+      from {rendered.texts("customer", "c_custkey", rendered.DUCKDB)} t left join {rendered.expected("customer", "c_custkey")} e using (k)""",
+    "session_recurrence": """select session, turn, 'to [EMAIL_' || n || '], [EMAIL_' || greatest(n - 1, 1) || '] and [EMAIL_1].' as text, 'completed' as status from (
+      select *, case when first = 0 then turn + 1 when turn = first then null else null end as n from (select session, turn, min(turn) over (partition by session) as first from (
+        select nullif(c_custkey % 20, 0)::bigint as session, (c_custkey // 20)::bigint as turn from customer)))""",
+    "restored_bodies": r"""select conv_id, turn, case when regexp_matches(text, '[{\[]') then 'mapping_lossy_document' end as error_class,
+      case when not regexp_matches(text, '[{\[]') then sha256(text || ' Berg Ann "A"') end as content_sha256, case when not regexp_matches(text, '[{\[]') then 'Berg[ORG_9]' end as note
+      from conversations where text is not null""",
+    "restored_events": """select conv_id || '/' || turn as stream_id, ((length(coalesce(text, '')) + 22 - 1) // 10 + 1)::bigint as events, sha256(coalesce(text, '') || ' Berg said Berg.') as text_sha256,
+      null::varchar as error_class from conversations""",
+    "numeric_leaves": """select o_orderpriority, count(*) as texts, count(*) as spans, count(*) filter (not f) as redacted, count(*) filter (f) as forwarded, count(distinct v) filter (t = 0) as email,
+      count(distinct v) filter (t = 1) as person, count(distinct v) filter (t = 2) as org, count(distinct v) filter (t = 3) as unvalidated
+      from (select o_orderpriority, o_orderkey % 4 as t, o_orderkey % 50 as v, o_orderkey % 3 = 0 and o_orderkey % 4 in (1, 2) as f from orders) group by 1""",
 }
