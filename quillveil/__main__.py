@@ -1,6 +1,7 @@
-"""``python -m quillveil scan PATH [--json] [--show-values]``: exit code 2 if PATH cannot be read."""
+"""``python -m quillveil scan PATH [--json] [--show-values] [--ner | --no-ner]``: exit code 2 if PATH or a layer that is asked for isn't there."""
 
 import argparse
+import json
 import sys
 
 
@@ -11,25 +12,37 @@ def main(argv: list[str] | None = None) -> int:
     scan.add_argument("path")
     scan.add_argument("--json", action="store_true")
     scan.add_argument("--show-values", action="store_true")
+    scan.add_argument("--ner", action=argparse.BooleanOptionalAction, default=None)
     args = parser.parse_args(argv)
 
-    from pyspark.sql import SparkSession
-
+    from .operators import ner
     from .sources import files
 
+    try:  # no weights are part of the engine
+        layer = ner.availability({None: "auto", True: "required", False: "off"}[args.ner], False, False)
+    except RuntimeError as e:
+        print(e, file=sys.stderr)
+        return 2
     listed, bad = files.local_files(args.path)
     if not listed and args.path in bad:
-        print(f"cannot read {args.path}", file=sys.stderr)
+        print(f"cannot read {files.display_path(args.path)}", file=sys.stderr)
         return 2
+
+    from pyspark.sql import SparkSession
+
     spark = SparkSession.builder.appName("quillveil").getOrCreate()
-    found, totals, _ = files.scan(spark, args.path, args.show_values)
+    found, totals, _ = files.scan(spark, args.path, args.show_values, unreadable=len(bad))
     if args.json:
-        for line in found.toJSON().toLocalIterator():
-            print(line)
+        good, _ = files.texts(spark, args.path)
+        parts = files.report(found, totals, good, args.show_values, layer)
+        print('{"files":[', end="")
+        for n, row in enumerate(parts.where("path is not null").orderBy("path").toLocalIterator()):
+            print("," if n else "", row["report"], sep="", end="")
+        print(']', json.dumps(json.loads(parts.where("path is null").first()["report"]))[1:], sep=",")
     else:
-        print(files.render(found, totals))
+        print(files.render(found, totals, layer))
         for path in bad:
-            print(f"unreadable: {path}")
+            print(f"unreadable: {files.display_path(path)}")
     return 0
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import secrets
 
 from pyspark.sql import Column, DataFrame
@@ -73,6 +75,42 @@ def append(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def stamped(events: DataFrame, at: Column | None = None) -> DataFrame:
+    """Events with ts, the time in UTC as RFC 3339 writes it."""
+    now = F.current_timestamp() if at is None else at
+    return events.withColumn("ts", F.date_format(F.to_utc_timestamp(now, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+
+
+class Journal:
+    """A JSON-lines file of one writer.  An event is on disk before append returns, and a line that a failure left torn is closed first."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def append(self, event: dict, durable: bool = True) -> None:
+        line = json.dumps(event, ensure_ascii=False, separators=(",", ":")).encode() + b"\n"
+        with open(self.path, "ab+") as f:
+            if f.tell():
+                f.seek(-1, os.SEEK_END)
+                if f.read(1) != b"\n":
+                    line = b"\n" + line
+            f.write(line)
+            f.flush()
+            if durable:
+                os.fsync(f.fileno())
+
+    def events(self) -> list[dict]:
+        """What can be read; torn lines are left out."""
+        out = []
+        with open(self.path, "rb") as f:
+            for line in f:
+                try:
+                    out.append(json.loads(line))
+                except ValueError:
+                    continue
+        return out
+
+
 def admitted(requests: DataFrame, credential: str, accepted: list[str]) -> DataFrame:
     """Requests whose credential's SHA-256 is on the list."""
     return requests.where(F.sha2(F.col(credential), 256).isin(*accepted))

@@ -166,3 +166,35 @@ def displayed(value: str) -> F.Column:
     """A value fit for a report: an ellipsis, or its first four and last two characters around one if it has eight or more."""
     v = F.col(value)
     return F.when(F.length(v) < 8, F.lit("…")).otherwise(F.concat(F.substring(v, 1, 4), F.lit("…"), F.expr(f"right({value}, 2)")))
+
+
+#: The layers, the first of which always runs.
+LAYERS = ("deterministic", "ner")
+
+
+def layers(requested: list[str] | None, available: tuple[bool, str | None]) -> tuple[str, ...]:
+    """The layers that run: those asked for, or all there are.  available: whether the named-entity layer is, and why not.
+
+    A list that is empty, repeats a layer or leaves out the first is refused (ValueError), one that asks for a layer that isn't there too (RuntimeError).
+    """
+    there = LAYERS if available[0] else LAYERS[:1]
+    if requested is None:
+        return there
+    if not requested or len(set(requested)) < len(requested) or LAYERS[0] not in requested or not set(requested) <= set(LAYERS):
+        raise ValueError(f"layers are distinct, of {', '.join(LAYERS)}, and {LAYERS[0]} is one of them")
+    if missing := [x for x in requested if x not in there]:
+        raise RuntimeError(f"layers not available: {', '.join(missing)} ({available[1] or 'not configured'})")
+    return tuple(requested)
+
+
+def answered(df: DataFrame, requested: list[str] | None = None, recognizers: tuple[Recognizer, ...] = (), text: str = "text", **options) -> DataFrame:
+    """df with spans, layers_run and version, as an answer tells them; complete: whether every layer ran."""
+    run = layers(requested, (bool(recognizers), None if recognizers else "no weights"))
+    found = detect(df, text, recognizers=recognizers if "ner" in run else (), **options)
+    return found.withColumns({"layers_run": F.array(*map(F.lit, run)), "version": F.lit(version(options.get("catalog"))), "complete": F.lit(run == LAYERS)})
+
+
+def found_by(recognizer: str = "recognizer", confidence: str = "confidence") -> Column:
+    """How a span was found: checksum, pattern, ner or other."""
+    by = F.col(recognizer)
+    return F.when(by.startswith("catalog:"), F.when(F.col(confidence) >= 1, "checksum").otherwise("pattern")).when((by == "ner") | by.startswith("ner:"), "ner").otherwise("other")

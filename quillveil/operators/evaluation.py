@@ -6,6 +6,8 @@ the document with the interval condition on top; only the maximum matching runs
 
 from __future__ import annotations
 
+import json
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -112,6 +114,17 @@ def coverage(gold: DataFrame, predicted: DataFrame, keys: list[str], types: Iter
     return gold.where(F.col("entity_type").isin(*names)).select(*own).join(hit, own, "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 
+def covered_buckets(covered: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., covered, gold, ratio, dark): coverage in each bucket, and a last row, with nulls, over all of them.
+
+    dark: a bucket of which nothing at all is covered, which the overall ratio cannot show.
+    """
+    rows = covered.rollup(*by).agg(F.grouping_id().alias("__level"), F.sum(F.col("covered").cast("long")).alias("covered"), F.count("*").alias("gold"))
+    whole = (1 << len(by)) - 1
+    rows = rows.where(F.col("__level").isin(0, whole))
+    return rows.select(*by, "covered", "gold", _ratio(F.col("covered"), F.col("gold")).alias("ratio"), ((F.col("covered") == 0) & (F.col("__level") == 0)).alias("dark"))
+
+
 def over_masking(gold: DataFrame, predicted: DataFrame, keys: list[str], types: Iterable[str]) -> DataFrame:
     """(entity_type, on_gold, total): predictions that lie on gold of any type for at least half of them."""
     chosen = predicted.where(F.col("entity_type").isin(*types)).withColumn("__id", F.monotonically_increasing_id())
@@ -157,3 +170,93 @@ def leaks_against(found: DataFrame, recorded: DataFrame) -> DataFrame:
 def percentiles(samples: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median and nearest-rank 95th percentile of timings."""
     return samples.groupBy(*by).agg(F.expr(f"percentile({value}, 0.5)").alias("median"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"))
+
+
+def document_leaks(documents: DataFrame, key: str = "id", **options) -> tuple[DataFrame, DataFrame]:
+    """(leaks, refused) of annotated documents, searched as one text of their leaves.
+
+    documents: (key, leaves), a leaf with key, text and entities (entity_type, start, end in the text).  leaks: (key, leaf, start,
+    entity_type, value) of gold spans with a word that isn't hidden; refused: (key, error_class) of documents in which a finding reaches over leaves.
+    """
+    from . import jsontext
+    from .detection import Finder
+
+    schema = T.StructType([documents.schema[key], T.StructField("leaf", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("entity_type", T.StringType()), T.StructField("value", T.StringType()), T.StructField("error_class", T.StringType())])
+
+    def leaks(leaves: list[dict], find: Finder) -> Iterator[tuple]:
+        joined = jsontext.join([jsontext.Leaf(x["key"], "string", x["text"] or "") for x in leaves])
+        hidden = bytearray(len(joined.text))
+        for leaf, a, b, _ in jsontext.split(joined, [(s.start, s.end, s.entity_type) for s in find(joined.text)]):
+            at = joined.ranges[leaf][0]
+            hidden[at + a : at + b] = b"\1" * (b - a)
+        for i, x in enumerate(leaves):
+            at = joined.ranges[i][0]
+            for g in x["entities"] or ():
+                if any(not all(hidden[m.start() : m.end()]) for m in _WORD.finditer(joined.text, at + g["start"], at + g["end"])):
+                    yield i, g["start"], g["entity_type"], x["text"][g["start"] : g["end"]], None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Finder(**options)
+        for b in batches:
+            at, out = [], []
+            for row, leaves in enumerate(b.column(1)):
+                try:
+                    found = list(leaks(leaves.as_py() or [], find))
+                except jsontext.Refused as e:
+                    found = [(None, None, None, None, str(e))]
+                at += [row] * len(found)
+                out += found
+            c = list(zip(*out, strict=True)) or [()] * 5
+            types = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, t) for x, t in zip(c, types, strict=True))], names=schema.names)
+
+    rows = documents.select(key, "leaves").mapInArrow(run, schema)
+    return rows.where("error_class is null").drop("error_class"), rows.where("error_class is not null").select(key, "error_class")
+
+
+def leak_figures(leaks: DataFrame) -> DataFrame:
+    """One row: occurrences, and distinct entities (type and value)."""
+    return leaks.agg(F.count("*").alias("occurrences"), F.count_distinct("entity_type", "value").alias("entities"))
+
+
+def lost(together: Column, apart: Column) -> Column:
+    """Findings of parts searched together that are missing when each is searched alone."""
+    return F.array_except(together, apart)
+
+
+def bootstrap(measured: DataFrame, group: str, arm: str, count: str, resamples: int = 2000, seed: int = 1) -> DataFrame:
+    """(arm, wins, undecided): in how many resamples of the groups each arm alone has the most, and in how many none has.
+
+    measured: a count for each group and arm.  A resample weighs groups by draws of a Poisson distribution with mean 1, made from a hash of
+    the seed, its number and the group, so resamples are independent of order and partitions and need no shuffle of their own.
+    """
+    draws = measured.withColumn("__r", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    u = (F.pmod(F.xxhash64(F.lit(seed), "__r", F.col(group).cast("string")), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    weight, p, total = F.lit(0), math.exp(-1), 0.0
+    for k in range(1, 9):  # up to eight draws; more are rarer than one in a million
+        total += p
+        weight = weight + (u > total).cast("int")
+        p /= k
+    sums = draws.groupBy("__r", arm).agg(F.sum(F.col(count) * weight).alias("__sum"))
+    best = sums.groupBy("__r").agg(F.max("__sum").alias("__best"))
+    winners = sums.join(best, "__r").where(F.col("__sum") == F.col("__best")).groupBy("__r").agg(F.min(arm).alias("__arm"), F.count("*").alias("__many"))
+    undecided = winners.agg(F.sum((F.col("__many") > 1).cast("long")).alias("undecided"))  # one row
+    wins = winners.where("__many = 1").groupBy(F.col("__arm").alias("__arm")).agg(F.count("*").alias("wins"))
+    arms = measured.select(arm).distinct()
+    return arms.join(wins, F.col(arm) == F.col("__arm"), "left").crossJoin(undecided).select(arm, F.coalesce("wins", F.lit(0)).alias("wins"), "undecided")
+
+
+def frontier(shapes: DataFrame, found: str = "found", over_masked: str = "over_masked") -> DataFrame:
+    """shapes with dominated: whether another way of asking finds at least as much and masks no more beside it, one of them better."""
+    a, b = shapes.alias("a"), shapes.select(F.col(found).alias("__found"), F.col(over_masked).alias("__over")).distinct()
+    as_good = (F.col("__found") >= F.col(found)) & (F.col("__over") <= F.col(over_masked))
+    better = (F.col("__found") > F.col(found)) | (F.col("__over") < F.col(over_masked))
+    beaten = a.join(F.broadcast(b), as_good & better, "left_semi").select(F.col(found).alias("__f"), F.col(over_masked).alias("__o")).distinct().withColumn("__beaten", F.lit(True))  # a handful of shapes
+    return shapes.join(beaten, (F.col(found) == F.col("__f")) & (F.col(over_masked) == F.col("__o")), "left").select(*shapes.columns, F.coalesce("__beaten", F.lit(False)).alias("dominated"))
+
+
+def metrics(by_type: DataFrame, total: DataFrame, **more: object) -> str:
+    """The figures of a run as one JSON object: scores by type, micro scores, and whatever else is told (digests, targets, leak figures)."""
+    round_ = {"precision": 3, "recall": 3, "f1": 3}
+    types = {r["entity_type"]: {k: round(r[k], round_[k]) if k in round_ else r[k] for k in ("precision", "recall", "f1", "tp", "fp", "fn")} for r in by_type.collect()}  # a row for each type
+    return json.dumps({"per_type": types, "total": total.first().asDict(), **more}, indent=2, sort_keys=True) + "\n"

@@ -11,9 +11,11 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import tables
 from ..sources.catalogs import ENTITY_TYPES, FALLBACK_TYPE
 from .detection import Finder
 from .pseudonyms import TOKEN
@@ -153,3 +155,32 @@ def mask_sessions(df: DataFrame, session: list[str], order: list[str], text: str
         return out[schema.names]
 
     return df.select(*keys, text).groupBy(*session).applyInPandas(run, schema)
+
+
+#: What giving a session up costs, the cheapest first.  A held one is never given up.
+EMPTY, WITH_VALUES, HELD = 0, 1, 2
+
+
+def admit(live: DataFrame, arrivals: DataFrame, keys: list[str], now: Column, idle_seconds: int = IDLE_SECONDS, most: int = MOST_SESSIONS) -> tuple[DataFrame, DataFrame]:
+    """(sessions after a batch of arrivals, the arrivals with status and error_class).
+
+    live: keys, last_seen, tier (what it costs to give the session up); arrivals: keys.  Sessions idle for idle_seconds go unless they are held; an
+    arrival of a live session refreshes it; new ones take the free places, then those of the cheapest sessions, the oldest first, and of
+    equal ones by key.  Who finds no place is refused as saturated, the last by key first.  As many rows as there may be sessions are ordered in one task.
+    """
+    seen = arrivals.select(*keys).distinct()
+    kept = live.where((F.col("tier") >= HELD) | (F.unix_timestamp(now) - F.unix_timestamp("last_seen") < idle_seconds))
+    known = kept.join(seen.withColumn("__here", F.lit(True)), tables.same(kept, seen, keys), "left").select(*[kept[c] for c in live.columns], F.coalesce("__here", F.lit(False)).alias("__here"))
+    new = seen.join(kept, tables.same(seen, kept, keys), "left_anti")
+    order = Window.orderBy(*[F.col(c).asc_nulls_first() for c in keys])
+    places = known.agg((F.lit(most) - F.count("*")).alias("__free"), F.coalesce(F.sum(((F.col("tier") < HELD) & ~F.col("__here")).cast("long")), F.lit(0)).alias("__open"))  # one row
+    asked = new.withColumn("__n", F.row_number().over(order)).crossJoin(places)
+    admitted = tables.table(asked.withColumn("__ok", F.col("__n") <= F.greatest("__free", F.lit(0)) + F.col("__open")))
+    needed = admitted.where("__ok").agg(F.coalesce(F.max(F.col("__n") - F.greatest("__free", F.lit(0))), F.lit(0)).alias("__gone"))  # one row
+    cheapest = Window.orderBy((F.col("__here") | (F.col("tier") >= HELD)).cast("int"), "tier", "last_seen", *[F.col(c).asc_nulls_first() for c in keys])
+    ranked = known.withColumn("__cost", F.row_number().over(cheapest)).crossJoin(needed)
+    left = ranked.where(F.col("__cost") > F.col("__gone")).select(*keys, F.when(F.col("__here"), now).otherwise(F.col("last_seen")).alias("last_seen"), "tier")
+    fresh = admitted.where("__ok").select(*keys, now.alias("last_seen"), F.lit(EMPTY).alias("tier"))
+    refused = admitted.where("not __ok").select(*keys, F.lit("session_saturated").alias("error_class"))
+    answers = arrivals.join(refused, tables.same(arrivals, refused, keys), "left").select(*[arrivals[c] for c in arrivals.columns], F.when(F.col("error_class").isNull(), "completed").otherwise("refused").alias("status"), "error_class")
+    return left.unionByName(fresh), answers

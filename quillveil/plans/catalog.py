@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import tables
-from ..operators import audit, chat, detection, evaluation, jsontext, ner, pseudonyms, resolution, restoration, sessions
+from ..operators import audit, cache, chat, detection, evaluation, jsontext, ner, pseudonyms, resolution, restoration, sessions
 from ..streaming import runs
 from . import rendered
 
@@ -300,6 +300,48 @@ def numeric_leaves(spark, sf_dir):
     return events.select("o_orderpriority", "texts", "spans", "redacted", "forwarded", *[F.coalesce(F.col("types")[t], F.lit(0).cast("long")).alias(t.lower()) for t in ("EMAIL", "PERSON", "ORG", "unvalidated")])
 
 
+def cached_detection(spark, sf_dir):
+    """Half of each source's documents searched and kept, then all: hits, and findings with and without the cache."""
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
+    salt = b"fixed for the test"
+    _, kept = cache.detect_cached(docs.where("doc_id % 2 = 0"), cache.empty(spark), salt, "source")
+    kept = tables.table(kept)
+    found, _ = cache.detect_cached(docs, kept, salt, "source")
+    hits = cache.probe(docs, kept, salt, "source").groupBy("source").agg(F.sum(F.col("hit").cast("long")).alias("hits"))
+    return found.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.size("spans")).cast("long").alias("findings")).join(hits, "source")
+
+
+def found_by_layer(spark, sf_dir):
+    found = detection.findings(_rendered(spark, sf_dir), ["k"])
+    return found.groupBy(detection.found_by().alias("layer"), "entity_type").agg(F.count("*").alias("findings"))
+
+
+def coverage_by_language(spark, sf_dir):
+    """Coverage in each language and type, over all, and where nothing is covered."""
+    gold, predicted = _gold_and_predicted(spark, sf_dir)
+    rows = evaluation.coverage(gold, predicted, ["doc_id"], ["EMAIL", "CREDIT_CARD", "PERSON"]).join(_documents(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    return evaluation.covered_buckets(rows, ["lang", "entity_type"]).select("lang", "entity_type", "covered", "gold", F.round("ratio", 9).alias("ratio"), "dark")
+
+
+def session_admission(spark, sf_dir):
+    """Which of the users' sessions live on when others arrive: idle ones go, then empty ones before those with values, the oldest first."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    users = events.groupBy("user_id").agg(F.max("ts").alias("last_seen"))
+    last = events.agg(F.max("ts").alias("now"))
+    live = users.where("user_id % 3 > 0").withColumn("tier", (F.col("user_id") % 4).cast("int")).withColumn("tier", F.least("tier", F.lit(2)))
+    live = live.crossJoin(last).withColumn("last_seen", F.expr("timestamp_seconds(unix_seconds(now) - (user_id * 37) % 2400)")).drop("now")  # one row
+    arrivals = users.where("user_id % 3 = 0 or user_id % 10 = 0").select("user_id")
+    most = int(users.count() * 0.6)
+    after, answers = sessions.admit(live, arrivals, ["user_id"], F.lit(last.first()["now"]), most=most)
+    return after.select("user_id", F.lit("live").alias("what"), "tier").unionByName(answers.where("status = 'refused'").select("user_id", F.col("error_class").alias("what"), F.lit(None).cast("int").alias("tier")))
+
+
+def asking_frontier(spark, sf_dir):
+    """Parts as ways of asking, by size found and price: those that another one dominates."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("shape"), (F.col("p_partkey") * 7 % 101).alias("found"), (F.col("p_partkey") * 13 % 89).alias("over_masked"))
+    return evaluation.frontier(parts).groupBy("dominated").agg(F.count("*").alias("shapes"), F.sum("found").cast("long").alias("found"))
+
+
 _DOCS = _spans("documents", "doc_id", "text")
 _JOINED = f"(select f.*, d.lang, d.source, row_number() over () as r from {_DOCS} f join documents d using (doc_id))"
 _NUMBERED = f"""(select source, value, entity_type, n, '[' || entity_type || '_' || n || ']' as placeholder from (
@@ -331,6 +373,7 @@ QUERIES = {
         placeholder_numbering, masked_documents, restore_roundtrip, session_value_cap, audit_counts_by_source, text_digest_dedup, session_ttl_split, json_leaves_events,
         json_leaves, json_findings, mask_conversations, chat_slots, evaluation_counts, evaluation_scores, evaluation_coverage, evaluation_over_masking, unmasked_words, audit_masked_events, recognizer_windows,
         rendered_identifiers, rendered_masked, masked_without_keys, session_recurrence, restored_bodies, restored_events, numeric_leaves,
+        cached_detection, found_by_layer, coverage_by_language, session_admission, asking_frontier,
     )
 }
 
@@ -406,4 +449,20 @@ SQL = {
     "numeric_leaves": """select o_orderpriority, count(*) as texts, count(*) as spans, count(*) filter (not f) as redacted, count(*) filter (f) as forwarded, count(distinct v) filter (t = 0) as email,
       count(distinct v) filter (t = 1) as person, count(distinct v) filter (t = 2) as org, count(distinct v) filter (t = 3) as unvalidated
       from (select o_orderpriority, o_orderkey % 4 as t, o_orderkey % 50 as v, o_orderkey % 3 = 0 and o_orderkey % 4 in (1, 2) as f from orders) group by 1""",
+    "cached_detection": f"""select d.source, count(*) as documents, sum((select count(*) from {_DOCS} f where f.doc_id = d.doc_id))::bigint as findings,
+      count(*) filter (exists (select 1 from documents e where e.doc_id % 2 = 0 and e.source = d.source and e.text = d.text)) as hits from documents d group by d.source""",
+    "found_by_layer": f"""select case when confidence >= 1 then 'checksum' else 'pattern' end as layer, entity_type, count(*) as findings from {rendered.expected("customer", "c_custkey")} group by all""",
+    "coverage_by_language": f"""select lang, entity_type, covered, gold, round(covered / gold, 9) as ratio, covered = 0 and l = 0 as dark from (
+      select lang, entity_type, grouping_id(lang, entity_type) as l, count(*) filter (hit) as covered, count(*) as gold from (
+        select g.*, d.lang, exists (select 1 from {_PREDICTED} p where g.doc_id = p.doc_id and {_IOU}) as hit from {_GOLD} g join documents d using (doc_id)) group by rollup(lang, entity_type)) where l in (0, 3)""",
+    "session_admission": """with users as (select user_id, max(ts) as seen from events group by 1), now_ as (select max(ts) as t from events), cap as (select floor(count(*) * 0.6)::bigint as most from users),
+      live as (select user_id, least(user_id % 4, 2)::int as tier, epoch((select t from now_))::bigint - (user_id * 37) % 2400 as seen from users where user_id % 3 > 0),
+      kept as (select *, user_id % 10 = 0 as here from live where tier = 2 or epoch((select t from now_))::bigint - seen < 1800),
+      fresh as (select user_id, row_number() over (order by user_id) as n from users where (user_id % 3 = 0 or user_id % 10 = 0) and user_id not in (select user_id from kept)),
+      room as (select greatest((select most from cap) - (select count(*) from kept), 0) as free, (select count(*) from kept where tier < 2 and not here) as open),
+      gone as (select greatest(least((select count(*) from fresh), free + open) - free, 0) as g from room)
+      select user_id, 'live' as what, tier from (select *, row_number() over (order by (here or tier = 2)::int, tier, seen, user_id) as c from kept) where c > (select g from gone)
+      union all select user_id, case when n <= (select free + open from room) then 'live' else 'session_saturated' end, case when n <= (select free + open from room) then 0 end from fresh""",
+    "asking_frontier": """with s as (select p_partkey * 7 % 101 as f, p_partkey * 13 % 89 as o from part)
+      select exists (select 1 from s b where b.f >= a.f and b.o <= a.o and (b.f > a.f or b.o < a.o)) as dominated, count(*) as shapes, sum(f)::bigint as found from s a group by 1""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import stat
 
@@ -62,19 +63,54 @@ def gold(rows: DataFrame) -> DataFrame:
     return rows.select("id", "lang", F.explode("entities").alias("e")).select("id", "lang", "e.*")
 
 
-def scan(spark: SparkSession, path: str, show_values: bool = False, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(findings, totals, skipped) of a directory of texts; values are abbreviated unless asked for."""
+def display_path(path: str) -> str:
+    """A path that can be printed: bytes that are no UTF-8 become U+FFFD."""
+    return path.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+
+
+def scan(spark: SparkSession, path: str, show_values: bool = False, unreadable: int = 0, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(findings, totals, skipped) of a directory of texts; values are abbreviated unless asked for.
+
+    unreadable: how many entries a listing couldn't read, for the totals.
+    """
     good, skipped = texts(spark, path)
     found = detection.findings(good, ["path"], **options)
     if not show_values:
         found = found.withColumn("value", detection.displayed("value"))
-    totals = found.agg(F.count("*").alias("findings")).crossJoin(good.agg(F.count("*").alias("files"))).crossJoin(skipped.agg(F.count("*").alias("skipped")))  # one row each
+    counts = [found.agg(F.count("*").alias("findings")), good.agg(F.count("*").alias("files")), skipped.agg(F.count("*").alias("skipped"))]  # one row each
+    totals = counts[0].crossJoin(counts[1]).crossJoin(counts[2]).withColumn("unreadable", F.lit(unreadable))
     return found, totals, skipped
 
 
-def render(found: DataFrame, totals: DataFrame) -> str:
-    """A text report: counts by type (largest first, then by name), totals.  Only counts come to the driver."""
-    by_type = found.groupBy("entity_type").count().orderBy(F.desc("count"), "entity_type").collect()
+def by_type(found: DataFrame) -> list[tuple[str, int]]:
+    """Counts by type, the largest first, then by name.  Only counts come to the driver."""
+    return [(r["entity_type"], r["count"]) for r in found.groupBy("entity_type").count().orderBy(F.desc("count"), "entity_type").collect()]
+
+
+def render(found: DataFrame, totals: DataFrame, ner: tuple[bool, str | None] = (False, "no weights")) -> str:
+    """A text report: totals, counts by type, and whether the named-entity layer ran."""
     t = totals.first()
-    lines = [f"{r['entity_type']}: {r['count']}" for r in by_type]
-    return "\n".join([f"{t['files']} files, {t['findings']} findings, {t['skipped']} skipped", *lines])
+    lines = [f"{t['files']} files, {t['findings']} findings, {t['skipped']} skipped, {t['unreadable']} unreadable"]
+    lines += [f"{kind}: {n}" for kind, n in by_type(found)]
+    return "\n".join([*lines, f"named-entity layer: {'on' if ner[0] else f'off ({ner[1]})'}"])
+
+
+def report(found: DataFrame, totals: DataFrame, listed: DataFrame, show_values: bool = False, ner: tuple[bool, str | None] = (False, "no weights")) -> DataFrame:
+    """(path, report): a JSON object for each file with its findings in order, and a last row without a path with the summary.
+
+    listed: (path) of the files that were read.  A report of any size is written by the executors; joined, its rows are the report.
+    """
+    value = "value" if show_values else "masked_value"
+    finding = F.struct("start", "end", F.col("entity_type").alias("type"), "confidence", "recognizer", F.col("value").alias(value))
+    grouped = found.groupBy("path").agg(F.sort_array(F.collect_list(finding)).alias("findings"))
+    none = F.array().cast(grouped.schema["findings"].dataType)
+    files = listed.select("path").join(grouped, "path", "left").select("path", F.to_json(F.struct("path", F.coalesce("findings", none).alias("findings"))).alias("report"))
+    kinds = dict(by_type(found))
+    summary = totals.select(
+        F.lit(None).cast("string").alias("path"),
+        F.to_json(
+            F.struct(F.struct(F.col("files").alias("files_scanned"), F.col("skipped").alias("files_skipped"), F.col("unreadable").alias("files_unreadable"), F.lit(ner[0]).alias("ner"), F.lit(None if ner[0] else ner[1]).alias("ner_off_reason"), F.col("findings").alias("total_findings"), F.from_json(F.lit(json.dumps(kinds)), "map<string,long>").alias("by_type")).alias("summary")),
+            {"ignoreNullFields": "false"},
+        ).alias("report"),
+    )
+    return files.unionByName(summary)

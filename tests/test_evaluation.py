@@ -1,7 +1,9 @@
+import json
 import random
 from itertools import permutations
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillveil.operators import evaluation, ner
 from quillveil.operators.spans import Span
@@ -84,3 +86,39 @@ def test_trimming_and_contested():
     assert ner.availability("auto", False, True) == (False, "no weights") and ner.availability("off", True, True) == (False, "disabled")
     with pytest.raises(RuntimeError):
         ner.availability("required", True, False)
+
+
+def test_buckets_bootstrap_frontier_and_metrics(spark):
+    covered = spark.createDataFrame([("fr", "A", True), ("fr", "A", False), ("de", "A", False), ("de", "B", True)], "lang string, entity_type string, covered boolean")
+    rows = {(r["lang"], r["entity_type"]): (r["covered"], r["gold"], r["ratio"], r["dark"]) for r in evaluation.covered_buckets(covered, ["lang", "entity_type"]).collect()}
+    assert rows == {("fr", "A"): (1, 2, 0.5, False), ("de", "A"): (0, 1, 0.0, True), ("de", "B"): (1, 1, 1.0, False), (None, None): (2, 4, 0.5, False)}
+    measured = [(g, arm, n) for g in range(30) for arm, n in (("good", 5 + g % 3), ("bad", 4 + g % 3), ("same", 5 + g % 3))]
+    df = spark.createDataFrame(measured, "doc long, arm string, n long")
+    got = {r["arm"]: (r["wins"], r["undecided"]) for r in evaluation.bootstrap(df, "doc", "arm", "n", 200).collect()}
+    assert got == {"good": (0, 200), "bad": (0, 200), "same": (0, 200)}
+    apart = df.where("arm <> 'same'")
+    one = {r["arm"]: r["wins"] for r in evaluation.bootstrap(apart, "doc", "arm", "n", 200).collect()}
+    assert one == {"good": 200, "bad": 0} == {r["arm"]: r["wins"] for r in evaluation.bootstrap(apart.repartition(5), "doc", "arm", "n", 200).collect()}
+    close = spark.createDataFrame([(g, arm, g % 7 if arm == "a" else (g + 3) % 7) for g in range(40) for arm in "ab"], "doc long, arm string, n long")
+    wins = {r["arm"]: r["wins"] for r in evaluation.bootstrap(close, "doc", "arm", "n", 300).collect()}
+    assert 30 < wins["a"] < 270 and wins["a"] + wins["b"] <= 300
+    shapes = spark.createDataFrame([("x", 5, 2), ("y", 5, 3), ("z", 6, 4), ("v", 5, 2)], "shape string, found int, over_masked int")
+    assert {r["shape"]: r["dominated"] for r in evaluation.frontier(shapes).collect()} == {"x": False, "y": True, "z": False, "v": False}
+    spans = spark.createDataFrame([([1, 2, 3], [2])], "together array<int>, apart array<int>")
+    assert spans.select(evaluation.lost(F.col("together"), F.col("apart"))).first()[0] == [1, 3]
+    counts = spark.createDataFrame([("A", 3, 1, 0)], "entity_type string, tp long, fp long, fn long")
+    told = json.loads(evaluation.metrics(evaluation.scores(counts), evaluation.summary(counts, ["A"]), corpus_sha256="x"))
+    assert told["per_type"]["A"]["precision"] == 0.75 and told["total"]["tier_1_recall"] == 1.0 and told["corpus_sha256"] == "x"
+
+
+def test_cache(spark):
+    from quillveil.operators import cache, detection
+
+    df = spark.createDataFrame([(1, "t", "a@x.com"), (2, "t", "a@x.com"), (3, "u", "a@x.com"), (4, "t", None), (5, None, "b@x.com")], "id long, tenant string, text string")
+    first, kept = cache.detect_cached(df, cache.empty(spark), b"salt", "tenant")
+    assert {r["id"]: len(r["spans"]) for r in first.collect()} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 1} and kept.count() == 3
+    assert {r["id"]: r["hit"] for r in cache.probe(df, kept, b"salt", "tenant").collect()} == {1: True, 2: True, 3: True, 4: False, 5: True}
+    assert cache.probe(df, kept, b"other", "tenant").where("hit").count() == 0 and cache.probe(df, kept, b"salt", "tenant", version="x").where("hit").count() == 0
+    again, same = cache.detect_cached(df, kept, b"salt", "tenant")
+    assert again.count() == 5 and same.count() == 3 and cache.sweep(kept, detection.version()).count() == 3 and cache.sweep(kept, "x").count() == 0
+    assert not any("x.com" in str(r) for r in kept.drop("spans").collect())

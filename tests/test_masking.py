@@ -1,8 +1,10 @@
 import json
+import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillveil.operators import audit, jsontext, pseudonyms, sessions
 from quillveil.operators.detection import Finder
@@ -37,6 +39,35 @@ def test_pseudonymize_and_restore(spark, turns):
     assert pseudonyms.restore(strange, mapping, ["session"], ["turn"], strict=False).first()["text"] == "a@x.com and [PERSON_7]"
 
 
+def test_null_keys_and_equal_positions(spark):
+    """No row is left in clear, and none gets another's pieces."""
+    rows = [(None, 0, "mail b@x.com now"), ("s", None, "mail b@x.com now"), ("s", 1, "first a@x.com"), ("s", 1, "second c@x.com text"), ("s", 1, "second c@x.com text"), (None, None, None)]
+    df = spark.createDataFrame(rows, "session string, turn long, text string").withColumn("__row", F.lit("clash"))
+    masked, mapping = pseudonyms.pseudonymize(df, ["session"], ["turn"])
+    texts = [r["text"] for r in masked.collect()]
+    assert masked.columns == df.columns and sum(t is None for t in texts) == 1 and not any("@" in t for t in texts if t)
+    assert sorted(re.sub(r"\d", "#", t) for t in texts if t) == ["first [EMAIL_#]", "mail [EMAIL_#] now", "mail [EMAIL_#] now", "second [EMAIL_#] text", "second [EMAIL_#] text"]
+    assert {(r["session"], r["n"]) for r in mapping.collect()} == {(None, 1), ("s", 1), ("s", 2), ("s", 3)}
+    back = pseudonyms.restore(masked, mapping, ["session"])
+    assert sorted(((r["session"], r["turn"], r["text"]) for r in back.collect()), key=str) == sorted(rows, key=str)
+    strange = pseudonyms.restore(spark.createDataFrame([(None, "[EMAIL_7]")], "session string, text string"), mapping, ["session"]).first()
+    assert strange["status"] == "refused"
+    for literals in (True, False):
+        masked, mapping = pseudonyms.pseudonymize(df, [], ["turn"], literals=literals)
+        assert {r["n"] for r in mapping.collect()} == {1, 2, 3}
+        assert sorted(str(r["text"]) for r in pseudonyms.restore(masked, mapping, []).collect()) == sorted(str(t) for _, _, t in rows)
+
+
+def test_numbers_of_one_large_session(spark):
+    found = spark.range(5000).select(F.lit("s").alias("session"), (F.col("id") * 7919 % 5000).alias("at"), F.concat(F.lit("v"), F.col("id") * 7919 % 5000).alias("value"), F.lit("ORG").alias("entity_type"))
+    values = pseudonyms.first_values(found, ["session"], ["at"])
+    got = pseudonyms.number(values, ["session"]).collect()
+    assert all(r["value"] == f"v{r['n'] - 1}" for r in got) and len(got) == 5000
+    literals = spark.createDataFrame([("s", "[ORG_3]"), ("s", "[ORG_4]"), ("s", "[PERSON_9]")], "session string, token string")
+    shifted = {r["value"]: r["n"] for r in pseudonyms.number(values, ["session"], literals).collect()}
+    assert [shifted[f"v{i}"] for i in (0, 1, 2, 4999)] == [1, 2, 5, 5002]
+
+
 def test_first_type_names_a_value_and_unknown_types_fall_back(spark):
     found = spark.createDataFrame([("s", 1, "v", "PERSON"), ("s", 0, "v", "ORG"), ("s", 2, "w", "NONSENSE")], "session string, at int, value string, entity_type string")
     rows = pseudonyms.number(pseudonyms.first_values(found, ["session"], ["at"]), ["session"]).orderBy("n").collect()
@@ -120,10 +151,32 @@ def test_audit(spark, tmp_path):
         audit.append(requests, path)
     assert spark.read.json(path).count() == 4
     assert len(audit.ERRORS) == 28 and len(audit.STREAM_ERRORS) == 22
+    journal = audit.Journal(str(tmp_path / "journal.jsonl"))
+    journal.append({"event": "masked", "spans": 1})
+    with open(journal.path, "ab") as f:
+        f.write(b'{"event": "mas')  # a failure
+    journal.append({"event": "outcome"}, durable=False)
+    assert journal.events() == [{"event": "masked", "spans": 1}, {"event": "outcome"}]
+    stamped = audit.stamped(requests, F.lit("2024-05-06 07:08:09.5").cast("timestamp")).first()["ts"]
+    assert stamped == "2024-05-06T07:08:09.500Z"
     df = spark.createDataFrame([("a", "bc"), ("ab", "c")], "x string, y string")
-    from pyspark.sql import functions as F
-
     keys = [r[0] for r in df.select(audit.digest(b"salt", F.col("x"), F.col("y"))).collect()]
     assert len(set(keys)) == 2 and all(len(k) == 32 for k in keys)
     assert spark.createDataFrame([("ok:1",), ("no no",), ("x" * 129,)], "s string").where(audit.session_id_ok("s")).count() == 1
     assert json.loads("{}") == {}
+
+
+def test_admission(spark):
+    now = F.lit("2024-01-01 01:00:00").cast("timestamp")
+    live = [("a", "2024-01-01 00:50:00", 1), ("b", "2024-01-01 00:55:00", 0), ("c", "2024-01-01 00:45:00", 0), ("old", "2024-01-01 00:10:00", 1), ("held", "2024-01-01 00:10:00", 2)]
+    live = spark.createDataFrame(live, "id string, last_seen string, tier int").withColumn("last_seen", F.col("last_seen").cast("timestamp"))
+
+    def admit(arrivals, most):
+        after, answers = sessions.admit(live, spark.createDataFrame([(x,) for x in arrivals], "id string"), ["id"], now, most=most)
+        return {r["id"] for r in after.collect()}, {r["id"]: r["error_class"] for r in answers.collect()}
+
+    assert admit(["x"], 5) == ({"a", "b", "c", "held", "x"}, {"x": None})
+    assert admit(["x"], 4) == ({"a", "b", "held", "x"}, {"x": None})  # the oldest of the cheapest goes
+    assert admit(["c", "x", "y"], 4) == ({"c", "held", "x", "y"}, {"c": None, "x": None, "y": None})
+    assert admit(["w", "x", "y", "z"], 4) == ({"held", "w", "x", "y"}, {"w": None, "x": None, "y": None, "z": "session_saturated"})
+    assert admit([], 1)[0] == {"a", "b", "c", "held"}

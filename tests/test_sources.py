@@ -1,10 +1,17 @@
+import json
 import os
+import random
+import re
 
 import duckdb
 import pytest
 
+from quillveil import provenance
+from quillveil.__main__ import main
+from quillveil.functions import identifiers
+from quillveil.operators import detection, evaluation
 from quillveil.plans import catalog
-from quillveil.sources import files
+from quillveil.sources import catalogs, corpora, files, settings
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,8 +29,93 @@ def test_directory_scan(spark, tmp_path):
     os.remove(tmp_path / "link.txt")
     found, totals, skipped = files.scan(spark, str(tmp_path))
     assert {(r["entity_type"], r["start"], r["value"]) for r in found.collect()} == {("EMAIL", 5, "…"), ("IBAN", 19, "DE89…00")}
-    assert totals.first().asDict() == {"findings": 2, "files": 1, "skipped": 1} and skipped.count() == 1
-    assert files.render(found, totals).splitlines() == ["1 files, 2 findings, 1 skipped", "EMAIL: 1", "IBAN: 1"]
+    assert totals.first().asDict() == {"findings": 2, "files": 1, "skipped": 1, "unreadable": 0} and skipped.count() == 1
+    assert files.render(found, totals).splitlines() == ["1 files, 2 findings, 1 skipped, 0 unreadable", "EMAIL: 1", "IBAN: 1", "named-entity layer: off (no weights)"]
+    parts = files.report(found, totals, files.texts(spark, str(tmp_path))[0]).collect()
+    by_path = {r["path"]: json.loads(r["report"]) for r in parts}
+    assert by_path[None]["summary"] == {"files_scanned": 1, "files_skipped": 1, "files_unreadable": 0, "ner": False, "ner_off_reason": "no weights", "total_findings": 2, "by_type": {"EMAIL": 1, "IBAN": 1}}
+    (own,) = (v for k, v in by_path.items() if k)
+    assert [(f["type"], f["start"], f["masked_value"]) for f in own["findings"]] == [("EMAIL", 5, "…"), ("IBAN", 19, "DE89…00")]
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "a.txt").write_text("mail a@x.com")
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    assert main(["scan", str(tmp_path), "--json", "--show-values"]) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert out["files"][0]["findings"][0]["value"] == "a@x.com" and out["summary"]["total_findings"] == 1
+    assert main(["scan", str(tmp_path), "--no-ner"]) == 0 and "off (disabled)" in capsys.readouterr().out
+    assert main(["scan", str(tmp_path), "--ner"]) == 2 and main(["scan", str(tmp_path / "none")]) == 2
+    assert files.display_path("a\udcff") == "a\ufffd"
+
+
+def test_settings():
+    got = settings.load('[sessions]\nmost_values = 5\n[stream]\nclient_format = "json5"')
+    assert got["sessions"]["most_values"] == 5 and got["sessions"]["idle_seconds"] == 1800 and got["stream"]["client_format"] == "json5" and settings.load("")["tools"]["most_calls"] == 40
+    for text, says in (("x", "not TOML"), ('[secret]\nkey = "hunter2"', "no section secret"), ('[sessions]\nkey = "hunter2"', "no setting sessions.key"), ('[sessions]\nmost_values = "hunter2"', "a whole number"), ("[sessions]\nmost_values = true", "a whole number"), ('[callers]\ncredentials_sha256 = ["hunter2"]', "digests"), ('sessions = "hunter2"', "no section")):
+        with pytest.raises(settings.Wrong, match=says) as e:
+            settings.load(text)
+        assert "hunter2" not in str(e.value)
+
+
+def test_generated_corpora(spark):
+    rows = corpora.sentences(spark, 300, seed=7).collect()
+    assert [tuple(r) for r in corpora.sentences(spark, 300, seed=7).repartition(3).orderBy("id").collect()] == [tuple(r) for r in sorted(rows, key=lambda r: r["id"])]
+    find = detection.Finder()
+    assert {e["entity_type"] for r in rows for e in r["entities"]} == set(corpora.MAKERS)
+    for r in rows:
+        spans = find(r["text"])
+        for e in r["entities"]:
+            value = r["text"][e["start"] : e["end"]]
+            name = next((x.validator for x in find.rules if x.entity_type == e["entity_type"]), None)
+            assert name is None or identifiers.VALIDATORS[name](value)
+            assert any(s.start <= e["start"] and e["end"] <= s.end for s in spans)
+    docs = corpora.documents(spark, 40, seed=7)
+    leaks, refused = evaluation.document_leaks(docs)
+    assert leaks.count() == 0 and refused.count() == 0
+    hidden = spark.createDataFrame([("d", [("k", "see a@x.com and Ann", [("EMAIL", 4, 11), ("PERSON", 16, 19)])])], "id string, leaves array<struct<key:string,text:string,entities:array<struct<entity_type:string,start:int,end:int>>>>")
+    leaks, _ = evaluation.document_leaks(hidden)
+    assert [tuple(r) for r in leaks.collect()] == [("d", 0, 16, "PERSON", "Ann")] and evaluation.leak_figures(leaks).first().asDict() == {"occurrences": 1, "entities": 1}
+
+
+def test_digests(tmp_path, monkeypatch):
+    (tmp_path / "a").write_text("1")
+    one = provenance.weights(tmp_path)
+    (tmp_path / "b").write_text("2")
+    assert provenance.weights(tmp_path) != one and len(one) == 64 and provenance.sources() == provenance.sources() != provenance.sources(tmp_path)
+    monkeypatch.setenv(provenance.WEIGHTS_VARIABLE, str(tmp_path))
+    assert provenance.weights_folder() == tmp_path and provenance.libraries(["pyspark"]) != provenance.libraries(["pyspark", "none-such"])
+    monkeypatch.setenv(provenance.WEIGHTS_VARIABLE, str(tmp_path / "none"))
+    assert provenance.weights_folder() is None
+    assert catalogs.vocabulary_differences(["A", "B"], ["B", "C"]) == (["A"], ["C"])
+
+
+@pytest.mark.parametrize("change", [{"validator": "odd"}, {"confidence": 0.9}, {"threshold": 2}, {"pattern": None}, {"tier": True}, {"boost": {"value": 2, "window": 1, "triggers": ["x"]}}, {"boost": {"value": 0.1, "window": 0, "triggers": ["x"]}}, {"boost": {"value": 0.1, "window": 1, "triggers": ["-"]}}, {"boost": {"value": 0.1, "window": 1, "triggers": []}}, {"boost": [1]}])
+def test_catalog_entries_are_checked(change):
+    with pytest.raises(ValueError, match="iban"):
+        catalogs.rules([catalogs.IDENTIFIERS[0] | change])
+
+
+def test_layers(spark):
+    assert detection.layers(None, (False, "no weights")) == ("deterministic",) and detection.layers(None, (True, None)) == ("deterministic", "ner")
+    for wrong in ([], ["ner"], ["deterministic", "deterministic"], ["deterministic", "odd"]):
+        with pytest.raises(ValueError):
+            detection.layers(wrong, (True, None))
+    with pytest.raises(RuntimeError, match="no weights"):
+        detection.layers(["deterministic", "ner"], (False, "no weights"))
+    row = detection.answered(spark.createDataFrame([("a@x.com",)], "text string")).first()
+    assert row["layers_run"] == ["deterministic"] and not row["complete"] and row["version"] == detection.version() and len(row["spans"]) == 1
+
+
+def test_gates_hold_of_every_match():
+    rng = random.Random(6)
+    for kind, make in corpora.MAKERS.items():
+        for _ in range(300):
+            text = f"x {make(rng)} y"
+            for rule in catalogs.built_in():
+                assert not rule.pattern.search(text) or rule.gate.search(text), (kind, text)
+            if any(s.entity_type == kind for s in detection.Finder()(text)):
+                assert re.search(detection.PLAIN_CANDIDATE, text)
 
 
 def test_corpus(spark, tmp_path):
@@ -38,7 +130,7 @@ def test_queries_equal_sql(spark, name):
         assert rows.count() >= 0
         return
     con = duckdb.connect()
-    for t in ("documents", "pages", "events", "lineitem", "conversations"):
+    for t in ("customer", "documents", "pages", "events", "lineitem", "conversations", "orders", "part"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(catalog.SQL[name])
     columns = sorted(rows.columns)
