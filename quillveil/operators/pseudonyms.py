@@ -21,8 +21,12 @@ TOKEN = r"\[[A-Z_]+_[0-9]+\]"
 
 
 def tokens(text: Column) -> Column:
-    """All placeholder-shaped tokens of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
+    """All placeholder-shaped tokens of a text, in order; texts without a bracket aren't searched."""
+    return F.when(text.contains("["), F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)))
+
+
+def has_token(text: Column) -> Column:
+    return F.coalesce(text.contains("[") & text.rlike(TOKEN), F.lit(False))
 
 
 def known_type(entity_type: Column) -> Column:
@@ -102,13 +106,14 @@ def pseudonymize(df: DataFrame, session: list[str], position: list[str], text: s
     The mapping is the only table that holds values: session, value, entity_type, first, n, placeholder.
     Null texts stay null.
     """
-    row, spans = tables.fresh(df, "__row"), tables.fresh(df, "__spans")
-    searched = tables.table(detect(df, text, spans, **options).withColumn(row, F.monotonically_increasing_id()))
+    row, spans, wrote = tables.fresh(df, "__row"), tables.fresh(df, "__spans"), tables.fresh(df, "__tokens")
     own = F.col(f"`{text}`")
+    searched = tables.table(detect(df, text, spans, **options).withColumns({row: F.monotonically_increasing_id(), wrote: tokens(own) if literals else F.lit(None).cast("array<string>")}))
+    reserved = searched.where(F.size(wrote) > 0).select(*session, F.explode(wrote).alias("token")).distinct()
     value = F.substring("__text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     found = searched.where(F.size(spans) > 0).select(row, *dict.fromkeys([*session, *position]), own.alias("__text"), F.explode(spans).alias("s"))
     found = found.select(row, *dict.fromkeys([*session, *position]), F.col("s.start").alias("__start"), F.col("s.end").alias("__end"), F.col("s.entity_type").alias("entity_type"), value.alias("value"))
-    mapping = tables.table(number(first_values(found, session, [*position, row, "__start"]), session, written_tokens(df, session, text) if literals else None))
+    mapping = tables.table(number(first_values(found, session, [*position, row, "__start"]), session, reserved if literals and not reserved.isEmpty() else None))
     issued = mapping.select(*session, "value", "placeholder")
     named = found.join(issued, tables.same(found, issued, session) & (found["value"] == issued["value"]))
     piece = F.struct(F.col("__start").alias("start"), F.col("__end").alias("end"), "placeholder")
@@ -138,11 +143,11 @@ def restore(df: DataFrame, mapping: DataFrame, session: list[str], row: list[str
     id_ = tables.fresh(df, "__row")
     rows = tables.table(df.withColumn(id_, F.monotonically_increasing_id()))
     own = F.col(f"`{text}`")
-    there = rows.where(own.rlike(TOKEN)).select(id_, *session, F.posexplode(tokens(own)).alias("at", "token"))
+    there = rows.where(has_token(own)).select(id_, *session, F.posexplode(tokens(own)).alias("at", "token"))
     found = there.join(table, tables.same(there, table, session) & (there["token"] == table["token"]), "left")
     each = F.struct("at", F.coalesce(table["value"], there["token"]).alias("value"), table["value"].isNull().alias("unknown"))
     values = found.groupBy(id_).agg(F.sort_array(F.collect_list(each)).alias("__values"))
-    hit = rows.where(own.rlike(TOKEN)).join(values, id_)
+    hit = rows.where(has_token(own)).join(values, id_)
     parts = F.split(own, TOKEN, -1)
     restored = F.array_join(F.zip_with(parts, F.col("__values"), lambda p, v: F.concat(p, F.coalesce(v["value"], F.lit("")))), "")
     refused = F.exists("__values", lambda v: v["unknown"]) if strict else F.lit(False)
@@ -151,5 +156,5 @@ def restore(df: DataFrame, mapping: DataFrame, session: list[str], row: list[str
         F.when(refused, "refused").otherwise("completed").alias("status"),
         F.when(refused, "mapping_unknown_placeholder").alias("error_class"),
     )
-    plain = rows.where(~F.coalesce(own.rlike(TOKEN), F.lit(False))).select(*df.columns, F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error_class"))
+    plain = rows.where(~has_token(own)).select(*df.columns, F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error_class"))
     return done.unionByName(plain)
