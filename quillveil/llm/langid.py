@@ -78,7 +78,7 @@ class Profiles:
         # a boundary before and after every text
         edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         stop = np.append(edge[1:], len(doc))
-        where = np.concatenate([edge, stop])
+        where = np.concatenate([stop, edge])  # of two at one place, the end of a text comes before the begin of the next
         low, doc = np.insert(low, where, 0), np.insert(doc, where, np.concatenate([doc[edge], doc[edge]]))
         symbols, own = self._index(low)
         size = len(symbols)
