@@ -3,8 +3,9 @@
 Each text is scanned as it is (the base layer).  Then a worklist unwraps nested layers until nothing
 new appears: percent-encoding and Unicode escapes decode a layer in place, with a position map;
 base64 runs (also over several lines) decode to a layer of their own, and gzip, zlib or bzip2 data inside is expanded.
-Where a run doesn't decode to text as a whole, as other characters are joined to the encoded ones, the texts and compressed data in
-what it decodes to from each of its first four characters are layers.  Every layer is scanned again; a digest of each layer seen stops cycles.  A finding in a layer is mapped back to
+Where a run doesn't decode to text as a whole, as other characters are joined to the encoded ones or text is among other bytes, the stretches
+of UTF-8 and UTF-16 text and the compressed data in what it decodes to from each of its first four characters are layers; of compressed data that
+breaks off, what comes before is.  Every layer is scanned again; a digest of each layer seen stops cycles.  A finding in a layer is mapped back to
 the span of the original text that produced it (for base64 and compressed data, the whole run).
 Findings of the base layer always stay; a decoded finding with an equal kind and span adds nothing.
 
@@ -50,6 +51,7 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]{16,}+)*\r?\n[A-Za-z0-9+/_-]++={0,2}")
 #: In decoded bytes: text long enough for a finding, and where compressed data may begin.
 _STRETCH = re.compile(rb"(?:[\t\n\r -~]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){14,}")
+_WIDE = {order: re.compile(pattern) for order, pattern in (("utf-16-le", rb"(?:[\t\n\r -~]\0){14,}"), ("utf-16-be", rb"(?:\0[\t\n\r -~]){14,}"))}
 _PACKED = re.compile(rb"(?=\x1f\x8b\x08|BZh|[\x08\x18\x28\x38\x48\x58\x68\x78])", re.S)
 _B64_BYTE = np.zeros(256, bool)
 _B64_BYTE[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", np.uint8)] = True
@@ -158,24 +160,24 @@ def _escape(m: re.Match) -> list[Run] | None:
 
 
 def _members(data: bytes | memoryview, piece: int) -> Iterator[bytes]:
-    """Expanded data of all members that follow each other, in pieces; an error if the first is none or one breaks off."""
+    """Expanded data of all members that follow each other, in pieces; an error if the first is none, or behind what one holds that breaks off."""
     rest = bytes(data)
     while True:
         if rest[:3] == b"BZh":
             d = bz2.BZ2Decompressor()
             out = d.decompress(rest, piece)
             while not d.eof:
+                yield out
                 if d.needs_input:
                     raise EOFError
-                yield out
                 out = d.decompress(b"", piece)
         elif rest[:2] == b"\x1f\x8b" or len(rest) > 2 and rest[0] & 15 == 8 and (rest[0] << 8 | rest[1]) % 31 == 0:
             d = zlib.decompressobj(47)
             out = d.decompress(rest, piece)
             while not d.eof:
+                yield out
                 if not d.unconsumed_tail and len(out) < piece:
                     raise EOFError
-                yield out
                 out = d.decompress(d.unconsumed_tail, piece)
         else:
             raise ValueError
@@ -203,10 +205,9 @@ def _inflate(data: bytes | memoryview, most: int) -> tuple[bytes | None, bool]:
             size += len(piece)
             if size > most:
                 return None, True
-    except (OSError, zlib.error, EOFError, ValueError):
-        if len(out) < 2:  # what came before a broken member is whole
-            return None, False
-    return b"".join(out), False
+    except (OSError, zlib.error, EOFError, ValueError):  # what came before is read
+        pass
+    return b"".join(out) or None, False
 
 
 def _streamed(data: bytes | memoryview) -> set[str]:
@@ -233,6 +234,16 @@ def _readable(data: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
+def _texts(data: bytes) -> list[str]:
+    """The texts in decoded bytes: all of them, or, among other bytes, stretches of UTF-8 and of UTF-16."""
+    if (whole := _readable(data)) is not None:
+        return [whole]
+    out = [m[0].decode("utf-8", "ignore") for m in _STRETCH.finditer(data)]
+    for order, pattern in _WIDE.items():
+        out += [m[0].decode(order, "ignore") for m in pattern.finditer(data)]
+    return out
+
+
 def _expanded(data: bytes | memoryview, most: int) -> tuple[bytes, int, int]:
     """Data with its nested compression undone, how many layers that were, and how many were left unread."""
     depth = 0
@@ -249,32 +260,32 @@ def _decoded(run: str, most: int) -> tuple[list[tuple[str, str]], int, set[tuple
     out: list[tuple[str, str]] = []
     unread, kinds = 0, set()
 
-    def large(data: bytes | memoryview, depth: int) -> None:
-        kinds.update((kind, "base64" + ">inflate" * (depth + 1)) for kind in _streamed(data))
+    def expanded(data: bytes | memoryview) -> tuple[bytes, int, int]:
+        nonlocal unread
+        inner, depth, left = _expanded(data, most)
+        unread += left
+        name = "base64" + ">inflate" * depth
+        if left:
+            kinds.update((kind, f"{name}>inflate") for kind in _streamed(inner))
+        elif depth:
+            out.extend((text, name) for text in _texts(inner))
+        return inner, depth, left
 
     for phase in range(4):
         body = run[phase:]
         body = body[: len(body) - (len(body) % 4 == 1)]
         raw = base64.b64decode(body + "=" * (-len(body) % 4))
         if not phase:
-            data, depth, left = _expanded(raw, most)
-            unread += left
-            if left:
-                large(data, depth)
-            whole = _readable(data)
-            if whole is not None:
-                out.append((whole, "base64" + ">inflate" * depth))
-            if (whole is not None and len(run) % 4 != 1) or depth or left:
+            _, depth, left = expanded(raw)
+            if depth or left:
                 break
-        out += [(m[0].decode("utf-8", "ignore"), "base64") for m in _STRETCH.finditer(raw)]
+        texts = _texts(raw)
+        out += [(text, "base64") for text in texts]
+        if not phase and len(run) % 4 != 1 and _readable(raw) is not None:
+            break
         for m in _PACKED.finditer(raw):
             if m.start() % 3 == 0 and (phase or m.start()):
-                data, depth, left = _expanded(memoryview(raw)[m.start() :], most)
-                unread += left
-                if left:
-                    large(data, depth)
-                if not left and depth and (inside := _readable(data)) is not None:
-                    out.append((inside, "base64" + ">inflate" * depth))
+                expanded(memoryview(raw)[m.start() :])
     return out, unread, kinds
 
 
