@@ -273,3 +273,280 @@ def test_short_items_tolerate_a_quarter_of_their_words(n):
     raw = [f"x y {t} z".encode() for t in texts]
     got = decontam.matches(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), block)
     assert got["doc"].tolist() == list(range(len(texts)))
+
+
+def test_layers_among_other_bytes():
+    secret = "some text, password=hunter2hunter2 and more of it"
+    noise = bytes(range(200, 256)) + b"\0\1\2"
+    layers = {
+        "truncated": gzip.compress((secret + " x" * 4000).encode())[:-20],
+        "utf-16": secret.encode("utf-16"),
+        "utf-16-be": noise + b"\0" * (1 - len(noise) % 2) + secret.encode("utf-16-be"),
+        "behind bytes": noise + secret.encode(),
+        "behind bytes, compressed": gzip.compress(noise + secret.encode() + noise),
+    }
+    for name, data in layers.items():
+        blob = base64.b64encode(data).decode()
+        found, unread = secrets.unwrap(f"a {blob} b")
+        assert ("assign", 2, 2 + len(blob)) in [x[:3] for x in found] and not unread, name
+
+
+BASE = {
+    "assign": re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)"""),
+    "access": re.compile("AKIA([A-Z0-9]+)"),
+    "hex": re.compile("([0-9a-f]+)"),
+}
+
+
+def test_secret_query_equals_brute_force(spark):
+    import hashlib
+
+    sf = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r for r in secrets.op6_secret_scan(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(docs)
+    found = 0
+    for d in docs:
+        spans = []
+        for kind, least in (("assign", 8), ("access", 12), ("hex", 32)):
+            spans += [(m.start(), ("assign", "access", "hex").index(kind), m.end(), kind) for m in BASE[kind].finditer(d["text"] or "") if len(m[1]) >= least]
+        r = rows[d["doc_id"]]
+        assert [r[f"n_{k}"] for k in BASE] == [sum(s[3] == k for s in spans) for k in BASE]
+        joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert {x for x in joined.split(",") if x} <= set(r["spans"].split(","))
+        found += len(spans)
+    assert found
+
+
+def test_nested_layers_equal_brute_force():
+    """Random nests of encodings around a secret: the span is the whole outermost encoded run."""
+    import random
+
+    rng = random.Random(4)
+    wraps = {
+        "base64": lambda t: base64.b64encode(t.encode()).decode(),
+        "inflate": lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+        "url": lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+        "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    }
+    for _ in range(60):
+        inner = f"say password={''.join(rng.choices('ABCDEFxyz0189', k=12))} é"
+        text, names = inner, [rng.choice(list(wraps)) for _ in range(rng.randint(1, 3))]
+        for name in names:
+            text = wraps[name](text)
+        found, unread = secrets.unwrap(f"é {text} z")
+        assert unread == 0 and found, names
+        a, b = found[0][1:3]
+        if names[-1] in ("base64", "inflate"):
+            assert (a, b) == (2, 2 + len(text)), names
+        elif len(names) == 1:  # in place: exactly the characters of the finding
+            unit = len(text) // (len(inner) + (names[0] == "url"))
+            assert (a, b) == (2 + 4 * unit, 2 + 4 * unit + len("password=") * unit + 12 * unit), names
+        else:
+            assert 2 <= a < b <= 2 + len(text)
+
+
+def test_secrets_of_very_long_and_no_rows(documents):
+    text = "%41" * 200_000 + " %70assword=hunter2hunter2 " + "\\u0041" * 100_000
+    found, unread = secrets.unwrap(text)
+    assert {(x[0], text[x[1] : x[2]]) for x in found} == {("assign", "%70assword=hunter2hunter2")} and not unread
+    assert secrets.scan_secrets(documents([])).count() == 0 and secrets.redact_secrets(documents([])).count() == 0
+
+
+def plain_profile(text, dims=1024):
+    """A text's bundled vector, letter by letter."""
+    letters = []
+    for c in text:
+        low = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else "\0"
+        if low != "\0" or letters[-1:] != ["\0"]:
+            letters.append(low)
+    letters = ["\0", *letters, "\0"]
+    vector = {c: np.unpackbits(langid.K.keyed(dims // 64, 1000 + (ord(c) if c != "\0" else 0)).view(np.uint8)).astype(int) * 2 - 1 for c in set(letters)}
+    return sum(np.roll(vector[a], 2) * np.roll(vector[b], 1) * vector[c] for a, b, c in zip(letters, letters[1:], letters[2:], strict=False))
+
+
+def test_language_profiles_equal_brute_force(documents, monkeypatch):
+    texts = {"en": ["The quick brown fox, and 12 others.", "over it all the while"], "de": ["Über den großen Fluß", "und das auch noch, ja!"]}
+    rows = [(i, t) for i, t in enumerate([*texts["en"], *texts["de"], "the FOX", "Fluß und", "", None, "日本語 日本"])]
+    docs = documents(rows).withColumn("lang", F.when(F.col("doc_id").isin(0, 1), "en").when(F.col("doc_id").isin(2, 3), "de"))
+    want = {lang: sum(plain_profile(t) for t in ts) for lang, ts in texts.items()}
+    for grams, cells in ((2048, 3_000_000), (7, 20)):
+        monkeypatch.setattr(langid, "_GRAMS", grams)
+        monkeypatch.setattr(langid, "_CELLS", cells)
+        prototypes = {k: langid.Profiles(1024)(*langid.K.utf8(langid.pa.array(ts)))[0].sum(0) for k, ts in texts.items()}
+        assert all(np.array_equal(prototypes[k], want[k]) for k in want)
+    got = {r["doc_id"]: r for r in langid.identify(docs, langid.fit(docs, F.lit(True))).collect()}
+    for i, t in rows:
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        p = plain_profile(t)
+        cosine = {k: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for k, v in want.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(max(0, cosine[best]))
+
+
+def test_language_of_many_letters_and_odd_tables(documents):
+    import random
+    import tracemalloc
+
+    rng = random.Random(1)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(300_000))
+    tracemalloc.start()
+    _, letters = langid.Profiles(1024)(*langid.K.utf8(langid.pa.array([text])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert letters[0] == 300_000 and peak < 300e6
+    clash = documents([(1, "the and"), (1, "the and")]).withColumn("lang_pred", F.lit("clash"))
+    out = langid.identify(clash, langid.fit(clash, F.lit(True)))
+    assert out.columns.count("lang_pred") == 1 and [r["lang_pred"] for r in out.collect()] == ["en", "en"]
+    assert langid.identify(documents([]), langid.fit(documents([]), F.lit(True))).count() == 0
+
+
+def plain_slots(text, bits):
+    """The distinct hash slots of a text's words and pairs."""
+    words = [w.encode() for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text or "")]
+    h = [int(toxicity.K.range_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words]
+    slots = {x >> (64 - bits) for x in h}
+    for step in toxicity.STEPS:
+        c = [int(x) | 1 for x in toxicity.K.keyed(2, 200 + step)]
+        slots |= {int(toxicity.K.mix(np.array([(a * c[0] + b * c[1]) % 2**64], np.uint64))[0]) >> (64 - bits) for a, b in zip(h, h[step:], strict=False)}
+    return sorted(slots)
+
+
+def test_toxicity_equals_brute_force(spark, documents):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["a", "B", "cé", "d", "e", "vile"], 9)) + (" foul" if i % 3 == 0 else ".")) for i in range(60)] + [(60, None), (61, ""), (5, "a B repeated row")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(62)], "doc_id long, toxic int")
+    options = {"bits": 16, "alpha": 0.5, "beta": 1.0, "l1": 0.2, "l2": 1.0, "epochs": 2}
+    docs = documents(rows)
+    got = toxicity.fit(docs, labels, F.lit(True), **options)
+    slots = [(i, int(i % 3 == 0), plain_slots(t, 16)) for i, t in rows]
+    line = toxicity._shuffled([(i, y, np.array(s, np.int32).tobytes()) for i, y, s in slots])
+    z, n, zb, nb = {}, {}, 0.0, 0.0
+
+    def weight(zi, ni):
+        return 0.0 if abs(zi) <= 0.2 else -(zi - np.sign(zi) * 0.2) / ((1.0 + ni**0.5) / 0.5 + 1.0)
+
+    for _ in range(2):
+        for _, y, raw in line:
+            own = np.frombuffer(raw, np.int32).tolist()
+            w = {s: weight(z.get(s, 0.0), n.get(s, 0.0)) for s in own}
+            wb = -zb / ((1.0 + nb**0.5) / 0.5 + 1.0)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + wb))) - y
+            for s in own:
+                before = n.get(s, 0.0)
+                z[s] = z.get(s, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / 0.5 * w[s]
+                n[s] = before + g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / 0.5 * wb
+            nb += g * g
+    want = {s: weight(x, n[s]) for s, x in z.items() if abs(x) > 0.2}
+    assert set(got.slot.tolist()) == set(want) and all(w == pytest.approx(want[s], abs=1e-4) for s, w in zip(got.slot.tolist(), got.weight, strict=True))
+    bias = -zb / ((1.0 + nb**0.5) / 0.5 + 1.0)
+    rows_out = sorted((r["doc_id"], r["score"]) for r in toxicity.score(docs, got, bits=16).collect())
+    expect = sorted((i, 1 / (1 + np.exp(-(sum(want.get(s, 0.0) for s in own) + bias)))) for i, _, own in slots)
+    assert all(a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-4) for a, b in zip(rows_out, expect, strict=True))
+
+
+def test_toxicity_bounds_and_odd_tables(spark, documents):
+    rows = [(i, ("foul " if i % 2 else "fine ") * (5000 if i == 7 else 20)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    docs = documents(rows)
+    whole = toxicity.fit(docs, labels, F.lit(True), l1=0.1)
+    few = toxicity.fit(docs, labels, F.lit(True), l1=0.1, sample_bytes=600)
+    assert len(whole.slot) and not np.array_equal(whole.weight, few.weight) and len(toxicity.fit(docs, labels, F.lit(True), sample_bytes=0).slot) == 0
+    out = toxicity.score(docs.unionByName(docs), whole).collect()
+    assert len(out) == 80 and all(r["predicted"] == r["doc_id"] % 2 for r in out)
+    assert toxicity.score(documents([]), whole).count() == 0
+
+
+def plain_tree(texts):
+    """Code lengths in bits by a context tree built and weighted node by node."""
+    nodes = {}
+
+    def steps(text):
+        raw = bytes(ctw.DEPTH) + text.encode() + bytes([ctw.END_BYTE])
+        for at in range(ctw.DEPTH, len(raw)):
+            prefix = ""
+            for k in range(7, -1, -1):
+                yield [(raw[at - d : at], prefix) for d in range(ctw.DEPTH + 1)], raw[at] >> k & 1
+                prefix += str(raw[at] >> k & 1)
+
+    for t in texts:
+        for path, bit in steps(t):
+            for node in path:
+                nodes.setdefault(node, [0, 0])[bit] += 1
+    below = {}
+    for context, prefix in nodes:
+        if context:
+            below.setdefault((context[1:], prefix), []).append((context, prefix))
+
+    def kt(a, b):
+        p, zeros = 0.0, 0
+        for zeros in range(a):
+            p += np.log((zeros + 0.5) / (zeros + 1))
+        for ones in range(b):
+            p += np.log((ones + 0.5) / (a + ones + 1))
+        return p
+
+    weighted, own = {}, {}
+    for node in sorted(nodes, key=lambda x: -len(x[0])):
+        mine = kt(*nodes[node])
+        if len(node[0]) == ctw.DEPTH:
+            weighted[node], own[node] = mine, 1.0
+        else:
+            longer = sum(weighted[c] for c in below[node])
+            weighted[node], own[node] = np.logaddexp(mine, longer) - np.log(2), 1 / (1 + np.exp(longer - mine))
+
+    def bits(text):
+        out = 0.0
+        for path, bit in steps(text):
+            p = 0.5
+            for node in reversed(path):  # the longest context first
+                if node in nodes:
+                    zeros, ones = nodes[node]
+                    p = own[node] * (ones + 0.5) / (zeros + ones + 1) + (1 - own[node]) * p
+            out -= np.log2(p if bit else 1 - p)
+        return out
+
+    return bits
+
+
+def test_context_tree_equals_brute_force(documents):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(rng.choice(["ab", "abc", "ba", "é"], 12))) for i in range(6)] + [(6, ""), (7, None), (8, "unseen xyz ab")]
+    docs = documents(rows).repartition(3)
+    model, rare = ctw.fit(docs, F.col("doc_id") != 8)
+    bits = plain_tree([t or "" for i, t in rows if i != 8])
+    for most in (1 << 21, 5):
+        got = {r["doc_id"]: r for r in ctw.score(docs, model, rare, most_sent=most).collect()}
+        for i, t in rows:
+            assert got[i]["score"] == pytest.approx(-bits(t or "") * np.log10(2), rel=1e-9)
+
+
+def test_scoring_of_very_long_texts(documents):
+    rows = [(1, "word " * 200_000 + "x" * 500_000), (2, "word other"), (2, "word other")]
+    docs = documents(rows)
+    model, rare = ctw.fit(docs, F.lit(True))
+    got = sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in ctw.score(docs, model, rare).collect())
+    assert [x[:2] for x in got] == [(1, 200_002), (2, 3), (2, 3)] and got[1] == got[2] and model.tokens == 200_008
+
+
+def test_decontamination_of_long_texts_and_clashing_names(spark, documents):
+    passage = " ".join(f"b{i}" for i in range(40))
+    docs = documents([(1, "filler " * 150_000 + passage + " filler" * 150_000), (2, "filler " * 300_000)])
+    bench = spark.createDataFrame([(7, passage), (8, passage)], "doc_id long, text string")
+    rows = decontam.contaminated_pairs(docs, bench, item="doc_id").collect()
+    assert sorted((r["doc_id"], r["doc_id_"], r["doc_word"]) for r in rows) == [(1, 7, 150_000), (1, 8, 150_000)]
+    assert decontam.decontaminate(docs, bench, item="doc_id").columns == docs.columns
+
+
+def test_hits_in_blocks(monkeypatch):
+    words = [f"w{i % 9}" for i in range(200)]
+    block = decontam.Block(list(range(30)), [" ".join(words[k : k + 40]) for k in range(30)], 13, 5)
+    raw = (" ".join(words)).encode()
+    whole = decontam.matches(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), block)
+    monkeypatch.setattr(decontam, "_HITS", 50)
+    parts = decontam.matches(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), block)
+    assert len(whole["doc"]) == 30 and all(np.array_equal(whole[k], parts[k]) for k in whole)
