@@ -17,7 +17,9 @@ The baseline is a word unigram with add-half smoothing.  Words that make up at l
 the tokens are broadcast (so at most 2**22); all others are looked up by a join, none dropped.  Words are
 counted by 64-bit hashes.
 
-Null text: as if empty, so one end token and the terminator.  Repeated rows: each learned from and scored.
+Null text: as if empty, so one end token and the terminator.  Repeated rows: each learned from and scored.  Very long texts are scored
+whole.  Without training texts every bit has probability 1/2.  An empty table gives an empty result; extra columns stay, unless they have the
+name of a result.
 """
 
 from __future__ import annotations

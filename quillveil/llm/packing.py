@@ -8,7 +8,8 @@ longest first, fill window after window, and the last one is cut at powers of tw
 
 One pass, no shuffle; memory is bounded by the open windows and a chunk of documents.  A sequence never spans
 partitions, so a recomputed partition is whole in itself.  Null or empty text: the closing id alone.
-Repeated rows: packed each.  An empty table gives no rows.
+Repeated rows: packed each.  Very long texts are cut into as many windows as they fill.  An empty table gives no rows, and extra
+columns are never read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ union of these spans is the covered part.  A text is rejected if repeats cover m
 ``max_covered`` of its words or one repeat is longer than ``max_repeat`` words.
 
 Everything happens row by row, with no shuffle; memory is bounded by the chunk, or by the longest text.
-Null text: as if empty (no words, so base_failed).  Repeated rows: each is judged by itself.
+Null text: as if empty (no words, so base_failed).  Repeated rows: each is judged by itself.  Equal words are ties of the suffix array
+that the rest of the suffixes decides.  An empty table gives an empty result; extra columns stay, unless they have the name of a result.
 """
 
 from __future__ import annotations

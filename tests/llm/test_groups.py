@@ -211,6 +211,14 @@ def test_packing_round_trip(spark, documents, sf):
     assert packing.pack(documents([])).count() == 0
 
 
+def test_packing_of_clashing_columns(documents):
+    df = documents([(1, "one two"), (2, None)])
+    for name in ("d", "t", "start", "ids", "offset", "length", "doc_tokens"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = packing.pack(df).groupBy("doc_id").agg(F.sum("length").alias("n")).orderBy("doc_id").collect()
+    assert [r["n"] for r in got] == [3, 1]
+
+
 def test_feistel_is_a_permutation():
     for domain in (1, 2, 3, 10, 1000, 4097):
         x = order.feistel(np.arange(domain, dtype=np.uint64), domain, 9)
@@ -337,3 +345,49 @@ def test_reply_trees_keep_messages_without_or_with_shared_ids(spark):
     df = spark.createDataFrame(tree, "conv_id long, node_id long, parent_id long, role string, text string, score double")
     got = sorted((r["conversation"], replies.parse(r["formatted"])) for r in replies.format_reply_trees(df, branches=9).collect())
     assert got == [(1, [("user", "a")]), (1, [("user", "b")]), (1, [("user", "b")]), (2, [("user", "x")]), (2, [("user", "y"), ("assistant", "z")])]
+
+
+def test_conversations_with_long_texts_and_more_columns(spark):
+    long = "ha </s> " * 100_000
+    rows = [(1, 1, "assistant", long, "clash"), (1, 0, "user", "say", "clash")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node string").withColumns({"parent": F.lit(1), "tie": F.lit("x"), "leaf": F.lit(2), "conversation": F.lit("y")})
+    got = replies.digests(replies.format_conversations(df)).first()
+    assert (got["conversation"], got["n_turns"], got["loss_chars"]) == (1, 2, len(long))
+    tree = df.withColumns({"node_id": F.col("turn"), "parent_id": F.when(F.col("turn") > 0, F.col("turn") - 1), "score": F.lit(1.0), "rank": F.lit("z")})
+    (one,) = replies.format_reply_trees(tree).collect()
+    assert replies.parse(one["formatted"]) == [("user", "say"), ("assistant", long)]
+    assert replies.format_reply_trees(tree.limit(0)).count() == 0
+
+
+def test_ties_of_turns_go_by_role_then_text(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "c"), (None, None, None, "y"), (None, None, None, "x"), (1, 0, "user", None)]
+    got = {r["conversation"]: replies.parse(r["formatted"]) for r in replies.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1: [("assistant", "c"), ("user", ""), ("user", "a"), ("user", "b")], None: [("", "x"), ("", "y")]}
+
+
+def test_pipeline_of_odd_rows(spark, documents, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(12)
+
+    def text(n):
+        return " ".join(f"w{i}" for i in rng.integers(0, 5000, n))
+
+    a, b, long = text(80), text(90), text(60_000)
+    leaked = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (3, None), (4, ""), (5, long), (6, text(70) + " password=hunter2hunter2"), (7, f"{text(60)} {leaked}"), (6, text(75))]
+    kept, left = documents(rows, extra=False), []
+    for _, stage in pipeline.STAGES[:-1]:
+        kept = neardup.shared.table(stage(spark, kept, sf))
+        left.append(sorted(((r["doc_id"], len(r["text"])) for r in kept.collect()), key=str))
+    size = {i: len(t or "") for i, t in rows}
+    assert left[0] == sorted([(i, len(t)) for i, t in rows if t], key=str)
+    assert left[1] == sorted([(1, len(a)), (None, len(b)), (None, len(b)), (5, len(long)), *((i, len(t)) for i, t in rows if i in (6, 7))], key=str)
+    assert left[2] == [x for x in left[1] if x != (7, size[7])] and len(left[3]) == len(left[2])
+    assert not any("hunter2" in r["text"] for r in kept.collect())
+    pieces = pipeline.STAGES[-1][1](spark, kept, sf).collect()
+    assert {p["doc_id"] for p in pieces} == {1, None, 5, 6}
+    empty = documents([], extra=False)
+    for _, stage in pipeline.STAGES[:-1]:
+        empty = stage(spark, empty, sf)
+        assert empty.columns == kept.columns and empty.count() == 0
+    assert pipeline.STAGES[-1][1](spark, empty, sf).count() == 0
