@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept, which is written as
 Parquet and read again.  All but the last return the columns of documents.
+
+Null and empty texts have no words, so the first stage drops them.  Rows without an id are kept by near-duplicates as they are.  Repeated rows
+are copies of each other: one of them stays.  Rows that share an id but not a text are documents of their own.  Very long texts are
+read whole by every stage.  An empty table passes through as one.
 """
 
 from __future__ import annotations
