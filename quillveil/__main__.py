@@ -31,9 +31,9 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("quillveil").getOrCreate()
-    found, totals, _ = files.scan(spark, args.path, args.show_values, unreadable=len(bad))
+    found, totals, _ = files.scan(spark, args.path, args.show_values, len(bad), listed)
     if args.json:
-        good, _ = files.texts(spark, args.path)
+        good, _ = files.texts(spark, args.path, listed)
         parts = files.report(found, totals, good, args.show_values, layer)
         print('{"files":[', end="")
         for n, row in enumerate(parts.where("path is not null").orderBy("path").toLocalIterator()):

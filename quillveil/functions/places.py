@@ -16,7 +16,7 @@ FORMATS = (None, "json", "jsonc", "json5", "markdown")
 MOST_OPEN = 32
 _PLAIN = re.compile(r"[^\W_ ]*(?:[ .-]+[^\W_ ]*)*")
 _JSON_BARE = re.compile(r"[^\W_ ]*(?:[ .@&/-]+[^\W_ ]*)*")
-_COMMENT = re.compile(r"//|/\*")
+_COMMENT = re.compile(r"//|^/|/$")
 _BREAKS = re.compile("[\x00-\x1f]")
 _LINES = re.compile("[\u2028\u2029]")
 
@@ -40,6 +40,16 @@ def string_inert(column: Column) -> Column:
     return ~column.rlike('["\\\\\\x00-\\x1f\\u2028\\u2029]')
 
 
+def plain_column(column: Column) -> Column:
+    """plain over a column."""
+    return column.rlike(r"^(?U:[\w&&[^\p{M}\p{Pc}_]]|[ .-])*$")
+
+
+def bare_inert(column: Column) -> Column:
+    """json_bare_inert over a column."""
+    return column.rlike(r"^(?U:[\w&&[^\p{M}\p{Pc}_]]|[ .@&/-])*$") & ~column.contains("//") & ~column.startswith("/") & ~column.endswith("/")
+
+
 class Lexer:
     def __init__(self, client_format: str | None = None):
         if client_format not in FORMATS:

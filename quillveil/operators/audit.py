@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import secrets
@@ -120,5 +119,6 @@ def session_id_ok(column: str) -> Column:
     return F.col(column).rlike(r"^[A-Za-z0-9._:-]{1,128}$")
 
 
-def session_key(salt: bytes, credential: str) -> str:
-    return hashlib.sha256(salt + credential.encode()).hexdigest()
+def session_identity(salt: bytes, credential: Column, session: Column) -> list[Column]:
+    """(caller, session) that a mapping belongs to: a session id of one caller is no session of another's."""
+    return [digest(salt, credential).alias("caller"), session.alias("session")]

@@ -7,6 +7,9 @@ counter across types; the first type seen names a value for good, and types outs
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +32,16 @@ def has_token(text: Column) -> Column:
     return F.coalesce(text.contains("[") & text.rlike(TOKEN), F.lit(False))
 
 
-def known_type(entity_type: Column) -> Column:
-    return F.when(entity_type.isin(*ENTITY_TYPES), entity_type).otherwise(F.lit(FALLBACK_TYPE))
+#: What a type may be called in a placeholder.
+TYPE_NAME, MOST_TYPE = re.compile("[A-Z]+(?:_[A-Z]+)*"), 40
+
+
+def known_type(entity_type: Column, types: Iterable[str] = ENTITY_TYPES) -> Column:
+    """A type of the vocabulary, or the fallback."""
+    names = list(types)
+    if wrong := [t for t in names if len(t) > MOST_TYPE or not TYPE_NAME.fullmatch(t)]:
+        raise ValueError(f"no names of types: {', '.join(wrong)}")
+    return F.when(entity_type.isin(*names), entity_type).otherwise(F.lit(FALLBACK_TYPE))
 
 
 def written_tokens(df: DataFrame, session: list[str], text: str = "text") -> DataFrame:

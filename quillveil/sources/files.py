@@ -15,9 +15,16 @@ CORPUS = "id string, lang string, text string, entities array<struct<entity_type
 DOCUMENTS = "id string, leaves array<struct<key:string,text:string,entities:array<struct<entity_type:string,start:int,end:int>>>>"
 
 
-def texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """((path, text) of the UTF-8 files below a directory, (path) of those that are not UTF-8).  Line ends stay as they are."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+def texts(spark: SparkSession, path: str, listed: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """((path, text) of the UTF-8 files below a directory, (path) of those that are not UTF-8).  Line ends stay as they are.
+
+    listed: the files to read, such as those that local_files gives, which are regular files only; else every file below the directory.
+    """
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if listed is not None:
+        names = {chr(c): f"\\{chr(c)}" for c in b"*?[]{}\\"}  # a path is a pattern to the reader
+        listed = ["".join(names.get(c, c) for c in p) for p in listed]
+    files = read.load(path if listed is None else listed).select("path", "content") if listed is None or listed else spark.createDataFrame([], "path string, content binary")
     ok = F.expr("is_valid_utf8(content)")
     return files.where(ok).select("path", F.decode("content", "UTF-8").alias("text")), files.where(~ok).select("path")
 
@@ -68,12 +75,12 @@ def display_path(path: str) -> str:
     return path.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
-def scan(spark: SparkSession, path: str, show_values: bool = False, unreadable: int = 0, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan(spark: SparkSession, path: str, show_values: bool = False, unreadable: int = 0, listed: list[str] | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, totals, skipped) of a directory of texts; values are abbreviated unless asked for.
 
-    unreadable: how many entries a listing couldn't read, for the totals.
+    unreadable: how many entries a listing couldn't read, for the totals.  listed: the files to read, if not all.
     """
-    good, skipped = texts(spark, path)
+    good, skipped = texts(spark, path, listed)
     found = detection.findings(good, ["path"], **options)
     if not show_values:
         found = found.withColumn("value", detection.displayed("value"))

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from itertools import permutations
 
 import pytest
@@ -122,3 +123,34 @@ def test_cache(spark):
     again, same = cache.detect_cached(df, kept, b"salt", "tenant")
     assert again.count() == 5 and same.count() == 3 and cache.sweep(kept, detection.version()).count() == 3 and cache.sweep(kept, "x").count() == 0
     assert not any("x.com" in str(r) for r in kept.drop("spans").collect())
+
+
+def test_token_windows_reach_the_model():
+    seen = []
+
+    def model(texts, labels, threshold):
+        seen.extend(texts)
+        return [[(m.start(), m.end(), "person", 0.9) for m in re.finditer("Ann", t)] if "person" in labels else [] for t in texts]
+
+    def offsets(text):
+        return [m.span() for m in re.finditer(r"\S+", text)]
+
+    text = "word " * 90 + "Ann " + "word " * 200
+    spans = ner.recognizer(model, offsets=offsets, budget=ner.TOKEN_RESERVE + 80)(text)
+    assert {(s.start, s.end) for s in spans} == {(450, 453)} and max(len(t.split()) for t in seen) == 80
+    assert [text[o : o + len(w)] for o, w in ner.windows(text, offsets=offsets, budget=80)] == [w for _, w in ner.windows(text, offsets=offsets, budget=80)]
+
+
+def test_types_of_a_catalog():
+    entry = {"entity_type": "PERSON", "label": "person", "threshold": 0.5, "tier": 2, "specificity": 30, "trim_leading": ["dr"], "own_pass": True}
+    (kind,) = ner.types_of([entry])
+    assert kind.trim == {"dr"} and kind.own_pass and kind.outranks_tier_3_below is None
+    for wrong in (entry | {"odd": 1}, {k: v for k, v in entry.items() if k != "threshold"}, entry | {"threshold": True}):
+        with pytest.raises(ValueError):
+            ner.types_of([wrong])
+
+
+def test_rivals_keep_their_recognizer_and_need_no_more_confidence():
+    kind = ner.Type("X", "x", 0.1, 2, 30, outranks_tier_3_below=0.5)
+    weak, rival = Span("HEALTH", 0, 9, 0.4, "one", 3), Span("X", 4, 12, 0.2, "two", 2)
+    assert ner.contested([weak, rival], [kind])[0] == Span("X", 0, 9, 0.2, "one", 2)

@@ -3,7 +3,9 @@ import time
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from quillveil.functions import places
 from quillveil.functions.places import Lexer, json_string_inert, string_inert
 from quillveil.streaming import fragments, sessions
 
@@ -95,5 +97,18 @@ def test_unsafe_values_are_refused():
 
 def test_native_predicate(spark):
     values = ["ok", 'a"b', "a\\b", "a\tb", "a\u2028b", "é"]
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(string_inert(__import__("pyspark").sql.functions.col("v"))).collect()]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(string_inert(F.col("v"))).collect()]
     assert got == [json_string_inert(v) for v in values]
+
+
+def test_native_predicates_of_bare_places(spark):
+    values = ["Ann-1.5", "a@b & c/d", "a//b", "/a", "a/", "a_b", "é日 1", "a*b", "", "a,b", "x\ny"]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select(places.plain_column(F.col("v")), places.bare_inert(F.col("v"))).collect()
+    assert [tuple(r) for r in got] == [(places.plain(v), places.json_bare_inert(v)) for v in values]
+
+
+def test_state_of_streams_is_bounded(spark, tmp_path):
+    v = {"[EMAIL_1]": "a@x.com"}
+    ahead = [("s", n, "x", False, v) for n in range(1, 300)] + [("t", 0, "[EMAIL_1]", True, v), ("t", 1, "late", False, v), ("u", 0, '{"a": [EMAIL_1]}', True, v)]
+    rows = run(spark, [ahead], "stream_id string, seq long, chunk string, last boolean, values map<string,string>", tmp_path, fragments.restore_stream, ["stream_id", "seq"])
+    assert [tuple(r) for r in rows] == [("s", 0, None, "stream_oversized"), ("t", 0, "a@x.com", None), ("u", 0, None, "stream_unsafe_place")]
