@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -468,6 +469,29 @@ def mask_body(mapping: sessions.Mapping, body: str, shape: str, find: Finder) ->
         return mapping, None, str(e)
 
 
+def mask_bodies(df: DataFrame, session: list[str], order: list[str], body: str, shape: str, most: int = sessions.MOST_VALUES) -> DataFrame:
+    """(session, order, body, status, error_class) of every request, masked under its session's mapping; a session's go through one task in order.
+
+    A refused body is null and leaves the mapping as it was; a null body stays null.
+    """
+    names = list(dict.fromkeys([*session, *order]))
+    schema = T.StructType([df.schema[c] for c in names] + [T.StructField(body, T.StringType()), T.StructField("status", T.StringType()), T.StructField("error_class", T.StringType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        find, mapping, rows = Finder(), sessions.Mapping(most), []
+        pdf = pdf.sort_values(order, kind="stable")
+        for text_ in pdf[body]:
+            masked, error = None, None
+            if text_ is not None:
+                mapping, masked, error = mask_body(mapping, text_, shape, find)
+            rows.append((masked, "refused" if error else "completed", error))
+        out = pdf[names].copy()
+        out[body], out["status"], out["error_class"] = (list(c) for c in zip(*rows, strict=True))
+        return out[schema.names]
+
+    return df.select(*names, body).groupBy(*session).applyInPandas(run, schema)
+
+
 def _embedded(value: str) -> Any:
     try:
         return jsontext.parse(value)

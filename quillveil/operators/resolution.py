@@ -134,3 +134,20 @@ def islands(spans: DataFrame, keys: list[str], start: str = "start", end: str =
     opens = F.coalesce(F.col(start) >= F.max(end).over(before), F.lit(True)).cast("int")
     numbered = spans.withColumn("__opens", opens).withColumn("__island", F.sum("__opens").over(so_far))
     return numbered.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("spans")).drop("__island")
+
+
+def pairs(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end", id_: str = "id") -> DataFrame:
+    """(keys, a, b, relation) of the spans that share a character, a before b by id: overlap, same, or which one holds the other."""
+    a, b = spans.select(*keys, F.col(id_).alias("a"), F.col(start).alias("s"), F.col(end).alias("e")), spans.select(*keys, F.col(id_).alias("b"), F.col(start).alias("s2"), F.col(end).alias("e2"))
+    both = a.join(b, [*keys]).where((F.col("a") < F.col("b")) & (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")))
+    holds = (F.col("s") <= F.col("s2")) & (F.col("e2") <= F.col("e"))
+    inside = (F.col("s2") <= F.col("s")) & (F.col("e") <= F.col("e2"))
+    relation = F.when(holds & inside, "same").when(holds, "a holds b").when(inside, "b holds a").otherwise("overlap")
+    return both.select(*keys, "a", "b", relation.alias("relation"))
+
+
+def malformed(spans: DataFrame, keys: list[str], chars: str, start: str = "start", end: str = "end") -> DataFrame:
+    """(keys, start, end, why) of spans that can't be spliced: empty, outside their text (chars: its length), or begun before the one before has ended."""
+    line = Window.partitionBy(*keys).orderBy(start, end)
+    why = F.when(F.col(start) >= F.col(end), "empty").when((F.col(start) < 0) | (F.col(end) > F.col(chars)), "outside").when(F.col(start) < F.lag(end).over(line), "overlapping")
+    return spans.withColumn("why", why).where("why is not null").select(*keys, start, end, "why")

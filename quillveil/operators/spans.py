@@ -38,7 +38,3 @@ ARROW_SPANS = pa.list_(pa.struct([("entity_type", pa.string()), ("start", pa.int
 def order(s: Span) -> tuple:
     """A total order: by start, longer first, then by what the span says."""
     return s.start, -s.end, s.entity_type, s.recognizer, -s.confidence, s.tier, s.boosted
-
-
-def from_row(row: dict) -> Span:
-    return Span(row["entity_type"], row["start"], row["end"], row["confidence"], row["recognizer"], row["tier"], bool(row.get("boosted")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -178,6 +180,43 @@ def chat_slots(spark, sf_dir):
     return rows.select("conv_id", "s.ord", "s.pointer", "s.kind", "s.tool", F.sha2("s.text", 256).alias("text_sha256"))
 
 
+def messages_slots(spark, sf_dir):
+    """The texts of a request in content blocks made of each conversation: its first turn is the system's, tool results nest."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
+    block = F.struct(F.lit("tool_result").alias("type"), F.lit("id").alias("tool_use_id"), F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content"))
+    line = F.sort_array(F.collect_list(F.struct("turn", F.lit("user").alias("role"), F.array(block).alias("content"))))
+    bodies = turns.groupBy("conv_id").agg(F.to_json(F.struct(F.min_by("text", "turn").alias("system"), F.transform(line, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))).alias("body"))
+    rows = chat.slots(bodies, "body", "messages", ["conv_id"]).where("error_class is null").select("conv_id", F.explode("slots").alias("s"))
+    return rows.select("conv_id", "s.ord", "s.pointer", "s.kind", "s.tool", F.sha2("s.text", 256).alias("text_sha256"))
+
+
+def _request(k, content, more):
+    """A chat request as JSON text, with another member at its end."""
+    return F.concat(F.lit('{"model":"m","messages":[{"role":"user","content":'), content, F.lit("}]"), more, F.lit("}"))
+
+
+def refused_bodies(spark, sf_dir):
+    """Requests with something that no rule of the shape admits, by kind."""
+    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
+    kinds = ["", ',"instructions":"mail a@x.com"', ',"max_tokens":"a@x.com"', ',"functions":[1]', ',"stream":true,"response_format":{"type":"json_object"}', ',"user":5', ',"user":null', ',"tools":[{"type":"custom"}]']
+    more = F.element_at(F.array(*map(F.lit, kinds)), (F.col("k") % len(kinds) + 1).cast("int"))
+    content = F.when(F.col("k") % 16 == 8, F.lit('[{"type":"video"}]')).otherwise(F.concat(F.lit('"hi '), "k", F.lit('"')))
+    rows = chat.slots(k.select("k", _request(F.col("k"), content, more).alias("body")), "body", "chat", ["k"])
+    return rows.select("k", "error_class", F.size("slots").alias("slots"))
+
+
+def masked_bodies(spark, sf_dir):
+    """Requests of twenty sessions under their mappings: new addresses and known ones, in texts and in the documents of tool calls."""
+    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
+    address = F.concat(F.lit("u"), "k", F.lit("@mail.example"))
+    before = F.concat(F.lit("u"), F.greatest(F.col("k") - 20, F.col("k") % 20), F.lit("@mail.example"))
+    call = F.concat(F.lit(',"tool_calls":[{"id":"1","type":"function","function":{"name":"f","arguments":"{\\"to\\": \\"'), before, F.lit('\\", \\"n\\": 1.50}"}}]'))
+    body = F.concat(F.lit('{"messages":[{"role":"assistant","content":"to '), address, F.lit('"'), call, F.lit("}]}"))
+    out = chat.mask_bodies(k.select((F.col("k") % 20).alias("session"), "k", body.alias("body")), ["session"], ["k"], "body", "chat")
+    message = "$.messages[0]."
+    return out.select("k", "status", F.get_json_object("body", f"{message}content").alias("content"), F.get_json_object("body", f"{message}tool_calls[0].function.arguments").alias("arguments"))
+
+
 def _gold_and_predicted(spark, sf_dir):
     """Findings as gold; shifted, partly renamed and thinned out as predictions.  Texts are searched once."""
     found = tables.table(_found(spark, sf_dir).select("doc_id", "entity_type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
@@ -342,6 +381,97 @@ def asking_frontier(spark, sf_dir):
     return evaluation.frontier(parts).groupBy("dominated").agg(F.count("*").alias("shapes"), F.sum("found").cast("long").alias("found"))
 
 
+def _intervals(spark, sf_dir):
+    """Intervals of each order's lines, in texts of 100 characters."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    start = (F.col("l_partkey") % 100).cast("long")
+    return lines.select("l_orderkey", F.col("l_linenumber").cast("long").alias("id"), start.alias("start"), (start + F.col("l_suppkey") % 20).cast("long").alias("end"), "l_quantity", F.lit(100).alias("chars"))
+
+
+def span_pairs(spark, sf_dir):
+    return resolution.pairs(_intervals(spark, sf_dir), ["l_orderkey"])
+
+
+def malformed_spans(spark, sf_dir):
+    return resolution.malformed(_intervals(spark, sf_dir), ["l_orderkey"], "chars")
+
+
+def deduplicated_spans(spark, sf_dir):
+    """Of an order's spans with one extent and type the surest."""
+    spans = _intervals(spark, sf_dir).select("l_orderkey", (F.col("start") % 5).alias("start"), (F.col("start") % 5 + 3).alias("end"), F.lit("PERSON").alias("entity_type"), (F.col("l_quantity").cast("double") / 50).alias("confidence"), F.lit("ner").alias("recognizer"), F.lit(2).alias("tier"))
+    return ner.dedup_spans(spans, ["l_orderkey"]).select("l_orderkey", "start", "end", F.round("confidence", 6).alias("confidence"))
+
+
+def first_types(spark, sf_dir):
+    """The type and place at which each session's values first came; unknown types fall back."""
+    kinds = F.array(*[F.lit(t) for t in ("PERSON", "ORG", "ODD")])
+    found = _intervals(spark, sf_dir).select((F.col("l_orderkey") % 50).alias("session"), F.col("l_orderkey").alias("turn"), F.col("id").alias("start"), F.concat(F.lit("v"), F.col("start") % 40).alias("value"), F.element_at(kinds, (F.col("id") % 3 + 1).cast("int")).alias("entity_type"))
+    rows = pseudonyms.first_values(found, ["session"], ["turn", "start"])
+    return rows.select("session", "value", "entity_type", F.col("first.turn").cast("long").alias("turn"), F.col("first.start").cast("long").alias("start"))
+
+
+def literal_numbering(spark, sf_dir):
+    """Numbers step over the tokens that callers wrote themselves."""
+    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
+    rows = k.select("k", (F.col("k") % 10).alias("session"), F.concat(F.lit("see [EMAIL_2], [PERSON_1] and [EMAIL_4]: u"), "k", F.lit("@mail.example")).alias("text"))
+    masked, _ = pseudonyms.pseudonymize(rows, ["session"], ["k"])
+    return masked.select("k", "text")
+
+
+def unremembered_values(spark, sf_dir):
+    """Values of each source's documents beyond ten that its session may still keep, five being there already."""
+    values = pseudonyms.first_values(_found(spark, sf_dir, "source"), ["source"], ["doc_id", "start"]).groupBy("source").agg(F.count("*").alias("fresh"))
+    return values.select("source", "fresh", audit.unremembered(F.col("fresh"), F.lit(5), 6).cast("long").alias("unremembered"))
+
+
+def digest_keys(spark, sf_dir):
+    """Salted digests of customers' names."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select(F.col("c_custkey").cast("long").alias("k"), audit.digest(b"salt", F.col("c_name"), F.col("c_custkey")).alias("digest"))
+
+
+def stamped_events(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    return audit.stamped(events, F.col("at")).select("event_id", "ts")
+
+
+def latency_percentiles(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value")
+    return evaluation.percentiles(events, ["event_type"], "value").select("event_type", F.round("median", 9).alias("median"), F.round(F.col("p95").cast("double"), 9).alias("p95"))
+
+
+def failing_types(spark, sf_dir):
+    by_type = evaluation.scores(evaluation.match_counts(*_gold_and_predicted(spark, sf_dir), ["doc_id"]))
+    return evaluation.failing(by_type, ["EMAIL", "CREDIT_CARD", "PERSON"], 0.9).select("entity_type", F.round("precision", 9).alias("precision"))
+
+
+def micro_scores(spark, sf_dir):
+    row = evaluation.summary(evaluation.match_counts(*_gold_and_predicted(spark, sf_dir), ["doc_id"]), ["CREDIT_CARD"])
+    return row.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "tier_1_recall")])
+
+
+def leak_changes(spark, sf_dir):
+    """Words left unmasked against those of documents with even ids, as on record."""
+    words = tables.table(unmasked_words(spark, sf_dir).select("doc_id", "entity_type", F.col("word").alias("value")))
+    return evaluation.leaks_against(words, words.where("doc_id % 2 = 0").unionByName(words.where("doc_id % 10 = 0"))).groupBy("side").agg(F.count("*").alias("leaks"))
+
+
+def tool_costs(spark, sf_dir):
+    """What the tools of requests made of the parts' names would cost, a request for each size."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size", "p_partkey", "p_name")
+    tool = F.struct(F.lit("function").alias("type"), F.struct(F.lit("f").alias("name"), F.col("p_name").alias("description")).alias("function"))
+    hello = F.array(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("content")))
+    bodies = parts.groupBy("p_size").agg(F.to_json(F.struct(F.sort_array(F.collect_list(tool)).alias("tools"), hello.alias("messages"))).alias("body"))
+    return chat.tool_work(chat.slots(bodies, "body", "chat", ["p_size"]), ["p_size"]).select("p_size", "chars", "calls", "error_class")
+
+
+def admitted_requests(spark, sf_dir):
+    """Customers whose phone numbers, as credentials, are on a list of digests; and whether their names would do as session ids."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"), "c_name", F.concat(F.lit("key"), F.col("c_custkey") % 7).alias("credential"))
+    listed = [hashlib.sha256(f"key{i}".encode()).hexdigest() for i in (1, 4)]
+    return audit.admitted(rows, "credential", listed).select("k", audit.session_id_ok("c_name").alias("named"))
+
+
 _DOCS = _spans("documents", "doc_id", "text")
 _JOINED = f"(select f.*, d.lang, d.source, row_number() over () as r from {_DOCS} f join documents d using (doc_id))"
 _NUMBERED = f"""(select source, value, entity_type, n, '[' || entity_type || '_' || n || ']' as placeholder from (
@@ -366,6 +496,14 @@ _COUNTS = f"""(select doc_id, entity_type, sum(tp)::bigint as tp, (sum(np) - sum
 _QUARTER = "substr(text, beg + 900 + 1, 300)"
 _NEXT = f"""case when beg + 1200 >= length(text) then length(text) {" ".join(f"when length(regexp_extract({_QUARTER}, '(?s)^.*{m}')) > 0 then beg + 900 + length(regexp_extract({_QUARTER}, '(?s)^.*{m}'))" for m in (chr(92) + "n" + chr(92) + "n", chr(92) + "n", " "))} else beg + 1200 end"""
 
+_INTERVALS = """(select l_orderkey, l_linenumber::bigint as id, (l_partkey % 100)::bigint as s, (l_partkey % 100 + l_suppkey % 20)::bigint as e, l_quantity from lineitem)"""
+_SCORED = f"""(select *, case when tp + fp = 0 then 0.0::double else tp::double / (tp + fp) end as precision, case when tp + fn = 0 then 0.0::double else tp::double / (tp + fn) end as recall from (
+        select entity_type, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from {_COUNTS} group by 1))"""
+_LEFT = f"""(select doc_id, entity_type, "start", "end", word, place from (
+      select g.doc_id, g.entity_type, g."start", g."end", m[i] as word, (g."start" + list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::bigint as place
+      from (select *, unnest(range(1, len(m) + 1)) as i from (select *, regexp_extract_all(value, '\\w+') as m, regexp_split_to_array(value, '\\w+') as p from {_DOCS})) g) w
+      where not exists (select 1 from {_PREDICTED} p where p.doc_id = w.doc_id and p."start" <= w.place and w.place + length(w.word) <= p."end"))"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -374,6 +512,8 @@ QUERIES = {
         json_leaves, json_findings, mask_conversations, chat_slots, evaluation_counts, evaluation_scores, evaluation_coverage, evaluation_over_masking, unmasked_words, audit_masked_events, recognizer_windows,
         rendered_identifiers, rendered_masked, masked_without_keys, session_recurrence, restored_bodies, restored_events, numeric_leaves,
         cached_detection, found_by_layer, coverage_by_language, session_admission, asking_frontier,
+        span_pairs, malformed_spans, deduplicated_spans, first_types, literal_numbering, unremembered_values, digest_keys, stamped_events, latency_percentiles, failing_types, micro_scores, leak_changes, tool_costs, admitted_requests,
+        messages_slots, refused_bodies, masked_bodies,
     )
 }
 
@@ -422,10 +562,7 @@ SQL = {
     "audit_masked_events": f"""select source, 'masked' as event, count(distinct doc_id) as texts, count(value) as spans, count(value) as redacted, 0::bigint as forwarded,
       count(distinct value) filter (entity_type = 'EMAIL') as emails, count(distinct value) filter (entity_type = 'CREDIT_CARD') as cards
       from documents d left join {_DOCS} f using (doc_id) group by source""",
-    "unmasked_words": f"""select doc_id, entity_type, "start", "end", word, place from (
-      select g.doc_id, g.entity_type, g."start", g."end", m[i] as word, (g."start" + list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::bigint as place
-      from (select *, unnest(range(1, len(m) + 1)) as i from (select *, regexp_extract_all(value, '\\w+') as m, regexp_split_to_array(value, '\\w+') as p from {_DOCS})) g) w
-      where not exists (select 1 from {_PREDICTED} p where p.doc_id = w.doc_id and p."start" <= w.place and w.place + length(w.word) <= p."end")""",
+    "unmasked_words": f"select * from {_LEFT}",
     "recognizer_windows": """with recursive cut(doc_id, chunk, "offset", fin) as (
       select doc_id, 0, 0::bigint, f from (select doc_id, NEXT as f from (select doc_id, text, 0::bigint as beg from documents where length(text) > 0))
       union all select doc_id, chunk + 1, beg, NEXT from (select c.doc_id, c.chunk, d.text, greatest(c.fin - 200, c."offset" + 1) as beg from cut c join documents d using (doc_id) where c.fin < length(d.text)))
@@ -465,4 +602,31 @@ SQL = {
       union all select user_id, case when n <= (select free + open from room) then 'live' else 'session_saturated' end, case when n <= (select free + open from room) then 0 end from fresh""",
     "asking_frontier": """with s as (select p_partkey * 7 % 101 as f, p_partkey * 13 % 89 as o from part)
       select exists (select 1 from s b where b.f >= a.f and b.o <= a.o and (b.f > a.f or b.o < a.o)) as dominated, count(*) as shapes, sum(f)::bigint as found from s a group by 1""",
+    "span_pairs": f"""select a.l_orderkey, a.id as a, b.id as b, case when a.s = b.s and a.e = b.e then 'same' when a.s <= b.s and b.e <= a.e then 'a holds b' when b.s <= a.s and a.e <= b.e then 'b holds a' else 'overlap' end as relation
+      from {_INTERVALS} a join {_INTERVALS} b on a.l_orderkey = b.l_orderkey and a.id < b.id and a.s < b.e and b.s < a.e""",
+    "malformed_spans": f"""select l_orderkey, s as "start", e as "end", why from (select *, case when s >= e then 'empty' when s < 0 or e > 100 then 'outside'
+      when s < lag(e) over (partition by l_orderkey order by s, e) then 'overlapping' end as why from {_INTERVALS}) where why is not null""",
+    "deduplicated_spans": f"""select l_orderkey, s % 5 as "start", s % 5 + 3 as "end", round(max(l_quantity::double / 50), 6) as confidence from {_INTERVALS} group by 1, 2""",
+    "first_types": f"""select session, value, case when kind = 2 then 'REDACTED' when kind = 1 then 'ORG' else 'PERSON' end as entity_type, turn, start from (
+      select l_orderkey % 50 as session, 'v' || (s % 40) as value, id % 3 as kind, l_orderkey::bigint as turn, id as start, row_number() over (partition by l_orderkey % 50, s % 40 order by l_orderkey, id) as n from {_INTERVALS}) where n = 1""",
+    "literal_numbering": """select k, 'see [EMAIL_2], [PERSON_1] and [EMAIL_4]: [EMAIL_' || (n + (n >= 2)::int + (n >= 3)::int) || ']' as text from (
+      select c_custkey::bigint as k, row_number() over (partition by c_custkey % 10 order by c_custkey) as n from customer)""",
+    "unremembered_values": f"""select source, count(*) as fresh, greatest(count(*) - 1, 0)::bigint as unremembered from {_NUMBERED} group by source""",
+    "digest_keys": """select c_custkey::bigint as k, left(sha256(unhex('73616C74' || printf('%016X', strlen(c_name)) || hex(encode(c_name)) || printf('%016X', strlen(c_custkey::varchar)) || hex(encode(c_custkey::varchar)))), 32) as digest from customer""",
+    "stamped_events": "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') as ts from events",
+    "latency_percentiles": "select event_type, round(quantile_cont(value, 0.5), 9) as median, round(quantile_disc(value, 0.95)::double, 9) as p95 from events group by 1",
+    "failing_types": f"select entity_type, round(precision, 9) as precision from {_SCORED} where entity_type in ('EMAIL', 'CREDIT_CARD', 'PERSON') and precision < 0.9",
+    "micro_scores": f"""select tp, fp, fn, round(precision, 9) as precision, round(recall, 9) as recall, round(case when precision + recall = 0 then 0 else 2 * precision * recall / (precision + recall) end, 9) as f1, round(tier, 9) as tier_1_recall
+      from (select sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, sum(tp)::double / sum(tp + fp) as precision, sum(tp)::double / sum(tp + fn) as recall, coalesce(sum(tp) filter (entity_type = 'CREDIT_CARD')::double / sum(tp + fn) filter (entity_type = 'CREDIT_CARD'), 0) as tier from {_COUNTS})""",
+    "leak_changes": f"""with w as (select doc_id, entity_type, word as value from {_LEFT}), f as (select entity_type, value from w), r as (select entity_type, value from w where doc_id % 2 = 0 union all select entity_type, value from w where doc_id % 10 = 0)
+      select side, count(*) as leaks from (select 'new' as side, * from (select * from f except all select * from r) union all select 'gone', * from (select * from r except all select * from f)) group by side""",
+    "tool_costs": """select p_size, sum(length(p_name))::bigint as chars, count(*) as calls, case when sum(length(p_name)) > 50000 then 'tool_too_large' when count(*) > 40 then 'tool_too_many_calls' end as error_class from part group by 1""",
+    "admitted_requests": "select c_custkey::bigint as k, regexp_full_match(c_name, '[A-Za-z0-9._:-]{1,128}') as named from customer where c_custkey % 7 in (1, 4)",
+    "messages_slots": """with t as (select *, row_number() over (partition by conv_id order by turn) - 1 as n from conversations where text is not null)
+      select conv_id, 0::int as ord, '/system' as pointer, 'text' as kind, false as tool, sha256(text) as text_sha256 from t where n = 0
+      union all select conv_id, (n + 1)::int, '/messages/' || n || '/content/0/content/0/text', 'text', true, sha256(text) from t""",
+    "refused_bodies": """select k, e as error_class, case when e is null then 1 else 0 end::int as slots from (select c_custkey::bigint as k, case c_custkey % 8 when 0 then case when c_custkey % 16 = 8 then 'shape_request' end
+      when 5 then 'shape_request' when 6 then null else 'shape_unsupported' end as e from customer)""",
+    "masked_bodies": """select k, 'completed' as status, 'to [EMAIL_' || n || ']' as content, '{"to":"[EMAIL_' || greatest(n - 1, 1) || ']","n":1.50}' as arguments from (
+      select c_custkey::bigint as k, row_number() over (partition by c_custkey % 20 order by c_custkey) as n from customer)""",
 }

@@ -157,6 +157,9 @@ def test_audit(spark, tmp_path):
         f.write(b'{"event": "mas')  # a failure
     journal.append({"event": "outcome"}, durable=False)
     assert journal.events() == [{"event": "masked", "spans": 1}, {"event": "outcome"}]
+    assert len(audit.new_salt()) == 32 and audit.new_salt() != audit.new_salt()
+    identity = spark.createDataFrame([("a", "s"), ("b", "s")], "credential string, session string")
+    assert len({tuple(r) for r in identity.select(*audit.session_identity(b"salt", F.col("credential"), F.col("session"))).collect()}) == 2
     stamped = audit.stamped(requests, F.lit("2024-05-06 07:08:09.5").cast("timestamp")).first()["ts"]
     assert stamped == "2024-05-06T07:08:09.500Z"
     df = spark.createDataFrame([("a", "bc"), ("ab", "c")], "x string, y string")
