@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,16 +17,23 @@ def folder(spark: SparkSession) -> str:
     if not at:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='quillveil-')}"
+        own = tempfile.mkdtemp(prefix="quillveil-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def table(df: DataFrame) -> DataFrame:
-    """df written as Parquet and read again: later steps depend on the files alone."""
+def write(df: DataFrame) -> str:
+    """df as a new Parquet table in the shared folder; its path."""
     path = f"{folder(df.sparkSession)}/quillveil-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
+
+
+def table(df: DataFrame) -> DataFrame:
+    """df written and read again: later steps depend on the files alone."""
+    return df.sparkSession.read.parquet(write(df))
 
 
 def fresh(df: DataFrame, name: str) -> str:
