@@ -1,34 +1,12 @@
-"""Tables in the folder that the cluster shares, to cut lineage and survive lost executors."""
+"""Tables in the folder that the cluster shares, to cut lineage and survive lost executors, and their removal."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import folder, table, write
 
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset, a temporary folder that is then set, but on one machine only."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='quillveil-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def write(df: DataFrame) -> str:
-    """df as a new Parquet table in the shared folder; its path."""
-    path = f"{folder(df.sparkSession)}/quillveil-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
-
-
-def table(df: DataFrame) -> DataFrame:
-    """df written and read again: later steps depend on the files alone."""
-    return df.sparkSession.read.parquet(write(df))
+__all__ = ["Scratch", "folder", "remove", "table", "write"]
 
 
 def remove(spark: SparkSession, path: str) -> None:
