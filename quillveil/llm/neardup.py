@@ -534,16 +534,20 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
 
 
 def drop_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = 0.75) -> DataFrame:
-    """One row of each component, the first of those with the smallest id, and all rows without an id; same columns."""
+    """One row of each component, the first of those with the smallest id, and all rows without an id; same columns.
+
+    The result is read from a copy of the rows in the shared folder, which numbers them.
+    """
     row = "__row"
     while row in docs.columns:
         row += "_"
     rows = shared.table(docs.withColumn(row, F.monotonically_increasing_id()))
     linked = near_duplicates(rows.where(F.col(f"`{doc}`").isNotNull()), row, text, similarity).select(row, "component_id")
     crowded = linked.groupBy("component_id").agg(F.count("*").alias("size")).where("size > 1").select("component_id")
-    members = shared.table(linked.join(crowded, "component_id").join(rows.select(row, F.col(f"`{doc}`").alias("__id")), row))
-    first = members.groupBy("component_id").agg(F.min(F.struct("__id", row))[row].alias("__first"))
-    gone = shared.table(members.join(first, "component_id").where(F.col(row) != F.col("__first")).select(F.col(row).alias("__gone")))
+    with shared.Scratch(docs.sparkSession) as scratch:
+        members = scratch.table(linked.join(crowded, "component_id").join(rows.select(row, F.col(f"`{doc}`").alias("__id")), row))
+        first = members.groupBy("component_id").agg(F.min(F.struct("__id", row))[row].alias("__first"))
+        gone = shared.table(members.join(first, "component_id").where(F.col(row) != F.col("__first")).select(F.col(row).alias("__gone")))
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return rows.join(side, F.col(row) == F.col("__gone"), "left_anti").select(*[K._quoted(c) for c in docs.columns])
 
