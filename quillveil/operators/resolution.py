@@ -8,13 +8,15 @@ with window functions, for span tables at rest: they are the connected component
 from __future__ import annotations
 
 from bisect import insort
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .spans import Span, order
+from .spans import ARROW_SPANS, SPANS_TYPE, Span, order
 
 
 class Decision(NamedTuple):
@@ -127,6 +129,20 @@ def settle(spans: Iterable[Span], specificity: Mapping[str, int], untouchable: C
     return line
 
 
+def settled(df: DataFrame, specificity: Mapping[str, int], spans: str = "spans", keep: list[str] | None = None, untouchable: Callable[[Span], bool] = checksummed) -> DataFrame:
+    """The kept columns (all others, unless named) and the array of spans of each row, resolved; a null array has none."""
+    keep = [c for c in (df.columns if keep is None else keep) if c != spans]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(spans, SPANS_TYPE)])
+    names = Span._fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [[s._asdict() for s in settle((Span(*(x[n] for n in names)) for x in row or ()), specificity, untouchable)] for row in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, ARROW_SPANS)], names=schema.names)
+
+    return df.select(*keep, F.col(spans).cast(SPANS_TYPE)).mapInArrow(run, schema)
+
+
 def islands(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """(keys, start, end, spans) of the connected components of overlap; spans that only touch stay apart."""
     before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)

@@ -381,6 +381,26 @@ def asking_frontier(spark, sf_dir):
     return evaluation.frontier(parts).groupBy("dominated").agg(F.count("*").alias("shapes"), F.sum("found").cast("long").alias("found"))
 
 
+_RANKS = {"CH_AVS": 80, "EMAIL": 70, "FR_NIR": 80, "IBAN": 90, "PERSON": 30}
+
+
+def settled_pairs(spark, sf_dir):
+    """Two spans made from each order's key: who names what they become."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("k")).distinct()
+
+    def span(v):
+        def pick(values, by):
+            return F.element_at(F.array(*map(F.lit, values)), (F.floor(v / by) % len(values) + 1).cast("int"))
+
+        start = (F.floor(v / 5) % 7).cast("int")
+        end = start + 1 + (F.floor(v / 35) % 9).cast("int")
+        return F.struct(pick(list(_RANKS), 1).alias("entity_type"), start.alias("start"), end.alias("end"), pick([1.0, 0.9, 0.5], 3).alias("confidence"), pick(["catalog:x", "ner"], 11).alias("recognizer"), pick([1, 2, 3], 13).alias("tier"), F.lit(False).alias("boosted"))
+
+    rows = keys.select("k", F.array(span(F.col("k") * 7919 % 10007), span(F.col("k") * 104729 % 10009)).alias("spans"))
+    out = resolution.settled(rows, _RANKS).select("k", F.explode("spans").alias("s"))
+    return out.select("k", "s.entity_type", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.confidence", "s.recognizer", "s.tier")
+
+
 def _intervals(spark, sf_dir):
     """Intervals of each order's lines, in texts of 100 characters."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -513,7 +533,7 @@ QUERIES = {
         rendered_identifiers, rendered_masked, masked_without_keys, session_recurrence, restored_bodies, restored_events, numeric_leaves,
         cached_detection, found_by_layer, coverage_by_language, session_admission, asking_frontier,
         span_pairs, malformed_spans, deduplicated_spans, first_types, literal_numbering, unremembered_values, digest_keys, stamped_events, latency_percentiles, failing_types, micro_scores, leak_changes, tool_costs, admitted_requests,
-        messages_slots, refused_bodies, masked_bodies,
+        messages_slots, refused_bodies, masked_bodies, settled_pairs,
     )
 }
 
@@ -629,4 +649,16 @@ SQL = {
       when 5 then 'shape_request' when 6 then null else 'shape_unsupported' end as e from customer)""",
     "masked_bodies": """select k, 'completed' as status, 'to [EMAIL_' || n || ']' as content, '{"to":"[EMAIL_' || greatest(n - 1, 1) || ']","n":1.50}' as arguments from (
       select c_custkey::bigint as k, row_number() over (partition by c_custkey % 20 order by c_custkey) as n from customer)""",
+    "settled_pairs": """with v as (select distinct o_orderkey::bigint as k, unnest([o_orderkey::bigint * 7919 % 10007, o_orderkey::bigint * 104729 % 10009]) as v from orders),
+      l as (select distinct k, ['CH_AVS', 'EMAIL', 'FR_NIR', 'IBAN', 'PERSON'][v % 5 + 1] as t, [80, 70, 80, 90, 30][v % 5 + 1] as r, v // 5 % 7 as s, v // 5 % 7 + 1 + v // 35 % 9 as e,
+        [1.0, 0.9, 0.5][v // 3 % 3 + 1]::double as c, ['catalog:x', 'ner'][v // 11 % 2 + 1] as g, (v // 13 % 3 + 1)::int as tier from v),
+      o as (select *, c >= 1 and g = 'catalog:x' as f, row_number() over (partition by k order by s, e desc, t, g, c desc, tier) as n from l),
+      p as (select a.k as k, a, b, (a.s, a.e) <> (b.s, b.e) and a.s <= b.s and b.e <= a.e as nested, a.t = b.t as same from o a join o b on a.k = b.k and a.n = 1 and b.n = 2 and b.s < a.e),
+      w as (select *, case when same then case when a.f = b.f then b.c > a.c else b.f end
+          when nested and b.f and not a.f then b.tier <= a.tier when nested and not a.f and b.r > a.r then true
+          when nested and a.f and b.f then b.r > a.r or b.r = a.r and b.tier < a.tier when nested then false
+          when a.f <> b.f then b.f when a.r <> b.r then b.r > a.r when a.c <> b.c then b.c > a.c else b.tier < a.tier end as second from p),
+      x as (select k, case when second then b else a end as w, least(a.s, b.s) as s, greatest(a.e, b.e) as e, case when same then greatest(a.c, b.c) end as c from w)
+      select k, w.t as entity_type, s::bigint as "start", e::bigint as "end", coalesce(c, w.c) as confidence, w.g as recognizer, w.tier as tier from x
+      union all select k, t, s, e, c, g, tier from o where k not in (select k from x)""",
 }

@@ -101,6 +101,8 @@ KINDS = (
     Kind("card ", _cut("card", 4, 4, 4, 4, by="'-'"), " x", ("CREDIT_CARD", 1.0, 1, False)),
     Kind("card ", "card", "@mail.example", ("CREDIT_CARD", 1.0, 1, False), "'@mail.example'"),  # takes over the address that it begins
     Kind("write ", _MAIL, ", x", ("EMAIL", 0.95, 2, False)),
+    Kind("½ oﬃce ", f"translate({_cut('avs', 3, 4, 4, 2)}, '0123456789', '０１２３４５６７８９')", " x", ("CH_AVS", 1.0, 1, False)),  # found in folded text, whose places differ
+    Kind("½ oﬃce ", f"replace({_MAIL}, '@', '＠')", " x", ("EMAIL", 0.95, 2, False)),
 )
 
 
