@@ -101,7 +101,7 @@ def count(docs: DataFrame, text: str, with_words: bool = True) -> DataFrame:
     def tallied(batches):
         words, byte_grams, ends = _Tally(), _Tally(), 0
         for whole in batches:
-            for b in K.slices(whole, "t"):
+            for b in K.slices(whole, "t", K.LARGE_CHUNK):
                 buf, off = K.utf8(b.column(0))
                 if with_words:
                     ends += b.num_rows
@@ -117,7 +117,7 @@ def count(docs: DataFrame, text: str, with_words: bool = True) -> DataFrame:
                 part = slice(at, at + (1 << 17))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, np.int32)), _signed(keys[part]), pa.array(counts[part].astype(np.int64))], names=["kind", "key", "n"])
 
-    return docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(tallied, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(K.frees(tallied), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -251,7 +251,7 @@ def collected(byte_grams: DataFrame) -> list[Level]:
                 level = build(tables, 2, range(k, k + 1))[0]
                 yield pa.RecordBatch.from_arrays([_signed(_shorter(level.key, 1)), _signed(level.key), *(pa.array(x) for x in (level.zeros, level.ones, level.weighted))], names=["up", "key", "zeros", "ones", "weighted"])
 
-    nodes = _by_subtree(byte_grams).mapInArrow(run, "up long, key long, zeros double, ones double, weighted double")
+    nodes = _by_subtree(byte_grams).mapInArrow(K.frees(run), "up long, key long, zeros double, ones double, weighted double")
     children = F.sort_array(F.collect_list(F.struct("key", "weighted")))  # at most 256; summed in order, so that runs agree to the last bit
     got = nodes.groupBy("up").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.aggregate(children, F.lit(0.0), lambda s, x: s + x["weighted"]).alias("split")).toArrow()
     order = np.argsort(keys := got["up"].to_numpy().view(K.U64))
@@ -301,7 +301,7 @@ def valued(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 value += log2_of_bytes([*top.value, *build(tables, 2, bits)], g[ask], bits)
             yield pa.RecordBatch.from_arrays([pa.array(key[ask]), pa.array(met[ask]), pa.array(value)], names=["key", "met", "v"])
 
-    return _by_subtree(rows).mapInArrow(run, "key long, met long, v double")
+    return _by_subtree(rows).mapInArrow(K.frees(run), "key long, met long, v double")
 
 
 def _least_sent(values: DataFrame, most: int) -> int:
@@ -361,7 +361,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, text: str = "text", ke
         return {"n_tokens": n_tokens, "n_known": known_words, "base_score": base, "score": bits, "bits_per_byte": np.diff(off) + 1.0, tail: lists(h[~frequent], doc[~frequent], texts), left_grams: lists(g[by_text], at[by_text], texts)}
 
     rows = docs.withColumn(row, F.monotonically_increasing_id())
-    scored = shared.table(K.map_text(rows, text, fields, kernel, [*keep, row]))
+    scored = shared.table(K.map_text(rows, text, fields, kernel, [*keep, row], limit=K.LARGE_CHUNK))
     missing = scored.select(row, F.explode(tail).alias("key")).join(rare, "key", "left")
     more = missing.groupBy(row).agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias(part), F.count("n").alias("__known"))
     out = scored.drop(tail, left_grams).join(more, row, "left")

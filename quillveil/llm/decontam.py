@@ -179,7 +179,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id
                         sizes = np.diff(own.first)[x["item"]]
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x["doc"])), ids.take(pa.array(x["item"])), *(pa.array(v) for v in (sizes, x["item_matches"], x["window_matches"], x["start"]))], names=schema.names)
 
-        part = docs.select(F.col(f"`{doc}`").alias("d"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)
+        part = docs.select(F.col(f"`{doc}`").alias("d"), F.col(f"`{text}`").alias("t")).mapInArrow(K.frees(run), schema)
         out = part if out is None else out.unionAll(part)
     return out
 

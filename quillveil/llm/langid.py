@@ -124,7 +124,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
         total: dict[str, np.ndarray] = {}
         profiles = Profiles(dims)
         for whole in batches:
-            for b in K.slices(whole, "t"):
+            for b in K.slices(whole, "t", K.LARGE_CHUNK):
                 x, _ = profiles(*K.utf8(b.column(1)))
                 names = np.array(b.column(0).to_pylist(), object)
                 for name in set(names):
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.astype(np.int64).tolist() for v in total.values()])], names=["l", "v"])
 
-    parts = rows.mapInArrow(bundled, "l string, v array<long>").select("l", F.posexplode("v").alias("i", "x"))
+    parts = rows.mapInArrow(K.frees(bundled), "l string, v array<long>").select("l", F.posexplode("v").alias("i", "x"))
     sums = parts.groupBy("l", "i").agg(F.sum("x").alias("x")).toArrow()
     out: dict[str, np.ndarray] = {}
     for name, i, x in zip(sums["l"].to_pylist(), sums["i"].to_pylist(), sums["x"].to_pylist(), strict=True):
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
         score = np.where(letters > 0, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
         return {"lang_pred": pa.array(pred.tolist(), pa.string()), "score": score}
 
-    return K.map_text(docs, text, [K.field("lang_pred", T.StringType()), K.field("score", T.DoubleType())], kernel, docs.columns if keep is None else keep)
+    return K.map_text(docs, text, [K.field("lang_pred", T.StringType()), K.field("score", T.DoubleType())], kernel, docs.columns if keep is None else keep, limit=K.LARGE_CHUNK)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

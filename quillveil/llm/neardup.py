@@ -46,8 +46,6 @@ REGISTERS, ROWS, BANDS = 256, 4, 32
 BASE, RATE = 1.001, 20.0
 #: Rows of ids that a broadcast may hold; beyond, the same join is shuffled.
 BROADCAST_IDS = 250_000
-#: Text bytes handled at once: less than elsewhere, as the JVM of these jobs holds much of an executor's memory.
-CHUNK_BYTES = 1 << 20
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +140,7 @@ def sketch(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = WO
 
     fields = [K.field("n_shingles", T.LongType()), K.field("h1", T.LongType()), K.field("h2", T.LongType()), K.field("registers", T.BinaryType())]
     source = docs.select(F.col(f"`{doc}`").alias("__doc"), F.col(f"`{text}`").alias("__text"), F.xxhash64(F.col(f"`{text}`")).alias("t64"))
-    return K.map_text(source, "__text", fields, kernel, ["__doc", "t64"], limit=CHUNK_BYTES)
+    return K.map_text(source, "__text", fields, kernel, ["__doc", "t64"])
 
 
 def _sum(values: np.ndarray, first: np.ndarray, key: int) -> np.ndarray:
@@ -160,7 +158,7 @@ def _bands(classes: DataFrame) -> DataFrame:
                 keys = K.mix(_registers(b.column(1)).view(K.U64)[:, :BANDS] + salt).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "rid"])
 
-    return classes.select("rid", "registers").mapInArrow(run, "key long, rid long")
+    return classes.select("rid", "registers").mapInArrow(K.frees(run), "key long, rid long")
 
 
 def _with_text(docs: DataFrame, wanted: DataFrame, doc: str, text: str) -> DataFrame:
@@ -184,7 +182,7 @@ def _once_a_task(rows: DataFrame, key: list[str]) -> DataFrame:
                 seen.add(x)
             yield b if all(fresh) else b.filter(pa.array(fresh, pa.bool_()))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(K.frees(run), schema)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float, k: int = WORDS, run_length: int = 1024) -> DataFrame:
@@ -202,7 +200,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float, k: int = WORDS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base = None, np.zeros(0, K.U64)
         for whole in batches:
-            for batch in K.slices(whole, "t", CHUNK_BYTES):
+            for batch in K.slices(whole, "t"):
                 values, first = shingle_sets(*K.utf8(batch.column(3)), k)
                 a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 out_a, out_b, linked = [], [], []
@@ -220,7 +218,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float, k: int = WORDS
                     linked.append(100 * common >= share * (len(base) + len(this) - common))
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return rows.mapInArrow(run, "a long, b long, linked boolean")
+    return rows.mapInArrow(K.frees(run), "a long, b long, linked boolean")
 
 
 def _least_equal(similarity: float) -> float:
@@ -350,7 +348,7 @@ def _bucket_edges(members: DataFrame, similarity: float, small: int = 12) -> Dat
         if held and (out := edges(held)) is not None:
             yield out
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(K.frees(run), "a long, b long")
 
 
 def _near_lead(hot: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -366,7 +364,7 @@ def _near_lead(hot: DataFrame, classes: DataFrame, similarity: float) -> DataFra
             _, near = plausible((x > y).sum(1), (x < y).sum(1), n, m, similarity)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(near)], names=["key", "rid", "lead", "core"])
 
-    return both.select("key", "rid", "lead", "n_shingles", "registers", "n_lead", "lead_registers").mapInArrow(run, "key long, rid long, lead long, core boolean")
+    return both.select("key", "rid", "lead", "n_shingles", "registers", "n_lead", "lead_registers").mapInArrow(K.frees(run), "key long, rid long, lead long, core boolean")
 
 
 def clusters(classes: DataFrame, similarity: float, block: int, scratch: shared.Scratch) -> tuple[DataFrame, DataFrame]:
@@ -460,7 +458,7 @@ def _cluster_links(rows: DataFrame, similarity: float, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for whole in batches:
-            for b in K.slices(whole, "t", CHUNK_BYTES):
+            for b in K.slices(whole, "t"):
                 out = []
                 values, first = shingle_sets(*K.utf8(b.column(5)), k)
                 c, i, j, rid, core = (b.column(x).to_numpy(zero_copy_only=False) for x in range(5))
@@ -477,7 +475,7 @@ def _cluster_links(rows: DataFrame, similarity: float, k: int) -> DataFrame:
             a, b = links(*_merged(held))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(K.frees(run), "a long, b long")
 
 
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:

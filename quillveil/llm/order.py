@@ -99,7 +99,7 @@ def _staged(source: DataFrame, size: int, id_bytes: int, vocabulary: str | None)
         if held:
             yield batch()
 
-    return source.mapInArrow(run, f"task int, place long, doc_ids array<{source.schema['d'].dataType.simpleString()}>, ids binary")
+    return source.mapInArrow(K.frees(run), f"task int, place long, doc_ids array<{source.schema['d'].dataType.simpleString()}>, ids binary")
 
 
 def materialise(docs: DataFrame, folder: str, key: int = 20240229, doc: str = "doc_id", text: str = "text", size: int = 2048, shard_rows: int = 4096, ranges: int | None = None, id_bytes: int = 2, vocabulary: str | None = None) -> DataFrame:
@@ -126,7 +126,7 @@ def materialise(docs: DataFrame, folder: str, key: int = 20240229, doc: str = "d
                 slot = feistel(number.astype(K.U64), total, key).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(dealers[slot // range_rows]), pa.array(slot), pa.array(number), b.column(2), b.column(3)], names=["dealer", "slot", "sequence_id", "doc_ids", "ids"])
 
-        placed = staged.mapInArrow(slotted, f"dealer int, slot long, sequence_id long, doc_ids array<{id_kind}>, ids binary")
+        placed = staged.mapInArrow(K.frees(slotted), f"dealer int, slot long, sequence_id long, doc_ids array<{id_kind}>, ids binary")
         ordered = placed.repartition(ranges, "dealer").sortWithinPartitions("slot").drop("dealer")
 
         def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def materialise(docs: DataFrame, folder: str, key: int = 20240229, doc: str = "d
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(slots % shard_rows), pa.array(lengths, pa.int64()), b.column(1), b.column(2)], names=["slot", "shard", "row", "n_tokens", "sequence_id", "doc_ids"])
             finish()
 
-        return shared.table(ordered.mapInArrow(written, f"slot long, shard string, row long, n_tokens long, sequence_id long, doc_ids array<{id_kind}>"))
+        return shared.table(ordered.mapInArrow(K.frees(written), f"slot long, shard string, row long, n_tokens long, sequence_id long, doc_ids array<{id_kind}>"))
 
 
 def shard_name(shard: int) -> str:
@@ -212,7 +212,7 @@ def read_back(index: DataFrame, folder: str, size: int = 2048, id_bytes: int = 2
         if f is not None:
             f.close()
 
-    return index.repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(run, schema)
+    return index.repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(K.frees(run), schema)
 
 
 def op3_training_order(spark, sf_dir: str) -> DataFrame:

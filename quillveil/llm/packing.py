@@ -29,10 +29,6 @@ from . import textkit as K
 from . import tokens
 
 
-#: Text bytes tokenized at once.
-CHUNK_BYTES = 1 << 20
-
-
 class Piece(NamedTuple):
     doc: object
     start: int
@@ -110,7 +106,7 @@ def windows(batches: Iterator[pa.RecordBatch], size: int, open_windows: int, tol
     """(sequence id, pieces) of each window packed from batches of (id, text)."""
     packer, number = Packer(size, open_windows, tolerance), TaskContext.get().partitionId() << 33
     for whole in batches:
-        for b in K.slices(whole, "t", CHUNK_BYTES):
+        for b in K.slices(whole, "t"):
             ids, first = tokens.documents_ids(b.column(1), vocabulary)
             for doc, x, y in zip(b.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 for w in packer.add(doc, ids[x:y].copy() if y - x < size else ids[x:y]):
@@ -146,12 +142,12 @@ def pack(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 2
             for p in window:
                 rows.append((p.doc, p.start, len(p.ids), p.ids.astype("<u4").tobytes(), p.doc_tokens, number, at))
                 at += len(p.ids)
-            if len(rows) >= 1500:
+            if len(rows) >= 500:
                 yield batch()
         if rows:
             yield batch()
 
-    return docs.select(F.col(f"`{doc}`").alias("d"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{doc}`").alias("d"), F.col(f"`{text}`").alias("t")).mapInArrow(K.frees(run), schema)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

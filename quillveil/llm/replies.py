@@ -118,7 +118,7 @@ def _formatted(messages: DataFrame, paths: DataFrame) -> DataFrame:
             made = [render([(t["role"], t["text"]) for t in turns]) for turns in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f for f, _ in made], pa.string()), pa.array([[{"start": x, "end": y} for x, y in s] for _, s in made], arrow)], names=schema.names)
 
-    return groups.select("conversation", F.col("rank").cast("long").alias("rank"), "turns").mapInArrow(run, schema)
+    return groups.select("conversation", F.col("rank").cast("long").alias("rank"), "turns").mapInArrow(K.frees(run), schema)
 
 
 def format_reply_trees(messages: DataFrame, conversation: str = "conv_id", node: str = "node_id", parent: str = "parent_id", role: str = "role", text: str = "text", score: str | None = "score", branches: int = 1) -> DataFrame:
@@ -164,7 +164,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             c = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.string() if i in (1, 3) else pa.int64()) for i, x in enumerate(c))], names=schema.names)
 
-    return formatted.select("conversation", "formatted", "mask").mapInArrow(run, schema)
+    return formatted.select("conversation", "formatted", "mask").mapInArrow(K.frees(run), schema)
 
 
 def _sha(text: str) -> str:

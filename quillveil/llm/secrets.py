@@ -420,7 +420,7 @@ def _map_all(df: DataFrame, text: str, fields: list[T.StructField], kernel, keep
                 out = kernel(*K.utf8(b.column(b.schema.get_field_index(text))), b)
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in order] + [out[f.name] for f in fields], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(K.frees(run), schema)
 
 
 def mask(text: str, spans: list[tuple[int, int]], mark: str) -> str:

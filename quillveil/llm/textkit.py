@@ -7,6 +7,8 @@ Hashes depend on the text alone, never on the process, so they agree between exe
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
@@ -16,8 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Text bytes handled at once; bounds the arrays that a Python worker holds (a longer document is one chunk).
-CHUNK_BYTES = 3 << 20
+#: Text bytes handled at once; bounds the arrays that a Python worker holds (a longer document is one chunk).  The large one is for kernels
+#: that gather something for each chunk.
+CHUNK_BYTES, LARGE_CHUNK = 1 << 20, 3 << 20
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -141,6 +144,22 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         at = to
 
 
+def frees(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and at the end of a task what it has freed goes back to the system: workers are used again by later stages, and idle ones stay."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 Kernel = Callable[[np.ndarray, np.ndarray], dict[str, object]]
 
 
@@ -165,7 +184,7 @@ def map_text(df: DataFrame, text: str, fields: list[T.StructField], kernel: Call
                     names=schema.names,
                 )
 
-    return df.select(*[_quoted(c) for c in need]).mapInArrow(run, schema)
+    return df.select(*[_quoted(c) for c in need]).mapInArrow(frees(run), schema)
 
 
 def _quoted(name: str) -> str:

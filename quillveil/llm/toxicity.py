@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc: str = "doc_id",
 
     def hashed(batches):
         for whole in batches:
-            for b in K.slices(whole, "t"):
+            for b in K.slices(whole, "t", K.LARGE_CHUNK):
                 at, slots = features(*K.utf8(b.column(1)), bits)
                 order = np.argsort(at, kind="stable")
                 cut = np.searchsorted(at[order], np.arange(b.num_rows + 1))
@@ -103,8 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc: str = "doc_id",
         w = train([(np.frombuffer(s, np.int32), y) for _, y, s in rows], bits, alpha, beta, l1, l2, epochs) if rows else Weights(np.zeros(0, np.int64), np.zeros(0), -np.inf)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(w.slot, -1)), pa.array(np.append(w.weight, w.bias))], names=["slot", "weight"])
 
-    sample = texts.mapInArrow(hashed, T.StructType([K.field("k", docs.schema[doc].dataType), K.field("y", T.IntegerType()), K.field("slots", T.BinaryType())]))
-    out = sample.repartition(1).mapInArrow(learned, "slot long, weight double").toArrow()
+    sample = texts.mapInArrow(K.frees(hashed), T.StructType([K.field("k", docs.schema[doc].dataType), K.field("y", T.IntegerType()), K.field("slots", T.BinaryType())]))
+    out = sample.repartition(1).mapInArrow(K.frees(learned), "slot long, weight double").toArrow()
     slot, weight = out.column(0).to_numpy(), out.column(1).to_numpy()
     return Weights(slot[slot >= 0], weight[slot >= 0], float(weight[slot < 0][0]) if (slot < 0).any() else -np.inf)
 
