@@ -217,6 +217,16 @@ def masked_bodies(spark, sf_dir):
     return out.select("k", "status", F.get_json_object("body", f"{message}content").alias("content"), F.get_json_object("body", f"{message}tool_calls[0].function.arguments").alias("arguments"))
 
 
+def masked_schemas(spark, sf_dir):
+    """Tools whose schemas hold an address as data and as vocabulary: only the former is hidden."""
+    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
+    parts = ['"description":"of ADDRESS"', '"enum":["ADDRESS"]', '"required":["ADDRESS"]', '"$ref":"#/ADDRESS"', '"pattern":"ADDRESS("', '"properties":{"type":{"type":"ADDRESS"}}', '"propertyNames":{"enum":["ADDRESS"],"title":"ADDRESS"}', '"dependencies":{"k":["ADDRESS"]}']
+    schema = F.lit("{" + ",".join(parts) + "}")
+    body = F.concat(F.lit('{"messages":[{"role":"user","content":"hi"}],"tools":[{"type":"function","function":{"name":"f","parameters":'), F.replace(schema, F.lit("ADDRESS"), F.concat(F.lit("u"), "k", F.lit("@mail.example"))), F.lit("}}]}"))
+    out = chat.mask_bodies(k.select("k", body.alias("body")), ["k"], ["k"], "body", "chat")
+    return out.select("k", "status", F.get_json_object("body", "$.tools[0].function.parameters").alias("schema"))
+
+
 def _gold_and_predicted(spark, sf_dir):
     """Findings as gold; shifted, partly renamed and thinned out as predictions.  Texts are searched once."""
     found = tables.table(_found(spark, sf_dir).select("doc_id", "entity_type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
@@ -533,7 +543,7 @@ QUERIES = {
         rendered_identifiers, rendered_masked, masked_without_keys, session_recurrence, restored_bodies, restored_events, numeric_leaves,
         cached_detection, found_by_layer, coverage_by_language, session_admission, asking_frontier,
         span_pairs, malformed_spans, deduplicated_spans, first_types, literal_numbering, unremembered_values, digest_keys, stamped_events, latency_percentiles, failing_types, micro_scores, leak_changes, tool_costs, admitted_requests,
-        messages_slots, refused_bodies, masked_bodies, settled_pairs,
+        messages_slots, refused_bodies, masked_bodies, masked_schemas, settled_pairs,
     )
 }
 
@@ -661,4 +671,6 @@ SQL = {
       x as (select k, case when second then b else a end as w, least(a.s, b.s) as s, greatest(a.e, b.e) as e, case when same then greatest(a.c, b.c) end as c from w)
       select k, w.t as entity_type, s::bigint as "start", e::bigint as "end", coalesce(c, w.c) as confidence, w.g as recognizer, w.tier as tier from x
       union all select k, t, s, e, c, g, tier from o where k not in (select k from x)""",
+    "masked_schemas": """select c_custkey::bigint as k, 'completed' as status, replace('{"description":"of [EMAIL_1]","enum":["[EMAIL_1]"],"required":["ADDRESS"],"$ref":"#/ADDRESS","pattern":"[EMAIL_1](","properties":{"type":{"type":"[EMAIL_1]"}},'
+      || '"propertyNames":{"enum":["ADDRESS"],"title":"[EMAIL_1]"},"dependencies":{"k":["ADDRESS"]}}', 'ADDRESS', 'u' || c_custkey || '@mail.example') as schema from customer""",
 }
