@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontam, langid, neardup, order, packing, repetition, replies, secrets, toxicity
+from . import ctw, decontam, langid, neardup, order, packing, repetition, replies, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lm_score": ctw.op8_lm_score,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_chat_format": replies.op10_chat_format,
+    "op11_simhash": simhash.op11_simhash,
 }
 
 #: The template's control strings in a text, with the backslashes before them doubled and one more.

@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 CHUNK_BYTES, LARGE_CHUNK = 1 << 20, 3 << 20
 
 U64 = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,7 +74,7 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def find_words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> Words:
+def find_words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> Words:
     """The maximal runs, within a document, of bytes for which the table gap is false."""
     n = len(buf)
     if not n:
