@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontam, langid, neardup, order, packing, repetition, replies, secrets, simhash, toxicity
+from . import ctw, decontam, filters, langid, neardup, order, packing, repetition, replies, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontam.op9_decontamination,
     "op10_chat_format": replies.op10_chat_format,
     "op11_simhash": simhash.op11_simhash,
+    "op12_filter_audit": filters.op12_filter_audit,
 }
 
 #: The template's control strings in a text, with the backslashes before them doubled and one more.
@@ -31,4 +32,29 @@ SQL: dict[str, str] = {
       sum(1 + length({_ESCAPED.format("text")}) + case role when 'user' then 15 when 'system' then 17 when 'assistant' then 9
         else 30 + length({_ESCAPED.format("role")}) end)::bigint as formatted_chars
       from {_LINES} group by conv_id""",
+    "op12_filter_audit": """with d as (select coalesce(source, '') as part, doc_id, coalesce(text, '') as t,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+      marked as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+      masks as (select part, good, toxic, (case when len(w) < 200 then 1 else 0 end)
+          + (case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end)
+          + (case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) then 4 else 0 end)
+          + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end)
+          + (case when doc_id > min(doc_id) over (partition by t) then 16 else 0 end) as mask
+        from d left join marked using (doc_id)),
+      c as (select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from masks group by part, mask),
+      letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+      orders as (select a.x || b.x || c.x || d.x || e.x as o from letters a, letters b, letters c, letters d, letters e
+        where b.x <> a.x and c.x not in (a.x, b.x) and d.x not in (a.x, b.x, c.x) and e.x not in (a.x, b.x, c.x, d.x)),
+      steps as (select o, s, 1 << (strpos('ABCDE', substr(o, s, 1)) - 1)::integer as b,
+          coalesce(list_sum(list_transform(string_split(substr(o, 1, s - 1), ''), y -> case when y = '' then 0 else 1 << (strpos('ABCDE', y) - 1)::integer end)), 0)::integer as before
+        from orders, range(1, 6) r(s))
+    select part, o as filter_order, s::integer as step,
+      sum(case when (mask & (before | b)) = 0 then n else 0 end)::bigint as kept,
+      sum(case when (mask & b) <> 0 and (mask & before) = 0 then n else 0 end)::bigint as removed,
+      sum(case when (mask & b) <> 0 and (mask & before) <> 0 then n else 0 end)::bigint as redundant,
+      sum(case when mask = b then n else 0 end)::bigint as unique_fails,
+      sum(case when (mask & b) <> 0 and (mask & before) = 0 then good else 0 end)::bigint as good_lost,
+      sum(case when (mask & b) <> 0 and (mask & before) = 0 then toxic else 0 end)::bigint as toxic_lost,
+      sum(case when (mask & b) <> 0 then n * (120 // bit_count(mask)) else 0 end)::bigint as shapley
+    from c, steps group by part, o, s""",
 }
