@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontam, filters, langid, neardup, order, packing, repetition, replies, secrets, simhash, toxicity
+from . import ctw, decontam, filters, langid, neardup, order, packing, repair, repetition, replies, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat_format": replies.op10_chat_format,
     "op11_simhash": simhash.op11_simhash,
     "op12_filter_audit": filters.op12_filter_audit,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
 #: The template's control strings in a text, with the backslashes before them doubled and one more.
@@ -46,7 +47,7 @@ SQL: dict[str, str] = {
       orders as (select a.x || b.x || c.x || d.x || e.x as o from letters a, letters b, letters c, letters d, letters e
         where b.x <> a.x and c.x not in (a.x, b.x) and d.x not in (a.x, b.x, c.x) and e.x not in (a.x, b.x, c.x, d.x)),
       steps as (select o, s, 1 << (strpos('ABCDE', substr(o, s, 1)) - 1)::integer as b,
-          coalesce(list_sum(list_transform(string_split(substr(o, 1, s - 1), ''), y -> case when y = '' then 0 else 1 << (strpos('ABCDE', y) - 1)::integer end)), 0)::integer as before
+          coalesce(list_sum(list_transform(string_split(substr(o, 1, s - 1), ''), lambda y: case when y = '' then 0 else 1 << (strpos('ABCDE', y) - 1)::integer end)), 0)::integer as before
         from orders, range(1, 6) r(s))
     select part, o as filter_order, s::integer as step,
       sum(case when (mask & (before | b)) = 0 then n else 0 end)::bigint as kept,
