@@ -4,7 +4,7 @@ A document's mask has a bit for each filter that it fails: A few words, B few di
 a document with a smaller id has too.  E needs the whole table: texts are routed by their XXH64 to the partitions of an RDD, where each hash has a chain of the full texts
 that have it, each with its smallest id; whatever isn't the smallest is emitted as failing E.  Before the shuffle each task does the same
 with its own rows in blocks of ``BLOCK_CHARS``, so of the copies of one text at most one for each block is sent with the text; the others are emitted at once and
-only pass through, spread by their id.  Chains hold the distinct texts of a partition: more partitions make them shorter.
+only pass through, spread by their id.  Chains hold the distinct texts of a partition, so there are partitions for every ``CHAIN_CHARS`` characters of the table.
 
 ``combineByKey`` then merges, by part, vectors that count the documents of each of the 32 masks (all, good and toxic ones), within tasks first, so a
 part with a third of all rows is no task's alone.  The 120 orders follow from a part's vector.
@@ -32,8 +32,8 @@ from . import textkit as K
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
-#: Characters of texts that a task gathers before it sends on what it has.
-BLOCK_CHARS = 1 << 24
+#: Characters of texts that a task gathers before it sends on what it has, and those that a partition of chains should have at most.
+BLOCK_CHARS, CHAIN_CHARS = 1 << 24, 1 << 25
 _PIECE = 1 << 20
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _SPECIAL = re.compile(r"[#$%&*|]")
@@ -129,7 +129,9 @@ def filter_masks(docs: DataFrame, doc: str = "doc_id", text: str = "text", part:
     """(doc, part, mask, n): how many rows of that id and part fail just those filters."""
     spark = docs.sparkSession
     rows = docs.select(F.col(K._quoted(part)).cast("string"), F.col(K._quoted(doc)), F.col(K._quoted(text)))
-    routed = rows.rdd.mapPartitions(lambda it: _sent(it, key_of)).partitionBy(int(spark.conf.get("spark.sql.shuffle.partitions")), lambda key: key)
+    chars = docs.agg(F.sum(F.length(F.col(K._quoted(text))))).first()[0] or 0
+    chains = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // CHAIN_CHARS))
+    routed = rows.rdd.mapPartitions(lambda it: _sent(it, key_of)).partitionBy(chains, lambda key: key)
     kind = docs.schema[doc].dataType.simpleString()
     return spark.createDataFrame(routed.mapPartitions(_settled), f"doc {kind}, part string, mask int, n long", verifySchema=False)
 
