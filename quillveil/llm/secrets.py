@@ -10,9 +10,14 @@ the span of the original text that produced it (for base64 and compressed data,
 Findings of the base layer always stay; a decoded finding with an equal kind and span adds nothing.
 
 Row by row, no shuffle.  Null text: as if empty.  Repeated rows: each by itself.  Texts of any length are read
-whole, and so are all members of compressed data; only a compressed layer over ``inflate_bytes`` isn't held (decompression
-bombs): it is scanned as a stream, but not unwrapped further, and ``n_unread`` counts such layers.  Redaction replaces
-the whole run of one.  Positions are kept as arrays of runs, a few numbers for each encoded run.  An empty table gives an empty result.
+whole, and so are all members of compressed data (gzip, zlib, bzip2, xz; raw deflate has no mark to be known by).  A compressed layer over ``inflate_bytes`` isn't
+held at once: it is expanded as a stream, through any further compression, into windows that overlap and are cut where no encoded
+run is, and each window is a layer that is unwrapped like any other.  Only where an encoded run is longer than an eighth of a window are its
+pieces decoded apart; ``n_unread`` counts the base64 runs of the text (or of a layer) in which that happened, and redaction replaces these whole.
+
+Layers are visited depth first and held only along one path.  From the eighth layer on, a chain of escapes at one place (``%252525..41``) is followed to its end
+at once, so deep nests take linear time.  Positions are kept as arrays of runs, a few numbers for each encoded run.  Lines of base64 under 16 characters
+are not joined.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from array import array
@@ -52,7 +58,12 @@ WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0
 #: In decoded bytes: text long enough for a finding, and where compressed data may begin.
 _STRETCH = re.compile(rb"(?:[\t\n\r -~]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){14,}")
 _WIDE = {order: re.compile(pattern) for order, pattern in (("utf-16-le", rb"(?:[\t\n\r -~]\0){14,}"), ("utf-16-be", rb"(?:\0[\t\n\r -~]){14,}"))}
-_PACKED = re.compile(rb"(?=\x1f\x8b\x08|BZh|[\x08\x18\x28\x38\x48\x58\x68\x78])", re.S)
+_ZLIB = b"|".join(b"\\x%02x[%s]" % (a, b"".join(b"\\x%02x" % b for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32)) for a in range(8, 128, 16))
+_PACKED = re.compile(rb"(?=\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ|" + _ZLIB + rb")", re.S)
+_ASCII = np.zeros(256, bool)
+_ASCII[[9, 10, 13, *range(32, 127)]] = True
+_CONTROL = ~_ASCII
+_CONTROL[0x80:0xC0] = _CONTROL[0xC2:0xF5] = False
 _B64_BYTE = np.zeros(256, bool)
 _B64_BYTE[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", np.uint8)] = True
 _HEX_BYTE = np.zeros(256, bool)
@@ -87,10 +98,12 @@ class _Map:
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         """The span of the text itself that characters start to end come from."""
-        i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
-        a = self.lo[i] + (start - self.at[i]) * self.step[i]
-        b = self.lo[j] + (end - 1 - self.at[j]) * self.step[j] + self.width[j]
-        return self.above.span(a, b) if self.above else (a, b)
+        layer = self
+        while layer:
+            i, j = bisect_right(layer.at, start) - 1, bisect_right(layer.at, end - 1) - 1
+            start, end = layer.lo[i] + (start - layer.at[i]) * layer.step[i], layer.lo[j] + (end - 1 - layer.at[j]) * layer.step[j] + layer.width[j]
+            layer = layer.above
+        return start, end
 
 
 def _whole(start: int, end: int, above: _Map | None) -> _Map:
@@ -159,69 +172,163 @@ def _escape(m: re.Match) -> list[Run] | None:
     return None if c > 0x10FFFF or 0xD800 <= c < 0xE000 else [(chr(c), m.start(), 0, m.end() - m.start())]
 
 
-def _members(data: bytes | memoryview, piece: int) -> Iterator[bytes]:
-    """Expanded data of all members that follow each other, in pieces; an error if the first is none, or behind what one holds that breaks off."""
-    rest = bytes(data)
-    while True:
-        if rest[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(rest, piece)
-            while not d.eof:
-                yield out
-                if d.needs_input:
-                    raise EOFError
-                out = d.decompress(b"", piece)
-        elif rest[:2] == b"\x1f\x8b" or len(rest) > 2 and rest[0] & 15 == 8 and (rest[0] << 8 | rest[1]) % 31 == 0:
-            d = zlib.decompressobj(47)
-            out = d.decompress(rest, piece)
-            while not d.eof:
-                yield out
-                if not d.unconsumed_tail and len(out) < piece:
-                    raise EOFError
-                out = d.decompress(d.unconsumed_tail, piece)
-        else:
-            raise ValueError
-        yield out
-        rest = d.unused_data.lstrip(b"\0")  # gzip files may be padded
-        if not rest:
-            return
-        if not _packed(rest):
-            yield rest  # not compressed, but read all the same
-            return
+#: One escape, and what follows a decoded character that may begin another.
+_UNIT = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+_REST = {"%": re.compile(r"[0-9A-Fa-f]{2}"), "\\": re.compile(r"u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2}|u\{[0-9A-Fa-f]{1,6}\}"), "&": re.compile(r"#[0-9]{1,7};|#[xX][0-9A-Fa-f]{1,6};")}
+
+
+def _ascii(unit: str) -> str | None:
+    """The ASCII character of an escape; other characters may need their neighbours."""
+    digits = unit.strip("%\\uUx{}&#X;")
+    c = int(digits or "0", 10 if unit.startswith("&#") and unit[2] not in "xX" else 16)
+    return chr(c) if c < 128 else None
+
+
+def _chained(text: str, above: _Map | None) -> tuple[str, _Map] | None:
+    """Text in which each chain of escapes at one place gives way to the character at its end; None if there is none."""
+    out, origin, at, size, m = [], _Map(above), 0, 0, _UNIT.search(text)
+    while m:
+        c, end, steps = _ascii(m[0]), m.end(), 1
+        while c in _REST and (more := _REST[c].match(text, end)) and (then := _ascii(c + more[0])) is not None:
+            c, end, steps = then, more.end(), steps + 1
+        if steps > 1:
+            for piece, lo, step, width in ((text[at : m.start()], at, 1, 1), (c, m.start(), 0, end - m.start())):
+                if piece:
+                    out.append(piece)
+                    origin.add(size, lo, step, width)
+                    size += len(piece)
+            at = end
+        m = _UNIT.search(text, end)
+    if not at:
+        return None
+    if at < len(text):
+        out.append(text[at:])
+        origin.add(size, at, 1, 1)
+    return "".join(out), origin
 
 
-def _packed(data: bytes | memoryview) -> bool:
-    return data[:3] == b"BZh" or data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
+#: Bytes that a decompressor gives at once, and those first given to one: most places that look like compressed data aren't.
+_GIVEN, _TRIED = 1 << 20, 1 << 10
+_BROKEN = (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError)
+
+
+def _pieces(data: bytes | memoryview) -> Iterator[bytes]:
+    view, at, size = memoryview(data), 0, _TRIED
+    while at < len(view):
+        yield bytes(view[at : at + size])
+        at, size = at + size, min(4 * size, _GIVEN)
 
 
-def _inflate(data: bytes | memoryview, most: int) -> tuple[bytes | None, bool]:
-    """Expanded data, or None if it isn't compressed; whether it was left unread because it is too large."""
-    if not _packed(data):
-        return None, False
-    out, size = [], 0
+def _members(pieces: Iterator[bytes], read: list[int] | None = None) -> Iterator[bytes]:
+    """Expanded data of all members that follow each other, as far as it goes; nothing if there is no first one.
+
+    read: gets how many bytes all members took, once one has ended.
+    """
+    rest, taken, first = b"", 0, True
     try:
-        for piece in _members(data, most + 1):
-            out.append(piece)
+        while True:
+            while len(rest) < 3 and (piece := next(pieces, b"")):
+                taken += len(piece)
+                rest = rest + piece if first else (rest + piece).lstrip(b"\0")  # gzip files may be padded
+            if not rest:
+                return
+            if not _packed(rest):
+                if not first:  # not compressed, but read all the same
+                    yield rest
+                    yield from pieces
+                return
+            d = bz2.BZ2Decompressor() if rest[:3] == b"BZh" else lzma.LZMADecompressor() if rest[:3] == b"\xfd7z" else zlib.decompressobj(47)
+            first = False
+            while not d.eof:
+                if not rest:
+                    if not (rest := next(pieces, b"")):
+                        return
+                    taken += len(rest)
+                out = d.decompress(rest, _GIVEN)
+                yield out
+                while not d.eof and (out or d.unconsumed_tail if hasattr(d, "unconsumed_tail") else not d.needs_input):
+                    out = d.decompress(getattr(d, "unconsumed_tail", b""), _GIVEN)
+                    yield out
+                rest = b""
+            rest = d.unused_data.lstrip(b"\0")
+            if read is not None:
+                read[:] = [taken - len(rest)]
+    except _BROKEN:  # what came before is read
+        return
+
+
+def _packed(data: bytes | memoryview) -> bool:
+    head = bytes(data[:3])
+    return head in (b"BZh", b"\xfd7z") or head[:2] == b"\x1f\x8b" or len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0
+
+
+def _unpacked(stream: Iterator[bytes], heads: set[bytes]) -> tuple[Iterator[bytes], int]:
+    """A stream with its nested compression undone, and how many layers that were; heads: beginnings of layers, so that no cycle goes on."""
+    head = b""
+    while len(head) < 4096 and (piece := next(stream, b"")):
+        head += piece
+    stream = chain([head], stream)
+    if not _packed(head) or head[:4096] in heads:
+        return stream, 0
+    heads.add(head[:4096])
+    taken: list[bytes] | None = []
+
+    def kept() -> Iterator[bytes]:
+        for piece in stream:
+            if taken is not None:
+                taken.append(piece)
+            yield piece
+
+    inner = filter(None, _members(kept()))
+    if not (first := next(inner, b"")):
+        return chain(taken, stream), 0
+    taken = None
+    below, depth = _unpacked(chain([first], inner), heads)
+    return below, depth + 1
+
+
+def _expanded(data: bytes | memoryview, most: int, read: list[int] | None = None) -> tuple[Iterator[bytes], int]:
+    """Data with its nested compression undone, in one piece or, if it is larger than most, as a stream; how many layers that were."""
+    depth, seen = 0, set()
+    while _packed(data):
+        stream, got, size = filter(None, _members(_pieces(data), None if depth else read)), [], 0
+        for piece in stream:
+            got.append(piece)
             size += len(piece)
             if size > most:
-                return None, True
-    except (OSError, zlib.error, EOFError, ValueError):  # what came before is read
-        pass
-    return b"".join(out) or None, False
+                below, more = _unpacked(chain(got, stream), set())
+                return below, depth + 1 + more
+        if not got:
+            break
+        data, depth = b"".join(got), depth + 1
+        if (key := hashlib.sha256(data).digest()) in seen:
+            break
+        seen.add(key)
+    return iter((data,)), depth
 
 
-def _streamed(data: bytes | memoryview) -> set[str]:
-    """The kinds of findings in expanded data that is too large to be held, read in pieces that overlap."""
-    kinds: set[str] = set()
-    tail = b""
-    try:
-        for piece in _members(data, 1 << 20):
-            tail += piece
-            kinds.update(kind for kind, _, _ in find(tail.decode("utf-8", "replace")))
-            tail = tail[-4096:]
-    except (OSError, zlib.error, EOFError, ValueError):
-        pass
-    return kinds
+_RUN_BYTE = np.zeros(256, bool)
+_RUN_BYTE[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n", np.uint8)] = True
+
+
+def _windows(stream: Iterator[bytes], most: int, cut: list[bool]) -> Iterator[bytes]:
+    """A stream in windows of about most bytes that overlap; cut: gets an entry if one ends within an encoded run."""
+    held, size, fresh = [], 0, False
+    for piece in stream:
+        held.append(piece)
+        size, fresh = size + len(piece), True
+        if size <= most:
+            continue
+        data = b"".join(held)
+        end = np.flatnonzero(~_RUN_BYTE[np.frombuffer(data[-most // 8 :], np.uint8)])
+        to = len(data) - min(len(data), -(-most // 8)) + int(end[-1]) + 1 if len(end) else len(data)
+        if not len(end):
+            cut.append(True)
+        yield data[:to]
+        held, fresh = [data[max(0, to - min(4096, most // 2)) :]], to < len(data)
+        size = len(held[0])
+    if fresh:
+        yield b"".join(held)
 
 
 def _readable(data: bytes) -> str | None:
@@ -238,96 +345,99 @@ def _texts(data: bytes) -> list[str]:
     """The texts in decoded bytes: all of them, or, among other bytes, stretches of UTF-8 and of UTF-16."""
     if (whole := _readable(data)) is not None:
         return [whole]
-    out = [m[0].decode("utf-8", "ignore") for m in _STRETCH.finditer(data)]
-    for order, pattern in _WIDE.items():
-        out += [m[0].decode(order, "ignore") for m in pattern.finditer(data)]
+    out, each = [], np.frombuffer(data, np.uint8)
+    plain = K.find_words(each, np.array([0, len(each)]), ~_ASCII)  # a finding or another layer needs so many of these in a row
+    long = plain.end - plain.start >= 14
+    if long.any():  # a stretch ends where a byte can't be of UTF-8 text
+        breaks = np.concatenate([[-1], np.flatnonzero(_CONTROL[each]), [len(each)]])
+        at = np.unique(np.searchsorted(breaks, plain.start[long]))
+        for lo, hi in zip((breaks[at - 1] + 1).tolist(), breaks[at].tolist(), strict=True):
+            out += [m[0].decode("utf-8", "ignore") for m in _STRETCH.finditer(data, lo, hi)]
+    none = each == 0
+    if (none[:-6] & none[2:-4] & none[4:-2] & none[6:]).any():
+        for order, pattern in _WIDE.items():
+            out += [m[0].decode(order, "ignore") for m in pattern.finditer(data)]
     return out
 
 
-def _expanded(data: bytes | memoryview, most: int) -> tuple[bytes, int, int]:
-    """Data with its nested compression undone, how many layers that were, and how many were left unread."""
-    depth = 0
-    while True:
-        inner, over = _inflate(data, most)
-        if inner is None:
-            return data, depth, int(over)
-        data, depth = inner, depth + 1
-
-
-def _decoded(run: str, most: int) -> tuple[list[tuple[str, str]], int, set[tuple[str, str]]]:
-    """(text, layer name) in a base64 run, how many compressed layers were too large to hold, and (kind, layer name) found in these."""
+def _decoded(run: str, most: int, cut: list[bool]) -> Iterator[tuple[str, str]]:
+    """(text, layer name) in a base64 run; cut: gets an entry if a run in it was decoded in pieces."""
     run = run.replace("\r", "").replace("\n", "").rstrip("=").replace("-", "+").replace("_", "/")
-    out: list[tuple[str, str]] = []
-    unread, kinds = 0, set()
 
-    def expanded(data: bytes | memoryview) -> tuple[bytes, int, int]:
-        nonlocal unread
-        inner, depth, left = _expanded(data, most)
-        unread += left
-        name = "base64" + ">inflate" * depth
-        if left:
-            kinds.update((kind, f"{name}>inflate") for kind in _streamed(inner))
-        elif depth:
-            out.extend((text, name) for text in _texts(inner))
-        return inner, depth, left
+    def expanded(data: bytes | memoryview, read: list[int]) -> Iterator[tuple[str, str]]:
+        stream, depth = _expanded(data, most, read)
+        if depth:
+            name = "base64" + ">inflate" * depth
+            for window in _windows(stream, most, cut):
+                yield from ((text, name) for text in _texts(window))
 
     for phase in range(4):
         body = run[phase:]
         body = body[: len(body) - (len(body) % 4 == 1)]
         raw = base64.b64decode(body + "=" * (-len(body) % 4))
+        covered = 0
         if not phase:
-            _, depth, left = expanded(raw)
-            if depth or left:
+            any_ = False
+            for layer in expanded(raw, read := []):
+                any_ = True
+                yield layer
+            if any_ or read:
                 break
-        texts = _texts(raw)
-        out += [(text, "base64") for text in texts]
+        yield from ((text, "base64") for text in _texts(raw))
         if not phase and len(run) % 4 != 1 and _readable(raw) is not None:
             break
         for m in _PACKED.finditer(raw):
-            if m.start() % 3 == 0 and (phase or m.start()):
-                expanded(memoryview(raw)[m.start() :])
-    return out, unread, kinds
+            if m.start() % 3 == 0 and m.start() >= covered and (phase or m.start()):
+                yield from expanded(memoryview(raw)[m.start() :], read := [])
+                covered = m.start() + read[0] if read else covered  # members that were read to their end aren't read again
 
 
 def unwrap(text: str, inflate_bytes: int = 1 << 26, gaps: list[tuple[int, int]] | None = None) -> tuple[list[tuple[str, int, int, str]], int]:
-    """Findings of all layers below the text, mapped to its spans, and how many layers were left unread.
+    """Findings of all layers below the text, mapped to its spans, and how many runs were decoded in pieces.
 
     gaps: gets the spans of the text that hold these.
     """
     found: list[tuple[str, int, int, str]] = []
     unread = 0
-    seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    work: list[tuple[str, _Map | None, str]] = [(text, None, "")]
-    while work:
-        layer, origin, path = work.pop()
-
-        def unwrapped(inside: str, own: _Map, name: str, place: bytes = b"", path: str = path) -> None:
-            key = hashlib.sha256(inside.encode("utf-8", "surrogatepass") + place).digest()
-            if key in seen:
-                return
-            seen.add(key)
-            way = f"{path}>{name}" if path else name
-            found.extend((kind, *own.span(i, j), way) for kind, i, j in find(inside))
-            work.append((inside, own, way))
+    seen = {_digest(text)}
 
-        for name, pattern, decode in (("url", PERCENT, _percent), ("unicode", ESCAPE, _escape)):
-            if ("%" if name == "url" else "\\") in layer or name == "unicode" and "&#" in layer:
-                if got := _in_place(layer, pattern, decode, origin):
-                    unwrapped(*got, name)
+    def below(layer: str, origin: _Map | None, path: str, depth: int) -> Iterator[tuple[str, _Map, str, int, bytes]]:
+        nonlocal unread
+        way = f"{path}>" if path else ""
+        if depth >= 8 and (got := _chained(layer, origin)):
+            yield *got, f"{way}chain", depth + 1, b""
+        else:
+            for name, pattern, decode in (("url", PERCENT, _percent), ("unicode", ESCAPE, _escape)):
+                if ("%" if name == "url" else "\\") in layer or name == "unicode" and "&#" in layer:
+                    if got := _in_place(layer, pattern, decode, origin):
+                        yield *got, f"{way}{name}", depth + 1, b""
         for m in chain(BASE64.finditer(layer), WRAPPED.finditer(layer)):
-            texts, left, kinds = _decoded(m[0], inflate_bytes)
-            own = _whole(m.start(), m.end(), origin)
+            own, cut = _whole(m.start(), m.end(), origin), []
             at = own.span(0, 1)
-            if left:
-                unread += left
-                found += [(kind, *at, f"{path}>{name}" if path else name) for kind, name in sorted(kinds)]
+            for inside, name in _decoded(m[0], inflate_bytes, cut):
+                yield inside, own, f"{way}{name}", depth + 1, b"\0%d" % at[0]
+            if cut:
+                unread += 1
                 if gaps is not None:
                     gaps.append(at)
-            for inside, name in texts:
-                unwrapped(inside, own, name, b"\0%d" % at[0])
+
+    path = [below(text, None, "", 0)]
+    while path:
+        if (layer := next(path[-1], None)) is None:
+            path.pop()
+            continue
+        inside, own, way, depth, place = layer
+        if (key := _digest(inside, place)) not in seen:
+            seen.add(key)
+            found.extend((kind, *own.span(i, j), way) for kind, i, j in find(inside))
+            path.append(below(inside, own, way, depth))
     return found, unread
 
 
+def _digest(text: str, place: bytes = b"") -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass") + place).digest()
+
+
 def _runs(buf: np.ndarray, off: np.ndarray, table: np.ndarray, least: int) -> np.ndarray:
     """Which documents hold a run of so many bytes of the table."""
     w = K.find_words(buf, off, ~table)
@@ -339,7 +449,7 @@ def _runs(buf: np.ndarray, off: np.ndarray, table: np.ndarray, least: int) -> np
 def scan_chunk(buf: np.ndarray, off: np.ndarray, inflate_bytes: int, gaps: dict[int, list[tuple[int, int]]] | None = None) -> tuple[list[list[tuple[str, int, int, str]]], list[int]]:
     """Spans of each document by start, kind and end; documents that cannot hold any are not looked into.
 
-    gaps: gets the spans of layers left unread, by document.
+    gaps: gets the spans of runs decoded in pieces, by document.
     """
     hexes, runs = _runs(buf, off, _HEX_BYTE, LEAST["hex"]), _runs(buf, off, _B64_BYTE, 16)
     data, folded = buf.tobytes(), K.LOWER[buf].tobytes()
@@ -382,7 +492,7 @@ def scan_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = Non
 
 
 def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[SECRET]", length: str | None = "n_chars", inflate_bytes: int = 1 << 26) -> DataFrame:
-    """df with every secret span (overlapping ones as one), and every run with a layer left unread, replaced in its text; same columns, all rows.
+    """df with every secret span (overlapping ones as one), and every run that n_unread counts, replaced in its text; same columns, all rows.
 
     length: a column that holds the text's code points; it is set anew in rows whose text changed.
     """

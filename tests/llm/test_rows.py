@@ -257,12 +257,62 @@ def test_all_members_and_large_layers_are_read(documents):
         assert ([x[:3] for x in found], unread) == ([("assign", 0, len(blob))], 0), pack
     large = base64.b64encode(gzip.compress(b"x " * 3_000_000 + b"password=hunter2hunter2 " + b"y " * 1000)).decode()
     found, unread = secrets.unwrap(f"a {large} b", 100_000)
-    assert [x[:3] for x in found] == [("assign", 2, 2 + len(large))] and unread == 1
+    assert [x[:3] for x in found] == [("assign", 2, 2 + len(large))] and unread == 0
     nested = base64.b64encode(gzip.compress(b"x " * 100_000 + base64.b64encode(b"password=hunter2hunter2"))).decode()
     out = secrets.redact_secrets(documents([(1, f"a {nested} b"), (2, "clean")], extra=False), inflate_bytes=1000).collect()
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out} == {1: ("a [SECRET] b", 12), 2: ("clean", 5)}
 
 
+def test_layers_inside_large_ones():
+    import bz2
+    import lzma
+    import zlib
+
+    inner = base64.b64encode(b"some text with password=hunter2hunter2 in it").decode()
+    body = ("x " * 40_000 + inner + " y" * 40_000).encode()
+    for pack in (gzip.compress, bz2.compress, zlib.compress, lzma.compress, lambda d: gzip.compress(bz2.compress(gzip.compress(d)))):
+        blob = base64.b64encode(pack(body)).decode()
+        found, unread = secrets.unwrap(f"a {blob} b", 10_000)
+        assert ("assign", 2, 2 + len(blob)) in [x[:3] for x in found] and not unread, pack
+    for at in range(9_000, 11_000, 37):  # wherever a window ends
+        blob = base64.b64encode(gzip.compress(b". " * (at // 2) + b"password=hunter2hunter2 " + b". " * 9000)).decode()
+        assert secrets.unwrap(blob, 10_000)[0], at
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "%" + "25" * 100_000 + "70assword=hunter2hunter2",
+        "\\u005c" * 1 + "u005c" * 30_000 + "u0070assword=hunter2hunter2",
+        "&" + "#38;" * 30_000 + "#112;assword=hunter2hunter2",
+        "%5C" + "u00255C" * 20_000 + "u0070assword=hunter2hunter2",
+    ],
+    ids=["percent", "unicode", "entity", "mixed"],
+)
+def test_deep_nests_take_linear_time(text):
+    import time
+
+    began = time.thread_time()
+    found, unread = secrets.unwrap(text)
+    assert ("assign", 0, len(text)) in [x[:3] for x in found] and not unread
+    assert time.thread_time() - began < 10
+
+
+def test_long_encoded_runs_take_linear_time():
+    import time
+
+    began = time.thread_time()
+    blob = base64.b64encode(np.random.default_rng(3).bytes(12 << 20)).decode()
+    secrets.unwrap(f"a {blob} b")
+    many = base64.b64encode(b"".join(gzip.compress(b"abc %d" % i) for i in range(20_000)) + gzip.compress(b"password=hunter2hunter2")).decode()
+    assert secrets.unwrap(many)[0]
+    deep = b"password=hunter2hunter2"
+    for _ in range(3000):
+        deep = gzip.compress(deep, 1)
+    assert secrets.unwrap(base64.b64encode(deep).decode())[0]
+    assert time.thread_time() - began < 30
+
+
 @pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 13])
 def test_short_items_tolerate_a_quarter_of_their_words(n):
     from itertools import combinations
