@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -39,20 +40,68 @@ def _same(keys: list[str], *more: Column) -> Column:
     return on
 
 
-def maximum_matching(choices: list[list[int]]) -> int:
-    """Size of the largest one-to-one assignment of the left side to its choices."""
-    taken: dict[int, int] = {}
-
-    def place(left: int, tried: set[int]) -> bool:
-        for right in choices[left]:
-            if right not in tried:
-                tried.add(right)
-                if right not in taken or place(taken[right], tried):
-                    taken[right] = left
-                    return True
-        return False
-
-    return sum(place(left, set()) for left in range(len(choices)))
+def near(gold: list[tuple[int, int]], predicted: list[tuple[int, int]]) -> list[list[int]]:
+    """For each gold span, the predicted ones that overlap it enough.  Their starts lie within a reach that follows from its length."""
+    order = sorted(range(len(predicted)), key=predicted.__getitem__)
+    starts = [predicted[i][0] for i in order]
+    out = []
+    for a, b in gold:
+        low, high = a - (1 / LEAST_IOU - 1) * (b - a), a + (1 - LEAST_IOU) * (b - a)
+        row = []
+        for i in order[bisect_left(starts, low) : bisect_right(starts, high)]:
+            x, y = predicted[i]
+            shared = min(b, y) - max(a, x)
+            if shared > 0 and shared >= LEAST_IOU * (max(b, y) - min(a, x)):
+                row.append(i)
+        out.append(row)
+    return out
+
+
+def matched(choices: list[list[int]]) -> int:
+    """How many of the left side can have a choice of their own at once.
+
+    Phases: distances from the free ones, breadth first, then as many shortest augmenting paths as there are, depth first along these distances;
+    both without recursion.  What a first pass in order assigns is where the phases begin.
+    """
+    mine, whose = [-1] * len(choices), {}
+    for left, row in enumerate(choices):
+        for right in row:
+            if right not in whose:
+                mine[left], whose[right] = right, left
+                break
+    while True:
+        free = [left for left, right in enumerate(mine) if right < 0 and choices[left]]
+        far, line, ends = [-1] * len(choices), list(free), False
+        for left in free:
+            far[left] = 0
+        for left in line:  # grows
+            for right in choices[left]:
+                then = whose.get(right, -1)
+                if then < 0:
+                    ends = True
+                elif far[then] < 0:
+                    far[then] = far[left] + 1
+                    line.append(then)
+        if not ends:
+            return len(whose)
+        left_to_try = {left: iter(choices[left]) for left in line}
+        for start in free:
+            path = [start]
+            while path:
+                here = path[-1]
+                for right in left_to_try[here]:
+                    then = whose.get(right, -1)
+                    if then < 0:
+                        for left in reversed(path):
+                            mine[left], right = right, mine[left]
+                            whose[mine[left]] = left
+                        path = []
+                        break
+                    if far[then] == far[here] + 1:
+                        path.append(then)
+                        break
+                else:
+                    far[path.pop()] = -1
 
 
 def match_counts(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,12 +118,8 @@ def match_counts(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> Data
         for b in batches:
             tp, fp, fn = [], [], []
             for gs, ps in zip(b.column("gold").to_pylist(), b.column("predicted").to_pylist(), strict=True):
-                gs, ps = gs or [], ps or []
-                choices = []
-                for g in gs:
-                    ious = [((min(g["e"], p["e"]) - max(g["s"], p["s"])) / (max(g["e"], p["e"]) - min(g["s"], p["s"])), -i) for i, p in enumerate(ps)]
-                    choices.append([-i for x, i in sorted(ious, reverse=True) if x >= LEAST_IOU])
-                n = maximum_matching(choices)
+                gs, ps = ([(x["s"], x["e"]) for x in side or ()] for side in (gs, ps))
+                n = matched(near(gs, ps))
                 tp.append(n)
                 fp.append(len(ps) - n)
                 fn.append(len(gs) - n)

@@ -10,14 +10,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import tables
 from ..sources.catalogs import ENTITY_TYPES, FALLBACK_TYPE
+from . import scans
 from .detection import detect
+from .resolution import overlapping
 
 #: Fixed value: what a placeholder looks like.
 TOKEN = r"\[[A-Z_]+_[0-9]+\]"
@@ -57,44 +57,57 @@ def first_values(found: DataFrame, session: list[str], position: list[str]) -> D
 
 def _ranked(values: DataFrame, session: list[str]) -> DataFrame:
     """values with __rank, their place in their session by first; sessions are cut into ranges, so a large one is no task's alone."""
-    part = tables.fresh(values, "__part")
-    ranged = tables.table(values.repartitionByRange(*[F.col(f"`{c}`").asc_nulls_first() for c in session], F.col("first").asc()).withColumn(part, F.spark_partition_id()))
-    keys = [F.col(f"`{c}`") for c in session]
-    local = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys, part).orderBy("first")))
-    sizes = ranged.groupBy(*keys, part).agg(F.count("*").alias("__size"))  # a row for each range of a session
-    before = sizes.withColumn("__before", F.sum("__size").over(Window.partitionBy(*keys).orderBy(part)) - F.col("__size"))
-    both = local.join(before.drop("__size"), tables.same(local, before, [*session, part]), "left")
-    return both.select(*[local[c] for c in values.columns], (local["__rank"] + F.coalesce(before["__before"], F.lit(0))).cast("int").alias("__rank"))
+    cut = scans.Ranges(values, session, ["first"])
+    return cut.running(cut.rows, "__rank", F.sum, F.lit(1)).drop(cut.part)
+
+
+#: Fixed value: a placeholder's parts.
+_PARTS = r"^\[([A-Z_]+)_([1-9][0-9]{0,8})\]$"
+
+
+def _steps(ranked: DataFrame, session: list[str], literals: DataFrame) -> DataFrame:
+    """(session, __rank): from which ranks on the numbers are one further, because a literal has the number and type that would have come there.
+
+    Literals are looked at by number.  With s steps so far, the value of rank m - s would get number m, and s is at most as many as there are literals with
+    smaller numbers; so only values within that reach of a literal, and of its type, matter.  Their join is one of points with
+    intervals; the rest is a fold over the literals of a session.  Literals may have since, a place before which values (with first.at) don't heed them.
+    """
+    token, timed = F.col("token"), "since" in literals.columns
+    wrote = literals.select(*session, F.regexp_extract(token, _PARTS, 1).alias("kind"), F.regexp_extract(token, _PARTS, 2).try_cast("long").alias("m"), F.col("since") if timed else F.lit(None).alias("since")).where("m is not null")
+    wrote = wrote.groupBy(*session, "kind", "m").agg(F.min("since").alias("since"))
+    below = Window.partitionBy(*session).orderBy("m")
+    reach = wrote.withColumn("reach", F.dense_rank().over(below) - 1).select(*session, F.col("kind").alias("__kind"), F.struct((F.col("m") - F.col("reach")).alias("start"), (F.col("m") + 1).alias("end"), "m", "since").alias("span"))
+    places = ranked.select(*session, F.col("entity_type").alias("__kind"), F.struct(F.col("__rank").cast("long").alias("start"), (F.col("__rank") + 1).cast("long").alias("end"), "first").alias("span"))
+    hits = overlapping(reach, places, [*session, "__kind"])
+    short = overlapping(places, reach, [*session, "__kind"], finer_only=True).select(*session, F.col("b").alias("a"), F.col("a").alias("b"))
+    hits = hits.select(*session, "a", "b").unionByName(short)
+    if timed:
+        hits = hits.where(F.col("b.first.at") >= F.col("a.since"))
+    by_number = hits.groupBy(*session, F.col("a.m").alias("m")).agg(F.collect_set(F.col("a.m") - F.col("b.start")).alias("at"))
+    lines = by_number.groupBy(*session).agg(F.sort_array(F.collect_list(F.struct("m", "at"))).alias("line"))
+    begin = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<long>").alias("ranks"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(F.array_contains(x["at"], acc["s"]), F.struct((acc["s"] + 1).alias("s"), F.array_append(acc["ranks"], x["m"] - acc["s"]).alias("ranks"))).otherwise(acc)
+
+    return lines.select(*session, F.explode(F.aggregate("line", begin, step)["ranks"]).alias("__rank")).withColumn("__rank", F.col("__rank").cast("int"))
 
 
 def number(values: DataFrame, session: list[str], literals: DataFrame | None = None) -> DataFrame:
-    """Adds n and placeholder.  Where callers wrote literals, a session's ranks and types go through a sequential numbering that steps over theirs.
+    """Adds n and placeholder.  Where callers wrote literals, numbering steps over the numbers of those of the same type.
 
-    session may be empty: then all values are one session's.
+    session may be empty: then all values are one session's.  Work beyond the ranking grows with the literals of a session (with their square, at most), not its values.
     """
     ranked = _ranked(values, session)
     if literals is None:
-        numbered = ranked.withColumn("n", F.col("__rank"))
+        numbered = ranked.withColumn("n", F.col("__rank").cast("int"))
     else:
-        reserved = literals.groupBy(*session).agg(F.collect_set("token").alias("__reserved")) if session else literals.agg(F.collect_set("token").alias("__reserved"))
         ranked = tables.table(ranked)
-        special = ranked.select(*session, "__rank", "entity_type").join(F.broadcast(reserved) if not session else reserved, tables.same(ranked, reserved, session), "inner").select(*[ranked[c] for c in session], "__rank", "entity_type", "__reserved")
-        schema = T.StructType([*[ranked.schema[c] for c in session], ranked.schema["__rank"], T.StructField("__n", T.IntegerType())])
-
-        def skip(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("__rank").reset_index(drop=True)
-            held, at, ns = set(pdf["__reserved"].iloc[0]), 0, []
-            for kind in pdf["entity_type"]:
-                at += 1
-                while f"[{kind}_{at}]" in held:
-                    at += 1
-                ns.append(at)
-            pdf["__n"] = ns
-            return pdf[schema.names]
-
-        moved = special.groupBy(*session).applyInPandas(skip, schema)
-        at = tables.same(ranked, moved, [*session, "__rank"])
-        numbered = ranked.join(moved, at, "left").select(*[ranked[c] for c in ranked.columns], F.coalesce(moved["__n"], ranked["__rank"]).alias("n"))
+        moves = _steps(ranked, session, literals).withColumn("__step", F.lit(1)).withColumn("__value", F.lit(0))
+        line = ranked.withColumn("__rank", F.col("__rank").cast("int")).withColumn("__step", F.lit(0)).withColumn("__value", F.lit(1)).unionByName(moves, allowMissingColumns=True)
+        cut = scans.Ranges(line, session, ["__rank", "__value"])
+        moved = cut.running(cut.rows, "__steps", F.sum, F.col("__step")).where("__value = 1")
+        numbered = moved.withColumn("n", (F.col("__rank") + F.col("__steps")).cast("int")).drop("__step", "__steps", "__value", cut.part)
     return numbered.drop("__rank").withColumn("placeholder", F.format_string("[%s_%d]", "entity_type", "n"))
 
 
@@ -109,26 +122,41 @@ def splice(text: Column, pieces: Column) -> Column:
     return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
 
 
+def mapping_columns(session: list[str]) -> dict[str, str]:
+    """What a mapping calls its own columns beside those of its sessions: names that a session column has get an underscore."""
+    out = {}
+    for name in ("value", "entity_type", "first", "n", "placeholder"):
+        out[name] = name
+        while out[name] in session:
+            out[name] += "_"
+    return out
+
+
 def pseudonymize(df: DataFrame, session: list[str], position: list[str], text: str = "text", literals: bool = True, **options) -> tuple[DataFrame, DataFrame]:
     """(df with masked text, mapping).  position orders the rows of a session; it need not tell them apart.
 
     Texts are searched once.  Rows have a number of their own, so null or equal sessions and positions mask like any others (a null is a
     session, rows at one position are in any order); an empty session means one mapping for all rows.
-    The mapping is the only table that holds values: session, value, entity_type, first, n, placeholder.
+    The mapping is the only table that holds values: session, value, entity_type, first, n, placeholder (see mapping_columns).
     Null texts stay null.
     """
     row, spans, wrote = tables.fresh(df, "__row"), tables.fresh(df, "__spans"), tables.fresh(df, "__tokens")
     own = F.col(f"`{text}`")
     searched = tables.table(detect(df, text, spans, **options).withColumns({row: F.monotonically_increasing_id(), wrote: tokens(own) if literals else F.lit(None).cast("array<string>")}))
-    reserved = searched.where(F.size(wrote) > 0).select(*session, F.explode(wrote).alias("token")).distinct()
-    value = F.substring("__text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    found = searched.where(F.size(spans) > 0).select(row, *dict.fromkeys([*session, *position]), own.alias("__text"), F.explode(spans).alias("s"))
-    found = found.select(row, *dict.fromkeys([*session, *position]), F.col("s.start").alias("__start"), F.col("s.end").alias("__end"), F.col("s.entity_type").alias("entity_type"), value.alias("value"))
-    mapping = tables.table(number(first_values(found, session, [*position, row, "__start"]), session, reserved if literals and not reserved.isEmpty() else None))
-    issued = mapping.select(*session, "value", "placeholder")
-    named = found.join(issued, tables.same(found, issued, session) & (found["value"] == issued["value"]))
+    # from here on columns have names of their own, whatever the table's are
+    keys, places = [f"__k{i}" for i in range(len(session))], [f"__p{i}" for i in range(len(position))]
+    named_keys = [F.col(f"`{c}`").alias(k) for c, k in zip(session, keys, strict=True)]
+    reserved = searched.where(F.size(wrote) > 0).select(*named_keys, F.explode(wrote).alias("token")).distinct()
+    value = F.substring("__text", F.col("__s.start") + 1, F.col("__s.end") - F.col("__s.start"))
+    found = searched.where(F.size(spans) > 0).select(F.col(row).alias("__row"), *named_keys, *[F.col(f"`{c}`").alias(p) for c, p in zip(position, places, strict=True)], own.alias("__text"), F.explode(spans).alias("__s"))
+    found = found.select("__row", *keys, *places, F.col("__s.start").alias("__start"), F.col("__s.end").alias("__end"), F.col("__s.entity_type").alias("entity_type"), value.alias("value"))
+    mapping = tables.table(number(first_values(found, keys, [*places, "__row", "__start"]), keys, reserved if literals and not reserved.isEmpty() else None))
+    issued = mapping.select(*keys, "value", "placeholder")
+    named = found.join(issued, tables.same(found, issued, keys) & (found["value"] == issued["value"]))
     piece = F.struct(F.col("__start").alias("start"), F.col("__end").alias("end"), "placeholder")
-    pieces = named.groupBy(row).agg(F.sort_array(F.collect_list(piece)).alias("__pieces"))
+    pieces = named.groupBy(F.col("__row").alias(row)).agg(F.sort_array(F.collect_list(piece)).alias("__pieces"))
+    names = mapping_columns(session)
+    mapping = mapping.select(*[F.col(k).alias(c) for k, c in zip(keys, session, strict=True)], *[F.col(c).alias(name) for c, name in names.items()])
     masked = searched.where(F.size(spans) > 0).join(pieces, row).withColumn(text, splice(own, F.col("__pieces")))
     untouched = searched.where(F.coalesce(F.size(spans), F.lit(0)) <= 0)
     return masked.select(*df.columns).unionByName(untouched.select(*df.columns)), mapping
@@ -136,7 +164,7 @@ def pseudonymize(df: DataFrame, session: list[str], position: list[str], text: s
 
 def capped(mapping: DataFrame, session: list[str], most: int = 1000) -> DataFrame:
     """The earliest values of each session, as many as it may keep; numbers of declined values stay used."""
-    rank = F.row_number().over(Window.partitionBy(*session).orderBy("n"))
+    rank = F.row_number().over(Window.partitionBy(*session).orderBy(mapping_columns(session)["n"]))
     return mapping.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")
 
 
@@ -147,17 +175,20 @@ def restore(df: DataFrame, mapping: DataFrame, session: list[str], row: list[str
     written: (session, token) literals of callers, which are never restored.  Rows have a number of their own, so row isn't needed;
     null sessions are sessions.
     """
-    table = mapping.select(*session, F.col("placeholder").alias("token"), F.col("value"))
+    names = mapping_columns(session)
+    columns = {c: f"__k{i}" for i, c in enumerate(session)}
+    table = mapping.select(*[F.col(f"`{c}`").alias(k) for c, k in columns.items()], F.col(names["placeholder"]).alias("token"), F.col(names["value"]).alias("value"))
+    written = written.select(*[F.col(f"`{c}`").alias(k) for c, k in columns.items()], "token") if written is not None else None
     if written is not None:
-        table = table.join(written, tables.same(table, written, [*session, "token"]), "left_anti")
-        table = table.unionByName(written.select(*session, "token", F.col("token").alias("value")))
+        table = table.join(written, tables.same(table, written, [*columns.values(), "token"]), "left_anti")
+        table = table.unionByName(written.withColumn("value", F.col("token")))
     id_ = tables.fresh(df, "__row")
     rows = tables.table(df.withColumn(id_, F.monotonically_increasing_id()))
     own = F.col(f"`{text}`")
-    there = rows.where(has_token(own)).select(id_, *session, F.posexplode(tokens(own)).alias("at", "token"))
-    found = there.join(table, tables.same(there, table, session) & (there["token"] == table["token"]), "left")
+    there = rows.where(has_token(own)).select(F.col(id_).alias("__id"), *[F.col(f"`{c}`").alias(k) for c, k in columns.items()], F.posexplode(tokens(own)).alias("at", "token"))
+    found = there.join(table, tables.same(there, table, list(columns.values())) & (there["token"] == table["token"]), "left")
     each = F.struct("at", F.coalesce(table["value"], there["token"]).alias("value"), table["value"].isNull().alias("unknown"))
-    values = found.groupBy(id_).agg(F.sort_array(F.collect_list(each)).alias("__values"))
+    values = found.groupBy(F.col("__id").alias(id_)).agg(F.sort_array(F.collect_list(each)).alias("__values"))
     hit = rows.where(has_token(own)).join(values, id_)
     parts = F.split(own, TOKEN, -1)
     restored = F.array_join(F.zip_with(parts, F.col("__values"), lambda p, v: F.concat(p, F.coalesce(v["value"], F.lit("")))), "")

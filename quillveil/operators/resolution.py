@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scans
 from .spans import ARROW_SPANS, SPANS_TYPE, Span, order
 
 
@@ -143,23 +144,75 @@ def settled(df: DataFrame, specificity: Mapping[str, int], spans: str = "spans",
     return df.select(*keep, F.col(spans).cast(SPANS_TYPE)).mapInArrow(run, schema)
 
 
-def islands(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """(keys, start, end, spans) of the connected components of overlap; spans that only touch stay apart."""
-    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.coalesce(F.col(start) >= F.max(end).over(before), F.lit(True)).cast("int")
-    numbered = spans.withColumn("__opens", opens).withColumn("__island", F.sum("__opens").over(so_far))
-    return numbered.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("spans")).drop("__island")
+#: Rows of one key that a single window may order; beyond, keys are cut into ranges.
+ONE_WINDOW = 1 << 20
+
+
+def islands(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end", one_window: int = ONE_WINDOW) -> DataFrame:
+    """(keys, start, end, spans) of the connected components of overlap; spans that only touch stay apart.
+
+    A span opens an island if it begins where all before it have ended, and an island is known by its first start.  Where a key has over one_window
+    rows, both running maxima are taken over ranges, so that no task orders a whole key.
+    """
+    own = spans.select(*keys, F.col(start).alias("__start"), F.col(end).alias("__end"))
+    opens = F.when(F.coalesce(F.col("__start") >= F.col("__before"), F.lit(True)), F.col("__start"))
+    most = own.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+    if most > one_window:
+        cut = scans.Ranges(own, keys, ["__start", "__end"])
+        line = cut.running(cut.rows, "__before", F.max, F.col("__end"), current=False).withColumn("__opens", opens)
+        line = cut.running(line, "__island", F.max, F.col("__opens"))
+    else:
+        order = Window.partitionBy(*keys).orderBy("__start", "__end")
+        line = own.withColumn("__before", F.max("__end").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__opens", opens)
+        line = line.withColumn("__island", F.max("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # an empty span may open an island where another one begins, at the same start
+    return line.groupBy(*keys, "__island").agg(F.min("__start").alias(start), F.max("__end").alias(end), F.count("*").alias("spans")).drop("__island")
+
+
+def _level(start: Column, end: Column) -> Column:
+    """The power of two that is the smallest bin of at least a span's length."""
+    return F.ceil(F.log2((end - start).cast("double"))).cast("int")
+
+
+def _bin(place: Column, level: Column) -> Column:
+    return F.floor(place / F.pow(F.lit(2.0), level)).cast("long")  # exact for places below 2**53
+
+
+def overlapping(coarse: DataFrame, fine: DataFrame, keys: list[str], finer_only: bool = False) -> DataFrame:
+    """(keys, a, b) for spans a of coarse and b of fine that share a character, b on a's level or a finer one (or on finer ones only).
+
+    Both: (keys, span), span a struct with start and end.  A level's bins are as wide as its longest spans, so a span lies in two bins of its
+    own level at most; spans look their partners up in the bins of all coarser levels that there are.  A pair belongs to the bin in which what it shares begins.
+    """
+    a, b = (df.where(F.col("span.start") < F.col("span.end")).withColumn("__own", _level(F.col("span.start"), F.col("span.end"))) for df in (coarse, fine))
+    levels = sorted(r[0] for r in a.select("__own").distinct().collect())  # 64 at most
+    at = F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x > F.col("__own") if finer_only else x >= F.col("__own"))
+
+    def bins(level: Column) -> Column:
+        return F.explode(F.sequence(_bin(F.col("span.start"), level), _bin(F.col("span.end") - 1, level)))
+
+    owners = a.select(*keys, "span", F.col("__own").alias("__level")).withColumn("__bin", bins(F.col("__level"))).withColumnRenamed("span", "a")
+    asking = b.select(*[F.col(f"`{k}`").alias(f"__q{i}") for i, k in enumerate(keys)], "span", F.explode(at).alias("__at")).withColumn("__in", bins(F.col("__at"))).withColumnRenamed("span", "b")
+    on = (F.col("__level") == F.col("__at")) & (F.col("__bin") == F.col("__in"))
+    for i, k in enumerate(keys):
+        on &= F.col(f"`{k}`").eqNullSafe(F.col(f"__q{i}"))
+    first = F.greatest("a.start", "b.start")
+    return owners.join(asking, on).where((first < F.least("a.end", "b.end")) & (_bin(first, F.col("__level")) == F.col("__bin"))).select(*keys, "a", "b")
 
 
 def pairs(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end", id_: str = "id") -> DataFrame:
     """(keys, a, b, relation) of the spans that share a character, a before b by id: overlap, same, or which one holds the other."""
-    a, b = spans.select(*keys, F.col(id_).alias("a"), F.col(start).alias("s"), F.col(end).alias("e")), spans.select(*keys, F.col(id_).alias("b"), F.col(start).alias("s2"), F.col(end).alias("e2"))
-    both = a.join(b, [*keys]).where((F.col("a") < F.col("b")) & (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")))
-    holds = (F.col("s") <= F.col("s2")) & (F.col("e2") <= F.col("e"))
-    inside = (F.col("s2") <= F.col("s")) & (F.col("e") <= F.col("e2"))
+    own = spans.select(*keys, F.struct(F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), F.col(id_).alias("id")).alias("span"))
+    both = overlapping(own, own, keys)
+    finer = _level(F.col("b.start"), F.col("b.end")) < _level(F.col("a.start"), F.col("a.end"))
+    both = both.where(finer | (F.col("a.id") < F.col("b.id")))  # on one level each pair is met from both sides
+    turned = F.col("a.id") < F.col("b.id")
+    x, y = (F.when(turned, F.col(p)).otherwise(F.col(q)) for p, q in (("a", "b"), ("b", "a")))
+    both = both.where(F.col("a.id") != F.col("b.id")).select(*keys, x.alias("a"), y.alias("b"))
+    holds = (F.col("a.start") <= F.col("b.start")) & (F.col("b.end") <= F.col("a.end"))
+    inside = (F.col("b.start") <= F.col("a.start")) & (F.col("a.end") <= F.col("b.end"))
     relation = F.when(holds & inside, "same").when(holds, "a holds b").when(inside, "b holds a").otherwise("overlap")
-    return both.select(*keys, "a", "b", relation.alias("relation"))
+    return both.select(*keys, F.col("a.id").alias("a"), F.col("b.id").alias("b"), relation.alias("relation"))
 
 
 def malformed(spans: DataFrame, keys: list[str], chars: str, start: str = "start", end: str = "end") -> DataFrame:

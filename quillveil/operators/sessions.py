@@ -1,23 +1,27 @@
 """Sessions: one mapping over many turns.
 
-A session's turns depend on each other (values known from earlier turns are hidden in later ones even where no
-rule finds them), so a session is worked on in order and sessions in parallel.
+A session's turns depend on each other: values known from earlier turns are hidden in later ones even where no
+rule finds them.  ``turn`` does one after another, for streams and chat bodies; ``mask_sessions`` solves a table of turns in parallel.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
-import pandas as pd
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import tables
 from ..sources.catalogs import ENTITY_TYPES, FALLBACK_TYPE
-from .detection import Finder
+from . import pseudonyms, scans
+from .detection import Finder, detect
 from .pseudonyms import TOKEN
 
 #: Values that a session keeps, idle seconds, sessions, matches of known values in a text.
@@ -80,17 +84,7 @@ class Mapping:
 
     def known(self, text: str) -> Iterator[tuple[int, int]]:
         """All whole-word occurrences of values, also overlapping ones, the longest values first."""
-        n = 0
-        for v in sorted(self.tokens, key=lambda v: (-len(v), v)):
-            a = text.find(v) if v else -1
-            while a >= 0:
-                n += 1
-                if n > MATCH_BUDGET:
-                    raise Refused("mapping_known_values_overlap")
-                b = a + len(v)
-                if not (a and _WORD.match(v[0]) and _WORD.match(text[a - 1])) and not (b < len(text) and _WORD.match(v[-1]) and _WORD.match(text[b])):
-                    yield a, b
-                a = text.find(v, a + 1)
+        return whole_words(text, occurrences(automaton(self.tokens), text))
 
     def trimmed(self) -> Mapping:
         """With the earliest values only, as many as a session may keep; the counter has passed the others."""
@@ -100,20 +94,46 @@ class Mapping:
         return self
 
 
+def automaton(values: Iterable[str]) -> ahocorasick.Automaton | None:
+    """What finds all of the values in one pass over a text; None if there are none."""
+    out = ahocorasick.Automaton()
+    for v in values:
+        if v:
+            out.add_word(v, v)
+    if not len(out):
+        return None
+    out.make_automaton()
+    return out
+
+
+def occurrences(of: ahocorasick.Automaton | None, text: str, counts: Callable[[str], bool] = lambda v: True) -> list[tuple[int, int]]:
+    """(start, end) of all occurrences of values that count, the longest values first, then by value and place."""
+    found = [(-len(v), v, end + 1 - len(v)) for end, v in of.iter(text) if counts(v)] if of else []
+    if len(found) > MATCH_BUDGET:
+        raise Refused("mapping_known_values_overlap")
+    return [(a, a - size) for size, _, a in sorted(found)]
+
+
+def whole_words(text: str, spans: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans that neither begin nor end within a word."""
+
+    def inside(left: int) -> bool:
+        return 0 < left < len(text) and bool(_WORD.match(text[left - 1]) and _WORD.match(text[left]))
+
+    return ((a, b) for a, b in spans if not inside(a) and not inside(b))
+
+
 def placed(text: str, spans: Iterable[tuple[int, int, str]], known: Iterable[tuple[int, int]]) -> list[tuple[int, int, str | None]]:
     """Spans to hide, in order: a known value displaces the found spans that it contains, and yields to others it overlaps."""
-    found = sorted(spans)
-    for (_, end, _), (start, _, _) in zip(found, found[1:], strict=False):
-        if start < end:
-            raise Refused("mapping_bad_span")
-    if any(not 0 <= a < b <= len(text) for a, b, _ in found):
+    out: list[tuple[int, int, str | None]] = sorted(spans)
+    if any(not 0 <= a < b <= len(text) for a, b, _ in out) or any(x[1] > y[0] for x, y in pairwise(out)):
         raise Refused("mapping_bad_span")
-    out = list(found)
+    ends, starts = [b for _, b, _ in out], [a for a, _, _ in out]  # disjoint spans in order, so both ascend
     for a, b in known:
-        over = [s for s in out if s[0] < b and a < s[1]]
-        if all(a <= s[0] and s[1] <= b for s in over):
-            out = [s for s in out if s not in over] + [(a, b, None)]
-    return sorted(out, key=lambda s: s[0])
+        i, j = bisect_right(ends, a), bisect_left(starts, b)  # those that share a character
+        if i == j or a <= starts[i] and ends[j - 1] <= b:
+            out[i:j], starts[i:j], ends[i:j] = [(a, b, None)], [a], [b]
+    return out
 
 
 def mask(mapping: Mapping, text: str, spans: Iterable[tuple[int, int, str]]) -> str:
@@ -139,22 +159,113 @@ def turn(mapping: Mapping, text: str | None, find: Finder) -> tuple[Mapping, str
     return work.trimmed(), masked, None
 
 
+#: Turns of one session that meet its values in one task.
+TURNS_AT_ONCE = 2048
+_PIECE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
+_ARROW_PIECES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+
+
+def _key(at: dict) -> tuple:
+    """A place in a session's order, nulls first."""
+    return tuple((v is not None, v if v is not None else 0) for v in at.values())
+
+
+def _met(turns: DataFrame, issued: DataFrame, keys: list[str], blocks: DataFrame) -> DataFrame:
+    """(__row, __pieces, __error) of every turn, given the values that its session keeps: what is to be hidden (kind: null for a value that is known), or why it is refused.
+
+    turns: keys, __row, __at, __text, __spans, __tokens; issued: keys, value, token, __since (the turn that issued it).  Turns of a session meet its
+    values, which are few, in several tasks; a value is known to the turns after the one that issued it.
+    """
+    none = {c: F.lit(None).cast(turns.schema[c].dataType) for c in ("__row", "__at", "__text", "__spans", "__tokens")}
+    many = tables.matching(turns, blocks, keys, "left").select(*turns.columns, F.pmod(F.xxhash64("__row"), F.coalesce("__blocks", F.lit(1))).cast("int").alias("__block"))
+    spread = tables.matching(issued, blocks, keys, "left").select(*issued.columns, F.explode(F.sequence(F.lit(0), (F.coalesce("__blocks", F.lit(1)) - 1).cast("int"))).alias("__block"))
+    both = many.withColumns({"value": F.lit(None).cast("string"), "token": F.lit(None).cast("string"), "__since": none["__at"]}).unionByName(spread.withColumns(none))
+    dealt = both.repartition(*[F.col(k) for k in keys], "__block").sortWithinPartitions(*keys, "__block", F.col("__row").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, since, tokens, finds = None, {}, {}, None
+        for b in batches:
+            rows, columns = [], [b.column(i).to_pylist() for i in range(b.num_columns)]
+            for *own, row, at, text, spans, wrote, value, token, when in zip(*columns, strict=True):
+                if own != group:
+                    group, since, tokens, finds = own, {}, {}, None
+                if row is None:
+                    since[value] = tokens[token] = _key(when)
+                    continue
+                if text is None:
+                    continue
+                finds, now = finds or automaton(since), _key(at)
+                try:
+                    if any(tokens.get(t, now) < now for t in wrote or ()):
+                        raise Refused("mapping_literal_already_issued")
+                    known = whole_words(text, occurrences(finds, text, lambda v, now=now: since[v] < now))
+                    pieces = placed(text, [(s["start"], s["end"], s["entity_type"]) for s in spans or ()], known)
+                    rows.append((row, [{"start": x, "end": y, "kind": kind} for x, y, kind in pieces], None))
+                except Refused as e:
+                    rows.append((row, [], str(e)))
+            c = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], _ARROW_PIECES), pa.array(c[2], pa.string())], names=["__row", "__pieces", "__error"])
+
+    schema = T.StructType([T.StructField("__row", T.LongType()), T.StructField("__pieces", _PIECE), T.StructField("__error", T.StringType())])
+    return dealt.select(*keys, "__block", "__row", "__at", "__text", "__spans", "__tokens", "value", "token", "__since").mapInArrow(run, schema)
+
+
+def _issued(turns: DataFrame, met: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(keys, value, first, placeholder, __kept) of everything that turns issue: kept values once, by the first of them; others anew in each turn."""
+    both = turns.join(met.where("__error is null"), "__row")
+    place = F.struct(F.col("__at").alias("at"), F.col("p.start").alias("start"))
+    found = both.select(*keys, "__at", "__text", F.explode("__pieces").alias("p")).where("p.kind is not null")
+    found = found.select(*keys, "__at", F.substring("__text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("value"), pseudonyms.known_type(F.col("p.kind")).alias("entity_type"), place.alias("first"))
+    found = tables.table(found)
+    firsts = found.groupBy(*keys, "value").agg(F.min_by("entity_type", "first").alias("entity_type"), F.min("first").alias("first"))
+    cut = scans.Ranges(firsts, keys, ["first"])
+    ranked = tables.table(cut.running(cut.rows, "__rank", F.sum, F.lit(1)).drop(cut.part).withColumn("__kept", F.col("__rank") <= most).drop("__rank"))
+    events, declined = ranked.where("__kept"), ranked.where("not __kept").select(*keys, "value")
+    if not declined.isEmpty():
+        again = tables.matching(found, declined, [*keys, "value"], "left_semi").groupBy(*keys, "value", "__at").agg(F.min_by("entity_type", "first").alias("entity_type"), F.min("first").alias("first"))
+        events = events.unionByName(again.drop("__at").withColumn("__kept", F.lit(False)))
+    wrote = both.where(F.size("__tokens") > 0).select(*keys, "__at", F.explode("__tokens").alias("token")).groupBy(*keys, "token").agg(F.min("__at").alias("since"))
+    numbered = pseudonyms.number(events, keys, None if wrote.isEmpty() else wrote)
+    return tables.table(numbered.select(*keys, "value", "first", "placeholder", "__kept"))
+
+
 def mask_sessions(df: DataFrame, session: list[str], order: list[str], text: str = "text", most: int = MOST_VALUES) -> DataFrame:
-    """session, order, masked text, status and error_class of every turn; a session's turns go through one task in order."""
-    schema = T.StructType([df.schema[c] for c in dict.fromkeys([*session, *order])] + [T.StructField(text, T.StringType()), T.StructField("status", T.StringType()), T.StructField("error_class", T.StringType())])
-    keys = schema.names[:-3]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        find, mapping, rows = Finder(), Mapping(most), []
-        pdf = pdf.sort_values(order, kind="stable")
-        for t in pdf[text]:
-            mapping, masked, error = turn(mapping, t, find)
-            rows.append((masked, "refused" if error else "completed", error))
-        out = pdf[keys].copy()
-        out[text], out["status"], out["error_class"] = (list(c) for c in zip(*rows, strict=True))
-        return out[schema.names]
-
-    return df.select(*keys, text).groupBy(*session).applyInPandas(run, schema)
+    """session, order, masked text, status and error_class of every turn (nulls first in the order).
+
+    What a turn hides depends on the values that the turns before it issued.  That is solved for all turns of all sessions at once: assumed that every found
+    span issues its value, all turns meet the values that were issued before them; what they then issue is assumed next, until nothing changes.
+    The first turns of a session are right after the first round, those that depend on them after the next, and so on; only known values that hold found
+    spans, and refused turns, need more than one.  So the turns of one session are worked on in parallel.  Equal places in the order are told apart by row.
+    """
+    keys = [f"__k{i}" for i in range(len(session))]
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    own = F.col(f"`{text}`")
+    found = tables.table(detect(rows, text, "__spans").withColumn("__tokens", pseudonyms.tokens(own)))
+    at = F.struct(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(order)], F.col("__row").alias("row"))
+    turns = found.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(session, keys, strict=True)], "__row", at.alias("__at"), own.alias("__text"), "__spans", "__tokens")
+    blocks = turns.groupBy(*keys).agg(F.ceil(F.count("*") / TURNS_AT_ONCE).cast("int").alias("__blocks")).where("__blocks > 1")
+    taken = F.transform("__spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["entity_type"].alias("kind")))
+    met = turns.where("__text is not null").select("__row", taken.alias("__pieces"), F.lit(None).cast("string").alias("__error"))
+    state = None
+    while True:
+        issued = _issued(turns, met, keys, most)
+        kept = issued.where("__kept").select(*keys, "value", F.col("placeholder").alias("token"), F.col("first.at").alias("__since"))
+        digest = issued.agg(F.count("*"), F.sum(F.xxhash64(*issued.columns).cast("decimal(38,0)"))).first()
+        if digest == state:
+            break
+        state = digest
+        met = tables.table(_met(turns, kept, keys, blocks))
+    pieces = turns.join(met.where("__error is null and size(__pieces) > 0"), "__row").select(*keys, "__row", F.col("__at").alias("at"), "__text", F.explode("__pieces").alias("p"))
+    pieces = pieces.select(*keys, "__row", "at", "p.start", "p.end", F.substring("__text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("value"))
+    own_issue = issued.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("value").alias("v"), F.when(~F.col("__kept"), F.col("first.at")).alias("only"), "placeholder", "__kept")
+    same = (F.col("value") == F.col("v")) & (F.col("__kept") | (F.col("only") == F.col("at")))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    named = pieces.join(own_issue, same).groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "placeholder"))).alias("__named"))
+    out = found.join(met.select("__row", "__error"), "__row", "left").join(named, "__row", "left")
+    masked = F.when(F.col("__error").isNull(), F.when(F.col("__named").isNull(), own).otherwise(pseudonyms.splice(own, F.col("__named"))))
+    names = list(dict.fromkeys([*session, *order]))
+    return out.select(*[F.col(f"`{c}`") for c in names], masked.alias(text), F.when(F.col("__error").isNull(), "completed").otherwise("refused").alias("status"), F.col("__error").alias("error_class"))
 
 
 #: What giving a session up costs, the cheapest first.  A held one is never given up.

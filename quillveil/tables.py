@@ -49,3 +49,12 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     for k in keys:
         on &= left[k].eqNullSafe(right[k])
     return on
+
+
+def matching(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right where all keys are equal, nulls included; the keys appear once, and both may come from one table."""
+    renamed = right.select(*[F.col(f"`{k}`").alias(f"__right{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`") for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on &= F.col(f"`{k}`").eqNullSafe(F.col(f"__right{i}"))
+    return left.join(renamed, on, how).drop(*[f"__right{i}" for i in range(len(keys))])
