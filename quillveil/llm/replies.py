@@ -32,7 +32,7 @@ from . import textkit as K
 #: Fixed values of the template: what opens and closes a turn of each role; other roles name themselves.
 TURNS = {"user": ("[INST] ", " [/INST]"), "system": ("<<SYS>> ", " <</SYS>>"), "assistant": ("<s> ", " </s>")}
 _CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]"
-_ESCAPABLE = re.compile(rf"(\\*)({_CONTROL})")
+_ESCAPABLE = re.compile(rf"(?<!\\)(\\*+)({_CONTROL})")  # each run of backslashes is looked at once
 _REAL = re.compile(rf"(?<!\\)(?:{_CONTROL})")
 
 

@@ -75,15 +75,23 @@ def train(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float, beta: flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 24, sample_rows: int = 20_000, sample_bytes: int = 1 << 27, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 3) -> Weights:
-    """Weights learned from labelled rows for which learn (over the label table's id) holds: at most sample_rows labels, and texts of sample_bytes."""
+    """Weights learned from labelled rows for which learn (over the label table's id) holds: at most sample_rows labels, and texts of sample_bytes.
+
+    Labels are taken in the order of their ids' hashes; a (very long) text that the room left cannot hold is left out, the ones after it are not.
+    """
     key = F.col(f"`{doc}`")
     chosen = labels.where(F.col(label).isin(0, 1) & key.isNotNull() & learn).groupBy(key.alias("k")).agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(sample_rows)
     texts = docs.select(key.alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen), "k")
     sizes = texts.groupBy("h", "k").agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0))).alias("bytes")).select("h", "bytes").toArrow().sort_by("h")  # sample_rows at most
-    over = np.flatnonzero(np.cumsum(sizes["bytes"].to_numpy()) > sample_bytes)
-    if len(over):
-        texts = texts.where(F.col("h") < int(sizes["h"][over[0]].as_py()))
+    room, left_out = sample_bytes, []
+    for h, size in zip(sizes["h"].to_pylist(), sizes["bytes"].to_pylist(), strict=True):  # a text that doesn't fit leaves room for later ones
+        if size > room:
+            left_out.append((h,))
+        else:
+            room -= size
+    if left_out:
+        texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame(left_out, "h long")), "h", "left_anti")
     texts = texts.select("k", "t", "y")
 
     def hashed(batches):
