@@ -170,8 +170,8 @@ def islands(spans: DataFrame, keys: list[str], start: str = "start", end: str =
 
 
 def _level(start: Column, end: Column) -> Column:
-    """The power of two that is the smallest bin of at least a span's length."""
-    return F.ceil(F.log2((end - start).cast("double"))).cast("int")
+    """The power of two that is the smallest bin of at least a span's length (an empty one counts as one place)."""
+    return F.ceil(F.log2(F.greatest(end - start, F.lit(1)).cast("double"))).cast("int")
 
 
 def _bin(place: Column, level: Column) -> Column:
@@ -179,17 +179,19 @@ def _bin(place: Column, level: Column) -> Column:
 
 
 def overlapping(coarse: DataFrame, fine: DataFrame, keys: list[str], finer_only: bool = False) -> DataFrame:
-    """(keys, a, b) for spans a of coarse and b of fine that share a character, b on a's level or a finer one (or on finer ones only).
+    """(keys, a, b) for spans a of coarse and b of fine that each begin before the other ends, b on a's level or a finer one (or on finer ones only).
+
+    An empty span lies within those that begin before it and end behind it.
 
     Both: (keys, span), span a struct with start and end.  A level's bins are as wide as its longest spans, so a span lies in two bins of its
     own level at most; spans look their partners up in the bins of all coarser levels that there are.  A pair belongs to the bin in which what it shares begins.
     """
-    a, b = (df.where(F.col("span.start") < F.col("span.end")).withColumn("__own", _level(F.col("span.start"), F.col("span.end"))) for df in (coarse, fine))
+    a, b = (df.withColumn("__own", _level(F.col("span.start"), F.col("span.end"))) for df in (coarse, fine))
     levels = sorted(r[0] for r in a.select("__own").distinct().collect())  # 64 at most
     at = F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x > F.col("__own") if finer_only else x >= F.col("__own"))
 
     def bins(level: Column) -> Column:
-        return F.explode(F.sequence(_bin(F.col("span.start"), level), _bin(F.col("span.end") - 1, level)))
+        return F.explode(F.sequence(_bin(F.col("span.start"), level), _bin(F.greatest(F.col("span.end") - 1, F.col("span.start")), level)))
 
     owners = a.select(*keys, "span", F.col("__own").alias("__level")).withColumn("__bin", bins(F.col("__level"))).withColumnRenamed("span", "a")
     asking = b.select(*[F.col(f"`{k}`").alias(f"__q{i}") for i, k in enumerate(keys)], "span", F.explode(at).alias("__at")).withColumn("__in", bins(F.col("__at"))).withColumnRenamed("span", "b")
@@ -197,11 +199,12 @@ def overlapping(coarse: DataFrame, fine: DataFrame, keys: list[str], finer_only:
     for i, k in enumerate(keys):
         on &= F.col(f"`{k}`").eqNullSafe(F.col(f"__q{i}"))
     first = F.greatest("a.start", "b.start")
-    return owners.join(asking, on).where((first < F.least("a.end", "b.end")) & (_bin(first, F.col("__level")) == F.col("__bin"))).select(*keys, "a", "b")
+    meet = (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
+    return owners.join(asking, on).where(meet & (_bin(first, F.col("__level")) == F.col("__bin"))).select(*keys, "a", "b")
 
 
 def pairs(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end", id_: str = "id") -> DataFrame:
-    """(keys, a, b, relation) of the spans that share a character, a before b by id: overlap, same, or which one holds the other."""
+    """(keys, a, b, relation) of the spans that each begin before the other ends, a before b by id: overlap, same, or which one holds the other."""
     own = spans.select(*keys, F.struct(F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), F.col(id_).alias("id")).alias("span"))
     both = overlapping(own, own, keys)
     finer = _level(F.col("b.start"), F.col("b.end")) < _level(F.col("a.start"), F.col("a.end"))

@@ -422,6 +422,57 @@ def span_pairs(spark, sf_dir):
     return resolution.pairs(_intervals(spark, sf_dir), ["l_orderkey"])
 
 
+def _one_axis(spark, sf_dir):
+    """All orders' lines as intervals of one text, a few of them long."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    start = (F.col("l_orderkey") * 2).cast("long")
+    end = start + 1 + F.col("l_partkey") % 5 + F.when(F.col("l_linenumber") == 7, 600).otherwise(0)
+    return lines.select(F.lit(0).alias("axis"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"), start.alias("start"), end.cast("long").alias("end"))
+
+
+def islands_of_one_key(spark, sf_dir):
+    """Extents of overlapping intervals of which all belong to one key, found by ranges: no task orders the key."""
+    return resolution.islands(_one_axis(spark, sf_dir), ["axis"], one_window=0).select("start", "end", "spans")
+
+
+def relations_on_one_key(spark, sf_dir):
+    """How many pairs of intervals of one key overlap, hold each other or are the same."""
+    return resolution.pairs(_one_axis(spark, sf_dir), ["axis"]).groupBy("relation").agg(F.count("*").alias("pairs"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def chained_matches(spark, sf_dir):
+    """Long chains of gold and predicted spans that overlap their neighbours enough to be matched with either."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    gold = orders.select("o_orderpriority", F.lit("PERSON").alias("entity_type"), (F.col("o_orderkey") * 2).cast("long").alias("start"), (F.col("o_orderkey") * 2 + 3).cast("long").alias("end"))
+    predicted = gold.where("start % 10 > 0").withColumns({"start": F.col("start") + 1, "end": F.col("end") + 1})
+    return evaluation.match_counts(gold, predicted, ["o_orderpriority"])
+
+
+def hot_session(spark, sf_dir):
+    """One session of all turns: each names an address, one that ends like it, and an address of the turn before."""
+    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit("one").alias("session"), (F.col("c_custkey") + 1).cast("long").alias("turn"))
+    own, other = F.col("turn").cast("string"), (F.col("turn") - 1).cast("string")
+    text = F.concat(F.lit("to x.u"), own, F.lit("@mail.example or u"), own, F.lit("@mail.example, ask x.u"), other, F.lit("@mail.example"))
+    return sessions.mask_sessions(k.withColumn("text", text), ["session"], ["turn"], most=1 << 30).select("turn", "text", "status")
+
+
+def hot_literals(spark, sf_dir):
+    """One mapping for all rows, of which every 25th holds a token that keeps a number out of use, and one that doesn't."""
+    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") + 1).cast("long").alias("k"))
+    wrote = F.concat(F.lit(" [EMAIL_"), (F.col("k") / 25 * 3).cast("long"), F.lit("] [PERSON_"), F.col("k"), F.lit("]"))
+    text = F.concat(F.lit("u"), "k", F.lit("@mail.example"), F.when(F.col("k") % 25 == 0, wrote).otherwise(""))
+    masked, _ = pseudonyms.pseudonymize(k.withColumn("text", text), [], ["k"])
+    return masked.select("k", "text")
+
+
+def odd_json(spark, sf_dir):
+    """Bodies with half of a character are refused; whole ones, and numbers of any length, are read."""
+    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
+    bodies = F.array(F.lit('{"a":"\\ud800"}'), F.concat(F.lit('{"n":'), F.repeat(F.lit("7"), F.lit(5000) + F.col("k").cast("int")), F.lit("}")), F.lit('{"a":"\\ud83d\\ude00","b":"\\\\ud800"}'), F.lit('{"\\udc00":1}'))
+    rows = jsontext.json_leaves(k.select("k", F.element_at(bodies, (F.col("k") % 4 + 1).cast("int")).alias("body")), "body", ["k"])
+    return rows.select("k", "error_class", F.array_join(F.transform("leaves", lambda x: x["value"]), "/").alias("leaves"))
+
+
 def malformed_spans(spark, sf_dir):
     return resolution.malformed(_intervals(spark, sf_dir), ["l_orderkey"], "chars")
 
@@ -527,6 +578,7 @@ _QUARTER = "substr(text, beg + 900 + 1, 300)"
 _NEXT = f"""case when beg + 1200 >= length(text) then length(text) {" ".join(f"when length(regexp_extract({_QUARTER}, '(?s)^.*{m}')) > 0 then beg + 900 + length(regexp_extract({_QUARTER}, '(?s)^.*{m}'))" for m in (chr(92) + "n" + chr(92) + "n", chr(92) + "n", " "))} else beg + 1200 end"""
 
 _INTERVALS = """(select l_orderkey, l_linenumber::bigint as id, (l_partkey % 100)::bigint as s, (l_partkey % 100 + l_suppkey % 20)::bigint as e, l_quantity from lineitem)"""
+_AXIS = "(select l_orderkey * 10 + l_linenumber as id, l_orderkey * 2 as s, l_orderkey * 2 + 1 + l_partkey % 5 + case when l_linenumber = 7 then 600 else 0 end as e from lineitem)"
 _SCORED = f"""(select *, case when tp + fp = 0 then 0.0::double else tp::double / (tp + fp) end as precision, case when tp + fn = 0 then 0.0::double else tp::double / (tp + fn) end as recall from (
         select entity_type, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from {_COUNTS} group by 1))"""
 _LEFT = f"""(select doc_id, entity_type, "start", "end", word, place from (
@@ -544,6 +596,7 @@ QUERIES = {
         cached_detection, found_by_layer, coverage_by_language, session_admission, asking_frontier,
         span_pairs, malformed_spans, deduplicated_spans, first_types, literal_numbering, unremembered_values, digest_keys, stamped_events, latency_percentiles, failing_types, micro_scores, leak_changes, tool_costs, admitted_requests,
         messages_slots, refused_bodies, masked_bodies, masked_schemas, settled_pairs,
+        islands_of_one_key, relations_on_one_key, chained_matches, hot_session, hot_literals, odd_json,
     )
 }
 
@@ -634,6 +687,16 @@ SQL = {
       select exists (select 1 from s b where b.f >= a.f and b.o <= a.o and (b.f > a.f or b.o < a.o)) as dominated, count(*) as shapes, sum(f)::bigint as found from s a group by 1""",
     "span_pairs": f"""select a.l_orderkey, a.id as a, b.id as b, case when a.s = b.s and a.e = b.e then 'same' when a.s <= b.s and b.e <= a.e then 'a holds b' when b.s <= a.s and a.e <= b.e then 'b holds a' else 'overlap' end as relation
       from {_INTERVALS} a join {_INTERVALS} b on a.l_orderkey = b.l_orderkey and a.id < b.id and a.s < b.e and b.s < a.e""",
+    "islands_of_one_key": f"""select min(s)::bigint as "start", max(e)::bigint as "end", count(*) as spans from (select *, sum(opens) over (order by s, e rows unbounded preceding) as island from (
+      select *, case when s >= max(e) over (order by s, e rows between unbounded preceding and 1 preceding) then 1 else 0 end as opens from {_AXIS})) group by island""",
+    "relations_on_one_key": f"""select case when a.s = b.s and a.e = b.e then 'same' when a.s <= b.s and b.e <= a.e then 'a holds b' when b.s <= a.s and a.e <= b.e then 'b holds a' else 'overlap' end as relation,
+      count(*) as pairs, sum(a.id)::bigint as a, sum(b.id)::bigint as b from {_AXIS} a join {_AXIS} b on a.s < b.e and b.s < a.e and a.id < b.id group by 1""",
+    "chained_matches": """select o_orderpriority, 'PERSON' as entity_type, count(*) filter (o_orderkey % 5 > 0) as tp, 0::bigint as fp, count(*) filter (o_orderkey % 5 = 0) as fn from orders group by 1""",
+    "hot_session": """select k as turn, case k when 1 then 'to [EMAIL_1] or [EMAIL_2], ask [EMAIL_3]' else 'to [EMAIL_' || 2 * k || '] or [EMAIL_' || (2 * k + 1) || '], ask [EMAIL_' || case k when 2 then 1 else 2 * k - 2 end || ']' end as text,
+      'completed' as status from (select c_custkey::bigint + 1 as k from customer)""",
+    "hot_literals": """select k, '[EMAIL_' || case when n <= 2 * l then n + (n - 1) // 2 else n + l end || ']' || case when k % 25 = 0 then ' [EMAIL_' || k // 25 * 3 || '] [PERSON_' || k || ']' else '' end as text
+      from (select c_custkey::bigint + 1 as k, row_number() over (order by c_custkey) as n, (select count(*) from customer where (c_custkey + 1) % 25 = 0) as l from customer)""",
+    "odd_json": r"""select k, case when k % 4 in (0, 3) then 'shape_request' end as error_class, case k % 4 when 1 then repeat('7', 5000 + k) when 2 then chr(128512) || '/\ud800' else '' end as leaves from (select c_custkey::bigint as k from customer)""",
     "malformed_spans": f"""select l_orderkey, s as "start", e as "end", why from (select *, case when s >= e then 'empty' when s < 0 or e > 100 then 'outside'
       when s < lag(e) over (partition by l_orderkey order by s, e) then 'overlapping' end as why from {_INTERVALS}) where why is not null""",
     "deduplicated_spans": f"""select l_orderkey, s % 5 as "start", s % 5 + 3 as "end", round(max(l_quantity::double / 50), 6) as confidence from {_INTERVALS} group by 1, 2""",
