@@ -9,9 +9,10 @@ the whole item, if it is shorter) around a hit differs in at most a quarter of i
 in items or windows of 5 to 9 words.
 
 The benchmark is the stated query set: it is sent to the executors in blocks of at most ``block_words``
-words (a proven size), and each block passes over all documents, so there is no shuffle and no limit
-on the number of items; a benchmark of n blocks reads the documents n times.  Memory is bounded by the block, a chunk of documents
-and the hits that are compared at once, however many items share a seed.
+words (a proven size), and each block passes over all documents, so there is no shuffle of documents and no limit
+on the number of items; a benchmark of n blocks reads the documents n times.  One block is there at a time: where there are more, what a block's pass finds is
+written to the shared folder and the block is destroyed before the next one is made.  Memory is bounded by the block (about 110 bytes a word),
+a chunk of documents and the hits that are compared at once, however many items share a seed.
 
 Null or empty texts match nothing.  Items with fewer than ``least_item_words`` words are too short to be
 evidence and match nothing.  A document row that repeats is judged by itself; equal benchmark rows each
@@ -21,15 +22,18 @@ gets an underscore; other extra columns are never read (pairs) or kept as they a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shared
 from . import textkit as K
 
 #: Word positions that each mask picks.  The last is for items shorter than the others' spans.
@@ -72,11 +76,15 @@ class Block:
             if k >= len(MASKS):
                 fits &= np.minimum(size[item], window) < SHORT
             order = np.argsort(h[fits], kind="stable")
-            h, at, item = h[fits][order], at[fits][order], item[fits][order]
+            h, at = h[fits][order], at[fits][order].astype(np.int32)
             bits = min(26, max(16, int(len(h) * 32).bit_length()))
             sieve = np.zeros(1 << bits, bool)
             sieve[(h >> K.U64(64 - bits)).astype(np.int64)] = True
-            self.seeds.append((h, at, item, sieve, bits))
+            self.seeds.append((h, at, np.packbits(sieve, bitorder="little"), bits))
+
+    def items(self, words: np.ndarray) -> np.ndarray:
+        """The item of each of the words given by their places."""
+        return np.searchsorted(self.first, words, side="right") - 1
 
 
 def matches(buf: np.ndarray, off: np.ndarray, block: Block) -> dict[str, np.ndarray]:
@@ -88,11 +96,12 @@ def matches(buf: np.ndarray, off: np.ndarray, block: Block) -> dict[str, np.ndar
     h = K.range_hashes(buf, w.start, w.end)
     best = np.zeros((6, 0), np.int64)
     for k, mask in enumerate(MASKS + SHORT_MASKS):
-        keys, at, item, sieve, bits = block.seeds[k]
+        keys, at, sieve, bits = block.seeds[k]
         if not len(keys):
             continue
         own = _seed(h, mask, k)
-        maybe = np.flatnonzero(sieve[(own >> K.U64(64 - bits)).astype(np.int64)])
+        bit = (own >> K.U64(64 - bits)).astype(np.int64)
+        maybe = np.flatnonzero(sieve[bit >> 3] >> (bit & 7) & 1)
         lo = np.searchsorted(keys, own[maybe])
         many = np.searchsorted(keys, own[maybe], side="right") - lo
         maybe, lo, many = maybe[many > 0], lo[many > 0], many[many > 0]
@@ -104,8 +113,9 @@ def matches(buf: np.ndarray, off: np.ndarray, block: Block) -> dict[str, np.ndar
             hit = np.repeat(lo[cut:to] - (total[cut:to] - total[cut]), each) + np.arange(total[to] - total[cut])
             place = np.repeat(maybe[cut:to], each)
             doc = np.searchsorted(w.first, place, side="right") - 1
-            begin = place - (at[hit] - block.first[item[hit]])  # the document's word where the item would begin
-            found = _along(h, w.first, block, np.unique(np.stack([doc, item[hit], begin]), axis=1))
+            item = block.items(at[hit])
+            begin = place - (at[hit] - block.first[item])  # the document's word where the item would begin
+            found = _along(h, w.first, block, np.unique(np.stack([doc, item, begin]), axis=1))
             best = _best(np.concatenate([best, found], axis=1))
             cut = to
     doc, item, window_matches, item_matches, start, _ = best
@@ -162,14 +172,28 @@ def _blocks(benchmark: DataFrame, item: str, text: str, window: int, least: int,
     yield Block(ids, texts, window, least)
 
 
+def _one_by_one(blocks: Iterator[Block], passed: Callable[[Block], tuple[DataFrame, Broadcast]]) -> DataFrame:
+    """The union of what each block's pass gives; of several blocks one is there at a time."""
+    block, out = next(blocks), None
+    while block is not None:
+        part, sent = passed(block)
+        block = next(blocks, None)
+        if out is None and block is None:
+            return part  # a single block
+        part = shared.table(part)
+        sent.destroy()
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, least_item_words: int = 5, block_words: int = 2_000_000) -> DataFrame:
     """One row for each contaminated pair: the two ids, the matching words of the best window and of the whole item, and the word of the document where that window begins."""
     schema = T.StructType([K.field(doc, docs.schema[doc].dataType), K.field(item if item != doc else f"{item}_", benchmark.schema[item].dataType)] + [K.field(n, T.LongType()) for n in ("item_words", "item_matches", "window_matches", "doc_word")])
-    out = None
-    for block in _blocks(benchmark, item, item_text, window, least_item_words, block_words):
+
+    def passed(block: Block) -> tuple[DataFrame, Broadcast]:
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches, sent=sent):
+        def run(batches):
             own = sent.value
             ids = pa.array(own.ids)
             for whole in batches:
@@ -179,28 +203,38 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id
                         sizes = np.diff(own.first)[x["item"]]
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x["doc"])), ids.take(pa.array(x["item"])), *(pa.array(v) for v in (sizes, x["item_matches"], x["window_matches"], x["start"]))], names=schema.names)
 
-        part = docs.select(F.col(f"`{doc}`").alias("d"), F.col(f"`{text}`").alias("t")).mapInArrow(K.frees(run), schema)
-        out = part if out is None else out.unionAll(part)
-    return out
+        return docs.select(F.col(f"`{doc}`").alias("d"), F.col(f"`{text}`").alias("t")).mapInArrow(K.frees(run), schema), sent
+
+    return _one_by_one(_blocks(benchmark, item, item_text, window, least_item_words, block_words), passed)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, least_item_words: int = 5, block_words: int = 2_000_000) -> DataFrame:
     """The rows of docs that hold no passage of the benchmark; same columns."""
-    mark = "__clean"
-    while mark in docs.columns:
-        mark += "_"
-    out = docs
-    for block in _blocks(benchmark, item, item_text, window, least_item_words, block_words):
+    mark, row = shared.fresh(docs, "__clean"), shared.fresh(docs, "__row")
+    blocks = _blocks(benchmark, item, item_text, window, least_item_words, block_words)
+
+    def marked(rows: DataFrame, block: Block, keep: list[str]) -> tuple[DataFrame, Broadcast]:
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        def kernel(buf, off, batch, sent=sent):
+        def kernel(buf, off, batch):
             clean = np.ones(len(off) - 1, bool)
             folded = pc.utf8_lower(batch.column(batch.schema.get_field_index(text)))
             clean[matches(*K.utf8(folded), sent.value)["doc"]] = False
             return {mark: clean}
 
-        out = K.map_text(out, text, [K.field(mark, T.BooleanType())], kernel, out.columns, with_batch=True).where(F.col(mark)).drop(mark)
-    return out
+        return K.map_text(rows, text, [K.field(mark, T.BooleanType())], kernel, keep, with_batch=True), sent
+
+    first = next(blocks)
+    if (second := next(blocks, None)) is None:
+        return marked(docs, first, docs.columns)[0].where(F.col(mark)).drop(mark)
+    rows = shared.table(docs.withColumn(row, F.monotonically_increasing_id()))
+
+    def passed(block: Block) -> tuple[DataFrame, Broadcast]:
+        found, sent = marked(rows.select(row, K._quoted(text)), block, [row])
+        return found.where(~F.col(mark)).select(row), sent
+
+    gone = _one_by_one(chain((first, second), blocks), passed)
+    return rows.join(gone.distinct(), row, "left_anti").select(*[K._quoted(c) for c in docs.columns])
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

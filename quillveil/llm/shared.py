@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..tables import folder, table, write
+from ..tables import folder, fresh, table, write
 
-__all__ = ["Scratch", "folder", "remove", "table", "write"]
+__all__ = ["Scratch", "folder", "fresh", "remove", "table", "write"]
 
 
 def remove(spark: SparkSession, path: str) -> None:

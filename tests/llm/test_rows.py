@@ -600,3 +600,15 @@ def test_hits_in_blocks(monkeypatch):
     monkeypatch.setattr(decontam, "_HITS", 50)
     parts = decontam.matches(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), block)
     assert len(whole["doc"]) == 30 and all(np.array_equal(whole[k], parts[k]) for k in whole)
+
+
+def test_benchmark_of_many_blocks(spark, documents):
+    """Blocks pass one after another and are gone when the result is read."""
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(6)]
+    docs = [(d, f"{'filler ' * d}{items[d % 6][1] if d % 3 else 'nothing of it'} end") for d in range(30)] + [(None, items[2][1]), (5, items[0][1]), (5, "clean")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = documents(docs, extra=False).withColumn("__row", F.lit(1)).withColumn("__clean", F.lit(2))
+    one, many = (decontam.decontaminate(table, bench, block_words=n) for n in (10**6, 90))
+    assert many.columns == table.columns and sorted(map(str, one.collect())) == sorted(map(str, many.collect())) and one.count() == 11
+    one, many = (decontam.contaminated_pairs(table, bench, block_words=n) for n in (10**6, 90))
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect())) and one.count() == 22
