@@ -12,6 +12,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -269,26 +270,78 @@ def lost(together: Column, apart: Column) -> Column:
     return F.array_except(together, apart)
 
 
-def bootstrap(measured: DataFrame, group: str, arm: str, count: str, resamples: int = 2000, seed: int = 1) -> DataFrame:
-    """(arm, wins, undecided): in how many resamples of the groups each arm alone has the most, and in how many none has.
+#: A prime, and the numbers that mix a group's key with a resample's number below it; fifth powers permute what is below it.
+_PRIME, _BY_GROUP, _BY_RESAMPLE, _AGAIN = (1 << 31) - 1, 48271, 69621, 16807
+#: How probable at most so many draws of a group are (Poisson with mean 1); more than eight are rarer than one in a million.
+_AT_MOST = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(8)]
 
-    measured: a count for each group and arm.  A resample weighs groups by draws of a Poisson distribution with mean 1, made from a hash of
-    the seed, its number and the group, so resamples are independent of order and partitions and need no shuffle of their own.
+
+def draws(groups: np.ndarray, resamples: np.ndarray, seed: int) -> np.ndarray:
+    """How often each group (keys below the prime) is drawn in each resample; it depends on nothing else."""
+
+    def fifth(h: np.ndarray) -> np.ndarray:
+        square = h * h % _PRIME
+        return square * square % _PRIME * h % _PRIME
+
+    h = fifth((groups.astype(np.int64) * _BY_GROUP + seed) % _PRIME)[:, None]
+    h = fifth((h + resamples.astype(np.int64)[None, :] * _BY_RESAMPLE) % _PRIME)
+    return np.searchsorted(_AT_MOST, (fifth((h * _AGAIN + 7) % _PRIME) + 0.5) / _PRIME)
+
+
+def resampled(measured: DataFrame, group: str, arm: str, counts: list[str], resamples: int = 2000, seed: int = 1, block: int = 256) -> DataFrame:
+    """(arm, resample, counts...): the counts of each arm summed over the groups, weighed by how often each resample draws them.
+
+    measured: a row for each group and arm.  Each task multiplies its rows' counts with the matrix of their draws, a block of rows at a time, and gives one row
+    of sums for each arm; these are added by arm.  So what is shuffled are as many rows as there are tasks and arms, whatever the resamples.
+    """
+    integral = isinstance(measured.schema[group].dataType, (T.LongType, T.IntegerType))
+    key = F.pmod(F.col(f"`{group}`").cast("long") if integral else F.xxhash64(F.col(f"`{group}`")), F.lit(_PRIME)).alias("g")
+    rows = measured.select(key, F.col(f"`{arm}`").alias("arm"), *[F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(0)).alias(f"c{i}") for i, c in enumerate(counts)])
+    numbers = np.arange(1, resamples + 1)
+    schema = T.StructType([T.StructField("arm", rows.schema["arm"].dataType), T.StructField("sums", T.BinaryType())])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        kind = None
+        for whole in batches:
+            kind = whole.schema.field(1).type
+            for at in range(0, whole.num_rows, block):
+                b = whole.slice(at, block)
+                drawn = draws(b.column(0).to_numpy(), numbers, seed)
+                values = np.stack([b.column(2 + i).to_numpy() for i in range(len(counts))])
+                names = b.column(1).to_pylist()
+                for name in set(names):
+                    own = np.array([x == name for x in names])
+                    sums[name] = sums.get(name, 0) + values[:, own] @ drawn[own]
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), kind), pa.array([x.astype(np.int64).tobytes() for x in sums.values()], pa.binary())], names=schema.names)
+
+    out = T.StructType([schema["arm"], T.StructField("resample", T.LongType()), *(T.StructField(f"c{i}", T.LongType()) for i in range(len(counts)))])
+
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64).reshape(len(counts), resamples) for x in parts.column("sums").to_pylist())
+        names = pa.array([parts.column("arm")[0].as_py()] * resamples, parts.schema.field("arm").type)
+        return pa.table([names, pa.array(numbers), *(pa.array(x) for x in total)], names=out.names)
+
+    merged = rows.mapInArrow(weigh, schema).groupBy("arm").applyInArrow(add, out)
+    return merged.select(F.col("arm").alias(arm), "resample", *[F.col(f"c{i}").alias(c) for i, c in enumerate(counts)])
+
+
+def bootstrap(measured: DataFrame, group: str, arm: str, count: str | list[tuple[str, bool]], resamples: int = 2000, seed: int = 1) -> DataFrame:
+    """(arm, wins, undecided): in how many resamples of the groups the selection picks each arm alone, and in how many it can't tell two or more apart.
+
+    count: what the selection goes by, the first first, each with whether more of it is better (a name alone: more is).  It is made again in each resample.
     """
-    draws = measured.withColumn("__r", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "__r", F.col(group).cast("string")), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight, p, total = F.lit(0), math.exp(-1), 0.0
-    for k in range(1, 9):  # up to eight draws; more are rarer than one in a million
-        total += p
-        weight = weight + (u > total).cast("int")
-        p /= k
-    sums = draws.groupBy("__r", arm).agg(F.sum(F.col(count) * weight).alias("__sum"))
-    best = sums.groupBy("__r").agg(F.max("__sum").alias("__best"))
-    winners = sums.join(best, "__r").where(F.col("__sum") == F.col("__best")).groupBy("__r").agg(F.min(arm).alias("__arm"), F.count("*").alias("__many"))
-    undecided = winners.agg(F.sum((F.col("__many") > 1).cast("long")).alias("undecided"))  # one row
-    wins = winners.where("__many = 1").groupBy(F.col("__arm").alias("__arm")).agg(F.count("*").alias("wins"))
-    arms = measured.select(arm).distinct()
-    return arms.join(wins, F.col(arm) == F.col("__arm"), "left").crossJoin(undecided).select(arm, F.coalesce("wins", F.lit(0)).alias("wins"), "undecided")
+    rule = [(count, True)] if isinstance(count, str) else count
+    sums = resampled(measured, group, arm, [c for c, _ in rule], resamples, seed)
+    merit = F.struct(*[(F.col(f"`{c}`") if more else -F.col(f"`{c}`")).alias(f"m{i}") for i, (c, more) in enumerate(rule)])
+    scored = sums.select("resample", F.col(f"`{arm}`").alias("a"), merit.alias("merit"))
+    best = scored.groupBy("resample").agg(F.max("merit").alias("best"))
+    winners = scored.join(best, "resample").where(F.col("merit") == F.col("best")).groupBy("resample").agg(F.first("a").alias("a"), F.count("*").alias("many"))
+    undecided = winners.agg(F.coalesce(F.sum((F.col("many") > 1).cast("long")), F.lit(0)).alias("undecided"))  # one row
+    wins = winners.where("many = 1").groupBy("a").agg(F.count("*").alias("wins"))
+    arms = measured.select(F.col(f"`{arm}`").alias("arm")).distinct()
+    return arms.join(wins, F.col("arm").eqNullSafe(F.col("a")), "left").crossJoin(undecided).select(F.col("arm").alias(arm), F.coalesce("wins", F.lit(0)).alias("wins"), "undecided")
 
 
 def frontier(shapes: DataFrame, found: str = "found", over_masked: str = "over_masked") -> DataFrame:

@@ -473,6 +473,13 @@ def odd_json(spark, sf_dir):
     return rows.select("k", "error_class", F.array_join(F.transform("leaves", lambda x: x["value"]), "/").alias("leaves"))
 
 
+def bootstrap_selection(spark, sf_dir):
+    """How often each way of shipping is picked (most quantity, then the lower line numbers) when customers' orders are drawn anew."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    measured = lines.groupBy((F.col("l_suppkey") * 100 + F.col("l_partkey") % 100).cast("long").alias("grp"), F.col("l_returnflag").alias("arm")).agg(F.sum((F.col("l_quantity") / 25).cast("long")).alias("found"), F.sum("l_linenumber").alias("over_masked"))
+    return evaluation.bootstrap(measured, "grp", "arm", [("found", True), ("over_masked", False)], 50)
+
+
 def malformed_spans(spark, sf_dir):
     return resolution.malformed(_intervals(spark, sf_dir), ["l_orderkey"], "chars")
 
@@ -579,6 +586,7 @@ _NEXT = f"""case when beg + 1200 >= length(text) then length(text) {" ".join(f"w
 
 _INTERVALS = """(select l_orderkey, l_linenumber::bigint as id, (l_partkey % 100)::bigint as s, (l_partkey % 100 + l_suppkey % 20)::bigint as e, l_quantity from lineitem)"""
 _AXIS = "(select l_orderkey * 10 + l_linenumber as id, l_orderkey * 2 as s, l_orderkey * 2 + 1 + l_partkey % 5 + case when l_linenumber = 7 then 600 else 0 end as e from lineitem)"
+_FIFTH = f"(h * h % {evaluation._PRIME}) * (h * h % {evaluation._PRIME}) % {evaluation._PRIME} * h % {evaluation._PRIME}"
 _SCORED = f"""(select *, case when tp + fp = 0 then 0.0::double else tp::double / (tp + fp) end as precision, case when tp + fn = 0 then 0.0::double else tp::double / (tp + fn) end as recall from (
         select entity_type, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from {_COUNTS} group by 1))"""
 _LEFT = f"""(select doc_id, entity_type, "start", "end", word, place from (
@@ -596,7 +604,7 @@ QUERIES = {
         cached_detection, found_by_layer, coverage_by_language, session_admission, asking_frontier,
         span_pairs, malformed_spans, deduplicated_spans, first_types, literal_numbering, unremembered_values, digest_keys, stamped_events, latency_percentiles, failing_types, micro_scores, leak_changes, tool_costs, admitted_requests,
         messages_slots, refused_bodies, masked_bodies, masked_schemas, settled_pairs,
-        islands_of_one_key, relations_on_one_key, chained_matches, hot_session, hot_literals, odd_json,
+        islands_of_one_key, relations_on_one_key, chained_matches, hot_session, hot_literals, odd_json, bootstrap_selection,
     )
 }
 
@@ -696,6 +704,13 @@ SQL = {
       'completed' as status from (select c_custkey::bigint + 1 as k from customer)""",
     "hot_literals": """select k, '[EMAIL_' || case when n <= 2 * l then n + (n - 1) // 2 else n + l end || ']' || case when k % 25 = 0 then ' [EMAIL_' || k // 25 * 3 || '] [PERSON_' || k || ']' else '' end as text
       from (select c_custkey::bigint + 1 as k, row_number() over (order by c_custkey) as n, (select count(*) from customer where (c_custkey + 1) % 25 = 0) as l from customer)""",
+    "bootstrap_selection": f"""with m as (select (l_suppkey * 100 + l_partkey % 100)::bigint as g, l_returnflag as arm, sum(floor(l_quantity / 25)::bigint)::bigint as f, sum(l_linenumber)::bigint as o from lineitem group by 1, 2),
+      a as (select *, (g * {evaluation._BY_GROUP} + 1) % {evaluation._PRIME} as h from m), b as (select g, arm, f, o, {_FIFTH} as h from a),
+      c as (select g, arm, f, o, r, (h + r * {evaluation._BY_RESAMPLE}) % {evaluation._PRIME} as h from b, range(1, 51) t(r)), d as (select g, arm, f, o, r, ({_FIFTH} * {evaluation._AGAIN} + 7) % {evaluation._PRIME} as h from c),
+      e as (select arm, f, o, r, ({_FIFTH} + 0.5::double) / {evaluation._PRIME}::double as u from d), w as (select arm, f, o, r, {" + ".join(f"(u > {x!r}::double)::int" for x in evaluation._AT_MOST)} as w from e),
+      s as (select arm, r, sum(f * w) as f, sum(o * w) as o from w group by 1, 2), k as (select *, rank() over (partition by r order by f desc, o) as n from s),
+      t as (select r, count(*) as many, min(arm) as arm from k where n = 1 group by r)
+      select arm, (select count(*) from t where many = 1 and t.arm = x.arm) as wins, (select count(*) from t where many > 1) as undecided from (select distinct arm from m) x""",
     "odd_json": r"""select k, case when k % 4 in (0, 3) then 'shape_request' end as error_class, case k % 4 when 1 then repeat('7', 5000 + k) when 2 then chr(128512) || '/\ud800' else '' end as leaves from (select c_custkey::bigint as k from customer)""",
     "malformed_spans": f"""select l_orderkey, s as "start", e as "end", why from (select *, case when s >= e then 'empty' when s < 0 or e > 100 then 'outside'
       when s < lag(e) over (partition by l_orderkey order by s, e) then 'overlapping' end as why from {_INTERVALS}) where why is not null""",
