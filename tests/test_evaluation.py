@@ -78,6 +78,7 @@ def test_trimming_and_contested():
     kind = ner.Type("PERSON", "person", 0.5, 2, 30, frozenset({"patient", "dr"}), frozenset({"le"}), outranks_tier_3_below=0.3)
     text = "le patient Dr. Martin"
     assert ner.trimmed(text, 0, len(text), kind) == 15
+    assert ner.trimmed("Alexander Karz", 6, 14, kind) == 6 and ner.trimmed("der patient", 0, 11, kind, begins=False) == 0
     assert ner.trimmed("Le Thi Mai", 0, 10, kind) == 0 and ner.trimmed("patient", 0, 7, kind) == 0 and ner.trimmed("patient !", 0, 9, kind) == 0
     weak, strong = Span("HEALTH", 0, 9, 0.25, "ner", 3), Span("PERSON", 4, 12, 0.9, "ner", 2)
     assert ner.contested([weak, strong], [kind]) == [strong._replace(start=0, end=9), strong]

@@ -62,6 +62,18 @@ def test_turns_share_a_mapping(spark, tmp_path):
     assert [(r["session"], r["turn"], r["text"]) for r in rows] == [("s", 0, "[EMAIL_1] and [EMAIL_2]"), ("s", 1, "again [EMAIL_1]"), ("u", 0, "[EMAIL_1]")]
 
 
+def test_lost_turns_are_given_up(spark, tmp_path):
+    ahead = [("s", n, f"a{n}@x.com") for n in range(5, 5 + fragments.MOST_WAITING + 1)] + [("s", 0, "a5@x.com")]
+    rows = run(spark, [ahead, [("s", 2, "late")]], "session string, turn long, text string", tmp_path, sessions.mask_stream, ["session", "turn"], want=3 + fragments.MOST_WAITING)
+    assert [tuple(r) for r in rows[:4]] == [("s", 0, "[EMAIL_1]", "completed", None), ("s", 1, None, "refused", "turn_missing"), ("s", 5, "[EMAIL_1]", "completed", None), ("s", 6, "[EMAIL_2]", "completed", None)]
+    assert len(rows) == 3 + fragments.MOST_WAITING
+
+
+def test_waiting_turns_of_an_idle_session_come_out(spark, tmp_path):
+    rows = run(spark, [[("s", 1, "a@x.com"), ("s", 4, "b@x.com and a@x.com")]], "session string, turn long, text string", tmp_path, lambda t: sessions.mask_stream(t, idle_seconds=1), ["session", "turn"], want=4)
+    assert [(r["turn"], r["text"], r["error_class"]) for r in rows] == [(0, None, "turn_missing"), (1, "[EMAIL_1]", None), (2, None, "turn_missing"), (4, "[EMAIL_2] and [EMAIL_1]", None)]
+
+
 @pytest.mark.parametrize(
     ("client_format", "text", "place", "good", "bad"),
     [
