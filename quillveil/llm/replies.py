@@ -10,7 +10,7 @@ The template marks turns with control strings.  Where a text holds one, with n b
 of them, and reading back halves them; a control string of the template itself never follows a backslash.
 
 Null text or role: empty.  A missing parent makes a root.  Messages under a cycle of parents have no root and
-belong to no path.  Ties of score and length go to the smaller leaf.  Extra columns are ignored.  Very long texts are formatted
+belong to no path.  Repeated rows of a linear conversation are turns of their own.  Ties of score and length go to the smaller leaf.  Extra columns are ignored.  Very long texts are formatted
 whole; a conversation is one row, so it has to fit in a task.  An empty table gives an empty result.  Texts are written once (to
 number the messages) and shuffled only to their path; the tables of the joins are narrow and are removed.
 """

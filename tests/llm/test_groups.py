@@ -391,3 +391,17 @@ def test_pipeline_of_odd_rows(spark, documents, sf):
         empty = stage(spark, empty, sf)
         assert empty.columns == kept.columns and empty.count() == 0
     assert pipeline.STAGES[-1][1](spark, empty, sf).count() == 0
+
+
+def test_long_runs_of_backslashes(spark):
+    import time
+
+    slashes = "\\" * 1_000_000
+    turns = [("user", slashes), ("assistant", f"{slashes}[INST] x {slashes}"), ("user", "\\\\</s>\\"), ("user", f"{slashes}</s>")]
+    began = time.thread_time()
+    text, mask = replies.render(turns)
+    assert replies.parse(text) == turns and [replies.unescape(text[a:b]) for a, b in mask] == [turns[1][1]]
+    assert time.thread_time() - began < 10
+    rows = [(1, 0, "user", slashes), (1, 1, "assistant", f"{slashes}</s>"), (1, 1, "assistant", f"{slashes}</s>")]
+    got = replies.digests(replies.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert (got["n_turns"], got["loss_chars"]) == (3, 2 * (len(slashes) + 4))  # repeated rows are turns of their own

@@ -612,3 +612,14 @@ def test_benchmark_of_many_blocks(spark, documents):
     assert many.columns == table.columns and sorted(map(str, one.collect())) == sorted(map(str, many.collect())) and one.count() == 11
     one, many = (decontam.contaminated_pairs(table, bench, block_words=n) for n in (10**6, 90))
     assert sorted(map(str, one.collect())) == sorted(map(str, many.collect())) and one.count() == 22
+
+
+def test_a_text_that_does_not_fit_the_sample_is_left_out_alone(spark, documents):
+    """Wherever it comes in the order of the sample, and however long."""
+    rows = [(i, "foul vile words here " * 3 if i % 2 else "kind and calm words here " * 3) for i in range(80)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(81)], "doc_id long, toxic int")
+    for big in (80, 7):
+        texts = [(i, t) for i, t in rows if i != big] + [(big, "foul kind " * 400_000)]
+        w = toxicity.fit(documents(texts), marks, F.lit(True), sample_bytes=1 << 20, l1=0.5)
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(documents(texts), w).collect()}
+        assert len(w.slot) and all((got[i] > 0.5) == bool(i % 2) for i in range(79) if i != big)
