@@ -183,13 +183,13 @@ def restore(df: DataFrame, mapping: DataFrame, session: list[str], row: list[str
         table = table.join(written, tables.same(table, written, [*columns.values(), "token"]), "left_anti")
         table = table.unionByName(written.withColumn("value", F.col("token")))
     id_ = tables.fresh(df, "__row")
-    rows = tables.table(df.withColumn(id_, F.monotonically_increasing_id()))
     own = F.col(f"`{text}`")
-    there = rows.where(has_token(own)).select(F.col(id_).alias("__id"), *[F.col(f"`{c}`").alias(k) for c, k in columns.items()], F.posexplode(tokens(own)).alias("at", "token"))
+    rows = tables.table(df.where(has_token(own)).withColumn(id_, F.monotonically_increasing_id()))  # the others stay as they are
+    there = rows.select(F.col(id_).alias("__id"), *[F.col(f"`{c}`").alias(k) for c, k in columns.items()], F.posexplode(tokens(own)).alias("at", "token"))
     found = there.join(table, tables.same(there, table, list(columns.values())) & (there["token"] == table["token"]), "left")
     each = F.struct("at", F.coalesce(table["value"], there["token"]).alias("value"), table["value"].isNull().alias("unknown"))
     values = found.groupBy(F.col("__id").alias(id_)).agg(F.sort_array(F.collect_list(each)).alias("__values"))
-    hit = rows.where(has_token(own)).join(values, id_)
+    hit = rows.join(values, id_)
     parts = F.split(own, TOKEN, -1)
     restored = F.array_join(F.zip_with(parts, F.col("__values"), lambda p, v: F.concat(p, F.coalesce(v["value"], F.lit("")))), "")
     refused = F.exists("__values", lambda v: v["unknown"]) if strict else F.lit(False)
@@ -198,5 +198,5 @@ def restore(df: DataFrame, mapping: DataFrame, session: list[str], row: list[str
         F.when(refused, "refused").otherwise("completed").alias("status"),
         F.when(refused, "mapping_unknown_placeholder").alias("error_class"),
     )
-    plain = rows.where(~has_token(own)).select(*df.columns, F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error_class"))
+    plain = df.where(~has_token(own)).select(*df.columns, F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error_class"))
     return done.unionByName(plain)
