@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..operators import audit, cache, chat, detection, evaluation, jsontext, ner, pseudonyms, resolution, restoration, sessions
+from ..sources import catalogs
 from ..streaming import runs
 from . import rendered
 
@@ -480,6 +481,14 @@ def bootstrap_selection(spark, sf_dir):
     return evaluation.bootstrap(measured, "grp", "arm", [("found", True), ("over_masked", False)], 50)
 
 
+def vocabulary_gaps(spark, sf_dir):
+    """Types found in documents and pages, against those of which documents' findings are declared to be."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    declared = spark.createDataFrame([(t,) for t in ("EMAIL", "IBAN", "CH_AVS", None)], "entity_type string")
+    used = detection.findings(pages, ["doc_id"]).select("entity_type").unionByName(_found(spark, sf_dir).select("entity_type"))
+    return catalogs.vocabulary_gaps(used, declared)
+
+
 def malformed_spans(spark, sf_dir):
     return resolution.malformed(_intervals(spark, sf_dir), ["l_orderkey"], "chars")
 
@@ -604,7 +613,7 @@ QUERIES = {
         cached_detection, found_by_layer, coverage_by_language, session_admission, asking_frontier,
         span_pairs, malformed_spans, deduplicated_spans, first_types, literal_numbering, unremembered_values, digest_keys, stamped_events, latency_percentiles, failing_types, micro_scores, leak_changes, tool_costs, admitted_requests,
         messages_slots, refused_bodies, masked_bodies, masked_schemas, settled_pairs,
-        islands_of_one_key, relations_on_one_key, chained_matches, hot_session, hot_literals, odd_json, bootstrap_selection,
+        islands_of_one_key, relations_on_one_key, chained_matches, hot_session, hot_literals, odd_json, bootstrap_selection, vocabulary_gaps,
     )
 }
 
@@ -711,6 +720,9 @@ SQL = {
       s as (select arm, r, sum(f * w) as f, sum(o * w) as o from w group by 1, 2), k as (select *, rank() over (partition by r order by f desc, o) as n from s),
       t as (select r, count(*) as many, min(arm) as arm from k where n = 1 group by r)
       select arm, (select count(*) from t where many = 1 and t.arm = x.arm) as wins, (select count(*) from t where many > 1) as undecided from (select distinct arm from m) x""",
+    "vocabulary_gaps": f"""with used as (select distinct entity_type from {_DOCS} union select distinct entity_type from {_spans("pages", "page_id", "html")}), declared as (select unnest(['EMAIL', 'IBAN', 'CH_AVS']) as entity_type)
+      select entity_type, 'undeclared' as side from used where entity_type not in (select entity_type from declared)
+      union all select entity_type, 'unused' from declared where entity_type not in (select entity_type from used)""",
     "odd_json": r"""select k, case when k % 4 in (0, 3) then 'shape_request' end as error_class, case k % 4 when 1 then repeat('7', 5000 + k) when 2 then chr(128512) || '/\ud800' else '' end as leaves from (select c_custkey::bigint as k from customer)""",
     "malformed_spans": f"""select l_orderkey, s as "start", e as "end", why from (select *, case when s >= e then 'empty' when s < 0 or e > 100 then 'outside'
       when s < lag(e) over (partition by l_orderkey order by s, e) then 'overlapping' end as why from {_INTERVALS}) where why is not null""",

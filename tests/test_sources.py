@@ -138,3 +138,9 @@ def test_queries_equal_sql(spark, name):
     got = sorted(str(tuple(r[c] for c in columns)) for r in rows.collect())
     where = {c: i for i, c in enumerate(want.columns)}
     assert got == sorted(str(tuple(r[where[c]] for c in columns)) for r in want.fetchall())
+
+
+def test_vocabulary_gaps(spark):
+    used, declared = (spark.createDataFrame([(t,) for t in x], "entity_type string") for x in (["A", "B", "B", None], ["B", "C", None, None]))
+    assert sorted(tuple(r) for r in catalogs.vocabulary_gaps(used, declared).collect()) == [("A", "undeclared"), ("C", "unused")]
+    assert catalogs.vocabulary_gaps(used, used).count() == 0 == catalogs.vocabulary_gaps(used.limit(0), used.limit(0)).count()
