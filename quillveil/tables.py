@@ -24,9 +24,14 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def place(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{folder(spark)}/quillveil-{uuid.uuid4().hex}"
+
+
 def write(df: DataFrame) -> str:
     """df as a new Parquet table in the shared folder; its path."""
-    path = f"{folder(df.sparkSession)}/quillveil-{uuid.uuid4().hex}"
+    path = place(df.sparkSession)
     df.write.parquet(path)
     return path
 
