@@ -2,6 +2,7 @@
 
 import argparse
 import json
+import os
 import sys
 
 
@@ -16,24 +17,23 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
 
     from .operators import ner
-    from .sources import files
+    from .sources import directory, files
 
     try:  # no weights are part of the engine
         layer = ner.availability({None: "auto", True: "required", False: "off"}[args.ner], False, False)
     except RuntimeError as e:
         print(e, file=sys.stderr)
         return 2
-    listed, bad = files.local_files(args.path)
-    if not listed and args.path in bad:
-        print(f"cannot read {files.display_path(args.path)}", file=sys.stderr)
+    if not os.access(args.path, os.R_OK):
+        print(f"cannot read {directory.display_path(args.path)}", file=sys.stderr)
         return 2
 
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("quillveil").getOrCreate()
-    found, totals, _ = files.scan(spark, args.path, args.show_values, len(bad), listed)
+    found, totals, _ = files.scan(spark, args.path, args.show_values, local=True)
     if args.json:
-        good, _ = files.texts(spark, args.path, listed)
+        good = files.local_texts(spark, args.path)[0]
         parts = files.report(found, totals, good, args.show_values, layer)
         print('{"files":[', end="")
         for n, row in enumerate(parts.where("path is not null").orderBy("path").toLocalIterator()):
@@ -41,8 +41,8 @@ def main(argv: list[str] | None = None) -> int:
         print(']', json.dumps(json.loads(parts.where("path is null").first()["report"]))[1:], sep=",")
     else:
         print(files.render(found, totals, layer))
-        for path in bad:
-            print(f"unreadable: {files.display_path(path)}")
+        for row in files.local_texts(spark, args.path)[2].orderBy("path").toLocalIterator():
+            print(f"unreadable: {row['path']}")
     return 0
 
 

@@ -3,61 +3,28 @@
 from __future__ import annotations
 
 import json
-import os
-import stat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detection
+from . import directory
 
 CORPUS = "id string, lang string, text string, entities array<struct<entity_type:string,start:int,end:int>>"
 DOCUMENTS = "id string, leaves array<struct<key:string,text:string,entities:array<struct<entity_type:string,start:int,end:int>>>>"
 
 
-def texts(spark: SparkSession, path: str, listed: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """((path, text) of the UTF-8 files below a directory, (path) of those that are not UTF-8).  Line ends stay as they are.
-
-    listed: the files to read, such as those that local_files gives, which are regular files only; else every file below the directory.
-    """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if listed is not None:
-        names = {chr(c): f"\\{chr(c)}" for c in b"*?[]{}\\"}  # a path is a pattern to the reader
-        listed = ["".join(names.get(c, c) for c in p) for p in listed]
-    files = read.load(path if listed is None else listed).select("path", "content") if listed is None or listed else spark.createDataFrame([], "path string, content binary")
+def texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((path, text) of the UTF-8 files below a directory of any file system of Spark's, (path) of those that are not UTF-8).  Line ends stay as they are."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     ok = F.expr("is_valid_utf8(content)")
     return files.where(ok).select("path", F.decode("content", "UTF-8").alias("text")), files.where(~ok).select("path")
 
 
-def local_files(root: str) -> tuple[list[str], list[str]]:
-    """(regular files, unreadable entries) below a local directory, sorted; links are not followed, pipes are left out."""
-    files, bad = [], []
-
-    def visit(d: str) -> None:
-        try:
-            entries = sorted(os.scandir(d), key=lambda e: e.name)
-        except OSError:
-            bad.append(d)
-            return
-        for e in entries:
-            try:
-                mode = e.stat(follow_symlinks=False).st_mode
-            except OSError:
-                bad.append(e.path)
-                continue
-            if stat.S_ISDIR(mode):
-                visit(e.path)
-            elif stat.S_ISREG(mode):
-                (files if os.access(e.path, os.R_OK) else bad).append(e.path)
-
-    try:
-        mode = os.stat(root).st_mode
-    except OSError:
-        return [], [root]
-    if stat.S_ISREG(mode):
-        return [root], []
-    visit(root)
-    return sorted(files), sorted(bad)
+def local_texts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((path, text) of the UTF-8 files below a mounted folder, (path) of the others, (path) of what can't be read); links and pipes are left out."""
+    rows = directory.contents(directory.entries(spark, root).where(F.col("kind").isin("file", "unreadable")))
+    return rows.where("kind = 'text'").select("path", "text"), rows.where("kind = 'not_utf8'").select("path"), rows.where("kind = 'unreadable'").select("path")
 
 
 def corpus(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
@@ -70,23 +37,18 @@ def gold(rows: DataFrame) -> DataFrame:
     return rows.select("id", "lang", F.explode("entities").alias("e")).select("id", "lang", "e.*")
 
 
-def display_path(path: str) -> str:
-    """A path that can be printed: bytes that are no UTF-8 become U+FFFD."""
-    return path.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
-
-
-def scan(spark: SparkSession, path: str, show_values: bool = False, unreadable: int = 0, listed: list[str] | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan(spark: SparkSession, path: str, show_values: bool = False, local: bool = False, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, totals, skipped) of a directory of texts; values are abbreviated unless asked for.
 
-    unreadable: how many entries a listing couldn't read, for the totals.  listed: the files to read, if not all.
+    local: a mounted folder, whose unreadable entries are counted; else a path that Spark reads.
     """
-    good, skipped = texts(spark, path, listed)
+    good, skipped, *bad = local_texts(spark, path) if local else texts(spark, path)
     found = detection.findings(good, ["path"], **options)
     if not show_values:
         found = found.withColumn("value", detection.displayed("value"))
     counts = [found.agg(F.count("*").alias("findings")), good.agg(F.count("*").alias("files")), skipped.agg(F.count("*").alias("skipped"))]  # one row each
-    totals = counts[0].crossJoin(counts[1]).crossJoin(counts[2]).withColumn("unreadable", F.lit(unreadable))
-    return found, totals, skipped
+    totals = counts[0].crossJoin(counts[1]).crossJoin(counts[2])
+    return found, totals.crossJoin(bad[0].agg(F.count("*").alias("unreadable"))) if bad else totals.withColumn("unreadable", F.lit(0)), skipped
 
 
 def by_type(found: DataFrame) -> list[tuple[str, int]]:

@@ -11,7 +11,7 @@ from quillveil.__main__ import main
 from quillveil.functions import identifiers
 from quillveil.operators import detection, evaluation
 from quillveil.plans import catalog
-from quillveil.sources import catalogs, corpora, files, settings
+from quillveil.sources import catalogs, corpora, directory, files, settings
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,9 +22,12 @@ def test_directory_scan(spark, tmp_path):
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe a@x.com")
     os.symlink(tmp_path / "d/a.txt", tmp_path / "link.txt")
     os.mkfifo(tmp_path / "pipe")
-    listed, bad = files.local_files(str(tmp_path))
-    assert [os.path.basename(p) for p in listed] == ["bad.txt", "a.txt"] and not bad
-    assert files.local_files(str(tmp_path / "none")) == ([], [str(tmp_path / "none")])
+    listed = directory.entries(spark, str(tmp_path))
+    assert {(os.path.basename(r["path"]), r["kind"], r["bytes"]) for r in listed.collect()} == {("bad.txt", "file", 10), ("a.txt", "file", 43), ("link.txt", "link", None), ("pipe", "special", None)}
+    assert {(os.path.basename(r["path"]), r["kind"], (r["text"] or "")[-2:]) for r in directory.contents(listed).collect()} == {("bad.txt", "not_utf8", ""), ("a.txt", "text", "\r\n"), ("link.txt", "link", ""), ("pipe", "special", "")}
+    assert files.scan(spark, str(tmp_path), local=True)[1].first().asDict() == {"findings": 2, "files": 1, "skipped": 1, "unreadable": 0}
+    assert files.scan(spark, str(tmp_path / "none"), local=True)[1].first().asDict() == {"findings": 0, "files": 0, "skipped": 0, "unreadable": 1}
+    assert [tuple(r) for r in directory.entries(spark, str(tmp_path / "d/a.txt")).select("kind", "bytes").collect()] == [("file", 43)]
     os.remove(tmp_path / "pipe")
     os.remove(tmp_path / "link.txt")
     found, totals, skipped = files.scan(spark, str(tmp_path))
@@ -38,6 +41,46 @@ def test_directory_scan(spark, tmp_path):
     assert [(f["type"], f["start"], f["masked_value"]) for f in own["findings"]] == [("EMAIL", 5, "…"), ("IBAN", 19, "DE89…00")]
 
 
+@pytest.mark.parametrize("levels", [1, 2, 5])
+def test_each_entry_is_listed_once(spark, tmp_path, levels):
+    want = set()
+    for n in range(60):
+        folder = tmp_path.joinpath(*(f"d{n % k}" for k in range(2, 2 + n % 5)))
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{n}.txt").write_text(str(n))
+        want.add(str(folder / f"{n}.txt"))
+    odd = os.fsencode(str(tmp_path)) + b"/odd\xff.txt"
+    with open(odd, "wb") as f:
+        f.write(b"odd")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "loop").symlink_to(tmp_path)
+    got = directory.entries(spark, str(tmp_path), levels)
+    assert sorted(r["path"] for r in got.where("kind = 'file'").collect()) == sorted([*want, f"{tmp_path}/odd\ufffd.txt"]) and got.where("kind <> 'file'").count() == 1
+    assert {(r["path"], r["text"]) for r in directory.contents(got).where("text is not null").collect()} == {(p, p.rpartition("/")[2][:-4]) for p in want} | {(f"{tmp_path}/odd\ufffd.txt", "odd")}
+
+
+def test_unreadable_entries_are_rows(tmp_path, monkeypatch):
+    for d in ("a/b/c", "shut/x"):
+        (tmp_path / d).mkdir(parents=True)
+    for f in ("a/b/c/1", "a/2", "shut/x/3"):
+        (tmp_path / f).write_text("x")
+    scandir, access = os.scandir, os.access
+
+    def refusing(path):
+        if path.endswith(b"/shut"):
+            raise PermissionError
+        return scandir(path)
+
+    monkeypatch.setattr(os, "scandir", refusing)
+    monkeypatch.setattr(os, "access", lambda p, mode: not p.endswith(b"/2") and access(p, mode))
+    root = os.fsencode(str(tmp_path))
+    for levels in (1, 2, 9):
+        for tasks in (1, 3):
+            rows = [r for i in range(tasks) for r in directory.Reader(str(tmp_path), tasks, levels).read(directory.InputPartition(i))]
+            got = sorted((x["raw"].removeprefix(root + b"/"), x["kind"]) for b in rows for x in b.to_pylist())
+            assert got == [(b"a/2", "unreadable"), (b"a/b/c/1", "file"), (b"shut", "unreadable")]
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "a.txt").write_text("mail a@x.com")
     monkeypatch.setattr(type(spark), "stop", lambda self: None)
@@ -46,7 +89,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert out["files"][0]["findings"][0]["value"] == "a@x.com" and out["summary"]["total_findings"] == 1
     assert main(["scan", str(tmp_path), "--no-ner"]) == 0 and "off (disabled)" in capsys.readouterr().out
     assert main(["scan", str(tmp_path), "--ner"]) == 2 and main(["scan", str(tmp_path / "none")]) == 2
-    assert files.display_path("a\udcff") == "a\ufffd"
+    assert directory.display_path("a\udcff") == "a\ufffd"
 
 
 def test_settings():
