@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import re
 from itertools import permutations
@@ -6,7 +7,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from quillveil.operators import evaluation, ner
+from quillveil.operators import cache, detection, evaluation, ner
 from quillveil.operators.spans import Span
 
 SCHEMA = "doc long, entity_type string, start int, end int"
@@ -114,8 +115,6 @@ def test_buckets_bootstrap_frontier_and_metrics(spark):
 
 
 def test_cache(spark):
-    from quillveil.operators import cache, detection
-
     df = spark.createDataFrame([(1, "t", "a@x.com"), (2, "t", "a@x.com"), (3, "u", "a@x.com"), (4, "t", None), (5, None, "b@x.com")], "id long, tenant string, text string")
     first, kept = cache.detect_cached(df, cache.empty(spark), b"salt", "tenant")
     assert {r["id"]: len(r["spans"]) for r in first.collect()} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 1} and kept.count() == 3
@@ -126,6 +125,33 @@ def test_cache(spark):
     assert not any("x.com" in str(r) for r in kept.drop("spans").collect())
 
 
+def test_cache_store(spark, tmp_path):
+    store = cache.Store(spark, f"file://{tmp_path}/store")
+    assert store.rows().count() == 0 and store.merge() == 0 and store.sweep() is None
+    df = spark.createDataFrame([(i, f"t{i % 3}", f"mail a{i % 50}@x.com") for i in range(200)] + [(200, "t0", None), (201, None, "b@x.com"), (202, "t1", "")], "id int, tenant string, text string")
+
+    def files():
+        return {f: f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+
+    first = store.detect(df.where("id < 30"), b"salt", "tenant")
+    assert {r["id"]: len(r["spans"]) for r in first.collect()} == dict.fromkeys(range(30), 1)
+    before = files()
+    again = {r["id"]: len(r["spans"]) for r in store.detect(df, b"salt", "tenant").collect()}
+    assert again == dict.fromkeys(range(202), 1) | {200: 0, 202: 0} and store.rows().count() == 152
+    assert before.items() <= files().items()  # nothing that was there is written again
+    after = files()
+    store.detect(df, b"salt", "tenant")
+    assert files() == after and cache.probe(df, store.rows(), b"salt", "tenant").where("not hit").count() == 1
+    store.detect(df.where("id < 5"), b"salt", "tenant", version="other")
+    assert store.rows("other").count() == 5 and store.rows().count() == 152
+    crowded = {os.path.basename(d) for d, _, names in os.walk(tmp_path / f"store/version={detection.version()}") if sum(n.endswith(".parquet") for n in names) > 1}
+    untouched = {f: t for f, t in files().items() if f.parent.name not in crowded}
+    assert crowded and untouched and store.merge(most_files=1) == len(crowded) and store.rows().count() == 152 and store.merge(most_files=1) == 0
+    assert untouched.items() <= files().items()
+    store.sweep()
+    assert store.rows("other").count() == 0 and store.rows().count() == 152
+
+
 def test_token_windows_reach_the_model():
     seen = []
 
