@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import tables
 from ..operators import audit, cache, chat, detection, evaluation, jsontext, ner, pseudonyms, resolution, restoration, sessions
-from ..sources import catalogs
+from ..sources import catalogs, files, journal
 from ..streaming import runs
 from . import rendered
 
@@ -532,6 +532,40 @@ def stamped_events(spark, sf_dir):
     return audit.stamped(events, F.col("at")).select("event_id", "ts")
 
 
+def journal_once(spark, sf_dir):
+    """Events through the journal's sink: two batches of one writer, one of them tried twice, and one batch without a name."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+    rows, path = audit.stamped(events, F.col("at")).drop("at"), tables.place(spark)
+    for batch in (0, 1, 1):
+        journal.append(rows.where(f"event_id % 3 = {batch}"), path, "writer", batch)
+    journal.append(rows.where("event_id % 3 = 2"), path)
+    back = journal.read(spark, path, "event_id long, event_type string, ts string")
+    return back.select("event_id", "event_type", "ts", F.when(F.col("journal_writer") == "writer", F.col("journal_batch")).alias("batch"))
+
+
+def directory_findings(spark, sf_dir):
+    """Documents written as files of some lines in a folder for each source, then that folder scanned: findings of each source and type."""
+    path = tables.place(spark)
+    docs = _documents(spark, sf_dir).select("source", F.regexp_replace("text", "[\\r\\n]", " ").alias("text"))
+    docs.where("text is not null").write.partitionBy("source").option("maxRecordsPerFile", 500).text(path)
+    found, _, _ = files.scan(spark, path.removeprefix("file://"), show_values=True, local=True) if path.startswith(("/", "file:")) else files.scan(spark, path, show_values=True)
+    source = F.regexp_extract("path", "/source=([^/]*)/[^/]*$", 1)
+    return found.groupBy(source.alias("source"), "entity_type").agg(F.count("*").alias("findings"), F.countDistinct("value").alias("distinct_values"))
+
+
+def stored_detection(spark, sf_dir):
+    """Documents of even ids searched into a store, then all from the store: hits and findings of each source, and the spans that the store then holds."""
+    docs, salt = _documents(spark, sf_dir).select("doc_id", "source", "text"), b"fixed for the test"
+    store = cache.Store(spark, tables.place(spark))
+    store.detect(docs.where("doc_id % 2 = 0"), salt, "source")
+    held = cache.probe(docs, store.rows(), salt, "source").groupBy("source").agg(F.sum(F.col("hit").cast("long")).alias("hits"))
+    held = tables.table(held)
+    found = store.detect(docs, salt, "source").groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.size("spans")).cast("long").alias("findings"))
+    kept = store.rows().groupBy("tenant").agg(F.count("*").alias("kept"))
+    named = docs.select("source", cache.key(salt, F.col("source"), F.lit(""))[0]).distinct()
+    return found.join(held, "source").join(named.join(kept, "tenant").select("source", "kept"), "source")
+
+
 def latency_percentiles(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value")
     return evaluation.percentiles(events, ["event_type"], "value").select("event_type", F.round("median", 9).alias("median"), F.round(F.col("p95").cast("double"), 9).alias("p95"))
@@ -614,6 +648,7 @@ QUERIES = {
         span_pairs, malformed_spans, deduplicated_spans, first_types, literal_numbering, unremembered_values, digest_keys, stamped_events, latency_percentiles, failing_types, micro_scores, leak_changes, tool_costs, admitted_requests,
         messages_slots, refused_bodies, masked_bodies, masked_schemas, settled_pairs,
         islands_of_one_key, relations_on_one_key, chained_matches, hot_session, hot_literals, odd_json, bootstrap_selection, vocabulary_gaps,
+        journal_once, directory_findings, stored_detection,
     )
 }
 
@@ -734,6 +769,10 @@ SQL = {
     "unremembered_values": f"""select source, count(*) as fresh, greatest(count(*) - 1, 0)::bigint as unremembered from {_NUMBERED} group by source""",
     "digest_keys": """select c_custkey::bigint as k, left(sha256(unhex('73616C74' || printf('%016X', strlen(c_name)) || hex(encode(c_name)) || printf('%016X', strlen(c_custkey::varchar)) || hex(encode(c_custkey::varchar)))), 32) as digest from customer""",
     "stamped_events": "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') as ts from events",
+    "journal_once": "select event_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') as ts, case when event_id % 3 < 2 then event_id % 3 end as batch from events",
+    "directory_findings": f"select source, entity_type, count(*) as findings, count(distinct value) as distinct_values from {_JOINED} group by all",
+    "stored_detection": f"""select d.source, count(*) as documents, sum((select count(*) from {_DOCS} f where f.doc_id = d.doc_id))::bigint as findings,
+      count(*) filter (exists (select 1 from documents e where e.doc_id % 2 = 0 and e.source = d.source and e.text = d.text)) as hits, count(distinct text) as kept from documents d group by d.source""",
     "latency_percentiles": "select event_type, round(quantile_cont(value, 0.5), 9) as median, round(quantile_disc(value, 0.95)::double, 9) as p95 from events group by 1",
     "failing_types": f"select entity_type, round(precision, 9) as precision from {_SCORED} where entity_type in ('EMAIL', 'CREDIT_CARD', 'PERSON') and precision < 0.9",
     "micro_scores": f"""select tp, fp, fn, round(precision, 9) as precision, round(recall, 9) as recall, round(case when precision + recall = 0 then 0 else 2 * precision * recall / (precision + recall) end, 9) as f1, round(tier, 9) as tier_1_recall
