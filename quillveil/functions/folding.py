@@ -1,37 +1,89 @@
-"""Compatibility folding of text for matching, with offsets back to the text as it was."""
+"""Compatibility folding of text for matching, with offsets back to the text as it was.
+
+A text's code points are looked up at once: most characters stay or become one other, which moves nothing.  Only units that don't (a character with
+combining ones, or one that becomes several) are folded one at a time, and the map of offsets holds these units alone: between them it is a shift.
+"""
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
+from functools import cache, lru_cache
+
+import numpy as np
 
 #: Characters folded besides NFKC.
 FOLDS = {**dict.fromkeys("\u2010\u2011\u2012\u2013\u2212", "-"), **dict.fromkeys("\u2028\u2029", " ")}
 _NEVER = frozenset(FOLDS)
+#: Code points from here on neither fold nor combine.
+TOP = 0x30000
+_SEVERAL, _COMBINING = 1, 2
+
+
+@lru_cache(1 << 14)
+def _unit(unit: str) -> str:
+    return FOLDS.get(unit) or unicodedata.normalize("NFKC", unit)
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(the code point that each becomes, whether it becomes several or combines) below TOP; made once a worker."""
+    one, kind = np.arange(TOP, dtype=np.uint32), np.zeros(TOP, np.uint8)
+    for c in map(chr, range(0x80, TOP)):
+        folded = FOLDS.get(c) or unicodedata.normalize("NFKC", c)
+        if len(folded) == 1:
+            one[ord(c)] = ord(folded)
+        else:
+            kind[ord(c)] = _SEVERAL
+        if unicodedata.combining(c):
+            kind[ord(c)] |= _COMBINING
+    return one, kind
 
 
 class Folded:
     """text: the folded form; span(a, b): where its characters a to b came from."""
 
-    __slots__ = ("text", "_from", "_to")
+    __slots__ = ("text", "_units")
 
     def __init__(self, text: str):
+        #: Of the units that were folded alone: where each begins in the folded text and ends there, begins in the text and ends there.
+        self._units: tuple[list[int], list[int], list[int], list[int]] = [], [], [], []
         if text.isascii() or (unicodedata.is_normalized("NFKC", text) and _NEVER.isdisjoint(text)):
-            self.text, self._from, self._to = text, None, None
+            self.text = text
             return
-        pieces, self._from, self._to = [], [], []
-        at, size = 0, len(text)
-        while at < size:
-            end = at + 1
-            while end < size and unicodedata.combining(text[end]):
-                end += 1
-            part = FOLDS.get(text[at:end]) or unicodedata.normalize("NFKC", text[at:end])
-            pieces.append(part)
-            self._from += [at] * len(part)
-            self._to += [end] * len(part)
-            at = end
-        self.text = "".join(pieces)
+        one, kinds = _tables()
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = codes < TOP
+        at = np.where(low, codes, 0)
+        kind = kinds[at]
+        same_length = np.where(low, one[at], codes).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        combining = (kind & _COMBINING) > 0
+        combining[0] = False  # it has nothing to combine with
+        bases = np.flatnonzero(~combining)
+        ends = np.append(bases[1:], len(codes))
+        alone = (ends - bases > 1) | (kind[bases] & _SEVERAL > 0)
+        pieces, moved, last = [], 0, 0
+        for a, b in zip(bases[alone].tolist(), ends[alone].tolist(), strict=True):
+            folded = _unit(text[a:b]) if b - a < 64 else FOLDS.get(text[a:b]) or unicodedata.normalize("NFKC", text[a:b])
+            pieces += same_length[last:a], folded
+            for known, x in zip(self._units, (a + moved, a + moved + len(folded), a, b), strict=True):
+                known.append(x)
+            moved += len(folded) - (b - a)
+            last = b
+        self.text = "".join([*pieces, same_length[last:]])
+
+    def _from(self, at: int) -> tuple[int, int]:
+        """The piece of the text that a character of the folded one came from."""
+        begins, ends, starts, stops = self._units
+        k = bisect_right(begins, at) - 1
+        if k < 0:
+            return at, at + 1
+        if at < ends[k]:
+            return starts[k], stops[k]
+        here = at - ends[k] + stops[k]
+        return here, here + 1
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if not 0 <= start < end <= len(self.text):
             raise ValueError(f"no span {start} to {end} in a text of {len(self.text)} characters")
-        return (start, end) if self._from is None else (self._from[start], self._to[end - 1])
+        return self._from(start)[0], self._from(end - 1)[1]
