@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 #: The least overlap of a match, and the least part of a span that must lie on gold.
 LEAST_IOU, LEAST_SHARE = 0.5, 0.5
+#: By how much thresholds are moved to compare ways of asking.
+OFFSETS = (0.0, -0.2, -0.1, 0.1)
 _WORD = re.compile(r"\w+")
 
 
@@ -353,6 +355,39 @@ def frontier(shapes: DataFrame, found: str = "found", over_masked: str = "over_m
     return shapes.join(beaten, (F.col(found) == F.col("__f")) & (F.col(over_masked) == F.col("__o")), "left").select(*shapes.columns, F.coalesce("__beaten", F.lit(False)).alias("dominated"))
 
 
+def asked(gold: DataFrame, answers: DataFrame, calls: DataFrame, keys: list[str], offsets: tuple[float, ...] = OFFSETS) -> DataFrame:
+    """(shape, offset, found, over_masked, elapsed) of each way of asking a model, with every threshold moved by each offset.
+
+    answers: (keys, shape, start, end, score, threshold) of every span that was scored, those below their threshold too; calls: (shape, seconds).
+    A gold span is found if a span holds it whole, of whatever type; a span over-masks if it touches no gold.  Moved thresholds stay between 0.01 and
+    0.99.  Spans are joined once for all offsets: what each passes is a mask of bits, and masks of a gold span are or-ed.  Repeated gold counts once,
+    spans without a score pass nothing, and a shape that only calls know has found nothing.
+    """
+    bars = [F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("threshold") + F.lit(o))), 9) for o in offsets]
+    mask = sum((F.when(F.col("score") >= bar, 1 << i).otherwise(0) for i, bar in enumerate(bars)), F.lit(0).cast("long"))
+    said = answers.select(*keys, "shape", "start", "end", mask.alias("__mask")).where("__mask > 0")
+    own = [*keys, "entity_type", "start", "end"]
+    g, p = gold.select(*own).distinct().alias("g"), said.alias("p")
+    held = g.join(p, _same(keys, F.col("p.start") <= F.col("g.start"), F.col("p.end") >= F.col("g.end"))).groupBy(*[F.col(f"g.{c}") for c in own], F.col("p.shape").alias("shape")).agg(F.bit_or("p.__mask").alias("__mask"))
+    beside = p.join(g, _same(keys, F.col("g.start") < F.col("p.end"), F.col("p.start") < F.col("g.end")), "left_anti")
+
+    def bits(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("shape").agg(*[F.sum(F.shiftright("__mask", i).bitwiseAND(1)).alias(f"{name}{i}") for i in range(len(offsets))])
+
+    parts = bits(held, "found").unionByName(bits(beside, "over"), True).unionByName(calls.groupBy("shape").agg(F.sum("seconds").alias("elapsed")), True).unionByName(answers.select("shape").distinct(), True)
+    names = [f"{name}{i}" for name in ("found", "over") for i in range(len(offsets))]
+    whole = parts.groupBy("shape").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names], F.sum("elapsed").alias("elapsed"))
+    rows = F.array(*[F.struct(F.lit(float(o)).alias("offset"), F.col(f"found{i}").alias("found"), F.col(f"over{i}").alias("over_masked")) for i, o in enumerate(offsets)])
+    return whole.select("shape", F.explode(rows).alias("r"), "elapsed").select("shape", "r.*", "elapsed")
+
+
+def dominating(asked: DataFrame, shipped: str) -> DataFrame:
+    """asked with dominates: whether another shape, at that offset, finds at least what the shipped one does as it is, and over-masks no more."""
+    bar = asked.where((F.col("shape") == shipped) & (F.col("offset") == 0)).agg(F.max("found").alias("__found"), F.max("over_masked").alias("__over"))  # one row
+    as_good = (F.col("shape") != shipped) & (F.col("found") >= F.col("__found")) & (F.col("over_masked") <= F.col("__over"))
+    return asked.crossJoin(bar).select(*asked.columns, F.coalesce(as_good, F.lit(False)).alias("dominates"))
+
+
 def metrics(by_type: DataFrame, total: DataFrame, **more: object) -> str:
     """The figures of a run as one JSON object: scores by type, micro scores, and whatever else is told (digests, targets, leak figures)."""
     round_ = {"precision": 3, "recall": 3, "f1": 3}

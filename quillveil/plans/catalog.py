@@ -392,6 +392,17 @@ def asking_frontier(spark, sf_dir):
     return evaluation.frontier(parts).groupBy("dominated").agg(F.count("*").alias("shapes"), F.sum("found").cast("long").alias("found"))
 
 
+def asking_shapes(spark, sf_dir):
+    """Findings as gold; three ways of asking whose spans are wider, narrower or beside them, with thresholds moved: what each finds, over-masks and takes."""
+    found, _ = _gold_and_predicted(spark, sf_dir)
+    each = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    beside = F.when((F.col("doc_id") + F.col("k")) % 5 == 0, 1_000_000_000).otherwise(0)
+    place = {"start": F.col("start") - F.col("doc_id") % 3 + beside, "end": F.col("end") + (F.col("doc_id") + F.col("k")) % 3 - 1 + beside}
+    answers = each.select("doc_id", F.concat(F.lit("shape "), "k").alias("shape"), *[c.alias(n) for n, c in place.items()], (F.col("doc_id") * (3 + F.col("k")) % 10 / 10).alias("score"), F.lit(0.5).alias("threshold"))
+    calls = _documents(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(f"shape {k}").alias("shape"), F.lit(0.25 * (k + 1)).alias("seconds")) for k in range(4)])).alias("c")).select("c.*")
+    return evaluation.dominating(evaluation.asked(found, answers, calls, ["doc_id"]), "shape 0")
+
+
 _RANKS = {"CH_AVS": 80, "EMAIL": 70, "FR_NIR": 80, "IBAN": 90, "PERSON": 30}
 
 
@@ -543,6 +554,14 @@ def journal_once(spark, sf_dir):
     return back.select("event_id", "event_type", "ts", F.when(F.col("journal_writer") == "writer", F.col("journal_batch")).alias("batch"))
 
 
+def journal_findings(spark, sf_dir):
+    """What each document's search found, one event a document, through the journal's sink and back."""
+    docs, path = _documents(spark, sf_dir).select("doc_id", "text"), tables.place(spark)
+    events = detection.detect(docs, keep=["doc_id"]).select("doc_id", F.size("spans").cast("long").alias("spans"), F.exists("spans", lambda s: s["tier"] == 1).alias("tier_1"))
+    journal.append(events, path, "search")
+    return journal.read(spark, path, "doc_id long, spans long, tier_1 boolean").select("doc_id", "spans", "tier_1")
+
+
 def directory_findings(spark, sf_dir):
     """Documents written as files of some lines in a folder for each source, then that folder scanned: findings of each source and type."""
     path = tables.place(spark)
@@ -648,7 +667,7 @@ QUERIES = {
         span_pairs, malformed_spans, deduplicated_spans, first_types, literal_numbering, unremembered_values, digest_keys, stamped_events, latency_percentiles, failing_types, micro_scores, leak_changes, tool_costs, admitted_requests,
         messages_slots, refused_bodies, masked_bodies, masked_schemas, settled_pairs,
         islands_of_one_key, relations_on_one_key, chained_matches, hot_session, hot_literals, odd_json, bootstrap_selection, vocabulary_gaps,
-        journal_once, directory_findings, stored_detection,
+        asking_shapes, journal_once, journal_findings, directory_findings, stored_detection,
     )
 }
 
@@ -737,6 +756,14 @@ SQL = {
       union all select user_id, case when n <= (select free + open from room) then 'live' else 'session_saturated' end, case when n <= (select free + open from room) then 0 end from fresh""",
     "asking_frontier": """with s as (select p_partkey * 7 % 101 as f, p_partkey * 13 % 89 as o from part)
       select exists (select 1 from s b where b.f >= a.f and b.o <= a.o and (b.f > a.f or b.o < a.o)) as dominated, count(*) as shapes, sum(f)::bigint as found from s a group by 1""",
+    "asking_shapes": f"""with a as (select doc_id, k, "start" - doc_id % 3 + b as s, "end" + (doc_id + k) % 3 - 1 + b as e, (doc_id * (3 + k) % 10) / 10 as score from (
+        select *, case when (doc_id + k) % 5 = 0 then 1000000000 else 0 end as b from {_GOLD}, unnest(range(3)) t(k))),
+      o as (select k, d from unnest(range(4)) t(k), unnest([0.0, -0.2, -0.1, 0.1]) u(d)),
+      m as (select 'shape ' || k as shape, d::double as "offset",
+        (select count(*) from (select distinct * from {_GOLD}) g where exists (select 1 from a where a.k = o.k and a.doc_id = g.doc_id and score >= round(0.5 + d, 9) and s <= g."start" and e >= g."end")) as found,
+        (select count(*) from a where a.k = o.k and score >= round(0.5 + d, 9) and not exists (select 1 from {_GOLD} g where g.doc_id = a.doc_id and g."start" < e and s < g."end")) as over_masked,
+        (k + 1) * 0.25::double * (select count(*) from documents) as elapsed from o)
+      select *, shape <> 'shape 0' and found >= (select found from m where shape = 'shape 0' and "offset" = 0) and over_masked <= (select over_masked from m where shape = 'shape 0' and "offset" = 0) as dominates from m""",
     "span_pairs": f"""select a.l_orderkey, a.id as a, b.id as b, case when a.s = b.s and a.e = b.e then 'same' when a.s <= b.s and b.e <= a.e then 'a holds b' when b.s <= a.s and a.e <= b.e then 'b holds a' else 'overlap' end as relation
       from {_INTERVALS} a join {_INTERVALS} b on a.l_orderkey = b.l_orderkey and a.id < b.id and a.s < b.e and b.s < a.e""",
     "islands_of_one_key": f"""select min(s)::bigint as "start", max(e)::bigint as "end", count(*) as spans from (select *, sum(opens) over (order by s, e rows unbounded preceding) as island from (
@@ -770,6 +797,7 @@ SQL = {
     "digest_keys": """select c_custkey::bigint as k, left(sha256(unhex('73616C74' || printf('%016X', strlen(c_name)) || hex(encode(c_name)) || printf('%016X', strlen(c_custkey::varchar)) || hex(encode(c_custkey::varchar)))), 32) as digest from customer""",
     "stamped_events": "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') as ts from events",
     "journal_once": "select event_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') as ts, case when event_id % 3 < 2 then event_id % 3 end as batch from events",
+    "journal_findings": f"select d.doc_id, count(f.value) as spans, count(*) filter (f.entity_type = 'CREDIT_CARD') > 0 as tier_1 from documents d left join {_DOCS} f using (doc_id) group by all",
     "directory_findings": f"select source, entity_type, count(*) as findings, count(distinct value) as distinct_values from {_JOINED} group by all",
     "stored_detection": f"""select d.source, count(*) as documents, sum((select count(*) from {_DOCS} f where f.doc_id = d.doc_id))::bigint as findings,
       count(*) filter (exists (select 1 from documents e where e.doc_id % 2 = 0 and e.source = d.source and e.text = d.text)) as hits, count(distinct text) as kept from documents d group by d.source""",

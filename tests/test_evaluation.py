@@ -181,3 +181,23 @@ def test_rivals_keep_their_recognizer_and_need_no_more_confidence():
     kind = ner.Type("X", "x", 0.1, 2, 30, outranks_tier_3_below=0.5)
     weak, rival = Span("HEALTH", 0, 9, 0.4, "one", 3), Span("X", 4, 12, 0.2, "two", 2)
     assert ner.contested([weak, rival], [kind])[0] == Span("X", 0, 9, 0.2, "one", 2)
+
+
+def test_ways_of_asking(spark):
+    rng = random.Random(3)
+    gold = [(d, kind, a, a + 4) for d in range(6) for a in (0, 10, 20) for kind in ("PERSON", "ORG")[: 1 + d % 2]]
+    answers = [(rng.randrange(6), rng.choice("xy"), a := rng.randrange(30), a + rng.randrange(1, 9), rng.choice([None, 0.3, 0.4, 0.5, 0.6, 0.995]), rng.choice([0.05, 0.5, 0.95])) for _ in range(300)]
+    calls = [("x", 1.5), ("x", 0.5), ("y", 1.0), ("z", 3.0)]
+    frames = spark.createDataFrame(gold + gold[:3], SCHEMA), spark.createDataFrame(answers, "doc long, shape string, start int, end int, score double, threshold double"), spark.createDataFrame(calls, "shape string, seconds double")
+    got = {(r["shape"], r["offset"]): (r["found"], r["over_masked"], r["elapsed"], r["dominates"]) for r in evaluation.dominating(evaluation.asked(*frames, ["doc"]), "x").collect()}
+    want = {}
+    for shape in "xyz":
+        for offset in evaluation.OFFSETS:
+            said = [a for a in answers if a[1] == shape and a[4] is not None and a[4] >= round(max(0.01, min(0.99, a[5] + offset)), 9)]
+            found = sum(any(a[0] == g[0] and a[2] <= g[2] and a[3] >= g[3] for a in said) for g in gold)
+            over = sum(not any(a[0] == g[0] and a[2] < g[3] and g[2] < a[3] for g in gold) for a in said)
+            want[shape, offset] = found, over, {"x": 2.0, "y": 1.0, "z": 3.0}[shape]
+    assert {k: v[:3] for k, v in got.items()} == want
+    assert {k: v[3] for k, v in got.items()} == {k: k[0] != "x" and v[0] >= want["x", 0.0][0] and v[1] <= want["x", 0.0][1] for k, v in want.items()}
+    assert evaluation.asked(frames[0].limit(0), frames[1].limit(0), frames[2].limit(0), ["doc"]).count() == 0
+    assert not evaluation.dominating(evaluation.asked(*frames, ["doc"]), "none").where("dominates").count()
