@@ -41,8 +41,8 @@ def _searched(df: DataFrame, cache: DataFrame, salt: bytes, tenant: str, text: s
     given = df.select(*[c for c in df.columns if c != into])
     own = given.withColumns(dict(zip(("__tenant", "__digest"), key(salt, F.col(f"`{tenant}`"), F.col(f"`{text}`")), strict=True)))
     held = cache.where(F.col("version") == version).select(F.col("tenant").alias("__tenant"), F.col("digest").alias("__digest"), "spans").dropDuplicates(["__tenant", "__digest"])
-    missing = own.where(F.col(f"`{text}`").isNotNull()).join(held, ["__tenant", "__digest"], "left_anti")
-    distinct = missing.groupBy("__tenant", "__digest").agg(F.any_value(F.col(f"`{text}`")).alias("__text"))
+    texts = own.where(F.col(f"`{text}`").isNotNull()).groupBy("__tenant", "__digest").agg(F.any_value(F.col(f"`{text}`")).alias("__text"))  # copies become one before they are shuffled
+    distinct = texts.join(held, ["__tenant", "__digest"], "left_anti")
     fresh = tables.table(detection.detect(distinct, "__text", "spans", keep=["__tenant", "__digest"]))
     known = held.unionByName(fresh)
     out = own.join(known.withColumnRenamed("spans", "__spans"), ["__tenant", "__digest"], "left")
