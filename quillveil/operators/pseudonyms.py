@@ -10,14 +10,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import tables
 from ..sources.catalogs import ENTITY_TYPES, FALLBACK_TYPE
 from . import scans
 from .detection import detect
-from .resolution import overlapping
 
 #: Fixed value: what a placeholder looks like.
 TOKEN = r"\[[A-Z_]+_[0-9]+\]"
@@ -65,38 +66,78 @@ def _ranked(values: DataFrame, session: list[str]) -> DataFrame:
 _PARTS = r"^\[([A-Z_]+)_([1-9][0-9]{0,8})\]$"
 
 
+#: Numbers of a session that one task folds over.
+NUMBERS_AT_ONCE = 1 << 16
+
+
+def _heeded(ranked: DataFrame, session: list[str], wrote: DataFrame) -> DataFrame:
+    """wrote with least: the first rank whose value heeds the literal, which is that of the first value not before since."""
+    marks = wrote.select(*session, "kind", "m", F.col("since").alias("__at"), F.lit(0).alias("__value"))
+    points = ranked.select(*session, F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("m"), F.col("first.at").alias("__at"), F.lit(1).alias("__value"))
+    cut = scans.Ranges(marks.unionByName(points), session, ["__at", "__value"])
+    return cut.running(cut.rows, "__before", F.sum, F.col("__value")).where("__value = 0").select(*session, "kind", "m", (F.col("__before") + 1).alias("least"))
+
+
+def _folded(pdf: pd.DataFrame) -> tuple[int, list[int]]:
+    """(steps after a block, ranks from which on numbers are one further) for its literals and the values that may meet them."""
+    literals, values = pdf[pdf["m"].notna()].sort_values("m"), pdf[pdf["m"].isna()]
+    types = dict(zip(values["__rank"].astype("int64"), values["kind"], strict=True))
+    steps, ranks, last = int(pdf["__steps"].iloc[0]), [], None
+    for m, kind, least in zip(literals["m"].astype("int64"), literals["kind"], literals["least"].astype("int64"), strict=True):
+        rank = m - steps
+        if m != last and rank >= least and types.get(rank) == kind:
+            steps, last = steps + 1, m
+            ranks.append(rank)
+    return steps, ranks
+
+
 def _steps(ranked: DataFrame, session: list[str], literals: DataFrame) -> DataFrame:
     """(session, __rank): from which ranks on the numbers are one further, because a literal has the number and type that would have come there.
 
-    Literals are looked at by number.  With s steps so far, the value of rank m - s would get number m, and s is at most as many as there are literals with
-    smaller numbers; so only values within that reach of a literal, and of its type, matter.  Their join is one of points with
-    intervals; the rest is a fold over the literals of a session.  Literals may have since, a place before which values (with first.at) don't heed them.
+    Literals are looked at by number.  With s steps so far, the value of rank m - s would get number m.  Numbers are cut into blocks, each with its literals
+    and the values that they may meet; how many steps are taken before a block is assumed, at first none.  All blocks are folded at once, and what they then take is
+    assumed next, until nothing changes: the first block is right after the first round, the next one after the second at the latest, and mostly all are
+    after two or three, because the steps that a block takes hardly depend on those before it.  So no task has a whole session, and a round's work grows with the literals and
+    values, not with their product.  Literals may have since, a place before which values (with first.at) don't heed them.
     """
     token, timed = F.col("token"), "since" in literals.columns
     wrote = literals.select(*session, F.regexp_extract(token, _PARTS, 1).alias("kind"), F.regexp_extract(token, _PARTS, 2).try_cast("long").alias("m"), F.col("since") if timed else F.lit(None).alias("since")).where("m is not null")
     wrote = wrote.groupBy(*session, "kind", "m").agg(F.min("since").alias("since"))
-    below = Window.partitionBy(*session).orderBy("m")
-    reach = wrote.withColumn("reach", F.dense_rank().over(below) - 1).select(*session, F.col("kind").alias("__kind"), F.struct((F.col("m") - F.col("reach")).alias("start"), (F.col("m") + 1).alias("end"), "m", "since").alias("span"))
-    places = ranked.select(*session, F.col("entity_type").alias("__kind"), F.struct(F.col("__rank").cast("long").alias("start"), (F.col("__rank") + 1).cast("long").alias("end"), "first").alias("span"))
-    hits = overlapping(reach, places, [*session, "__kind"])
-    short = overlapping(places, reach, [*session, "__kind"], finer_only=True).select(*session, F.col("b").alias("a"), F.col("a").alias("b"))
-    hits = hits.select(*session, "a", "b").unionByName(short)
-    if timed:
-        hits = hits.where(F.col("b.first.at") >= F.col("a.since"))
-    by_number = hits.groupBy(*session, F.col("a.m").alias("m")).agg(F.collect_set(F.col("a.m") - F.col("b.start")).alias("at"))
-    lines = by_number.groupBy(*session).agg(F.sort_array(F.collect_list(F.struct("m", "at"))).alias("line"))
-    begin = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<long>").alias("ranks"))
-
-    def step(acc: Column, x: Column) -> Column:
-        return F.when(F.array_contains(x["at"], acc["s"]), F.struct((acc["s"] + 1).alias("s"), F.array_append(acc["ranks"], x["m"] - acc["s"]).alias("ranks"))).otherwise(acc)
-
-    return lines.select(*session, F.explode(F.aggregate("line", begin, step)["ranks"]).alias("__rank")).withColumn("__rank", F.col("__rank").cast("int"))
+    wrote = _heeded(ranked, session, wrote) if timed else wrote.select(*session, "kind", "m", F.lit(0).cast("long").alias("least"))
+    keys, size = [f"__s{i}" for i in range(len(session))], NUMBERS_AT_ONCE
+    named = [F.col(f"`{c}`").alias(k) for c, k in zip(session, keys, strict=True)]
+    wrote = tables.table(wrote.select(*named, F.floor((F.col("m") - 1) / size).alias("__block"), "kind", "m", "least"))
+    places = ranked.select(*named, F.col("entity_type").alias("kind"), F.col("__rank").cast("long").alias("__rank"))
+    sizes = tables.table(wrote.groupBy(*keys, "__block").agg(F.countDistinct("m").alias("__most")))
+    assumed = sizes.withColumn("__steps", F.lit(0).cast("long"))
+    out = T.StructType([*[T.StructField(k, ranked.schema[c].dataType) for c, k in zip(session, keys, strict=True)], T.StructField("__block", T.LongType()), T.StructField("__taken", T.LongType()), T.StructField("__ranks", T.ArrayType(T.LongType()))])
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        after, ranks = _folded(pdf)
+        head = {k: [pdf[k].iloc[0]] for k in [*keys, "__block"]}
+        return pd.DataFrame({**head, "__taken": [after - int(pdf["__steps"].iloc[0])], "__ranks": [ranks]})
+
+    while True:
+        # a block's values have the ranks of its numbers, less the steps taken before it and in it; each lies under two blocks of ranks at most
+        window = assumed.select(*keys, "__block", "__steps", (F.col("__block") * size + 1 - F.col("__steps") - F.col("__most")).alias("__low"), ((F.col("__block") + 1) * size - F.col("__steps")).alias("__high"))
+        bins = window.withColumn("__bin", F.explode(F.sequence(F.floor(F.greatest("__low", F.lit(0)) / size), F.floor(F.greatest("__high", F.lit(0)) / size))))
+        met = tables.matching(places.withColumn("__bin", F.floor(F.col("__rank") / size)), bins, [*keys, "__bin"]).where("__rank between __low and __high")
+        rows = tables.matching(wrote, assumed.drop("__most"), [*keys, "__block"]).withColumn("__rank", F.lit(None).cast("long"))
+        both = rows.unionByName(met.select(*keys, "__block", "kind", F.lit(None).cast("long").alias("m"), F.lit(None).cast("long").alias("least"), "__steps", "__rank"))
+        folded = tables.table(both.groupBy(*keys, "__block").applyInPandas(run, out))
+        after = folded.select(*keys, "__block", F.coalesce(F.sum("__taken").over(before), F.lit(0)).alias("__now"))
+        then = tables.table(tables.matching(assumed, after, [*keys, "__block"]))
+        if then.where("__now <> __steps").isEmpty():
+            break
+        assumed = then.select(*keys, "__block", "__most", F.col("__now").alias("__steps"))
+    return folded.select(*[F.col(k).alias(c) for c, k in zip(session, keys, strict=True)], F.explode(F.col("__ranks").cast("array<int>")).alias("__rank"))
 
 
 def number(values: DataFrame, session: list[str], literals: DataFrame | None = None) -> DataFrame:
     """Adds n and placeholder.  Where callers wrote literals, numbering steps over the numbers of those of the same type.
 
-    session may be empty: then all values are one session's.  Work beyond the ranking grows with the literals of a session (with their square, at most), not its values.
+    session may be empty: then all values are one session's.
     """
     ranked = _ranked(values, session)
     if literals is None:

@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 import pytest
@@ -183,3 +184,23 @@ def test_admission(spark):
     assert admit(["c", "x", "y"], 4) == ({"c", "held", "x", "y"}, {"c": None, "x": None, "y": None})
     assert admit(["w", "x", "y", "z"], 4) == ({"held", "w", "x", "y"}, {"w": None, "x": None, "y": None, "z": "session_saturated"})
     assert admit([], 1)[0] == {"a", "b", "c", "held"}
+
+
+def test_numbering_over_many_literals_is_folded_by_blocks(spark, monkeypatch):
+    """Literals of mixed types, in blocks of eight numbers: the same numbers as one after another."""
+    monkeypatch.setattr(pseudonyms, "NUMBERS_AT_ONCE", 8)
+    pick = random.Random(7)
+    kinds = ["EMAIL", "PERSON", "IBAN"]
+    values = [(s, f"v{i}", pick.choice(kinds[: s + 1]), i) for s in range(3) for i in range(60)]
+    wrote = sorted({(s, pick.choice(kinds[: s + 1]), pick.randrange(1, 110)) for s in range(3) for _ in range(90)})
+    want = {}
+    for s in range(3):
+        taken, n = {(k, m) for t, k, m in wrote if t == s}, 0
+        for _, v, kind, _ in (x for x in values if x[0] == s):
+            n += 1
+            while (kind, n) in taken:
+                n += 1
+            want[s, v] = n
+    table = spark.createDataFrame(values, "s int, value string, entity_type string, first int")
+    literals = spark.createDataFrame([(s, f"[{k}_{m}]") for s, k, m in wrote], "s int, token string")
+    assert {(r.s, r.value): r.n for r in pseudonyms.number(table, ["s"], literals).collect()} == want
