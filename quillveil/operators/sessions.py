@@ -9,8 +9,10 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterable, Iterator
-from itertools import pairwise
+from collections.abc import Callable, Container, Iterable, Iterator
+from contextlib import contextmanager
+from itertools import islice, pairwise
+from typing import Any
 
 import ahocorasick
 import pyarrow as pa
@@ -27,7 +29,7 @@ from .pseudonyms import TOKEN
 #: Values that a session keeps, idle seconds, sessions, matches of known values in a text.
 MOST_VALUES, IDLE_SECONDS, MOST_SESSIONS, MATCH_BUDGET = 1000, 1800, 1000, 1 << 20
 _TOKEN = re.compile(TOKEN)
-_WORD = re.compile(r"\w")
+_WORD, _WORDS = re.compile(r"\w"), re.compile(r"\w+")
 
 
 class Refused(ValueError):
@@ -42,6 +44,8 @@ class Mapping:
         self.tokens: dict[str, str] = {}  # by value
         self.values: dict[str, str] = {}  # by token
         self.reserved: set[str] = set()
+        self.lengths: dict[int, int] = {}  # how many values have this length
+        self._undo: list[tuple[Any, Any]] | None = None  # what a turn has added so far
 
     def dump(self) -> str:
         return json.dumps([self.most, self.next, self.tokens, sorted(self.reserved)])
@@ -50,15 +54,40 @@ class Mapping:
     def load(cls, text: str) -> Mapping:
         most, next_, tokens, reserved = json.loads(text)
         m = cls(most)
-        m.next, m.tokens, m.reserved = next_, tokens, set(reserved)
-        m.values = {t: v for v, t in tokens.items()}
+        m.next, m.reserved = next_, set(reserved)
+        for value, token in tokens.items():
+            m._add(value, token)
         return m
 
-    def copy(self) -> Mapping:
-        """What a turn works on; a session's mapping is bounded, so this is too."""
-        m = Mapping(self.most)
-        m.next, m.tokens, m.values, m.reserved = self.next, dict(self.tokens), dict(self.values), set(self.reserved)
-        return m
+    def _add(self, value: str, token: str) -> None:
+        self.tokens[value], self.values[token] = token, value
+        self.lengths[len(value)] = self.lengths.get(len(value), 0) + 1
+
+    def _drop(self, value: str) -> None:
+        del self.values[self.tokens.pop(value)]
+        self.lengths[len(value)] -= 1
+        if not self.lengths[len(value)]:
+            del self.lengths[len(value)]
+
+    @contextmanager
+    def attempt(self) -> Iterator[None]:
+        """A turn's work: if it fails, what it added is taken back, so a turn costs what it adds and not what the mapping holds."""
+        before, self._undo = self.next, []
+        try:
+            yield
+            if len(self.tokens) > self.most:  # the earliest values are kept; the counter has passed the others
+                for value in list(islice(reversed(self.tokens), len(self.tokens) - self.most)):
+                    self._drop(value)
+        except BaseException:
+            self.next = before
+            for value, literal in reversed(self._undo):
+                if literal is None:
+                    self._drop(value)
+                else:
+                    self.reserved.discard(literal)
+            raise
+        finally:
+            self._undo = None
 
     def reserve_all(self, texts: Iterable[str]) -> None:
         for text in texts:
@@ -70,28 +99,37 @@ class Mapping:
         for token in _TOKEN.findall(text):
             if token in self.values:
                 raise Refused("mapping_literal_already_issued")
-            self.reserved.add(token)
+            if token not in self.reserved:
+                self.reserved.add(token)
+                if self._undo is not None:
+                    self._undo.append((None, token))
 
     def token(self, value: str, entity_type: str) -> str:
         if value not in self.tokens:
             kind = entity_type if entity_type in ENTITY_TYPES else FALLBACK_TYPE
             while f"[{kind}_{self.next}]" in self.reserved:
                 self.next += 1
-            token = f"[{kind}_{self.next}]"
+            self._add(value, f"[{kind}_{self.next}]")
             self.next += 1
-            self.tokens[value], self.values[token] = token, value
+            if self._undo is not None:
+                self._undo.append((value, None))
         return self.tokens[value]
 
     def known(self, text: str) -> Iterator[tuple[int, int]]:
         """All whole-word occurrences of values, also overlapping ones, the longest values first."""
-        return whole_words(text, occurrences(automaton(self.tokens), text))
-
-    def trimmed(self) -> Mapping:
-        """With the earliest values only, as many as a session may keep; the counter has passed the others."""
-        if len(self.tokens) > self.most:
-            self.tokens = dict(list(self.tokens.items())[: self.most])
-            self.values = {t: v for v, t in self.tokens.items()}
-        return self
+        if len(text) * len(self.lengths) > MATCH_BUDGET:
+            return whole_words(text, occurrences(automaton(self.tokens), text))
+        return iter(known_words(text, self.tokens, self.lengths))
+
+
+def known_words(text: str, values: Container[str], lengths: Iterable[int]) -> list[tuple[int, int]]:
+    """What whole_words gives for all occurrences of values with these lengths, in the same order; each place is looked up, so the work doesn't depend on how many values there are."""
+    edge = bytearray(b"\1") * (len(text) + 1)
+    for m in _WORDS.finditer(text) if lengths else ():
+        edge[m.start() + 1 : m.end()] = bytes(m.end() - m.start() - 1)
+    places = [i for i, free in enumerate(edge) if free]
+    found = [(-n, text[a : a + n], a) for n in lengths if n for a in places if a + n <= len(text) and edge[a + n] and text[a : a + n] in values]
+    return [(a, a - size) for size, _, a in sorted(found)]
 
 
 def automaton(values: Iterable[str]) -> ahocorasick.Automaton | None:
@@ -150,13 +188,12 @@ def turn(mapping: Mapping, text: str | None, find: Finder) -> tuple[Mapping, str
     """(mapping after the turn, masked text, error_class); a refused turn leaves the mapping as it was."""
     if text is None:
         return mapping, None, None
-    work = mapping.copy()
     try:
-        work.reserve(text)
-        masked = mask(work, text, [(s.start, s.end, s.entity_type) for s in find(text)])
+        with mapping.attempt():
+            mapping.reserve(text)
+            return mapping, mask(mapping, text, [(s.start, s.end, s.entity_type) for s in find(text)]), None
     except Refused as e:
         return mapping, None, str(e)
-    return work.trimmed(), masked, None
 
 
 #: Turns of one session that meet its values in one task.

@@ -4,6 +4,7 @@ import random
 import time
 from itertools import permutations
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillveil.operators import evaluation, sessions
 from quillveil.operators.detection import Finder
+from quillveil.plans import catalog
 
 MAILS = ["b@example.com", "a.b@example.com", "x@example.org", "long.name@example.org", "name@example.org", "DE89 3704 0044 0532 0130 00", "q@example.net"]
 
@@ -100,3 +102,33 @@ def test_chain_of_spans(spark):
     assert tuple(evaluation.match_counts(gold, predicted, ["k"]).first())[2:] == (100_000, 0, 0)
     backwards = [[i, i + 1] if i % 7 else [i + 1, i] for i in range(50_000)]
     assert evaluation.matched([*backwards[::-1], [0]]) == 50_001
+
+
+@pytest.mark.parametrize("query", ["masked_bodies", "session_recurrence"])
+def test_sessions_of_more_values_than_are_usually_kept(spark, tmp_path, query):
+    """1,050 values in each of twenty sessions, compared with the query's SQL."""
+    spark.range(21_000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view customer as from '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.sql(catalog.SQL[query]).fetchall()
+    got = catalog.QUERIES[query](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_known_words_are_those_of_the_automaton():
+    pick = random.Random(1)
+    for _ in range(2000):
+        text = "".join(pick.choice("ab .ü[²") for _ in range(pick.randrange(14)))
+        values = {"".join(pick.choice("ab .ü²") for _ in range(pick.randrange(1, 5))) for _ in range(pick.randrange(9))}
+        assert sessions.known_words(text, values, {len(v) for v in values}) == list(sessions.whole_words(text, sessions.occurrences(sessions.automaton(values), text)))
+
+
+def test_a_failed_turn_is_taken_back():
+    mapping = sessions.Mapping()
+    sessions.turn(mapping, "a@x.com", Finder())
+    before = mapping.dump()
+    with pytest.raises(sessions.Refused), mapping.attempt():
+        mapping.reserve("[EMAIL_7]")
+        mapping.token("b@x.com", "EMAIL")
+        mapping.reserve("[EMAIL_1]")
+    assert mapping.dump() == before and mapping.lengths == {7: 1}
