@@ -196,8 +196,8 @@ def turn(mapping: Mapping, text: str | None, find: Finder) -> tuple[Mapping, str
         return mapping, None, str(e)
 
 
-#: Turns of one session that meet its values in one task.
-TURNS_AT_ONCE = 2048
+#: Turns of one session that meet its values in one task, and turns beyond which a word that leads to no value is left out early.
+TURNS_AT_ONCE, COMMON = 2048, 4096
 _PIECE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
 _ARROW_PIECES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
@@ -207,11 +207,10 @@ def _key(at: dict) -> tuple:
     return tuple((v is not None, v if v is not None else 0) for v in at.values())
 
 
-def _met(turns: DataFrame, issued: DataFrame, keys: list[str], blocks: DataFrame) -> DataFrame:
+def _met_all(turns: DataFrame, issued: DataFrame, keys: list[str], blocks: DataFrame) -> DataFrame:
     """(__row, __pieces, __error) of every turn, given the values that its session keeps: what is to be hidden (kind: null for a value that is known), or why it is refused.
 
-    turns: keys, __row, __at, __text, __spans, __tokens; issued: keys, value, token, __since (the turn that issued it).  Turns of a session meet its
-    values, which are few, in several tasks; a value is known to the turns after the one that issued it.
+    Every turn meets all values of its session by an automaton.  For texts so long that the occurrences of values in them have to be counted against the limit.
     """
     none = {c: F.lit(None).cast(turns.schema[c].dataType) for c in ("__row", "__at", "__text", "__spans", "__tokens")}
     many = tables.matching(turns, blocks, keys, "left").select(*turns.columns, F.pmod(F.xxhash64("__row"), F.coalesce("__blocks", F.lit(1))).cast("int").alias("__block"))
@@ -247,6 +246,67 @@ def _met(turns: DataFrame, issued: DataFrame, keys: list[str], blocks: DataFrame
     return dealt.select(*keys, "__block", "__row", "__at", "__text", "__spans", "__tokens", "value", "token", "__since").mapInArrow(run, schema)
 
 
+def _words(texts: DataFrame, keys: list[str], keep: list[str], text: str) -> DataFrame:
+    """(keys, keep, word) of the distinct words of each text (null if it has none); a word is what no known value begins or ends within."""
+    names = [*keys, *keep]
+    schema = T.StructType([*[texts.schema[c] for c in names], T.StructField("__words", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [list(dict.fromkeys(_WORDS.findall(t))) for t in b.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(words, pa.list_(pa.string()))], names=schema.names)
+
+    return texts.select(*names, text).mapInArrow(run, schema).select(*names, F.explode_outer("__words").alias("word"))
+
+
+def _met(turns: DataFrame, issued: DataFrame, keys: list[str], words: DataFrame, often: DataFrame) -> DataFrame:
+    """(__row, __pieces, __error) of every turn, given the values that its session keeps: what is to be hidden (kind: null for a value that is known), or why it is refused.
+
+    turns: keys, __row, __at, __text, __spans, __tokens; issued: keys, value, token, __since (the turn that issued it); words: keys, __row, word of the turns;
+    often: keys, word, __often.  A value is known to the turns after the one that issued it.  Where a value stands as whole words, all of its words are words of
+    the text, so a turn looks up the values of which it has the rarest word; a value without words is looked up by all turns.  The work follows the
+    values that turns share a rare word with, not turns times values.
+    """
+    issued = tables.table(issued)
+    lengths = issued.groupBy(*keys).agg(F.countDistinct(F.length("value")).alias("__lengths"))
+    sized = tables.matching(turns.where("__text is not null"), lengths, keys, "left").withColumn("__long", F.coalesce(F.length("__text").cast("long") * F.col("__lengths") > MATCH_BUDGET, F.lit(False))).drop("__lengths")
+    short, long_ = sized.where("not __long").drop("__long"), sized.where("__long").drop("__long")
+    own = tables.table(_words(issued.withColumn("__own", F.col("value")), keys, ["value", "__since"], "__own"))
+    bare = own.where("word is null")
+    rarest = tables.table(tables.matching(own.where("word is not null"), often, [*keys, "word"]).groupBy(*keys, "value", "__since").agg(F.min_by("word", F.struct("__often", "word")).alias("word")))
+    common = tables.matching(often.where(F.col("__often") > COMMON), rarest, [*keys, "word"], "left_anti").drop("__often")  # few: each is in many turns
+    rare = tables.matching(words, F.broadcast(common), [*keys, "word"], "left_anti")
+    hits = tables.matching(rare, rarest, [*keys, "word"]).where("__since < __at").select("__row", "value")
+    wrote = short.where(F.size("__tokens") > 0).select(*keys, "__row", "__at", F.explode("__tokens").alias("token"))
+    taken = tables.matching(wrote, issued, [*keys, "token"]).where("__since < __at").select("__row").distinct().withColumn("__taken", F.lit(True))
+    if not bare.isEmpty():
+        hits = hits.unionByName(tables.matching(short.select(*keys, "__row", "__at"), bare.drop("word"), keys).where("__since < __at").select("__row", "value"))
+    known = hits.groupBy("__row").agg(F.collect_set("value").alias("__known"))
+    rows = short.join(known, "__row", "left").join(taken, "__row", "left").select("__row", "__text", "__spans", "__known", "__taken")
+    schema = T.StructType([T.StructField("__row", T.LongType()), T.StructField("__pieces", _PIECE), T.StructField("__error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pieces, errors = [], []
+            for _, text, spans, values, refused in zip(*[b.column(i).to_pylist() for i in range(b.num_columns)], strict=True):
+                out, error = [], "mapping_literal_already_issued" if refused else None
+                if not refused:
+                    try:
+                        values = set(values or ())
+                        out = [{"start": x, "end": y, "kind": kind} for x, y, kind in placed(text, [(s["start"], s["end"], s["entity_type"]) for s in spans or ()], known_words(text, values, {len(v) for v in values}))]
+                    except Refused as e:
+                        error = str(e)
+                pieces.append(out)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pieces, _ARROW_PIECES), pa.array(errors, pa.string())], names=schema.names)
+
+    met = rows.mapInArrow(run, schema)
+    if long_.isEmpty():
+        return met
+    blocks = long_.groupBy(*keys).agg(F.ceil(F.count("*") / TURNS_AT_ONCE).cast("int").alias("__blocks")).where("__blocks > 1")
+    return met.unionByName(_met_all(long_, issued, keys, blocks))
+
+
 def _issued(turns: DataFrame, met: DataFrame, keys: list[str], most: int) -> DataFrame:
     """(keys, value, first, placeholder, __kept) of everything that turns issue: kept values once, by the first of them; others anew in each turn."""
     both = turns.join(met.where("__error is null"), "__row")
@@ -270,7 +330,7 @@ def mask_sessions(df: DataFrame, session: list[str], order: list[str], text: str
     """session, order, masked text, status and error_class of every turn (nulls first in the order).
 
     What a turn hides depends on the values that the turns before it issued.  That is solved for all turns of all sessions at once: assumed that every found
-    span issues its value, all turns meet the values that were issued before them; what they then issue is assumed next, until nothing changes.
+    span issues its value, all turns meet (by their words) the values that were issued before them; what they then issue is assumed next, until nothing changes.
     The first turns of a session are right after the first round, those that depend on them after the next, and so on; only known values that hold found
     spans, and refused turns, need more than one.  So the turns of one session are worked on in parallel.  Equal places in the order are told apart by row.
     """
@@ -280,18 +340,21 @@ def mask_sessions(df: DataFrame, session: list[str], order: list[str], text: str
     found = tables.table(detect(rows, text, "__spans").withColumn("__tokens", pseudonyms.tokens(own)))
     at = F.struct(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(order)], F.col("__row").alias("row"))
     turns = found.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(session, keys, strict=True)], "__row", at.alias("__at"), own.alias("__text"), "__spans", "__tokens")
-    blocks = turns.groupBy(*keys).agg(F.ceil(F.count("*") / TURNS_AT_ONCE).cast("int").alias("__blocks")).where("__blocks > 1")
     taken = F.transform("__spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["entity_type"].alias("kind")))
     met = turns.where("__text is not null").select("__row", taken.alias("__pieces"), F.lit(None).cast("string").alias("__error"))
-    state = None
+    state, words, often = None, None, None
     while True:
         issued = _issued(turns, met, keys, most)
         kept = issued.where("__kept").select(*keys, "value", F.col("placeholder").alias("token"), F.col("first.at").alias("__since"))
         digest = issued.agg(F.count("*"), F.sum(F.xxhash64(*issued.columns).cast("decimal(38,0)"))).first()
-        if digest == state:
+        if digest == state or not digest[0]:
             break
         state = digest
-        met = tables.table(_met(turns, kept, keys, blocks))
+        if words is None:  # of the sessions that issue anything; no others ever will
+            asking = tables.matching(turns.where("__text is not null"), kept.select(*keys).distinct(), keys, "left_semi")
+            words = tables.table(_words(asking, keys, ["__row", "__at"], "__text").where("word is not null"))
+            often = tables.table(words.groupBy(*keys, "word").agg(F.count("*").alias("__often")))
+        met = tables.table(_met(turns, kept, keys, words, often))
     pieces = turns.join(met.where("__error is null and size(__pieces) > 0"), "__row").select(*keys, "__row", F.col("__at").alias("at"), "__text", F.explode("__pieces").alias("p"))
     pieces = pieces.select(*keys, "__row", "at", "p.start", "p.end", F.substring("__text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("value"))
     own_issue = issued.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("value").alias("v"), F.when(~F.col("__kept"), F.col("first.at")).alias("only"), "placeholder", "__kept")
