@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import tables
+from . import resolution
+
 #: The least overlap of a match, and the least part of a span that must lie on gold.
 LEAST_IOU, LEAST_SHARE = 0.5, 0.5
 #: By how much thresholds are moved to compare ways of asking.
@@ -107,14 +110,40 @@ def matched(choices: list[list[int]]) -> int:
                     far[path.pop()] = -1
 
 
-def match_counts(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, entity_type, tp, fp, fn): spans of one type match one to one if they overlap enough."""
+#: Spans of one key and type that one task may match without their being cut into chains.
+ONE_CHAIN = 1 << 14
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys, "entity_type").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"))).alias(name))
 
-    both = side(gold, "gold").join(side(predicted, "predicted"), [*keys, "entity_type"], "full")
+def match_counts(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, entity_type, tp, fp, fn): spans of one type match one to one if they overlap enough.
+
+    Only spans that an unbroken chain of overlaps joins can be rivals.  Where a key has many spans of a type, they are cut into these chains by ranges, so
+    a task holds a chain at most, and chains of one span, or of one on each side, need no matching.
+    """
     names = [*keys, "entity_type"]
+    place = [F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e")]
+    spans = tables.table(gold.select(*names, *place, F.lit(True).alias("__gold")).unionByName(predicted.select(*names, *place, F.lit(False).alias("__gold"))))
+    most = spans.groupBy(*names).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+    by = names
+    if most > ONE_CHAIN:
+        spans, by = resolution.chained(spans, names, "s", "e", "__chain"), [*names, "__chain"]
+    side = F.struct("s", "e")
+    both = spans.groupBy(*by).agg(F.collect_list(F.when(F.col("__gold"), side)).alias("gold"), F.collect_list(F.when(~F.col("__gold"), side)).alias("predicted")).drop("__chain")
+    n, m = F.size("gold").cast("long"), F.size("predicted").cast("long")
+    if most <= ONE_CHAIN:
+        return _matching(both, names)
+    g, p = F.col("gold")[0], F.col("predicted")[0]
+    shared = F.least(g["e"], p["e"]) - F.greatest(g["s"], p["s"])
+    hit = ((shared > 0) & (shared >= LEAST_IOU * (F.greatest(g["e"], p["e"]) - F.least(g["s"], p["s"])))).cast("long")
+    tp = F.when((n == 0) | (m == 0), F.lit(0).cast("long")).otherwise(hit)
+    both = tables.table(both.withColumn("__easy", (n == 0) | (m == 0) | ((n == 1) & (m == 1))))
+    easy = both.where("__easy").select(*names, tp.alias("tp"), (m - tp).alias("fp"), (n - tp).alias("fn"))
+    each = easy.unionByName(_matching(both.where("not __easy").drop("__easy"), names))
+    return each.groupBy(*names).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
+def _matching(both: DataFrame, names: list[str]) -> DataFrame:
+    """(names, tp, fp, fn) of each row's gold and predicted spans."""
     schema = T.StructType([both.schema[k] for k in names] + [T.StructField(n, T.LongType()) for n in ("tp", "fp", "fn")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

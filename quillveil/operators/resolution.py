@@ -155,20 +155,28 @@ def islands(spans: DataFrame, keys: list[str], start: str = "start", end: str =
     rows, both running maxima are taken over ranges, so that no task orders a whole key.
     """
     own = spans.select(*keys, F.col(start).alias("__start"), F.col(end).alias("__end"))
-    opens = F.when(F.coalesce(F.col("__start") >= F.col("__before"), F.lit(True)), F.col("__start"))
     most = own.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
     if most > one_window:
-        cut = scans.Ranges(own, keys, ["__start", "__end"])
-        line = cut.running(cut.rows, "__before", F.max, F.col("__end"), current=False).withColumn("__opens", opens)
-        line = cut.running(line, "__island", F.max, F.col("__opens"))
+        line = chained(own, keys, "__start", "__end", "__island")
     else:
         order = Window.partitionBy(*keys).orderBy("__start", "__end")
-        line = own.withColumn("__before", F.max("__end").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__opens", opens)
+        line = own.withColumn("__before", F.max("__end").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__opens", _opens("__start"))
         line = line.withColumn("__island", F.max("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # an empty span may open an island where another one begins, at the same start
     return line.groupBy(*keys, "__island").agg(F.min("__start").alias(start), F.max("__end").alias(end), F.count("*").alias("spans")).drop("__island")
 
 
+def _opens(start: str) -> Column:
+    return F.when(F.coalesce(F.col(start) >= F.col("__before"), F.lit(True)), F.col(start))
+
+
+def chained(spans: DataFrame, keys: list[str], start: str, end: str, name: str) -> DataFrame:
+    """spans with name: the first start of the island that each one belongs to, found by ranges, so that no task orders a whole key."""
+    cut = scans.Ranges(spans, keys, [start, end])
+    line = cut.running(cut.rows, "__before", F.max, F.col(end), current=False).withColumn("__opens", _opens(start))
+    return cut.running(line, name, F.max, F.col("__opens")).drop("__before", "__opens", cut.part)
+
+
 def _level(start: Column, end: Column) -> Column:
     """The power of two that is the smallest bin of at least a span's length (an empty one counts as one place)."""
     return F.ceil(F.log2(F.greatest(end - start, F.lit(1)).cast("double"))).cast("int")

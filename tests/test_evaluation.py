@@ -201,3 +201,16 @@ def test_ways_of_asking(spark):
     assert {k: v[3] for k, v in got.items()} == {k: k[0] != "x" and v[0] >= want["x", 0.0][0] and v[1] <= want["x", 0.0][1] for k, v in want.items()}
     assert evaluation.asked(frames[0].limit(0), frames[1].limit(0), frames[2].limit(0), ["doc"]).count() == 0
     assert not evaluation.dominating(evaluation.asked(*frames, ["doc"]), "none").where("dominates").count()
+
+
+def test_spans_of_one_key_are_matched_chain_by_chain(spark, monkeypatch):
+    pick = random.Random(3)
+
+    def some():
+        return [(d, pick.choice(["A", "B"]), a, a + pick.randrange(1, 6)) for d in (1, 2) for a in (pick.randrange(150) for _ in range(80))]
+
+    gold, predicted = (spark.createDataFrame(some(), "doc int, entity_type string, start int, `end` int") for _ in range(2))
+    whole = evaluation.match_counts(gold, predicted, ["doc"]).collect()
+    monkeypatch.setattr(evaluation, "ONE_CHAIN", 0)
+    cut = evaluation.match_counts(gold, predicted, ["doc"])
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole))
