@@ -6,6 +6,10 @@ import re
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from quillveil import tables
+from quillveil.operators import jsontext
 from quillveil import provenance
 from quillveil.__main__ import main
 from quillveil.functions import identifiers
@@ -187,3 +191,15 @@ def test_vocabulary_gaps(spark):
     used, declared = (spark.createDataFrame([(t,) for t in x], "entity_type string") for x in (["A", "B", "B", None], ["B", "C", None, None]))
     assert sorted(tuple(r) for r in catalogs.vocabulary_gaps(used, declared).collect()) == [("A", "undeclared"), ("C", "unused")]
     assert catalogs.vocabulary_gaps(used, used).count() == 0 == catalogs.vocabulary_gaps(used.limit(0), used.limit(0)).count()
+
+
+def test_long_json_texts_are_given_out_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(jsontext, "MOST_AT_ONCE", 50)
+    rows = [(i, None if i % 7 == 3 else '{"a":"' + "x" * (i % 9 * 20) + '"}') for i in range(60)]
+    got = jsontext.json_leaves(spark.createDataFrame(rows, "k int, body string").coalesce(1), "body", ["k"]).collect()
+    assert [(r.k, len(r.leaves[0].value) if r.leaves else None) for r in got] == [(k, None if t is None else len(t) - 8) for k, t in rows]
+
+
+def test_rows_are_dealt_by_their_work(spark):
+    got = tables.spread(spark.range(100).coalesce(1), F.col("id"), 1000)
+    assert got.rdd.getNumPartitions() == 5 and sorted(r.id for r in got.collect()) == list(range(100))
