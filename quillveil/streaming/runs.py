@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from typing import Any, NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -244,7 +245,7 @@ class Stream:
 
     def _scrubbed(self, root: Any, places: list[Place]) -> Any:
         """The event without the pieces of runs, restored."""
-        bare = jsontext.parse(jsontext.dump(root))
+        bare = _copied(root)
         for p in places:
             chat.write(bare, p.pointer, "")
         return self.look.value(bare)
@@ -332,6 +333,12 @@ class Stream:
         return out
 
 
+def _copied(node: Any) -> Any:
+    if isinstance(node, Members):
+        return Members((k, _copied(v)) for k, v in node)
+    return [_copied(v) for v in node] if isinstance(node, list) else node
+
+
 def _event(row: list) -> Event:
     return Event(row[0], row[1], tuple(row[2]))
 
@@ -372,6 +379,10 @@ def _class(error: str) -> str:
 
 OUTPUT = T.StructType([T.StructField("stream_id", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("ord", T.IntegerType()), T.StructField("event", T.StringType()), T.StructField("error_class", T.StringType())])
 
+_ARROW_OUTPUT = pa.schema([("stream_id", pa.string()), ("seq", pa.int64()), ("ord", pa.int32()), ("event", pa.string()), ("error_class", pa.string())])
+#: Events that are given out together.
+ROWS_AT_ONCE = 4096
+
 
 class _Feed:
     """One stream's chunks in order: bytes to events to restored events."""
@@ -437,11 +448,32 @@ def restore_events(chunks: DataFrame, shape: str, client_format: str | None = No
     Null chunks are empty.  A stream without its last chunk gives what is complete.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        return pd.DataFrame(_Feed(shape, client_format).rows(pdf["stream_id"].iloc[0], _items(pdf)), columns=OUTPUT.names)
-
-    return _columns(chunks).groupBy("stream_id").applyInPandas(run, OUTPUT)
+    columns = _columns(chunks).withColumn("__row", F.monotonically_increasing_id())
+    dealt = columns.repartition("stream_id").sortWithinPartitions("stream_id", F.col("seq").asc_nulls_last(), "__row").drop("__row")
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list]]:
+        """Each stream with all its chunks; a partition's streams come one after another."""
+        own, items = None, None
+        for b in batches:
+            for id_, *item in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if items is None or id_ != own:
+                    if items is not None:
+                        yield own, items
+                    own, items = id_, []
+                items.append(item)
+        if items is not None:
+            yield own, items
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for id_, items in streams(batches):
+            out += _Feed(shape, client_format).rows(id_, [(int(s), bytes(c or b""), bool(x), dict(v or {}), list(w or ())) for s, c, x, v, w in items])
+            if len(out) >= ROWS_AT_ONCE:
+                yield pa.RecordBatch.from_pylist([dict(zip(OUTPUT.names, r, strict=True)) for r in out], _ARROW_OUTPUT)
+                out = []
+        yield pa.RecordBatch.from_pylist([dict(zip(OUTPUT.names, r, strict=True)) for r in out], _ARROW_OUTPUT)
+
+    return dealt.mapInArrow(run, OUTPUT)
 
 
 def restore_event_stream(chunks: DataFrame, shape: str, client_format: str | None = None, idle_seconds: int = fragments.IDLE_SECONDS) -> DataFrame:

@@ -140,3 +140,11 @@ def test_tables(spark, tmp_path):
     half = len(rows) // 2
     late = run_stream(spark, [rows[half:], rows[:half]], schema, tmp_path, lambda df: runs.restore_event_stream(df, "chat"), ["stream_id", "seq", "ord"], want=len(got))
     assert [tuple(r) for r in late] == [tuple(r) for r in got]
+
+
+def test_many_streams_pass_one_task_one_after_another(spark, monkeypatch):
+    monkeypatch.setattr(runs, "ROWS_AT_ONCE", 2)
+    event = 'data: {"choices":[{"index":0,"delta":{"content":"[ORG_2] %d"},"finish_reason":"stop"}]}\n\n'
+    rows = [(f"s{i}", 0, bytearray((event % i).encode()), True, {"[ORG_2]": "Berg"}) for i in range(9)]
+    got = runs.restore_events(spark.createDataFrame(rows, "stream_id string, seq long, chunk binary, last boolean, `values` map<string,string>").coalesce(1), "chat").collect()
+    assert sorted((r.stream_id, f"Berg {r.stream_id[1:]}" in r.event, r.error_class) for r in got) == [(f"s{i}", True, None) for i in range(9)]
