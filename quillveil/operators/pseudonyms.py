@@ -137,9 +137,9 @@ def _steps(ranked: DataFrame, session: list[str], literals: DataFrame) -> DataFr
 def number(values: DataFrame, session: list[str], literals: DataFrame | None = None) -> DataFrame:
     """Adds n and placeholder.  Where callers wrote literals, numbering steps over the numbers of those of the same type.
 
-    session may be empty: then all values are one session's.
+    session may be empty: then all values are one session's.  Values that have their __rank already aren't ordered again.
     """
-    ranked = _ranked(values, session)
+    ranked = values if "__rank" in values.columns else _ranked(values, session)
     if literals is None:
         numbered = ranked.withColumn("n", F.col("__rank").cast("int"))
     else:
@@ -191,7 +191,8 @@ def pseudonymize(df: DataFrame, session: list[str], position: list[str], text: s
     value = F.substring("__text", F.col("__s.start") + 1, F.col("__s.end") - F.col("__s.start"))
     found = searched.where(F.size(spans) > 0).select(F.col(row).alias("__row"), *named_keys, *[F.col(f"`{c}`").alias(p) for c, p in zip(position, places, strict=True)], own.alias("__text"), F.explode(spans).alias("__s"))
     found = found.select("__row", *keys, *places, F.col("__s.start").alias("__start"), F.col("__s.end").alias("__end"), F.col("__s.entity_type").alias("entity_type"), value.alias("value"))
-    mapping = tables.table(number(first_values(found, keys, [*places, "__row", "__start"]), keys, reserved if literals and not reserved.isEmpty() else None))
+    numbered = tables.alone(df.sparkSession, lambda: number(first_values(found, keys, [*places, "__row", "__start"]), keys, reserved if literals and not reserved.isEmpty() else None))
+    mapping = df.sparkSession.read.parquet(numbered)
     issued = mapping.select(*keys, "value", "placeholder")
     named = found.join(issued, tables.same(found, issued, keys) & (found["value"] == issued["value"]))
     piece = F.struct(F.col("__start").alias("start"), F.col("__end").alias("end"), "placeholder")

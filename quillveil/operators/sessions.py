@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Container, Iterable, Iterator
 from contextlib import contextmanager
@@ -15,7 +16,9 @@ from itertools import islice, pairwise
 from typing import Any
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,10 +199,16 @@ def turn(mapping: Mapping, text: str | None, find: Finder) -> tuple[Mapping, str
         return mapping, None, str(e)
 
 
-#: Turns of one session that meet its values in one task, and turns beyond which a word that leads to no value is left out early.
-TURNS_AT_ONCE, COMMON = 2048, 4096
-_PIECE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
-_ARROW_PIECES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+#: Turns of one session that meet its values in one task.
+TURNS_AT_ONCE = 2048
+#: Powers of two: counters of a row of the sketch of words, and places of the set of words that lead to values.  Both are broadcast (4 MB each).
+SKETCH, LEADING = 18, 25
+_PIECE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
+_ARROW_PIECES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
+
+
+def _piece(text: str, at: tuple[int, int, str | None]) -> dict:
+    return {"start": at[0], "end": at[1], "kind": at[2], "value": text[at[0] : at[1]]}
 
 
 def _key(at: dict) -> tuple:
@@ -236,7 +245,7 @@ def _met_all(turns: DataFrame, issued: DataFrame, keys: list[str], blocks: DataF
                         raise Refused("mapping_literal_already_issued")
                     known = whole_words(text, occurrences(finds, text, lambda v, now=now: since[v] < now))
                     pieces = placed(text, [(s["start"], s["end"], s["entity_type"]) for s in spans or ()], known)
-                    rows.append((row, [{"start": x, "end": y, "kind": kind} for x, y, kind in pieces], None))
+                    rows.append((row, [_piece(text, p) for p in pieces], None))
                 except Refused as e:
                     rows.append((row, [], str(e)))
             c = list(zip(*rows, strict=True)) or [()] * 3
@@ -246,84 +255,142 @@ def _met_all(turns: DataFrame, issued: DataFrame, keys: list[str], blocks: DataF
     return dealt.select(*keys, "__block", "__row", "__at", "__text", "__spans", "__tokens", "value", "token", "__since").mapInArrow(run, schema)
 
 
-def _words(texts: DataFrame, keys: list[str], keep: list[str], text: str) -> DataFrame:
-    """(keys, keep, word) of the distinct words of each text (null if it has none); a word is what no known value begins or ends within."""
-    names = [*keys, *keep]
+def _spread(words: Iterable[str]) -> np.ndarray:
+    """Two 32-bit numbers of each word, as rows."""
+    own = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64)
+    return np.stack([own, own * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)])
+
+
+def _places(hashes: np.ndarray) -> np.ndarray:
+    """Where the sketch counts words, in each of its two rows."""
+    return (hashes >> np.uint64(32 - SKETCH)).astype(np.int64)
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return (hashes[1] >> np.uint64(32 - LEADING)).astype(np.int64)
+
+
+def _sketched(texts: DataFrame, text: str) -> np.ndarray:
+    """How often words occur in texts, once for each text that has them: a count-min sketch, so a word's smaller counter is never below its count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << SKETCH), np.int64)
+        for b in batches:
+            at = _places(_spread(w for t in b.column(0).to_pylist() for w in set(_WORDS.findall(t))))
+            for row in range(2):
+                counts[row] += np.bincount(at[row], minlength=1 << SKETCH)
+        flat = counts.ravel()
+        used = flat.nonzero()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(flat[used])], names=["place", "n"])
+
+    sums = tables.collected(texts.select(text).mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")))
+    out = np.zeros(2 << SKETCH, np.int64)
+    out[sums["place"].to_numpy()] = sums["n"].to_numpy()
+    return out.reshape(2, -1)
+
+
+def _leads(issued: DataFrame, keys: list[str], sketch: Broadcast) -> DataFrame:
+    """(keys, value, __since, word, __bit) of each value: its rarest word by the sketch (null if it has none), and the word's place in the set of such words."""
+    names = [*keys, "value", "__since"]
+    schema = T.StructType([*[issued.schema[c] for c in names], T.StructField("word", T.StringType()), T.StructField("__bit", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [sorted(set(_WORDS.findall(v))) for v in b.column(len(keys)).to_pylist()]
+            hashes = _spread(w for words in own for w in words)
+            often, bits, at = np.minimum(*(row[p] for row, p in zip(sketch.value, _places(hashes), strict=True))), _bits(hashes), 0
+            rarest: list[tuple[str | None, int | None]] = []
+            for words in own:
+                i = int(often[at : at + len(words)].argmin()) if words else 0
+                rarest.append((words[i], int(bits[at + i])) if words else (None, None))
+                at += len(words)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([w for w, _ in rarest], pa.string()), pa.array([x for _, x in rarest], pa.int64())], names=schema.names)
+
+    return issued.select(*names).mapInArrow(run, schema)
+
+
+def _words(texts: DataFrame, keys: list[str], leading: Broadcast) -> DataFrame:
+    """(keys, __row, __at, word) of the distinct words of each text that may lead to a value; a word is what no known value begins or ends within."""
+    names = [*keys, "__row", "__at"]
     schema = T.StructType([*[texts.schema[c] for c in names], T.StructField("__words", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [list(dict.fromkeys(_WORDS.findall(t))) for t in b.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(words, pa.list_(pa.string()))], names=schema.names)
+            found = [list(dict.fromkeys(_WORDS.findall(t))) for t in b.column(len(names)).to_pylist()]
+            at = _bits(_spread(w for words in found for w in words))
+            led = iter((leading.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool).tolist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([[w for w in words if next(led)] for words in found], pa.list_(pa.string()))], names=schema.names)
 
-    return texts.select(*names, text).mapInArrow(run, schema).select(*names, F.explode_outer("__words").alias("word"))
+    return texts.select(*names, "__text").mapInArrow(run, schema).select(*names, F.explode("__words").alias("word"))
 
 
-def _met(turns: DataFrame, issued: DataFrame, keys: list[str], words: DataFrame, often: DataFrame) -> DataFrame:
-    """(__row, __pieces, __error) of every turn, given the values that its session keeps: what is to be hidden (kind: null for a value that is known), or why it is refused.
+def _met(turns: DataFrame, issued: DataFrame, keys: list[str], sketch: Broadcast) -> DataFrame:
+    """(keys, __row, __at, __tokens, __pieces, __error) of every turn, given the values that its session keeps: what is to be hidden (kind: null for a value that is known), or why it is refused.
 
-    turns: keys, __row, __at, __text, __spans, __tokens; issued: keys, value, token, __since (the turn that issued it); words: keys, __row, word of the turns;
-    often: keys, word, __often.  A value is known to the turns after the one that issued it.  Where a value stands as whole words, all of its words are words of
-    the text, so a turn looks up the values of which it has the rarest word; a value without words is looked up by all turns.  The work follows the
-    values that turns share a rare word with, not turns times values.
+    turns: keys, __row, __at, __text, __spans, __tokens; issued: keys, value, token, __since (the turn that issued it).  A value is known to the turns after the
+    one that issued it.  Where a value stands as whole words, all of its words are words of the text, so a turn looks up the values of which it has the rarest
+    word; a value without words is looked up by all turns.  The work follows the values that turns share a rare word with, not turns times values.  Which word
+    of a value is rare is read from a sketch, and only words that may lead to a value leave their text, so neither words nor values are shuffled to be counted.
     """
-    issued = tables.table(issued)
+    context = turns.sparkSession.sparkContext
     lengths = issued.groupBy(*keys).agg(F.countDistinct(F.length("value")).alias("__lengths"))
     sized = tables.matching(turns.where("__text is not null"), lengths, keys, "left").withColumn("__long", F.coalesce(F.length("__text").cast("long") * F.col("__lengths") > MATCH_BUDGET, F.lit(False))).drop("__lengths")
     short, long_ = sized.where("not __long").drop("__long"), sized.where("__long").drop("__long")
-    own = tables.table(_words(issued.withColumn("__own", F.col("value")), keys, ["value", "__since"], "__own"))
-    bare = own.where("word is null")
-    rarest = tables.table(tables.matching(own.where("word is not null"), often, [*keys, "word"]).groupBy(*keys, "value", "__since").agg(F.min_by("word", F.struct("__often", "word")).alias("word")))
-    common = tables.matching(often.where(F.col("__often") > COMMON), rarest, [*keys, "word"], "left_anti").drop("__often")  # few: each is in many turns
-    rare = tables.matching(words, F.broadcast(common), [*keys, "word"], "left_anti")
-    hits = tables.matching(rare, rarest, [*keys, "word"]).where("__since < __at").select("__row", "value")
+    leads = _leads(issued, keys, sketch)
+    used = tables.collected(leads.groupBy(F.shiftright("__bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__bit & 63 as int))")).alias("bits"))).to_pydict()
+    bare, leading = None in used["at"], np.zeros(1 << LEADING - 6, np.int64)
+    for at, bits in zip(used["at"], used["bits"], strict=True):
+        if at is not None:
+            leading[at] = bits
+    words = _words(short, keys, context.broadcast(leading.view(np.uint64)))
+    hits = tables.matching(words, leads.where("word is not null"), [*keys, "word"]).where("__since < __at").select("__row", "value")
+    if bare:
+        hits = hits.unionByName(tables.matching(short.select(*keys, "__row", "__at"), leads.where("word is null").drop("word", "__bit"), keys).where("__since < __at").select("__row", "value"))
     wrote = short.where(F.size("__tokens") > 0).select(*keys, "__row", "__at", F.explode("__tokens").alias("token"))
-    taken = tables.matching(wrote, issued, [*keys, "token"]).where("__since < __at").select("__row").distinct().withColumn("__taken", F.lit(True))
-    if not bare.isEmpty():
-        hits = hits.unionByName(tables.matching(short.select(*keys, "__row", "__at"), bare.drop("word"), keys).where("__since < __at").select("__row", "value"))
-    known = hits.groupBy("__row").agg(F.collect_set("value").alias("__known"))
-    rows = short.join(known, "__row", "left").join(taken, "__row", "left").select("__row", "__text", "__spans", "__known", "__taken")
-    schema = T.StructType([T.StructField("__row", T.LongType()), T.StructField("__pieces", _PIECE), T.StructField("__error", T.StringType())])
+    taken = tables.matching(wrote, issued, [*keys, "token"]).where("__since < __at").select("__row", F.lit(None).cast("string").alias("value"))
+    both = hits.withColumn("__taken", F.lit(False)).unionByName(taken.withColumn("__taken", F.lit(True)))
+    known = tables.table(both.groupBy("__row").agg(F.collect_set("value").alias("__known"), F.max("__taken").alias("__taken")))
+    names = [*keys, "__row", "__at", "__tokens"]
+    rows = short.join(known, "__row", "left").select(*names, "__text", "__spans", "__known", "__taken")
+    schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("__pieces", _PIECE), T.StructField("__error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pieces, errors = [], []
-            for _, text, spans, values, refused in zip(*[b.column(i).to_pylist() for i in range(b.num_columns)], strict=True):
+            for text, spans, values, refused in zip(*[c.to_pylist() for c in b.columns[len(names) :]], strict=True):
                 out, error = [], "mapping_literal_already_issued" if refused else None
                 if not refused:
                     try:
                         values = set(values or ())
-                        out = [{"start": x, "end": y, "kind": kind} for x, y, kind in placed(text, [(s["start"], s["end"], s["entity_type"]) for s in spans or ()], known_words(text, values, {len(v) for v in values}))]
+                        out = [_piece(text, p) for p in placed(text, [(s["start"], s["end"], s["entity_type"]) for s in spans or ()], known_words(text, values, {len(v) for v in values}))]
                     except Refused as e:
                         error = str(e)
                 pieces.append(out)
                 errors.append(error)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pieces, _ARROW_PIECES), pa.array(errors, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(pieces, _ARROW_PIECES), pa.array(errors, pa.string())], names=schema.names)
 
     met = rows.mapInArrow(run, schema)
     if long_.isEmpty():
         return met
     blocks = long_.groupBy(*keys).agg(F.ceil(F.count("*") / TURNS_AT_ONCE).cast("int").alias("__blocks")).where("__blocks > 1")
-    return met.unionByName(_met_all(long_, issued, keys, blocks))
+    return met.unionByName(long_.select(*names).join(_met_all(long_, issued, keys, blocks), "__row"))
 
 
-def _issued(turns: DataFrame, met: DataFrame, keys: list[str], most: int) -> DataFrame:
+def _issued(met: DataFrame, keys: list[str], most: int) -> DataFrame:
     """(keys, value, first, placeholder, __kept) of everything that turns issue: kept values once, by the first of them; others anew in each turn."""
-    both = turns.join(met.where("__error is null"), "__row")
-    place = F.struct(F.col("__at").alias("at"), F.col("p.start").alias("start"))
-    found = both.select(*keys, "__at", "__text", F.explode("__pieces").alias("p")).where("p.kind is not null")
-    found = found.select(*keys, "__at", F.substring("__text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("value"), pseudonyms.known_type(F.col("p.kind")).alias("entity_type"), place.alias("first"))
-    found = tables.table(found)
+    met = met.where("__error is null")
+    found = met.select(*keys, "__at", F.explode("__pieces").alias("p")).where("p.kind is not null")
+    found = found.select(*keys, "__at", "p.value", pseudonyms.known_type(F.col("p.kind")).alias("entity_type"), F.struct(F.col("__at").alias("at"), F.col("p.start").alias("start")).alias("first"))
     firsts = found.groupBy(*keys, "value").agg(F.min_by("entity_type", "first").alias("entity_type"), F.min("first").alias("first"))
     cut = scans.Ranges(firsts, keys, ["first"])
-    ranked = tables.table(cut.running(cut.rows, "__rank", F.sum, F.lit(1)).drop(cut.part).withColumn("__kept", F.col("__rank") <= most).drop("__rank"))
-    events, declined = ranked.where("__kept"), ranked.where("not __kept").select(*keys, "value")
+    ranked = tables.table(cut.running(cut.rows, "__rank", F.sum, F.lit(1)).drop(cut.part).withColumn("__kept", F.col("__rank") <= most))
+    events, declined = ranked, ranked.where("not __kept").select(*keys, "value")
     if not declined.isEmpty():
         again = tables.matching(found, declined, [*keys, "value"], "left_semi").groupBy(*keys, "value", "__at").agg(F.min_by("entity_type", "first").alias("entity_type"), F.min("first").alias("first"))
-        events = events.unionByName(again.drop("__at").withColumn("__kept", F.lit(False)))
-    wrote = both.where(F.size("__tokens") > 0).select(*keys, "__at", F.explode("__tokens").alias("token")).groupBy(*keys, "token").agg(F.min("__at").alias("since"))
+        events = ranked.where("__kept").drop("__rank").unionByName(again.drop("__at").withColumn("__kept", F.lit(False)))
+    wrote = met.where(F.size("__tokens") > 0).select(*keys, "__at", F.explode("__tokens").alias("token")).groupBy(*keys, "token").agg(F.min("__at").alias("since"))
     numbered = pseudonyms.number(events, keys, None if wrote.isEmpty() else wrote)
-    return tables.table(numbered.select(*keys, "value", "first", "placeholder", "__kept"))
+    return numbered.select(*keys, "value", "first", "placeholder", "__kept")
 
 
 def mask_sessions(df: DataFrame, session: list[str], order: list[str], text: str = "text", most: int = MOST_VALUES) -> DataFrame:
@@ -340,29 +407,31 @@ def mask_sessions(df: DataFrame, session: list[str], order: list[str], text: str
     found = tables.table(detect(rows, text, "__spans").withColumn("__tokens", pseudonyms.tokens(own)))
     at = F.struct(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(order)], F.col("__row").alias("row"))
     turns = found.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(session, keys, strict=True)], "__row", at.alias("__at"), own.alias("__text"), "__spans", "__tokens")
-    taken = F.transform("__spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["entity_type"].alias("kind")))
-    met = turns.where("__text is not null").select("__row", taken.alias("__pieces"), F.lit(None).cast("string").alias("__error"))
-    state, words, often = None, None, None
+    taken = F.transform("__spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["entity_type"].alias("kind"), F.substring("__text", s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")).alias("value")))
+    met = turns.where("__text is not null").select(*keys, "__row", "__at", "__tokens", taken.alias("__pieces"), F.lit(None).cast("string").alias("__error"))
+    spark, state, sketch, met_at = df.sparkSession, None, None, None
     while True:
-        issued = _issued(turns, met, keys, most)
-        kept = issued.where("__kept").select(*keys, "value", F.col("placeholder").alias("token"), F.col("first.at").alias("__since"))
+        issued_at = tables.alone(spark, lambda met=met: _issued(met, keys, most))
+        issued = spark.read.parquet(issued_at)
         digest = issued.agg(F.count("*"), F.sum(F.xxhash64(*issued.columns).cast("decimal(38,0)"))).first()
         if digest == state or not digest[0]:
             break
         state = digest
-        if words is None:  # of the sessions that issue anything; no others ever will
-            asking = tables.matching(turns.where("__text is not null"), kept.select(*keys).distinct(), keys, "left_semi")
-            words = tables.table(_words(asking, keys, ["__row", "__at"], "__text").where("word is not null"))
-            often = tables.table(words.groupBy(*keys, "word").agg(F.count("*").alias("__often")))
-        met = tables.table(_met(turns, kept, keys, words, often))
-    pieces = turns.join(met.where("__error is null and size(__pieces) > 0"), "__row").select(*keys, "__row", F.col("__at").alias("at"), "__text", F.explode("__pieces").alias("p"))
-    pieces = pieces.select(*keys, "__row", "at", "p.start", "p.end", F.substring("__text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("value"))
+        kept = issued.where("__kept").select(*keys, "value", F.col("placeholder").alias("token"), F.col("first.at").alias("__since"))
+        sketch = sketch or spark.sparkContext.broadcast(_sketched(turns.where("__text is not null"), "__text"))
+        tables.delete(spark, met_at)
+        met_at = tables.alone(spark, lambda kept=kept: _met(turns, kept, keys, sketch))
+        tables.delete(spark, issued_at)
+        met = spark.read.parquet(met_at)
+    pieces = met.where("__error is null").select(*keys, "__row", F.col("__at").alias("at"), F.explode("__pieces").alias("p")).select(*keys, "__row", "at", "p.start", "p.end", "p.value")
     own_issue = issued.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("value").alias("v"), F.when(~F.col("__kept"), F.col("first.at")).alias("only"), "placeholder", "__kept")
     same = (F.col("value") == F.col("v")) & (F.col("__kept") | (F.col("only") == F.col("at")))
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
-    named = pieces.join(own_issue, same).groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "placeholder"))).alias("__named"))
-    out = found.join(met.select("__row", "__error"), "__row", "left").join(named, "__row", "left")
+    named = pieces.join(own_issue, same).groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "placeholder"))).alias("__named")).withColumn("__error", F.lit(None).cast("string"))
+    named = tables.table(named.unionByName(met.where("__error is not null").select("__row", "__error"), allowMissingColumns=True))
+    tables.delete(spark, met_at, issued_at)
+    out = found.join(named, "__row", "left")
     masked = F.when(F.col("__error").isNull(), F.when(F.col("__named").isNull(), own).otherwise(pseudonyms.splice(own, F.col("__named"))))
     names = list(dict.fromkeys([*session, *order]))
     return out.select(*[F.col(f"`{c}`") for c in names], masked.alias(text), F.when(F.col("__error").isNull(), "completed").otherwise("refused").alias("status"), F.col("__error").alias("error_class"))

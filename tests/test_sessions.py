@@ -1,5 +1,6 @@
 """Sessions solved in parallel against turns taken one after another; matching against brute force."""
 
+import pathlib
 import random
 import time
 from itertools import permutations
@@ -49,6 +50,15 @@ def test_sessions_in_parallel(spark, monkeypatch, seed, literals, most):
     assert sorted((tuple(r) for r in got.collect()), key=str) == one_after_another(rows, most)
 
 
+def test_what_sessions_leave_on_disk(spark):
+    place = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(place.glob("*"))
+    rows = [("s", n, f"to u{n}@mail.example, ask u{n - 1}@mail.example") for n in range(1, 20)]
+    out = sessions.mask_sessions(spark.createDataFrame(rows, "session string, turn long, text string"), ["session"], ["turn"])
+    assert len(set(place.glob("*")) - before) == 2  # the turns and what is hidden in them
+    assert {r["turn"]: r["text"] for r in out.collect()}[3] == "to [EMAIL_4], ask [EMAIL_3]"
+
+
 def test_empty_table_of_turns(spark):
     assert sessions.mask_sessions(spark.createDataFrame([], "s string, n long, text string"), ["s"], ["n"]).count() == 0
 
