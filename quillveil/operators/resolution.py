@@ -8,14 +8,17 @@ with window functions, for span tables at rest: they are the connected component
 from __future__ import annotations
 
 from bisect import insort
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import tables
 from . import scans
 from .spans import ARROW_SPANS, SPANS_TYPE, Span, order
 
@@ -226,6 +229,135 @@ def pairs(spans: DataFrame, keys: list[str], start: str = "start", end: str = "e
     return both.select(*keys, F.col("a.id").alias("a"), F.col("b.id").alias("b"), relation.alias("relation"))
 
 
+#: Spans of a key that one task counts pairs of, and pairs that are compared one by one.
+SPANS_AT_ONCE, FEW_PAIRS = 1 << 17, 1 << 12
+_RELATIONS = {("same", True): "same", ("holds", True): "a holds b", ("holds", False): "b holds a", ("overlap", True): "overlap", ("overlap", False): "overlap"}
+
+
+class Tally:
+    """Counts pairs of spans and sums their ids.  Spans are columns start, end, id of an array, in the order of relation_counts."""
+
+    def __init__(self):
+        self.sums: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+
+    def _add(self, kind: str, forth: bool, x: np.ndarray, of_x: np.ndarray, y: np.ndarray, of_y: np.ndarray) -> None:
+        """of_x, of_y: how many pairs of this kind each span is in; forth: the ids of x come first."""
+        if not (n := int(of_x.sum())):
+            return
+        first, second = _weighed(x[2], of_x, n), _weighed(y[2], of_y, n)
+        total = self.sums[_RELATIONS[kind, forth]]
+        for i, v in enumerate((n, first if forth else second, second if forth else first)):
+            total[i] += v
+
+    def within(self, s: np.ndarray) -> None:
+        """Pairs of spans that are in order."""
+        n = s.shape[1]
+        if n * n > 4 * FEW_PAIRS:
+            x, y = s[:, : n // 2], s[:, n // 2 :]
+            self.within(x)
+            self.within(y)
+            self.between(x, y)
+        elif n > 1:
+            self._each(s, s, np.triu(np.ones((n, n), bool), 1))
+
+    def between(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Pairs of spans x with spans y, all of which come after them."""
+        if x.shape[1] and y.shape[1]:
+            x = x[:, x[1] > y[0].min()]
+        if x.shape[1]:
+            y = y[:, y[0] < x[1].max()]
+        if not x.shape[1] or not y.shape[1]:
+            return
+        if x.shape[1] * y.shape[1] <= FEW_PAIRS:
+            self._each(x, y, np.ones((x.shape[1], y.shape[1]), bool))
+        elif x[2].max() < y[2].min():
+            self._resolved(x, y, True)
+        elif x[2].min() > y[2].max():
+            self._resolved(x, y, False)
+        elif (low := min(int(x[2].min()), int(y[2].min()))) < (high := max(int(x[2].max()), int(y[2].max()))):  # equal ids are no pairs
+            middle = (low + high) // 2
+            (x0, x1), (y0, y1) = ((s[:, s[2] <= middle], s[:, s[2] > middle]) for s in (x, y))
+            self.between(x0, y1)
+            self.between(x1, y0)
+            self.between(x0, y0)
+            self.between(x1, y1)
+
+    def _each(self, x: np.ndarray, y: np.ndarray, asked: np.ndarray) -> None:
+        meet = asked & (x[1][:, None] > y[0])
+        holds = meet & (x[1][:, None] >= y[1])
+        same = holds & (x[1][:, None] == y[1]) & (x[0][:, None] == y[0])
+        back = meet & (x[2][:, None] > y[2])
+        for forth, ids in ((True, meet & (x[2][:, None] < y[2])), (False, back)) if back.any() else ((True, meet & (x[2][:, None] < y[2])),):
+            for kind, pairs in (("same", same & ids), ("holds", (holds ^ same) & ids), ("overlap", (meet ^ holds) & ids)):
+                if pairs.any():
+                    self._add(kind, forth, x, pairs.sum(1), y, pairs.sum(0))
+
+    def _resolved(self, x: np.ndarray, y: np.ndarray, forth: bool) -> None:
+        """All ids of x come before those of y, or after them."""
+        x = x[:, x[1].argsort(kind="stable")]
+        n = x.shape[1]
+        meet = x[1].searchsorted(y[0], "right")  # from there on spans end after y begins
+        holds = np.maximum(meet, x[1].searchsorted(y[1], "left"))
+        # as x comes before y in order, the one extent that both may have is the first of y, and equal ones are in the order of their ids
+        alike_x, alike_y = ((s[0] == y[0, 0]) & (s[1] == y[1, 0]) & (s[1] > s[0]) for s in (x, y))
+        same_x, same_y = alike_x * int(alike_y.sum()), alike_y * int(alike_x.sum())
+        self._add("same", forth, x, same_x, y, same_y)
+        self._add("holds", forth, x, np.bincount(holds, minlength=n + 1)[:n].cumsum() - same_x, y, n - holds - same_y)
+        self._add("overlap", forth, x, (np.bincount(meet, minlength=n + 1) - np.bincount(holds, minlength=n + 1))[:n].cumsum(), y, holds - meet)
+
+
+def _weighed(ids: np.ndarray, counts: np.ndarray, n: int) -> int:
+    """The sum of ids times counts, of which there are n; by parts where it might overflow."""
+    if n * max(int(ids.max()), -int(ids.min())) < 1 << 62:
+        return int(ids @ counts)
+    return sum(int(((ids >> by) & 0xFFFFF if by < 60 else ids >> by) @ counts) << by for by in (0, 20, 40, 60))
+
+
+def relation_counts(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end", id_: str = "id") -> DataFrame:
+    """(keys, relation, pairs, a, b): how many rows of pairs there are of each relation, and the sums of their ids (whole numbers; decimals), without making them.
+
+    Spans are ordered by where they begin, longer ones first, those without a length before all, then by id; so of two that meet the earlier one holds the later one, is the same, or
+    is overlapped.  The line is cut into ranges.  A range counts the pairs within it by halves: of the spans of one half only those that reach the other are looked
+    at, and where their ids are apart, two binary searches count them all.  Spans that reach later ranges are sent to each of those; a range that many
+    reach is given out in parts, so no task has more than a fixed number of spans.  The work follows the spans and how many ranges they reach, not the pairs.
+    """
+    a, b = F.col(f"`{start}`").cast("long"), F.col(f"`{end}`").cast("long")
+    named = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keys)]
+    own = spans.select(*named, F.least(a, b).alias("__place"), (b > a).alias("__long"), (-b).alias("__back"), F.col(f"`{id_}`").cast("long").alias("__id"), a.alias("__start"), b.alias("__end"))
+    own, named = own.where("__start is not null and __end is not null and __id is not null"), [f"__k{i}" for i in range(len(keys))]
+    cut = scans.Ranges(own, named, ["__place", "__long", "__back", "__id"], SPANS_AT_ONCE)
+    rows = cut.rows.withColumnRenamed(cut.part, "__part")
+    # a key's ranges follow one another; all keys but those that are in several ranges are left out here, so there are two rows for each range at most
+    several = Window.partitionBy(*named)
+    parts = rows.groupBy(*named, "__part").agg(F.min("__start").alias("__first")).withColumn("__of", F.count("*").over(several)).where("__of > 1")
+    parts = tables.table(parts.withColumn("__first", F.min("__first").over(several.orderBy(F.desc("__part")))).drop("__of"))
+    after = parts.withColumn("__then", F.lead("__first").over(several.orderBy("__part"))).where("__then is not null").select(*named, "__part", "__then")
+    reach = tables.matching(rows, F.broadcast(after), [*named, "__part"]).where("__end > __then")
+    later = parts.select(*named, F.col("__part").alias("__to"), "__first")
+    sent = tables.table(tables.matching(reach, F.broadcast(later), named).where("__to > __part and __end > __first").select(*named, F.col("__to").alias("__part"), "__start", "__end", "__id"))
+    many = sent.groupBy(*named, "__part").agg(F.ceil(F.count("*") / SPANS_AT_ONCE).cast("int").alias("__of"))
+    at = F.coalesce(F.col("__of"), F.lit(1))
+    copied = tables.matching(rows, F.broadcast(many), [*named, "__part"], "left").withColumn("__tile", F.explode(F.sequence(F.lit(0), at - 1))).withColumn("__sent", F.lit(False))
+    dealt = tables.matching(sent, F.broadcast(many), [*named, "__part"]).withColumn("__tile", F.pmod(F.xxhash64("__start", "__end", "__id"), at).cast("int")).withColumn("__sent", F.lit(True))
+    columns = [*named, "__part", "__tile", "__sent", "__start", "__end", "__id"]
+    both = copied.select(*columns).unionByName(dealt.select(*columns)).repartition(2 * cut.ranges, *named, "__part", "__tile")
+    schema = T.StructType([*[rows.schema[k] for k in named], *[T.StructField(n, T.StringType()) for n in ("relation", "pairs", "a", "b")]])
+
+    def run(t: pa.Table) -> pa.Table:
+        sent, line = t["__sent"].to_numpy(), np.stack([t[c].to_numpy() for c in ("__start", "__end", "__id")])
+        own, tally = line[:, ~sent], Tally()
+        own = own[:, np.lexsort((own[2], -own[1], own[1] > own[0], own[:2].min(0)))]
+        if not t["__tile"][0].as_py():
+            tally.within(own)
+        tally.between(line[:, sent], own)
+        found = [(k, *map(str, v)) for k, v in tally.sums.items()]
+        head = [pa.repeat(t[k][0], len(found)) for k in named]
+        return pa.Table.from_arrays([*head, *[pa.array([f[i] for f in found], pa.string()) for i in range(4)]], names=schema.names)
+
+    sums = both.groupBy(*named, "__part", "__tile").applyInArrow(run, schema).groupBy(*named, "relation").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("pairs", "a", "b")])
+    return sums.select(*[F.col(k).alias(c) for k, c in zip(named, keys, strict=True)], "relation", F.col("pairs").cast("long").alias("pairs"), "a", "b")
+
+
 def malformed(spans: DataFrame, keys: list[str], chars: str, start: str = "start", end: str = "end") -> DataFrame:
     """(keys, start, end, why) of spans that can't be spliced: empty, outside their text (chars: its length), or begun before the one before has ended."""
     line = Window.partitionBy(*keys).orderBy(start, end)

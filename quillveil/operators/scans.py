@@ -20,12 +20,13 @@ def _together(fold: Callable, a: Column, b: Column) -> Column:
 
 
 class Ranges:
-    """Rows of df by ranges of keys and order; the order has to tell apart the rows of a key as far as results depend on it."""
+    """Rows of df by ranges of keys and order, of about at_once rows each if that is given; the order has to tell apart the rows of a key as far as results depend on it."""
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str]):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], at_once: int | None = None):
         self.keys, self.order, self.part = keys, order, tables.fresh(df, "__part")
         by = [F.col(f"`{c}`").asc_nulls_first() for c in [*keys, *order]]
-        self.rows = tables.table(df.repartitionByRange(*by).withColumn(self.part, F.spark_partition_id()))
+        self.ranges = -(-df.count() // at_once) or 1 if at_once else None
+        self.rows = tables.table(df.repartitionByRange(*([self.ranges] if at_once else []), *by).withColumn(self.part, F.spark_partition_id()))
 
     def running(self, rows: DataFrame, name: str, fold: Callable, value: Column, current: bool = True) -> DataFrame:
         """rows (those of the ranges, maybe with more columns) with name: fold (F.sum or F.max) of value over the key's rows up to each, or before it."""

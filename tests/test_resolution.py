@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillveil.operators import resolution
 from quillveil.operators.spans import Span
@@ -61,3 +63,25 @@ def test_islands_are_the_resolved_extents(spark):
         want |= {(doc, x.start, x.end) for x in resolution.settle(spans, SPECIFICITY)}
     got = resolution.islands(spark.createDataFrame(rows, "doc long, start int, end int"), ["doc"])
     assert {(r["doc"], r["start"], r["end"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize(("longest", "at_once", "few"), [(9, 40, 16), (300, 25, 4096), (300, 1 << 17, 64)])
+def test_relations_are_counted_as_pairs_are(spark, monkeypatch, longest, at_once, few):
+    monkeypatch.setattr(resolution, "SPANS_AT_ONCE", at_once)
+    monkeypatch.setattr(resolution, "FEW_PAIRS", few)
+    rng, rows = random.Random(longest + at_once), []
+    for k, n in ((None, 120), ("a", 90), ("b", 7), ("c", 1)):
+        for i in range(n):
+            start = rng.randrange(150)
+            rows.append((k, start if i != 5 else None, start + rng.randrange(rng.choice([3, longest])), rng.choice([i, i // 2, rng.randrange(500)]) if i != 6 else None))
+    df = spark.createDataFrame(rows, "k string, start long, end long, id long")
+    want = resolution.pairs(df, ["k"]).groupBy("k", "relation").agg(F.count("*").alias("pairs"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    got = resolution.relation_counts(df, ["k"])
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_pairs_beyond_any_number_that_could_be_listed(spark):
+    n = 60_000
+    df = spark.range(n).select(F.lit(0).alias("start"), (F.col("id") + 1).alias("end"), (n - F.col("id")).alias("id"))
+    (row,) = resolution.relation_counts(df, []).collect()
+    assert (row["relation"], row["pairs"], row["a"]) == ("a holds b", n * (n - 1) // 2, sum(i * (n - i) for i in range(1, n + 1)))
