@@ -203,3 +203,25 @@ def test_long_json_texts_are_given_out_in_parts(spark, monkeypatch):
 def test_rows_are_dealt_by_their_work(spark):
     got = tables.spread(spark.range(100).coalesce(1), F.col("id"), 1000)
     assert got.rdd.getNumPartitions() == 5 and sorted(r.id for r in got.collect()) == list(range(100))
+
+
+def test_large_streamed_work_is_dealt_to_fewer_tasks(spark):
+    rows = spark.range(1000).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    got = [tables.spread(rows, F.lit(1), 1, streamed=most).rdd.getNumPartitions() for most in (1, 50, 10_000)]
+    assert got == [1000, max(20, 4 * cores), 4 * cores]  # tasks grow, but not beyond their bound, nor below a few for each core
+    assert tables.spread(rows, F.lit(1), 500, streamed=10_000).rdd.getNumPartitions() == 2  # few rows as before
+
+
+def test_odd_json_makes_a_number_for_its_rows_only(spark, tmp_path):
+    # no memory holds the number of a row that asks for none: 2 GB of digits
+    spark.createDataFrame([(2_000_000_000,), (1,), (2,), (1_999_999_999,), (None,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    rows = {r["k"]: (r["error_class"], r["leaves"]) for r in catalog.odd_json(spark, str(tmp_path)).collect()}
+    assert rows == {2_000_000_000: ("shape_request", ""), 1: (None, "7" * 5001), 2: (None, "\U0001f600/\\ud800"), 1_999_999_999: ("shape_request", ""), None: (None, "")}
+
+
+def test_json_leaves_by_columns(spark):
+    rows = [(0, '{"a":[1,"x",{"b":-0.50}],"c":""}'), (1, '{"a":"\\ud800"}'), (2, None), (3, "[true]"), (4, '"z"')]
+    got = jsontext.json_leaves(spark.createDataFrame(rows, "k int, body string").coalesce(1), "body", ["k"]).collect()
+    want = [[(0, "a", "number", "1"), (1, "a", "string", "x"), (2, "b", "number", "-0.50"), (3, "c", "string", "")], [], [], [], [(0, None, "string", "z")]]
+    assert [([tuple(x) for x in r["leaves"]], r["error_class"]) for r in got] == [(w, "shape_request" if i == 1 else None) for i, w in enumerate(want)]
